@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .minhash import near_duplicates
+from .mixing import mix_sources, taken_words
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,17 +16,22 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=2, threshold_percent=80)
 
 
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken_words(mix_sources(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op9_mix_sources": op9_mix_sources,
 }
 
 ORACLES = {
     "op1_minhash_dedup": r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
 s AS (
-  SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_sort(list_distinct(list_transform(generate_series(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1])))
+  SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_sort(list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])))
                       WHEN len(w) = 1 THEN w ELSE [] END AS s
   FROM w),
 g AS (SELECT s, min(doc_id) AS id, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
