@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .license_scan import scan_licenses
 from .minhash import near_duplicates
 from .mixing import mix_sources, taken_words
+from .secret_scan import scan_secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,12 +18,22 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=2, threshold_percent=80)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents")).drop("found")
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_table(spark, sf_dir, "documents")).drop("found")
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(mix_sources(_table(spark, sf_dir, "documents")))
 
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op5_license_scan": op5_license_scan,
+    "op6_secret_scan": op6_secret_scan,
     "op9_mix_sources": op9_mix_sources,
 }
 
