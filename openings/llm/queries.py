@@ -8,6 +8,7 @@ from .license_scan import scan_licenses
 from .minhash import near_duplicates
 from .mixing import mix_sources, taken_words
 from .secret_scan import scan_secrets
+from .url_filter import filter_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,11 +31,26 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(mix_sources(_table(spark, sf_dir, "documents")))
 
 
+#: (verdict, host, path)
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op5_license_scan": op5_license_scan,
     "op6_secret_scan": op6_secret_scan,
     "op9_mix_sources": op9_mix_sources,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLES = {
@@ -59,5 +75,20 @@ root AS (SELECT x AS id, min(y) AS component_id FROM reach GROUP BY x)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(r.component_id, s.doc_id) AS component_id,
        s.doc_id = coalesce(r.component_id, s.doc_id) AS kept
 FROM s LEFT JOIN g ON g.s = s.s LEFT JOIN root r ON r.id = g.id
+""",
+    "op10_url_filter": r"""
+WITH u AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (
+  SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(verdict, host, path) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/'))
+SELECT h.page_id, h.host, h.path,
+       (SELECT arg_max(r.host || r.path, length(r.host || r.path)) FROM r
+        WHERE (h.host = r.host OR ends_with(h.host, '.' || r.host)) AND starts_with(h.path, r.path)) AS rule,
+       coalesce((SELECT arg_max(r.verdict, length(r.host || r.path)) FROM r
+        WHERE (h.host = r.host OR ends_with(h.host, '.' || r.host)) AND starts_with(h.path, r.path)), 'allow') AS verdict
+FROM h
 """,
 }
