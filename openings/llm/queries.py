@@ -8,6 +8,7 @@ from .license_scan import scan_licenses
 from .minhash import near_duplicates
 from .mixing import mix_sources, taken_words
 from .secret_scan import scan_secrets
+from .suffix_tree import language_model_scores
 from .url_filter import filter_urls
 
 
@@ -19,6 +20,10 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=2, threshold_percent=80)
 
 
+def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(_table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents")).drop("found")
 
@@ -47,6 +52,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op4_suffix_tree": op4_suffix_tree,
     "op5_license_scan": op5_license_scan,
     "op6_secret_scan": op6_secret_scan,
     "op9_mix_sources": op9_mix_sources,
