@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import find_leaks
 from .license_scan import scan_licenses
 from .minhash import near_duplicates
 from .mixing import mix_sources, taken_words
@@ -20,6 +21,10 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=2, threshold_percent=80)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model_scores(_table(spark, sf_dir, "documents"))
 
@@ -52,6 +57,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op3_decontaminate": op3_decontaminate,
     "op4_suffix_tree": op4_suffix_tree,
     "op5_license_scan": op5_license_scan,
     "op6_secret_scan": op6_secret_scan,
