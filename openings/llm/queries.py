@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .cotraining import quality_scores
 from .cover_tree import top_k
 from .decontaminate import find_leaks
 from .license_scan import scan_licenses
@@ -43,6 +44,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents")).drop("found")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(mix_sources(_table(spark, sf_dir, "documents")))
 
@@ -68,6 +73,7 @@ QUERIES = {
     "op4_suffix_tree": op4_suffix_tree,
     "op5_license_scan": op5_license_scan,
     "op6_secret_scan": op6_secret_scan,
+    "op8_quality": op8_quality,
     "op9_mix_sources": op9_mix_sources,
     "op10_url_filter": op10_url_filter,
 }
