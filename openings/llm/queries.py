@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .block_labeller import main_texts
 from .cotraining import quality_scores
 from .cover_tree import top_k
 from .decontaminate import find_leaks
@@ -44,6 +45,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents")).drop("found")
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -73,6 +78,7 @@ QUERIES = {
     "op4_suffix_tree": op4_suffix_tree,
     "op5_license_scan": op5_license_scan,
     "op6_secret_scan": op6_secret_scan,
+    "op7_main_text": op7_main_text,
     "op8_quality": op8_quality,
     "op9_mix_sources": op9_mix_sources,
     "op10_url_filter": op10_url_filter,
