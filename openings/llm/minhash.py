@@ -113,10 +113,10 @@ def shingle_features(docs: DataFrame, id_col: str, text_col: str, k: int, places
     )
 
 
-def _bands(nodes: DataFrame, bands: int, *more: str) -> DataFrame:
+def _bands(nodes: DataFrame, bands: int) -> DataFrame:
     width = ROWS_A_BAND * 4
     buckets: Column = F.array(*[F.xxhash64(F.lit(b), F.substring("sign", 1 + b * width, width)) for b in range(bands)])
-    return nodes.select("node", "n", *more, F.explode(buckets).alias("bucket"))
+    return nodes.select("node", "n", F.posexplode(buckets).alias("band", "bucket"))
 
 
 def _close(n: str, m: str, threshold: float) -> Column:
@@ -143,11 +143,10 @@ def _sequential(pairs: DataFrame, threshold: float, miss: float, places: int) ->
     return pairs.select("a", "b", "sign_a", "sign_b").mapInArrow(run, "a long, b long, matches long")
 
 
-def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold.
+def _members(asked: DataFrame, nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(node, members): the full sets of the asked nodes, made again from their first text.
 
-    The sets of the nodes in question are made again from their first text;
-    of rows that repeat an id with other texts the one with the node's set counts.
+    Of rows that repeat an id with other texts the one with the node's set counts.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,26 +158,27 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percen
                     [pa.array([w for w, _ in out], pa.int64()), pa.array([raw for _, raw in out], pa.binary())], ["node", "members"]
                 )
 
+    wanted = nodes.join(asked.select("node").distinct(), "node").select("node", "rep")
+    made = wanted.join(docs, wanted["rep"] == docs["id"]).select("node", "text").mapInArrow(make, "node long, members binary")
+    return durable(made.dropDuplicates(["node"]), "members")
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    both = int((x[at] == y).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
+
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                both = int((x[at] == y).sum())
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep.append(i)
-            keep = pa.array(keep, pa.int64())
+            sets = [[np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(c)] for c in ("x", "y")]
+            keep = pa.array([i for i, (x, y) in enumerate(zip(*sets, strict=True)) if _linked(x, y, percent)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["a", "b"])
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = nodes.join(asked, "node").select("node", "rep")
-    members = (
-        wanted.join(docs, wanted["rep"] == docs["id"])
-        .select("node", "text")
-        .mapInArrow(make, "node long, members binary")
-    )
-    members = durable(members.dropDuplicates(["node"]), "members")
+    members = _members(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, docs, k)
     x = members.select(F.col("node").alias("a"), F.col("members").alias("x"))
     y = members.select(F.col("node").alias("b"), F.col("members").alias("y"))
     return pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(test, "a long, b long")
@@ -188,37 +188,77 @@ def _node(raw: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
 
 
-def _across(rows: DataFrame, threshold: float, miss: float, places: int) -> DataFrame:
-    """Candidate pairs between different components of one block (rows: block, side, comp, node, n, sign).
+def _survivors(table: pa.Table, threshold: float, steps: tuple, places: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row pairs (i, j) of different components in one block that no batch of places ruled out, with their matches.
 
     A block holds at most BLOCK rows of either side; sides "l" and "r" are
-    compared with each other, and a block with one side only with itself.
+    compared with each other, and a block with one side only with itself.  A
+    pair that shares an earlier band is left to that band's block.
+    """
+    side = np.array(table.column("side").to_pylist()) == "r"
+    n, comp = table.column("n").to_numpy(), table.column("comp").to_numpy()
+    band = table.column("band")[0].as_py()
+    sign = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint32).reshape(-1, places)
+    own = np.flatnonzero(~side)
+    other = np.flatnonzero(side) if side.any() else own
+    low, high = np.minimum(n[own][:, None], n[other][None, :]), np.maximum(n[own][:, None], n[other][None, :])
+    i, j = np.nonzero((comp[own][:, None] != comp[other][None, :]) & (low >= np.floor(high * threshold)))
+    i, j = own[i], other[j]
+    if other is own:
+        i, j = i[i < j], j[i < j]
+    matches, done = np.zeros(len(i), np.int64), 0
+    for upto, need in steps:
+        for at in range(0, len(i), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            matches[part] += (sign[i[part], done:upto] == sign[j[part], done:upto]).sum(axis=1)
+        alive = matches >= need
+        i, j, matches, done = i[alive], j[alive], matches[alive], upto
+    before = np.zeros(len(i), bool)
+    for b in range(band):
+        part = slice(b * ROWS_A_BAND, (b + 1) * ROWS_A_BAND)
+        before |= (sign[i, part] == sign[j, part]).all(axis=1)
+    return i[~before], j[~before], matches[~before]
+
+
+def _across(rows: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, miss: float, places: int) -> DataFrame:
+    """Confirmed links (a, b) between different components of a block (rows: block, band, side, comp, node, n, sign).
+
+    First the rows with any surviving pair are found; only they get their full
+    sets, and then each block confirms its pairs, the likeliest first, leaving
+    out pairs that it has connected already.  So neither step puts out more
+    than the rows it is given.
     """
+    threshold = percent / 100
     steps = least_matches(threshold, miss, places)
+    columns = "block long, band int, side string, comp long, node long, n long, sign binary"
 
-    def run(table: pa.Table) -> pa.Table:
-        side = np.array(table.column("side").to_pylist()) == "r"
-        node, n, comp = (table.column(c).to_numpy() for c in ("node", "n", "comp"))
-        sign = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint32).reshape(-1, places)
-        own = np.flatnonzero(~side)
-        other = np.flatnonzero(side) if side.any() else own
-        i, j = np.nonzero(
-            (comp[own][:, None] != comp[other][None, :])
-            & (np.minimum(n[own][:, None], n[other][None, :]) >= np.floor(np.maximum(n[own][:, None], n[other][None, :]) * threshold))
-        )
-        i, j = own[i], other[j]
-        if other is own:
-            i, j = i[i < j], j[i < j]
-        matches, done = np.zeros(len(i), np.int64), 0
-        for upto, need in steps:
-            for at in range(0, len(i), 1 << 16):
-                part = slice(at, at + (1 << 16))
-                matches[part] += (sign[i[part], done:upto] == sign[j[part], done:upto]).sum(axis=1)
-            alive = matches >= need
-            i, j, matches, done = i[alive], j[alive], matches[alive], upto
-        return pa.table({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
+    def sift(table: pa.Table) -> pa.Table:
+        i, j, _ = _survivors(table, threshold, steps, places)
+        return table.take(pa.array(np.union1d(i, j)))
+
+    def confirm(table: pa.Table) -> pa.Table:
+        i, j, matches = _survivors(table, threshold, steps, places)
+        comp, node = table.column("comp").to_pylist(), table.column("node").to_pylist()
+        sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("members")]
+        root = {c: c for c in comp}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        out = []
+        for at in np.argsort(-matches, kind="stable"):
+            x, y = int(i[at]), int(j[at])
+            p, q = find(comp[x]), find(comp[y])
+            if p != q and _linked(sets[x], sets[y], percent):
+                root[p] = q
+                out.append((node[x], node[y]))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    return rows.groupBy("block").applyInArrow(run, "a long, b long")
+    likely = durable(rows.groupBy("block").applyInArrow(sift, columns), "likely")
+    members = _members(likely, nodes, docs, k)
+    return likely.join(members, "node").groupBy("block").applyInArrow(confirm, "a long, b long")
 
 
 def near_duplicates(
@@ -281,7 +321,7 @@ def near_duplicates(
     # buckets that hold several components still
     marked = (
         banded.join(roots.withColumnRenamed("vertex", "node"), "node", "left")
-        .select("bucket", "node", "n", F.coalesce("root", "node").alias("comp"))
+        .select("bucket", "band", "node", "n", F.coalesce("root", "node").alias("comp"))
     )
     shares = marked.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
     mixed = (
@@ -301,12 +341,12 @@ def near_duplicates(
             F.transform(F.filter(F.sequence(F.lit(0), F.col("others") - 1), lambda o: o > F.col("piece")), lambda o: F.struct(o.alias("o"), F.col("piece").alias("p"), F.lit("o").alias("kind"), F.lit("r").alias("side"))),
         )
     )
-    blocks = rows.select("bucket", "node", "n", "comp", F.explode(steps).alias("at")).select(
-        F.xxhash64("bucket", "at.o", "at.p", "at.kind").alias("block"), "at.side", "comp", "node", "n"
+    blocks = rows.select("bucket", "band", "node", "n", "comp", F.explode(steps).alias("at")).select(
+        F.xxhash64("bucket", "at.o", "at.p", "at.kind").alias("block"), "band", "at.side", "comp", "node", "n"
     )
-    more = durable(_across(blocks.join(signed, "node"), threshold, miss, places).distinct(), "more")
+    more = durable(_across(blocks.join(signed, "node").select("block", "band", "side", "comp", "node", "n", "sign"), nodes, texts, k, threshold_percent, miss, places), "links")
     if not more.isEmpty():
-        links = links.unionByName(durable(_confirm(more, nodes, texts, k, threshold_percent), "links"))
+        links = links.unionByName(more)
         roots = durable(components(links, "a", "b"), "roots")
 
     rooted = nodes.select("node", "rep").join(roots.withColumnRenamed("vertex", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
