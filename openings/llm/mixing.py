@@ -189,7 +189,7 @@ def taken_words(mix: Mix) -> DataFrame:
     """One row a row of docs: doc_id, size, source_size, target, taken (words the mix takes, repeats counted)."""
     times = mix.slots.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
     taken = (
-        mix.pieces.join(times, ["source_no", "block"])
+        mix.pieces.join(times.hint("merge"), ["source_no", "block"])  # the planner takes the slots for as small as their plan
         .groupBy("source_no", "at").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     )
     return (
@@ -242,7 +242,7 @@ def mixed_blocks(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sou
         F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("text"),
     )
     return (
-        mix.slots.join(whole, ["source_no", "block"])
+        mix.slots.hint("merge").join(whole, ["source_no", "block"])
         .join(F.broadcast(mix.sources.select("source_no", "source")), "source_no")
         .select("shard", "slot", "source", "epoch", "block", "words", "doc_ids", "text")
     )
