@@ -224,39 +224,44 @@ def train_quality(
     return co_train(text, meta, label)
 
 
-def score_quality(
-    docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", carry: tuple[str, ...] = ()
-) -> DataFrame:
-    """One row a row of docs: doc_id, text_score, meta_score, score (calibrated probabilities of quality 1), keep, and `carry`.
+def score_quality(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+    """One row a row of docs: doc_id, text_score, meta_score, score (calibrated probabilities of quality 1), keep.
 
     Null and empty texts are scored as empty ones; null sources and languages
-    have a bucket of their own.  Without a model all scores are null and every
-    row is kept.
+    have a bucket of their own; null ids stay; repeated rows are each scored;
+    other columns aren't read; an empty table gives an empty result.  Without a
+    model all scores are null and every row is kept.
     """
-    base = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("openings_text"), F.col(source_col).cast("string").alias("openings_source"),
-        F.col(lang_col).cast("string").alias("openings_lang"), *[F.col(c).alias(f"carry_{c}") for c in carry],
-    )
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(f"in_{i}") for i, c in enumerate((text_col, source_col, lang_col))])
     if model is None:
-        empty = [F.lit(None).cast("double").alias(c) for c in ("text_score", "meta_score", "score")]
-        return base.select("doc_id", *empty, F.lit(True).alias("keep"), *[F.col(f"carry_{c}").alias(c) for c in carry])
-    schema = "doc_id long, text_score double, meta_score double, score double, keep boolean"
-    kept = base.schema[4:]
+        return base.select("doc_id", *[F.lit(None).cast("double").alias(c) for c in ("text_score", "meta_score", "score")], F.lit(True).alias("keep"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, text, meta in features(batch.column(1), batch.column(2), batch.column(3)):
-                part = batch.slice(first, len(text))
+            for first, text, meta in features(*batch.columns[1:4]):
                 a, b, both = (s.astype(np.float64) for s in model.score(text, meta))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(a), pa.array(b), pa.array(both), pa.array(both >= model.threshold), *part.columns[4:]],
-                    ["doc_id", "text_score", "meta_score", "score", "keep", *(f.name for f in kept)],
+                    [batch.column(0).slice(first, len(text)), pa.array(a), pa.array(b), pa.array(both), pa.array(both >= model.threshold)],
+                    ["doc_id", "text_score", "meta_score", "score", "keep"],
                 )
 
-    from pyspark.sql import types as T
+    return base.mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, keep boolean")
+
+
+def keep_good(docs: DataFrame, model: Model | None, text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs that the model doesn't reject, with all their columns (see score_quality)."""
+    if model is None:
+        return docs
+    places = [docs.columns.index(c) for c in (text_col, source_col, lang_col)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(i).cast(pa.string()) for i in places]
+            marks = [model.score(text, meta)[2] >= model.threshold for _, text, meta in features(*columns)]
+            if marks:
+                yield batch.filter(pa.array(np.concatenate(marks)))
 
-    made = base.mapInArrow(run, T.StructType([*T._parse_datatype_string(schema).fields, *kept]))
-    return made.select("doc_id", "text_score", "meta_score", "score", "keep", *[F.col(f"carry_{c}").alias(c) for c in carry])
+    return docs.mapInArrow(run, docs.schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, **columns) -> DataFrame:

@@ -372,3 +372,21 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
         .filter(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
         .select("a", "b")
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one row, that of the smallest id, of each group of near-duplicates; all columns stay.
+
+    Options are those of near_duplicates.  Of rows that repeat an id and its
+    text one stays (which of them is left open where other columns differ).
+    Rows without an id, which nothing can refer to, all stay.
+    """
+    kept = near_duplicates(docs, id_col, text_col, **options).filter("kept").groupBy(F.col("doc_id").alias("openings_id")).agg(F.count(F.lit(1)).alias("openings_rows"))
+    kept = durable(kept, "kept")
+    rows = docs.join(kept, docs[id_col].cast("long") == kept["openings_id"])
+    single = rows.filter("openings_rows = 1").select(*[docs[c] for c in docs.columns])
+    without = docs.filter(F.col(id_col).isNull())
+    if kept.filter("openings_rows > 1").isEmpty():
+        return single.unionByName(without)
+    repeated = rows.filter("openings_rows > 1").select(*[docs[c] for c in docs.columns]).dropDuplicates([id_col, text_col])
+    return single.unionByName(repeated).unionByName(without)
