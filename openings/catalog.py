@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import screen_queries, text_queries  # noqa: F401  (they register their queries)
+from .plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "decision_queue"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
