@@ -28,7 +28,8 @@ def invariants(openings: DataFrame) -> DataFrame:
 def repaired_pay(openings: DataFrame) -> DataFrame:
     """openings with impossible bands (too wide, or beyond any pay) set to null."""
     bad = F.coalesce((F.col("comp_max") > SPREAD * F.col("comp_min")) | (F.col("comp_max") > MOST_PAY) | (F.col("comp_min") > MOST_PAY), F.lit(False))
-    return openings.withColumns({c: F.when(~bad, F.col(c)) for c in ("comp_min", "comp_max")}).withColumn("repaired", bad)
+    marked = openings.withColumn("repaired", bad)
+    return marked.withColumns({c: F.when(~F.col("repaired"), F.col(c)) for c in ("comp_min", "comp_max")})
 
 
 def differences(published: DataFrame, stored: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -42,7 +42,7 @@ def test_small_text_functions(spark):
     assert one(spark, "x", lambda c: text.percent(F.lit(1), F.lit(0))) is None and one(spark, "x", lambda c: text.percent(F.lit(1), F.lit(3))) == 33.3
 
 
-BODY = "We are hybrid. You will not carry a sales quota! Own a sales quota; fine\nRequirements:\n\n- 5 years of CPQ\n- more CPQ"
+BODY = "We are hybrid. You will not carry a sales quota. Own a sales quota; fine\nRequirements:\n\n- 5 years of CPQ\n- more CPQ"
 
 
 def test_spans_equal_finditer(spark):
