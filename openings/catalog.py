@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import history_queries, other_queries, screen_queries, source_queries, text_queries  # noqa: F401  (they register their queries)
+from .plans import command_queries, history_queries, other_queries, screen_queries, source_queries, text_queries  # noqa: F401  (they register their queries)
 from .plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "decision_queue"
