@@ -90,14 +90,16 @@ WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
 s AS (
-  SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_sort(list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])))
-                      WHEN len(w) = 1 THEN w ELSE [] END AS s
+  SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_sort(list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: hash(w[i] || ' ' || w[i + 1]))))
+                      WHEN len(w) = 1 THEN [hash(w[1])] ELSE [] END AS s
   FROM w),
 g AS (SELECT s, min(doc_id) AS id, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+pairs AS (
+  SELECT a.id AS x, b.id AS y, a.n + b.n AS n, len(list_intersect(a.s, b.s)) AS common
+  FROM g a JOIN g b ON a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
 links AS (
-  SELECT a.id AS x, b.id AS y
-  FROM g a JOIN g b ON a.id <> b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
-  WHERE 100 * len(list_intersect(a.s, b.s)) >= 80 * (a.n + b.n - len(list_intersect(a.s, b.s)))),
+  SELECT x, y FROM pairs WHERE 100 * common >= 80 * (n - common)
+  UNION ALL SELECT y, x FROM pairs WHERE 100 * common >= 80 * (n - common)),
 reach AS (
   SELECT id AS x, id AS y FROM g
   UNION
