@@ -196,7 +196,7 @@ def label(pages: list[list[Block]], weights: tuple[np.ndarray, ...], group: int
     return out
 
 
-def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", at_least: float = 0.2) -> DataFrame:
+def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", at_least: float = 0.3) -> DataFrame:
     """One row a row of pages: page_id, url, text, n_chars.
 
     text: the blocks labelled main, in page order, joined by one newline (empty

@@ -10,7 +10,7 @@ labelled rows that neither has seen, and combined by adding their calibrated
 log-odds.
 
 The model is fitted on at most `max_labelled` labelled and `max_pool`
-unlabelled rows, chosen by hash (documented bounds: about 4 KB a row on the
+unlabelled rows, chosen by hash (documented bounds: about 2 KB a row on the
 driver); every row is scored, in one pass over the corpus without a shuffle.
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DIMS = 1024
+DIMS = 512
 TEXT = DIMS + 5
 SOURCES, LANGS, LAYOUT = 64, 16, 13
 META = SOURCES + LANGS + LAYOUT
@@ -73,7 +73,7 @@ def _views(data: np.ndarray, offsets: np.ndarray, source: np.ndarray, lang: np.n
     if len(data) > 2:
         b = data.astype(np.uint32)
         key = (b[:-2] * np.uint32(0x9E3779B1)) ^ (b[1:-1] * np.uint32(0x85EBCA6B)) ^ (b[2:] * np.uint32(0xC2B2AE35))
-        key = (key * np.uint32(0x27D4EB2F)) >> np.uint32(22)
+        key = (key * np.uint32(0x27D4EB2F)) >> np.uint32(32 - (DIMS - 1).bit_length())
         inside = row[:-2] == row[2:]
         counts = np.bincount(row[:-2][inside] * DIMS + key[inside], minlength=rows * DIMS).reshape(rows, DIMS)
         total = np.maximum(counts.sum(axis=1), 1)
@@ -183,8 +183,8 @@ def train_quality(
     source_col: str = "source",
     lang_col: str = "lang",
     label_col: str = "quality",
-    max_labelled: int = 8000,
-    max_pool: int = 8000,
+    max_labelled: int = 6000,
+    max_pool: int = 6000,
 ) -> Model | None:
     """The co-trained model; None where labels don't hold both classes.
 

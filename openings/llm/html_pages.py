@@ -102,7 +102,7 @@ class _Page:
             elif x < 0.89:
                 parts.append(f"<pre>{main}{self.prose(3, 20)}</pre>")
             elif x < 0.94:
-                parts.append(self.junk(r.choice(["advert", "advert", "sidebar", "form", "notice"])))
+                parts.append(self.junk(r.choice(["advert", "advert", "sidebar", "form", "notice", "comment", "menu"])))
             else:
                 parts.append(f"<div>{main}{self.prose(3, 40)}</div>")
         return "".join(parts)
