@@ -22,6 +22,7 @@ RULES = RuleSet(
     comp_accept=100_000,
     floors={"umbrella": 70},
     excluded_companies=("hooli",),
+    denials=False,  # SQL can't say it; denied_rails compares it
 )
 
 

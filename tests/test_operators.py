@@ -46,6 +46,16 @@ def test_screening_a_stored_row_gives_the_same(spark):
     assert got.collect() == again.collect()
 
 
+def test_denied_and_waived_rails(spark):
+    rules = RuleSet(lanes=(("data", 40, ("data",)),), body_block=(("quota", ("sales quota",)),), title_block=("cook",))
+    rows = [(1, "Data", "You own a sales quota.", False), (2, "Data", "There is no sales quota here.", False), (3, "Data cook", "You own a sales quota.", True), (4, "Data cook", "x", False)]
+    p = spark.createDataFrame(rows, "doc_id int, title string, description string, rails_exempt boolean")
+    p = p.withColumns({"location": F.lit("Remote (US)"), "company": F.lit("x"), "source": F.lit("lever"), "tier": F.lit("C"), "remote_flag": F.lit(True), "comp_min": F.lit(1), "comp_max": F.lit(2)})
+    assert {x.doc_id: (x.gate, x.reasons[0]) for x in screen(p, rules).collect()} == {
+        1: ("EXCLUDED", "quota: You own a sales quota."), 2: ("VERIFY", "check: thin body"), 3: ("VERIFY", "check: thin body"), 4: ("EXCLUDED", "title blocked: cook"),
+    }
+
+
 def test_evidence(spark):
     e = spark.createDataFrame([(1, "acme", ["data", "manager"]), (2, "acme", None), (3, "none", ["x"]), (4, "acme", ["cook"])], "line int, key string, words array<string>")
     p = spark.createDataFrame([("a", "acme", ["data", "manager"]), ("b", "acme", ["data", "manager", "emea", "west"])], "uid string, key string, words array<string>")
