@@ -220,22 +220,28 @@ def top_k(
 
         return df.mapInPandas(run, f"{side} long, radius double").groupBy(side).agg(F.max("radius").alias(f"{side}_radius"), F.count(F.lit(1)).alias(f"{side}_rows"))
 
-    d_info, q_info = summary(points, "d").toPandas(), summary(asked, "q").toPandas()
-    norms = np.sqrt((centres**2).sum(axis=1))
-    dc, qc = d_info["d"].to_numpy() >> 20, q_info["q"].to_numpy() >> 20
-    dr, qr = d_info["d_radius"].to_numpy(), q_info["q_radius"].to_numpy()
-    dots = centres[qc] @ centres[dc].T
-    bounds = dots + qr[:, None] * norms[dc][None, :] + norms[qc][:, None] * dr[None, :] + qr[:, None] * dr[None, :]
-    # the data regions to begin with: those whose centres score highest
-    begin = np.argsort(-dots, axis=1, kind="stable")[:, :seeds]
-    pairs = [(int(q_info["q"][i]), int(d_info["d"][j]), float(bounds[i, j]), bool(j in set(begin[i]))) for i in range(len(qc)) for j in range(len(dc))]
-    plan = spark.createDataFrame(pairs, "q long, d long, bound double, first boolean")
+    # how the cells' centres stand to each other: at most 256 x 256 rows
+    norms, dots = np.sqrt((centres**2).sum(axis=1)), centres @ centres.T
+    place = np.argsort(np.argsort(-dots, axis=1, kind="stable"), axis=1)
+    cells = spark.createDataFrame(
+        [(i, j, float(dots[i, j]), float(norms[i]), float(norms[j]), int(place[i, j])) for i in range(len(centres)) for j in range(len(centres))],
+        "q_cell long, d_cell long, dot double, q_norm double, d_norm double, place int",
+    )
+    bound = F.col("dot") + F.col("q_radius") * F.col("d_norm") + F.col("q_norm") * F.col("d_radius") + F.col("q_radius") * F.col("d_radius")
+    # pairs of regions (not of rows); to begin with, the first piece of the cells whose centres score highest
+    plan = durable(
+        summary(asked, "q").withColumn("q_cell", F.shiftright("q", 20))
+        .join(F.broadcast(cells), "q_cell")
+        .join(summary(points, "d").withColumn("d_cell", F.shiftright("d", 20)), "d_cell")
+        .select("q", "d", bound.alias("bound"), ((F.col("place") < seeds) & (F.col("d") % (1 << 20) == 0)).alias("first")),
+        "plan",
+    )
 
     def search(plan: DataFrame, asked: DataFrame) -> DataFrame:
         """Each planned (q, d) pair in one task: the k best of its queries."""
         plan = plan.select("q", "d", F.xxhash64("q", "d").alias("pair"))
-        left = asked.join(F.broadcast(plan), "q").select("pair", "id", "v", "kth", F.lit(True).alias("is_query"))
-        right = points.join(F.broadcast(plan), "d").select("pair", "id", "v", F.lit(None).cast("long").alias("kth"), F.lit(False).alias("is_query"))
+        left = asked.join(plan, "q").select("pair", "id", "v", "kth", F.lit(True).alias("is_query"))
+        right = points.join(plan, "d").select("pair", "id", "v", F.lit(None).cast("long").alias("kth"), F.lit(False).alias("is_query"))
 
         def run(group: pd.DataFrame) -> pd.DataFrame:
             a, b = group[group["is_query"]], group[~group["is_query"]]
@@ -257,6 +263,6 @@ def top_k(
     kth = first.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
     known = durable(asked.join(kth, "id", "left"), "known")
     worst = known.groupBy("q").agg(F.when(F.count("kth") == F.count(F.lit(1)), F.min("kth")).alias("worst"))
-    rest = plan.filter("NOT first").join(F.broadcast(worst), "q").filter(F.col("worst").isNull() | (F.col("bound") * (1 + 1e-9) + 1e-6 >= F.col("worst")))
+    rest = plan.filter("NOT first").join(worst, "q").filter(F.col("worst").isNull() | (F.col("bound") * (1 + 1e-9) + 1e-6 >= F.col("worst")))
     again = search(rest.select("q", "d"), known)
     return best(first.select("query_id", "vec_id", "score").unionByName(again))
