@@ -175,7 +175,8 @@ def filter_urls(
     rule_cascade = build_cascade(listed, universe, max_bytes)
     block_cascade = build_cascade(listed.filter("verdict = 'block'"), listed, max_bytes) if rule_cascade else None
     if not rule_cascade or not block_cascade:  # beyond the size bound: the same keys by a join
-        found = split.select("page_id", "host", "path", F.monotonically_increasing_id().alias("row"), F.posexplode_outer("keys").alias("pos", "key")).join(listed, "key", "left")
+        numbered = durable(split.withColumn("row", F.monotonically_increasing_id()), "urls")
+        found = numbered.select("page_id", "host", "path", "row", F.posexplode_outer("keys").alias("pos", "key")).join(listed, "key", "left")
         best = found.groupBy("row").agg(F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("path").alias("path"), F.min(F.when(F.col("verdict").isNotNull(), F.struct("pos", "key", "verdict"))).alias("best"))
         return best.select("page_id", "host", "path", F.replace("best.key", F.lit("\x00"), F.lit("")).alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
     shipped = spark.sparkContext.broadcast((rule_cascade.levels, block_cascade.levels))
