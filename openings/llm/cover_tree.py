@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from .durable import durable
 
-LEAF = 64
-#: Below every score (its negative is still an integer).
-NONE = -(1 << 62)
+LEAF, QUERY_LEAF = 256, 32
+#: Below every score.  Scores are integers in doubles, which hold them exactly up to 2^53.
+NONE = -float(1 << 62)
 REGION = 4096
 
 
@@ -49,9 +49,9 @@ class Node:
     children: list[Node]
 
 
-def build_tree(x: np.ndarray) -> tuple[Node, np.ndarray]:
+def build_tree(x: np.ndarray, leaf: int = LEAF) -> tuple[Node, np.ndarray]:
     """A cover tree of the rows of x: children of a node are points that lie more than half its radius apart,
-    every point goes to its nearest one, down to LEAF points or one place.  Returns the root and the order of rows.
+    every point goes to its nearest one, down to `leaf` points or one place.  Returns the root and the order of rows.
     """
     order = np.arange(len(x))
 
@@ -62,7 +62,7 @@ def build_tree(x: np.ndarray) -> tuple[Node, np.ndarray]:
         far = np.sqrt(np.maximum(((pts - centre) ** 2).sum(axis=1), 0))
         radius = float(far.max())
         node = Node(start, end, centre, radius, float(np.sqrt((centre**2).sum())), [])
-        if end - start <= LEAF or radius == 0:
+        if end - start <= leaf or radius == 0:
             return node
         centres, nearest, own = [0], far.copy(), np.zeros(len(rows), np.int64)
         while len(centres) < 16 and nearest.max() > radius / 2:
@@ -84,15 +84,17 @@ def build_tree(x: np.ndarray) -> tuple[Node, np.ndarray]:
 
 def _offer(best_s: np.ndarray, best_i: np.ndarray, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> None:
     """Merge scores (rows x ids) into the rows' k best (score, then smaller id); a query's own id is left out."""
-    scores = np.where(own[rows][:, None] == ids[None, :], NONE, scores)
-    if scores.shape[1] > 4 * k:  # ties beyond the k-th stay in
-        kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-        keep = (scores >= kth[:, None]).any(axis=0)
-        scores, ids = scores[:, keep], ids[keep]
-    s = np.concatenate([best_s[rows], scores], axis=1)
-    i = np.concatenate([best_i[rows], np.broadcast_to(ids, scores.shape)], axis=1)
-    by = np.lexsort((i, -s), axis=1)[:, :k]
-    best_s[rows], best_i[rows] = np.take_along_axis(s, by, 1), np.take_along_axis(i, by, 1)
+    better = scores >= best_s[rows, k - 1][:, None]
+    better &= own[rows][:, None] != ids[None, :]
+    for r in np.flatnonzero(better.any(axis=1)):
+        at = np.flatnonzero(better[r])
+        s = np.concatenate([best_s[rows[r]], scores[r, at]])
+        i = np.concatenate([best_i[rows[r]], ids[at]])
+        if len(s) > 8 * k:  # ties with the k-th stay in
+            keep = s >= np.partition(s, len(s) - k)[len(s) - k]
+            s, i = s[keep], i[keep]
+        by = np.lexsort((i, -s))[:k]
+        best_s[rows[r]], best_i[rows[r]] = s[by], i[by]
 
 
 def dual_search(q: np.ndarray, q_ids: np.ndarray, d: np.ndarray, d_ids: np.ndarray, k: int, kth: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -100,8 +102,9 @@ def dual_search(q: np.ndarray, q_ids: np.ndarray, d: np.ndarray, d_ids: np.ndarr
     number of pairs scored.  Unused places have the smallest score.
     """
     best_s, best_i = np.full((len(q), k), NONE), np.full((len(q), k), np.iinfo(np.int64).max)
-    q_tree, q_order = build_tree(q.astype(np.float64))
-    d_tree, d_order = build_tree(d.astype(np.float64))
+    q, d = q.astype(np.float64), d.astype(np.float64)
+    q_tree, q_order = build_tree(q, QUERY_LEAF)
+    d_tree, d_order = build_tree(d)
     scored = 0
 
     def bound(a: Node, b: Node) -> float:
@@ -186,14 +189,18 @@ def top_k(
         c = int(rng.choice(len(pool), p=nearest / nearest.sum()))
         pivots.append(c)
         nearest = np.minimum(nearest, ((pool - pool[c]) ** 2).sum(axis=1))
-    centres = pool[pivots]
+    # queries are fewer: the first pivots make their cells, so that few regions of data copies are needed
+    group = 4 * LEAF
+    centres = {"d": pool[pivots], "q": pool[pivots[: max(1, min(len(pivots), asked.count() // group))]]}
 
     def assign(df: DataFrame, side: str, size: int) -> DataFrame:
+        own = centres[side]
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 x = _matrix(batch["v"]).astype(np.float64)
                 if len(x):
-                    d = (centres**2).sum(axis=1)[None, :] - 2 * x @ centres.T
+                    d = (own**2).sum(axis=1)[None, :] - 2 * x @ own.T
                     yield batch.assign(cell=d.argmin(axis=1))
 
         placed = df.mapInPandas(run, "id long, v array<long>, cell long")
@@ -205,26 +212,28 @@ def top_k(
             side,
         )
 
-    points, asked = assign(points, "d", region), assign(asked, "q", max(256, region // 4))
+    points, asked = assign(points, "d", region), assign(asked, "q", group)
 
     def summary(df: DataFrame, side: str) -> DataFrame:
-        """Per region: its first point as centre, covering radius, largest norm."""
+        """Per region: the covering radius around its cell's centre."""
+        own = centres[side]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 x = _matrix(batch["v"]).astype(np.float64)
                 if len(x):
                     cell = batch[side].to_numpy() >> 20
-                    far = np.sqrt(((x - centres[cell]) ** 2).sum(axis=1))
+                    far = np.sqrt(((x - own[cell]) ** 2).sum(axis=1))
                     yield pd.DataFrame({side: batch[side], "radius": far})
 
-        return df.mapInPandas(run, f"{side} long, radius double").groupBy(side).agg(F.max("radius").alias(f"{side}_radius"), F.count(F.lit(1)).alias(f"{side}_rows"))
+        return df.mapInPandas(run, f"{side} long, radius double").groupBy(side).agg(F.max("radius").alias(f"{side}_radius"))
 
     # how the cells' centres stand to each other: at most 256 x 256 rows
-    norms, dots = np.sqrt((centres**2).sum(axis=1)), centres @ centres.T
+    q_norms, d_norms = (np.sqrt((centres[side] ** 2).sum(axis=1)) for side in "qd")
+    dots = centres["q"] @ centres["d"].T
     place = np.argsort(np.argsort(-dots, axis=1, kind="stable"), axis=1)
     cells = spark.createDataFrame(
-        [(i, j, float(dots[i, j]), float(norms[i]), float(norms[j]), int(place[i, j])) for i in range(len(centres)) for j in range(len(centres))],
+        [(i, j, float(dots[i, j]), float(q_norms[i]), float(d_norms[j]), int(place[i, j])) for i in range(len(q_norms)) for j in range(len(d_norms))],
         "q_cell long, d_cell long, dot double, q_norm double, d_norm double, place int",
     )
     bound = F.col("dot") + F.col("q_radius") * F.col("d_norm") + F.col("q_norm") * F.col("d_radius") + F.col("q_radius") * F.col("d_radius")
@@ -246,10 +255,10 @@ def top_k(
         def run(group: pd.DataFrame) -> pd.DataFrame:
             a, b = group[group["is_query"]], group[~group["is_query"]]
             q_ids = a["id"].to_numpy(np.int64)
-            kth = a["kth"].fillna(NONE).to_numpy(np.int64) if a["kth"].notna().any() else np.full(len(a), NONE)
+            kth = a["kth"].astype(float).fillna(NONE).to_numpy()
             s, i, _ = dual_search(_matrix(a["v"]), q_ids, _matrix(b["v"]), b["id"].to_numpy(np.int64), k, kth)
             row, col = np.nonzero((s > NONE) & (s >= kth[:, None]))
-            return pd.DataFrame({"query_id": q_ids[row], "vec_id": i[row, col], "score": s[row, col]})
+            return pd.DataFrame({"query_id": q_ids[row], "vec_id": i[row, col], "score": s[row, col].astype(np.int64)})
 
         return left.unionByName(right).groupBy("pair").applyInPandas(run, "query_id long, vec_id long, score long")
 
