@@ -1,30 +1,35 @@
 """Probabilistic suffix tree over words: counts, divergence tests, smoothing, scores.
 
 Tokens are the words of a whole text and one end.  The root holds every
-token's add-0.1 estimate.  A context (the last one or two tokens) is a
-candidate state if its share of all training tokens is at least `p_context`,
-and is retained if the counts of its next tokens diverge from its parent's
-distribution (G statistic, 2 * sum c ln(c / expected), above `divergence` per
-stored next token).  Its next tokens are stored if context and token together
-have at least `p_pair` of all tokens.  These two shares bound the tree whatever
-the corpus's size: at most 1 / p_context states and 1 / p_pair stored pairs a
-depth, which is what makes it fit to broadcast (checked).
+token's add-0.1 estimate.  A context (the last one or two tokens) seen at
+least 4 * `least` times is a candidate state, and is retained if the counts of
+its next tokens diverge from its parent's distribution (G statistic,
+2 * sum c ln(c / expected), above `divergence` per stored next token).  Its
+next tokens seen behind it at least `least` times are stored.  These are
+absolute counts: the tree grows with the corpus.
 
 P(w | s) = (c(s, w) + (rest(s) + mu) * P(w | parent)) / (c(s) + mu), where
 rest(s) is the count of next tokens that aren't stored; it sums to one.  The
 longest retained suffix of the tokens before scores the next one.
 
-Counting covers every training text: tokens in one pass, pairs behind
+A stored pair's suffix is stored, too, so the logarithm of a text's score is a
+sum over its words, pairs and triples: each adds what it has beyond its own
+suffix, and what it leaves for others where it is a context.  All of these
+are rows of one table (gram -> values).  Grams with at least `p_hot` of all
+tokens (at most 1 / p_hot of each length) are broadcast; rarer ones, of which
+there is no bound, reach the texts by a join.  Bitmaps of a fixed size keep
+grams that are in no table out of the shuffles.
+
+Counting covers every training text: tokens in one pass, grams behind
 candidate contexts in one more for each depth, each summed within a batch
-before the shuffle.  Only tokens with at least `p_hot` of all tokens (at
-most 1 / p_hot of them) are broadcast for their root estimates; those of rarer
-tokens, of which there is no bound, reach the texts by a join on the token.
+before the shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +40,7 @@ from .durable import durable
 from .words import _STEP, SPACES, Words, cut_words, mix
 
 END = 0x1D5EED0FEE1DEAD1
-MAX_BYTES = 256 << 20
+BITS = 26
 
 
 def held_out(id_: Column) -> Column:
@@ -89,63 +94,97 @@ def _pair(context: np.ndarray, token: np.ndarray) -> np.ndarray:
     return mix(context * _STEP[40] + token * _STEP[41])
 
 
-def _fold(columns: list[np.ndarray]) -> np.ndarray:
-    key = columns[0]
-    for c in columns[1:]:
-        key = _pair(key, c)
+def _keys(tokens: np.ndarray, length: int) -> np.ndarray:
+    """Joint hash of the `length` tokens that end at each place (of no use where a row has fewer)."""
+    key = tokens
+    for _ in range(1, length):
+        key = np.concatenate([key[:1], _pair(key[:-1], key[1:])])
     return key
 
 
-def _contexts(tokens: np.ndarray, bounds: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places that have `depth` tokens of their row before them, and those tokens' joint hash."""
-    inside = np.ones(len(tokens), bool)
+def _places(bounds: np.ndarray, depth: int) -> np.ndarray:
+    """Places that have `depth` tokens of their row before them."""
+    inside = np.ones(bounds[-1], bool)
     for d in range(depth):
         starts = bounds[:-1] + d
         inside[starts[starts < bounds[1:]]] = False
-    at = np.flatnonzero(inside)
-    return at, _fold([tokens[at - d] for d in range(depth, 0, -1)])
+    return np.flatnonzero(inside)
+
+
+def _contexts(tokens: np.ndarray, bounds: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places that have `depth` tokens of their row before them, and those tokens' joint hash."""
+    at = _places(bounds, depth)
+    return at, _keys(tokens, depth)[at - 1]
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """2^BITS bits of the only column: a bounded number of words to the driver."""
+    slot = keys.select(F.shiftrightunsigned(F.col(keys.columns[0]), 64 - BITS).alias("slot"))
+    words = slot.select(F.shiftright("slot", 6).alias("w"), F.expr("shiftleft(1L, cast(slot & 63 AS int))").alias("b"))
+    words = words.groupBy("w").agg(F.bit_or("b").alias("b")).withColumn("part", F.shiftright("w", 14))
+
+    def pack(part: pa.Table) -> pa.Table:
+        out = np.zeros(1 << 14, np.uint64)
+        out[part["w"].to_numpy() & ((1 << 14) - 1)] = part["b"].to_numpy().view(np.uint64)
+        return pa.table({"part": part["part"][:1], "bits": pa.array([out.tobytes()], pa.binary())})
+
+    out = np.zeros((1 << (BITS - 20), 1 << 14), np.uint64)
+    for r in words.groupBy("part").applyInArrow(pack, "part long, bits binary").toLocalIterator():
+        out[r.part] = np.frombuffer(r.bits, np.uint64)
+    return out.ravel()
+
+
+def _may_be(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False where a key is surely not among those of the bitmap."""
+    slot = keys >> np.uint64(64 - BITS)
+    return (bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
 @dataclass(frozen=True)
 class SuffixTree:
-    """By depth: retained contexts (sorted) with log10 of what is left for the parent, (rest + mu) / (c + mu),
-    and stored (context, token) pairs (sorted) with log10 P(token | context) - log10 P(token | root).
+    """The table (length, key, n, left, gain) of grams.
+
+    left: log10 of what a retained context leaves for the parent, (rest + mu) / (c + mu), null of others.
+    gain: log10 P(last token | those before) - log10 P(last token | suffix of those before) - left of those before, null of single tokens.
     """
 
-    depths: tuple[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], ...] = ()
+    table: DataFrame | None = None
+    depth: int = 0
+
+    @cached_property
+    def depths(self) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], ...]:
+        """By depth, on the driver: contexts (sorted), their left, grams with a gain (sorted), their gain.  For small trees; no query reads it."""
+        out = []
+        for depth in range(1, self.depth + 1):
+            arrays = []
+            for length, name in ((depth, "left"), (depth + 1, "gain")):
+                rows = self.table.filter((F.col("length") == length) & F.col(name).isNotNull()).select("key", name).toPandas()
+                key = rows["key"].to_numpy(np.int64).view(np.uint64)
+                by = np.argsort(key)
+                arrays += [key[by], rows[name].to_numpy(np.float64)[by]]
+            out.append(tuple(arrays))
+        return tuple(out)
 
     @property
     def bytes(self) -> int:
         return sum(x.nbytes for d in self.depths for x in d)
 
     def gain(self, tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """log10 P(token | longest state) - log10 P(token | root) of each token."""
+        """log10 P(token | longest state) - log10 P(token | root) of each token, by `depths`."""
         out = np.zeros(len(tokens))
-        for depth, (contexts, left, pairs, ratio) in enumerate(self.depths, 1):
+        for depth, (contexts, left, grams, gain) in enumerate(self.depths, 1):
             at, key = _contexts(tokens, bounds, depth)
-            state = _find(contexts, key)
-            at, key, state = at[state >= 0], key[state >= 0], state[state >= 0]
-            if not len(at):
-                continue
-            stored = _find(pairs, _pair(key, tokens[at]))
-            # what isn't stored has the parent's gain, found one depth before
-            out[at] = np.where(stored >= 0, ratio[stored], left[state] + out[at])
+            for found, values in ((_find(contexts, key), left), (_find(grams, _keys(tokens, depth + 1)[at]), gain)):
+                out[at[found >= 0]] += values[found[found >= 0]]
         return out
 
-    def gain_of(self, context: list[np.ndarray], token: np.ndarray) -> np.ndarray:
-        """The same for given contexts (columns of tokens, the oldest first)."""
-        out = np.zeros(len(token))
-        for depth in range(1, len(context) + 1):
-            contexts, left, pairs, ratio = self.depths[depth - 1]
-            key = _fold(context[len(context) - depth :])
-            state, stored = _find(contexts, key), _find(pairs, _pair(key, token))
-            out = np.where(stored >= 0, ratio[stored], np.where(state >= 0, left[state] + out, out))
-        return out
 
+def _count_grams(texts: DataFrame, depth: int, contexts: DataFrame, parents: DataFrame) -> DataFrame:
+    """(context, parent, n) of tokens behind `depth` others, over all of texts.text; parent is the gram without its first token.
 
-def _count_pairs(texts: DataFrame, depth: int, contexts: np.ndarray, frequent: np.ndarray) -> DataFrame:
-    """(context, token, n) of frequent next tokens behind the given contexts, over all of texts.text."""
-    shipped = texts.sparkSession.sparkContext.broadcast((contexts, frequent))
+    Only those whose context and parent may be in the given tables (key).
+    """
+    shipped = texts.sparkSession.sparkContext.broadcast((_bitmap(contexts), _bitmap(parents)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, common = shipped.value
@@ -153,21 +192,28 @@ def _count_pairs(texts: DataFrame, depth: int, contexts: np.ndarray, frequent: n
             keys, counts = [], []
             for words in cut_words(batch.column(0), SPACES):
                 tokens, bounds = _tokens(words)
-                at, key = _contexts(tokens, bounds, depth)
-                state = _find(known, key)
-                at, state = at[state >= 0], state[state >= 0]
-                next_ = _find(common, tokens[at])
-                both = (state[next_ >= 0].astype(np.uint64) << np.uint64(32)) | next_[next_ >= 0].astype(np.uint64)
-                k, c = np.unique(both, return_counts=True)
-                keys.append(k)
+                at, context = _contexts(tokens, bounds, depth)
+                parent = _keys(tokens, depth)[at]
+                wanted = _may_be(known, context) & _may_be(common, parent)
+                both = np.empty(wanted.sum(), [("context", np.uint64), ("parent", np.uint64)])
+                both["context"], both["parent"] = context[wanted], parent[wanted]
+                _, first, c = np.unique(_pair(both["context"], both["parent"]), return_index=True, return_counts=True)
+                keys.append(both[first])
                 counts.append(c)
-            k, c = _summed(keys, counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((k >> np.uint64(32)).astype(np.int32)), pa.array((k & np.uint64(0xFFFFFFFF)).astype(np.int32)), pa.array(c)],
-                ["context", "token", "n"],
-            )
+            both, counts = np.concatenate(keys), np.concatenate(counts)
+            _, first, at = np.unique(_pair(both["context"], both["parent"]), return_index=True, return_inverse=True)
+            n = np.bincount(at, counts, len(first)).astype(np.int64)
+            columns = [np.ascontiguousarray(both[c][first]).view(np.int64) for c in ("context", "parent")]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(n)], ["context", "parent", "n"])
+
+    return texts.select("text").mapInArrow(run, "context long, parent long, n long").groupBy("context", "parent").agg(F.sum("n").alias("n"))
 
-    return texts.select("text").mapInArrow(run, "context int, token int, n long").groupBy("context", "token").agg(F.sum("n").alias("n"))
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The key of (context, parent) instead of the context."""
+    for batch in batches:
+        context, parent = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(2))
+        yield pa.RecordBatch.from_arrays([pa.array(_pair(context, parent).view(np.int64)), *batch.columns[1:]], ["key", *batch.schema.names[1:]])
 
 
 @dataclass(frozen=True)
@@ -190,104 +236,106 @@ class Root:
         return tokens[by], rows["n"].to_numpy(np.float64)[by]
 
 
-def learn(
-    texts: DataFrame,
-    depth: int = 2,
-    p_context: float = 4e-5,
-    p_pair: float = 1e-6,
-    divergence: float = 4.0,
-    mu: float = 20.0,
-    least: int = 2,
-) -> tuple[SuffixTree, Root]:
+def learn(texts: DataFrame, depth: int = 2, divergence: float = 4.0, mu: float = 20.0, least: int = 2) -> tuple[SuffixTree, Root]:
     """The tree and root counts of all rows of texts (text).
 
     `least`: pairs seen fewer times, and contexts seen fewer than 4 * least
-    times, are never stored (it matters where p_pair of all tokens is less).
+    times, are never stored.
     """
     table = durable(count_tokens(texts), "tokens")
     total = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     root = Root(table, total["n"], total["v"])
-    tokens, counts = root.frequent(p_pair, least)
-    log_root = np.log10((counts + 0.1) / root.denominator)
-    often = max(4 * least, p_context * root.total)
-    candidate = (counts >= often) & (tokens != np.uint64(END))
-    tree, members, seen = SuffixTree(), [tokens[candidate]], counts[candidate]
+    end, often = int(np.array(END, np.uint64).view(np.int64)), 4 * least
+    # grams: (key, n, logp) whose last token has a stored estimate; contexts: candidate states one token shorter than what is counted
+    grams = table.select(F.col("token").alias("key"), "n", F.log10((F.col("n") + 0.1) / F.lit(root.denominator)).alias("logp"))
+    contexts = grams.filter((F.col("n") >= often) & (F.col("key") != end)).select(F.col("key").alias("context"), F.col("n").alias("seen"))
+    null = F.lit(None).cast("double")
+    parts = [table.select(F.lit(1).alias("length"), F.col("token").alias("key"), "n", null.alias("left"), null.alias("gain"))]
     for level in range(1, depth + 1):
-        if not len(seen):
-            break
-        contexts = _fold(members)
-        pairs = _count_pairs(texts, level, contexts, tokens).filter(F.col("n") >= max(least, p_pair * root.total)).toPandas()
-        context, token, n = pairs["context"].to_numpy(), pairs["token"].to_numpy(), pairs["n"].to_numpy(np.float64)
-        stored = np.bincount(context, n, len(contexts))
-        left = np.log10((np.maximum(seen - stored, 0) + mu) / (seen + mu))
-        log_parent = log_root[token] + tree.gain_of([m[context] for m in members[1:]], tokens[token])
-        p = (n + (np.maximum(seen - stored, 0) + mu)[context] * 10**log_parent) / (seen + mu)[context]
-        expected = seen[context] * 10**log_parent
-        g = np.bincount(context, 2 * (n * np.log(n / expected) - (n - expected)), len(contexts))
-        size = np.bincount(context, minlength=len(contexts))
-        keep = (size > 0) & (g > divergence * size)
-        inside = keep[context]
-        pair_keys = _pair(contexts[context], tokens[token])
-        by, chosen = np.argsort(pair_keys[inside]), np.argsort(contexts[keep])
-        gain = np.log10(p) - log_root[token]
-        tree = SuffixTree((*tree.depths, (contexts[keep][chosen], left[keep][chosen], pair_keys[inside][by], gain[inside][by])))
-        if tree.bytes > MAX_BYTES:
-            raise ValueError(f"the tree takes {tree.bytes} bytes: raise p_pair and p_context")
-        if level == depth:
-            break
-        # one token longer: a frequent pair of a retained context and its next token, whose own suffix is retained
-        longer = inside & (n >= often) & (tokens[token] != np.uint64(END))
-        members = [*[m[context[longer]] for m in members], tokens[token[longer]]]
-        seen = n[longer]
-        suffix = _find(tree.depths[-1][0], _fold(members[1:])) >= 0
-        members, seen = [m[suffix] for m in members], seen[suffix]
-        by = np.argsort(_fold(members))
-        members, seen = [m[by] for m in members], seen[by]
-    return tree, root
+        contexts = durable(contexts, "contexts")
+        counted = _count_grams(texts, level, contexts.select("context"), grams.filter(F.col("n") >= least).select("key")).filter(F.col("n") >= least)
+        tested = durable(counted.join(grams.select(F.col("key").alias("parent"), F.col("logp").alias("parent_logp")), "parent"), "counted")
+        n, q = F.col("n"), F.pow(F.lit(10.0), F.col("parent_logp"))
+        sums = tested.groupBy("context").agg(F.sum(n).alias("stored"), F.count(F.lit(1)).alias("size"), F.sum(n * F.log(n / q)).alias("nlog"), F.sum(q).alias("q"))
+        g = 2 * (F.col("nlog") - F.log("seen") * F.col("stored") - F.col("stored") + F.col("seen") * F.col("q"))
+        rest = F.greatest(F.col("seen") - F.col("stored"), F.lit(0))
+        states = durable(
+            sums.join(contexts, "context").filter(g > divergence * F.col("size")).select("context", "seen", rest.alias("rest"), F.log10((rest + mu) / (F.col("seen") + mu)).alias("left")), "states"
+        )
+        logp = F.log10((n + (F.col("rest") + mu) * q) / (F.col("seen") + mu))
+        stored = tested.join(states, "context").select("context", "parent", "n", logp.alias("logp"), (logp - F.col("left") - F.col("parent_logp")).alias("gain"))
+        grams = durable(stored.mapInArrow(_joined, "key long, parent long, n long, logp double, gain double"), "grams")
+        parts.append(states.select(F.lit(level), "context", "seen", "left", null))
+        parts.append(grams.select(F.lit(level + 1), "key", "n", null, "gain"))
+        # one token longer: a frequent stored gram whose own suffix is retained
+        contexts = grams.filter(F.col("n") >= often).join(states.select(F.col("context").alias("parent")), "parent").select(F.col("key").alias("context"), F.col("n").alias("seen"))
+    merged = reduce(DataFrame.union, parts).groupBy("length", "key").agg(F.max("n").alias("n"), F.max("left").alias("left"), F.max("gain").alias("gain"))
+    return SuffixTree(durable(merged, "tree"), depth), root
 
 
 def score_texts(docs: DataFrame, tree: SuffixTree, root: Root, id_col: str = "doc_id", text_col: str = "text", p_hot: float = 2e-7) -> DataFrame:
     """One row a row of docs: doc_id, n_tokens, n_known, base_score, score (log10, of all tokens and the end)."""
-    tokens, counts = root.frequent(p_hot)
-    log_root = np.log10((counts + 0.1) / root.denominator)
-    shipped = docs.sparkSession.sparkContext.broadcast((tree.depths, tokens, log_root))
+    known = F.col("length") == 1
+    values = tree.table.select(
+        "key", "n", known.cast("long").alias("known"),
+        F.when(known, F.log10((F.col("n") + 0.1) / F.lit(root.denominator))).otherwise(0.0).alias("base"), (F.coalesce("left", F.lit(0.0)) + F.coalesce("gain", F.lit(0.0))).alias("more"),
+    ).filter(known | (F.col("more") != 0))
+    often = F.col("n") >= p_hot * root.total
+    hot = values.filter(often).select("key", "base", "more").toArrow()
+    hot_keys = hot["key"].to_numpy().view(np.uint64)
+    by = np.argsort(hot_keys)
+    shipped = docs.sparkSession.sparkContext.broadcast((_bitmap(values.select("key")), hot_keys[by], *(hot[c].to_numpy()[by] for c in ("base", "more"))))
+    longest = tree.depth + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        depths, hot, logs = shipped.value
-        own = SuffixTree(depths)
+        stored, keys, base, more = shipped.value
         for batch in batches:
             for words in cut_words(batch.column(1), SPACES):
-                all_, bounds = _tokens(words)
-                at = _find(hot, all_)
-                cold = np.flatnonzero(at < 0)
-                value = np.where(at >= 0, logs[at], 0.0) if len(logs) else np.zeros(len(all_))
-                cold_bounds = np.searchsorted(cold, bounds).astype(np.int32)
+                tokens, bounds = _tokens(words)
+                rows = len(bounds) - 1
+                row = np.repeat(np.arange(rows), np.diff(bounds))
+                n_known, sums, cold = np.zeros(rows, np.int64), np.zeros((2, rows)), []
+                for length in range(1, longest + 1):
+                    at = _places(bounds, length - 1)
+                    key = _keys(tokens, length)[at]
+                    wanted = _may_be(stored, key)
+                    at, key = row[at[wanted]], key[wanted]
+                    found = _find(keys, key)
+                    cold.append((at[found < 0], key[found < 0]))
+                    at, found = at[found >= 0], found[found >= 0]
+                    if length == 1:
+                        n_known += np.bincount(at, minlength=rows)
+                        sums[0] += np.bincount(at, base[found], rows)
+                    sums[1] += np.bincount(at, more[found], rows)
+                at, key = (np.concatenate(c) for c in zip(*cold, strict=True))
+                by = np.argsort(at, kind="stable")
+                ends = np.searchsorted(at[by], np.arange(rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(words.first, words.last - words.first),
                         pa.array(np.diff(bounds)),
-                        pa.array(np.diff(bounds) - np.diff(cold_bounds)),
-                        pa.array(np.add.reduceat(value, bounds[:-1])),
-                        pa.array(np.add.reduceat(own.gain(all_, bounds), bounds[:-1])),
-                        pa.ListArray.from_arrays(pa.array(cold_bounds), pa.array(all_[cold].view(np.int64))),
+                        pa.array(n_known),
+                        pa.array(sums[0]),
+                        pa.array(sums[1]),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(key[by].view(np.int64))),
                     ],
-                    ["doc_id", "n_tokens", "known", "base", "gain", "cold"],
+                    ["doc_id", "n_tokens", "known", "base", "more", "cold"],
                 )
 
     scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n_tokens long, known long, base double, gain double, cold array<long>"
+        run, "doc_id long, n_tokens long, known long, base double, more double, cold array<long>"
     )
     scored = durable(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    count = F.coalesce("n", F.lit(0))
     rare = (
-        scored.select("row", F.explode("cold").alias("token"))
-        .join(root.table, "token", "left")
+        scored.select("row", F.explode("cold").alias("key"))
+        .join(values.filter(~often).drop("n"), "key")
         .groupBy("row")
-        .agg(F.sum((count > 0).cast("long")).alias("rare_known"), F.sum(F.log10((count + 0.1) / F.lit(root.denominator))).alias("rare_base"))
+        .agg(F.sum("known").alias("rare_known"), F.sum("base").alias("rare_base"), F.sum("more").alias("rare_more"))
     )
-    base = F.col("base") + F.coalesce("rare_base", F.lit(0.0))
+    n_known = F.col("known") + F.coalesce("rare_known", F.lit(0))
+    base = F.col("base") + F.coalesce("rare_base", F.lit(0.0)) + (F.col("n_tokens") - n_known) * F.log10(F.lit(0.1 / root.denominator))
     return scored.join(rare, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), base.alias("base_score"), (base + F.col("gain")).alias("score")
+        "doc_id", "n_tokens", n_known.alias("n_known"), base.alias("base_score"), (base + F.col("more") + F.coalesce("rare_more", F.lit(0.0))).alias("score")
     )
 
 
