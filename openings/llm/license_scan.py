@@ -1,16 +1,16 @@
 """Licence scans with a positional index of rare words.  DataFrame functions only.
 
 1. Words of every text, with their places; the document frequency of each word
-   of the licence templates is counted over the corpus.
-2. The index holds postings (word -> template, place) of each template's
-   rarest words: those that at most `common` of all documents have.
-3. Each occurrence of an indexed word proposes (template, offset).  The other
-   rare words of the template are looked up at the same offset (postings
-   intersect by relative position), then the template's mandatory phrases are
-   verified word by word at theirs.
+   of the mandatory phrases is counted over the corpus.
+2. The index holds a posting (word -> template, place) of each template: the
+   word of its mandatory phrases with the highest IDF.  No word is too common
+   or too short for it, so the frequencies set the cost, never the labels.
+3. Each occurrence of an indexed word proposes (template, offset).  The
+   template's mandatory phrases are verified word by word at theirs, and its
+   other words are counted at that offset (the score).
 
 All of it is one projection a text, linear in its occurrences; the only
-shuffle is the count of the template words' document frequencies.
+shuffle is the count of the phrases' document frequencies.
 """
 
 from __future__ import annotations
@@ -81,40 +81,23 @@ def _stands(words: Column, place: Column, phrase: tuple[str, ...]) -> Column:
     return out
 
 
-def rare_words(docs: DataFrame, text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES, common: float = 0.02) -> dict[str, float]:
-    """Inverse document frequency, over all of docs, of the template words that at most `common` of the documents have.
-
-    Words of one or two letters are never indexed on their own.  The result is
-    bounded by the templates.  Of a template none of whose words is rare, its
-    least frequent words (of three letters or more) are taken.
-    """
-    vocabulary = sorted({w for t in templates for w in t.words if len(w) > 2})
+def anchors(docs: DataFrame, text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> list[int]:
+    """Of each template the place of the mandatory word that the fewest of all docs have (the first of several)."""
+    vocabulary = sorted({w for t in templates for _, phrase in t.phrases for w in phrase})
     if not vocabulary:
-        return {}
+        return []
     text = F.col(text_col).cast("string")
     hit = F.array_distinct(F.filter(_words(F.coalesce(text, F.lit(""))), lambda w: w.isin(vocabulary)))
-    counted = (
-        docs.select(F.explode(F.array_append(hit, F.lit(""))).alias("word"))  # "" counts the documents
-        .groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    )
-    n = {r.word: r.n for r in counted.collect()}
-    total = max(1, n.pop("", 0))
-    idf = {w: (total - n.get(w, 0) + 0.5) / (n.get(w, 0) + 0.5) for w in vocabulary}
-    rare = {w for w in vocabulary if n.get(w, 0) <= common * total}
-    for t in templates:
-        own = [w for w in dict.fromkeys(t.words) if len(w) > 2]
-        if not rare.intersection(own):
-            least = min(n.get(w, 0) for w in own)
-            rare |= {w for w in own if n.get(w, 0) == least}
-    return {w: idf[w] for w in rare}
-
-
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES, common: float = 0.02, per_template: int = 4) -> DataFrame:
+    n = {r.word: r.n for r in docs.select(F.explode(hit).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return [min((n.get(w, 0), place + i) for place, phrase in t.phrases for i, w in enumerate(phrase))[1] for t in templates]
+
+
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """One row a row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, found.
 
     n_base counts all places of the BASE phrases, first_word and last_word are
     the smallest and largest of them (words from 0; null if none).  labels
-    are the base labels and those of verified templates, distinct, sorted,
+    are the base labels and those of templates whose mandatory phrases stand, distinct, sorted,
     comma-joined ("" if none).  found: distinct (label, place) of verified
     templates, place being that of the template's first word (it may lie
     before the text, if the text has only the later part).  score: the largest
@@ -125,12 +108,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows and null ids are each answered as they come.  Only id_col and
     text_col are read.  An empty table gives an empty result.
     """
-    idf = rare_words(docs, text_col, templates, common)
     postings: dict[str, list[tuple[Template, int]]] = defaultdict(list)
-    for t in templates:
-        places = sorted((i for i, w in enumerate(t.words) if w in idf), key=lambda i: (-idf[t.words[i]], i))[:per_template]
-        for i in places:
-            postings[t.words[i]].append((t, i))
+    for t, place in zip(templates, anchors(docs, text_col, templates), strict=True):
+        postings[t.words[place]].append((t, place))
     phrases = {tuple(p.split()): label for p, label in BASE.items()}
     starts = sorted({p[0] for p in phrases} | set(postings))
 
@@ -147,11 +127,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 verified = F.lit(True)
                 for place, phrase in t.phrases:
                     verified = verified & _stands(F.col("words"), offset + place, phrase)
-                others = [r for w, ps in postings.items() for u, r in ps if u is t and r != q]
-                aligned = sum((F.when(_at(F.col("words"), offset + r) == t.words[r], 1).otherwise(0) for r in others), F.lit(1))
                 matched = sum((F.when(_at(F.col("words"), offset + r) == w, 1).otherwise(0) for r, w in enumerate(t.words)), F.lit(0))
-                need = min(2, 1 + len(others))
-                tests.append(F.when((h["w"] == word) & verified & (aligned >= need), F.struct(F.lit(t.label).alias("label"), offset.alias("place"), (matched / len(t.words)).alias("share"))))
+                tests.append(F.when((h["w"] == word) & verified, F.struct(F.lit(t.label).alias("label"), offset.alias("place"), (matched / len(t.words)).alias("share"))))
         return F.filter(F.array(*tests), lambda x: x.isNotNull()) if tests else F.array().cast("array<struct<label:string,place:int,share:double>>")
 
     some = F.size("hits") > 0

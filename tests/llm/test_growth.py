@@ -1,5 +1,6 @@
 """What the operators must still see when the corpus grows or its mix changes."""
 
+from openings.llm.license_scan import scan_licenses
 from openings.llm.suffix_tree import language_model_scores
 
 
@@ -13,3 +14,12 @@ def test_suffix_tree_keeps_what_is_rare_in_a_large_corpus(spark):
     # after "zeta" comes only "omega": the score is that of "zeta" and of what mu leaves, not of two rare words
     for r in got:
         assert r.score > r.base_score + 2
+
+
+def test_licence_labels_do_not_depend_on_the_mix(spark):
+    texts = ["Licensed under the MIT License", "Available under CC BY-NC"]
+    common = ["mit freundlichen Gr\u00fcssen, licensed by nc", "released to the public"] * 20  # words of the templates in half of the documents
+    for filler in ([], common):
+        df = spark.createDataFrame(list(enumerate(texts + filler)), "doc_id long, text string")
+        got = {r.doc_id: r.labels for r in scan_licenses(df).collect()}
+        assert got[0] == "mit" and got[1] == "cc-by,cc-by-nc" and not any(got[i] for i in got if i > 1)
