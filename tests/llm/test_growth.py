@@ -1,5 +1,10 @@
 """What the operators must still see when the corpus grows or its mix changes."""
 
+import itertools
+
+import numpy as np
+
+from openings.llm.decontaminate import LEAST_TOKENS, MASKS, SHORT, SHORT_MASKS, find_leaks
 from openings.llm.license_scan import scan_licenses
 from openings.llm.suffix_tree import language_model_scores
 
@@ -23,3 +28,24 @@ def test_licence_labels_do_not_depend_on_the_mix(spark):
         df = spark.createDataFrame(list(enumerate(texts + filler)), "doc_id long, text string")
         got = {r.doc_id: r.labels for r in scan_licenses(df).collect()}
         assert got[0] == "mit" and got[1] == "cc-by,cc-by-nc" and not any(got[i] for i in got if i > 1)
+
+
+def test_masks_hit_every_allowed_overlap(spark):
+    def missed(length, substituted, masks):
+        gone = np.array(list(itertools.combinations(range(length), substituted)), int)
+        same = np.ones((len(gone), length), bool)
+        same[np.arange(len(gone))[:, None], gone] = False
+        hit = np.zeros(len(gone), bool)
+        for mask in masks:
+            for start in range(length - mask[-1]):
+                hit |= same[:, [start + p for p in mask]].all(axis=1)
+        return same[~hit & same[:, 0] & same[:, -1]] if length < 13 else same[~hit]
+
+    assert not any(len(missed(n, n // 5, MASKS)) for n in range(13, 27))
+    short = [(n, length, k) for n in range(LEAST_TOKENS, 13) for length in (n - 1, n) for k in range(length // 5 + 1)]
+    assert not any(len(missed(length, k, SHORT_MASKS if n < SHORT else MASKS)) for n, length, k in short)
+    # one item of 13 tokens and all of its copies with two tokens substituted
+    words = [f"w{i}" for i in range(13)]
+    copies = [" ".join("other" if i in gone else w for i, w in enumerate(words)) for gone in itertools.combinations(range(1, 12), 2)]
+    docs, items = spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string"), spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    assert find_leaks(docs, items).count() == len(copies)
