@@ -115,7 +115,7 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.where(count >= k, count - k + 1, np.minimum(count, 1))
     out = np.concatenate([[0], np.cumsum(sizes)])
     total = np.zeros(max(0, len(h) - k + 1), np.uint64)
-    for j in range(k):
+    for j in range(k if len(total) else 0):
         total += h[j : len(h) - k + 1 + j] * _STEP[j]
     total = mix(total)
     rows = np.flatnonzero(count >= k)

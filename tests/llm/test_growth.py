@@ -3,10 +3,12 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 
 from openings.llm.decontaminate import LEAST_TOKENS, MASKS, SHORT, SHORT_MASKS, find_leaks
 from openings.llm.license_scan import scan_licenses
 from openings.llm.suffix_tree import language_model_scores
+from openings.llm.words import cut_words, shingles
 
 
 def test_suffix_tree_keeps_what_is_rare_in_a_large_corpus(spark):
@@ -49,3 +51,13 @@ def test_masks_hit_every_allowed_overlap(spark):
     copies = [" ".join("other" if i in gone else w for i, w in enumerate(words)) for gone in itertools.combinations(range(1, 12), 2)]
     docs, items = spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string"), spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
     assert find_leaks(docs, items).count() == len(copies)
+
+
+def test_shingles_of_chunks_with_few_words():
+    for n in range(9):
+        for k in (1, 2, 3, 5, 7):
+            (words,) = cut_words(pa.array([None, " ".join(f"w{i}" for i in range(n)), ""]))
+            made, bounds = shingles(words, k)
+            (longer,) = cut_words(pa.array([" ".join(f"w{i}" for i in range(n)), "a b c d e f g h i"]))
+            assert list(np.diff(bounds)) == [0, n - k + 1 if n >= k else min(n, 1), 0]
+            assert list(made) == list(shingles(longer, k)[0][: bounds[-1]])  # as beside other rows
