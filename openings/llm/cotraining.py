@@ -1,17 +1,24 @@
 """A quality classifier by co-training of two views.
 
 View 1, text content: hashed byte trigrams of the whole text (log counts, unit
-length) and how much they repeat.  View 2, page metadata: source, language,
-length, and the page's layout (lines, line length, shares of letter case,
-digits, punctuation, spaces, how much is repeated).  Each view has its own logistic regression.  For
-some rounds each labels a pool of unlabelled rows and hands the rows it is
-surest of to the other's training set.  The views are then calibrated on
+length), how much they repeat, and the presence of telling words.  View 2, page
+metadata: source, language, length, number and length of lines.  The views
+share no measure.  Each has its own logistic regression, fitted on labelled
+rows.  Then, for some rounds, each view labels every unlabelled row that it is
+sure of, and hands these to the other.  The views are last calibrated on
 labelled rows that neither has seen, and combined by adding their calibrated
-log-odds.
-
-The model is fitted on at most `max_labelled` labelled and `max_pool`
-unlabelled rows, chosen by hash (documented bounds: about 2 KB a row on the
-driver); every row is scored, in one pass over the corpus without a shuffle.
+log-odds (the prior once).
+
+A round is one Spark pass over all rows: each task sums, by view and class, the
+gradient of the loss on the rows that the other view is sure of.  The driver
+takes a Newton-like step from these sums alone: it minimises the labelled loss
+plus the difference of the two gradients as a linear term (the labelled sample
+stands for the curvature), so no unlabelled row ever reaches it.
+
+Documented bounds: the labelled rows of the fit are at most `max_labelled`, the
+ones whose ids' hashes are smallest (3 KB each on the driver), and the telling
+words, chosen from these rows, at most `WORDS`.  All other rows count as
+unlabelled, all of them take part, and every row is scored.
 """
 
 from __future__ import annotations
@@ -21,19 +28,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DIMS = 512
-TEXT = DIMS + 5
-SOURCES, LANGS, LAYOUT = 64, 16, 13
-META = SOURCES + LANGS + LAYOUT
-CHUNK = 1 << 20
+from .durable import durable
+from .words import NOT_ALNUM, cut_words
 
-_CLASS = np.full(256, 4, np.int64)  # 0 lower, 1 upper, 2 digit, 3 space, 4 punctuation, 5 line end, 6 non-ASCII
-_CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 0, 1, 2, 6
-_CLASS[[32, 9, 11, 12, 13]] = 3
-_CLASS[10] = 5
+DIMS, WORDS = 1024, 512
+TEXT = DIMS + WORDS + 3
+SOURCES, LANGS, LAYOUT = 64, 16, 6
+META = SOURCES + LANGS + LAYOUT
+ROWS = 1024
+#: Calibrated log-odds from which a view is sure of a row.
+SURE = 3.0
+#: Squared standard deviations that a telling word's good rows lie from their expected number.
+TELLING = 20.0
 
 
 def _name_bucket(names: list, size: int) -> np.ndarray:
@@ -47,29 +57,26 @@ def _name_bucket(names: list, size: int) -> np.ndarray:
     return out
 
 
-def features(texts: pa.Array, sources: pa.Array, langs: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, text view, metadata view) of the rows, some rows at a time; null texts are empty."""
-    column = texts.fill_null("").cast(pa.large_binary())
-    n = len(column)
-    if not n:
-        return
-    _, places, body = column.buffers()
-    offsets = np.frombuffer(places, np.int64)[column.offset : column.offset + n + 1]
-    raw = np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8)
-    source, lang = _name_bucket(sources.to_pylist(), SOURCES), _name_bucket(langs.to_pylist(), LANGS)
-    first = 0
-    while first < n:
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK, side="right")) - 1)
-        last = min(last, n, first + 2048)
-        yield first, *_views(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], source[first:last], lang[first:last])
-        first = last
-
-
-def _views(data: np.ndarray, offsets: np.ndarray, source: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    rows, sizes = len(offsets) - 1, np.diff(offsets)
+def features(texts: pa.Array, sources: pa.Array, langs: pa.Array, vocabulary: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, text view, metadata view) of the rows, some rows at a time; null texts are empty.
+
+    vocabulary: sorted word hashes, at most WORDS.
+    """
+    vocabulary = np.zeros(0, np.uint64) if vocabulary is None else vocabulary
+    for start in range(0, len(texts), ROWS):
+        part = texts.slice(start, ROWS)
+        sizes = pc.binary_length(part.fill_null("").cast(pa.large_binary())).to_numpy(zero_copy_only=False).astype(np.int64)
+        source, lang = _name_bucket(sources.slice(start, ROWS).to_pylist(), SOURCES), _name_bucket(langs.slice(start, ROWS).to_pylist(), LANGS)
+        for words in cut_words(part, NOT_ALNUM):
+            own = slice(words.first, words.last)
+            text = _text_view(words, sizes[own], vocabulary)
+            yield start + words.first, text, _meta_view(words.data, sizes[own], source[own], lang[own])
+
+
+def _text_view(words, sizes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    rows, data = len(sizes), words.data
+    out = np.zeros((rows, TEXT), np.float32)
     row = np.repeat(np.arange(rows), sizes)
-    classes = np.bincount(row * 7 + _CLASS[data], minlength=rows * 7).reshape(rows, 7).astype(np.float32)
-    text = np.zeros((rows, TEXT), np.float32)
     if len(data) > 2:
         b = data.astype(np.uint32)
         key = (b[:-2] * np.uint32(0x9E3779B1)) ^ (b[1:-1] * np.uint32(0x85EBCA6B)) ^ (b[2:] * np.uint32(0xC2B2AE35))
@@ -77,52 +84,72 @@ def _views(data: np.ndarray, offsets: np.ndarray, source: np.ndarray, lang: np.n
         inside = row[:-2] == row[2:]
         counts = np.bincount(row[:-2][inside] * DIMS + key[inside], minlength=rows * DIMS).reshape(rows, DIMS)
         total = np.maximum(counts.sum(axis=1), 1)
-        text[:, DIMS] = (counts > 0).sum(axis=1) / np.minimum(total, DIMS)
-        text[:, DIMS + 1] = counts.max(axis=1) / total
+        out[:, -3] = (counts > 0).sum(axis=1) / np.minimum(total, DIMS)
+        out[:, -2] = counts.max(axis=1) / total
         value = np.log1p(counts).astype(np.float32)
-        text[:, :DIMS] = value / np.maximum(np.sqrt((value**2).sum(axis=1, keepdims=True)), 1e-9) * 4
-    text[:, DIMS + 2] = 1
-    text[:, DIMS + 3] = np.log1p(sizes) / 8
-    text[:, DIMS + 4] = np.exp(-sizes / 30)
-    meta = np.zeros((rows, META), np.float32)
+        out[:, :DIMS] = value / np.maximum(np.sqrt((value**2).sum(axis=1, keepdims=True)), 1e-9) * 4
+    if len(vocabulary) and len(words.hashes):
+        at = np.minimum(np.searchsorted(vocabulary, words.hashes), len(vocabulary) - 1)
+        known = vocabulary[at] == words.hashes
+        out[words.row()[known], DIMS + at[known]] = 1
+    out[:, -1] = 1
+    return out
+
+
+def _meta_view(data: np.ndarray, sizes: np.ndarray, source: np.ndarray, lang: np.ndarray) -> np.ndarray:
+    rows = len(sizes)
+    lines = np.bincount(np.searchsorted(np.cumsum(sizes), np.flatnonzero(data == 10), side="right"), minlength=rows)[:rows] + 1
+    out = np.zeros((rows, META), np.float32)
     at = np.arange(rows)
-    meta[at, source] = 0.5
-    meta[at, SOURCES + lang] = 0.5
-    layout = meta[:, SOURCES + LANGS :]
-    size = np.maximum(sizes, 1)[:, None]
-    layout[:, :7] = classes / size * 4
-    layout[:, 7] = np.log1p(sizes) / 8
-    layout[:, 8] = np.log1p(sizes / (classes[:, 5] + 1)) / 6
-    layout[:, 9] = 1
-    layout[:, 10] = np.exp(-sizes / 30)
-    layout[:, 11:] = text[:, DIMS : DIMS + 2]
-    return text, meta
-
-
-def fit(x: np.ndarray, y: np.ndarray, steps: int = 250, decay: float = 1e-4) -> np.ndarray:
-    """Weights of a balanced logistic regression (full-batch Adam)."""
-    w, m, v = (np.zeros(x.shape[1], np.float64) for _ in range(3))
+    out[at, source] = 0.5
+    out[at, SOURCES + lang] = 0.5
+    layout = out[:, SOURCES + LANGS :]
+    layout[:, 0] = np.log1p(sizes) / 8
+    layout[:, 1] = np.exp(-sizes / 30)
+    layout[:, 2] = np.log(lines) / 6
+    layout[:, 3] = np.log1p(sizes / lines) / 6
+    layout[:, 4] = lines == 1
+    layout[:, 5] = 1
+    return out
+
+
+def _mean_gradients(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of either class (0, 1) the mean gradient of the logistic loss at w."""
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return tuple((x[y == c].T @ (p[y == c] - c)).astype(np.float64) / max(1, (y == c).sum()) for c in (0, 1))
+
+
+def fit(x: np.ndarray, y: np.ndarray, steps: int = 250, decay: float = 1e-3, start: np.ndarray | None = None, pull: np.ndarray | None = None) -> np.ndarray:
+    """Weights of a balanced logistic regression (full-batch Adam), from `start`, with the linear term <pull, w>."""
+    w = np.zeros(x.shape[1], np.float64) if start is None else start.astype(np.float64)
+    first, m, v = w.copy(), np.zeros(x.shape[1]), np.zeros(x.shape[1])
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -30, 30)))
         g = x.T @ (share * (p - y)).astype(np.float32) + decay * w
+        if pull is not None:
+            g = g + pull + 1e-3 * (w - first)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        w -= (0.1 if start is None else 0.03) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return w.astype(np.float32)
 
 
 @dataclass(frozen=True)
 class Model:
-    """Weights of both views, their calibrations (slope, offset), and the score below which a row is rejected."""
+    """Weights of both views, their calibrations (slope, offset), the score below which a row is rejected,
+    the text view's words, and the log-odds of good among labelled rows (which both views' odds hold, and the sum but once).
+    """
 
     text: np.ndarray
     meta: np.ndarray
     calibration: tuple[tuple[float, float], ...]
     threshold: float
+    vocabulary: np.ndarray
+    prior: float
 
     def score(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         odds = [a * (x @ w) + b for x, w, (a, b) in zip((text, meta), (self.text, self.meta), self.calibration, strict=True)]
-        return tuple(1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (*odds, (odds[0] + odds[1])))
+        return tuple(1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (*odds, odds[0] + odds[1] - self.prior))
 
 
 def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -140,39 +167,92 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(b)
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = 4, share: float = 0.05, lost: float = 0.003) -> Model:
-    """Fit on rows with label 1, 0 or -1 (unlabelled).
+class CoTrainer:
+    """The driver's part: labelled rows (label 1 or 0), both views' weights, and the step of a round.
 
-    Every fifth labelled row is kept for calibration and for the threshold: the
-    largest score up to 0.5 that rejects at most `lost` of its good rows.
+    Every fifth labelled row is kept for calibration and for the threshold.
     """
-    known = np.flatnonzero(label >= 0)
-    held = known[::5] if len(known) >= 20 else known
-    train = np.setdiff1d(known, held) if len(known) >= 20 else known
-    pool = np.flatnonzero(label < 0)
-    sets = [(train, label[train]), (train, label[train])]
-    views = (text, meta)
-    weights = [fit(x[i], y) for x, (i, y) in zip(views, sets, strict=True)]
-    for _ in range(rounds):
-        per = int(share * len(pool))
-        if not per:
-            break
-        given = []
-        for x, w in zip(views, weights, strict=True):
-            z = x[pool] @ w
-            by = np.argsort(z)
-            low, high = by[:per], by[-per:]
-            low, high = low[z[low] < -2], high[z[high] > 2]
-            given.append((np.concatenate([low, high]), np.concatenate([np.zeros(len(low)), np.ones(len(high))])))
-        for view, (rows, y) in enumerate(reversed(given)):  # each view learns what the other is sure of
-            sets[view] = (np.concatenate([sets[view][0], pool[rows]]), np.concatenate([sets[view][1], y]))
-        pool = np.setdiff1d(pool, np.concatenate([pool[r] for r, _ in given]))
-        weights = [fit(x[i], y) for x, (i, y) in zip(views, sets, strict=True)]
-    calibration = tuple(_calibrate(x[held] @ w, label[held]) for x, w in zip(views, weights, strict=True))
-    model = Model(weights[0], weights[1], calibration, 0.5)
-    good = model.score(text[held], meta[held])[2][label[held] > 0]
-    threshold = min(0.5, float(np.quantile(good, lost, method="lower"))) if len(good) else 0.5
-    return Model(weights[0], weights[1], calibration, threshold)
+
+    def __init__(self, text: np.ndarray, meta: np.ndarray, label: np.ndarray, vocabulary: np.ndarray | None = None) -> None:
+        rows = np.arange(len(label))
+        self.held = rows[::5] if len(rows) >= 20 else rows
+        self.train = np.setdiff1d(rows, self.held) if len(rows) >= 20 else rows
+        self.views, self.label = (text, meta), label
+        self.vocabulary = np.zeros(0, np.uint64) if vocabulary is None else vocabulary
+        self.weights = [fit(x[self.train], label[self.train]) for x in self.views]
+
+    def calibration(self) -> tuple[tuple[float, float], ...]:
+        return tuple(_calibrate(x[self.held] @ w, self.label[self.held]) for x, w in zip(self.views, self.weights, strict=True))
+
+    def loss(self, view: int, w: np.ndarray) -> float:
+        """Calibrated log loss of a view's weights on the held rows."""
+        z, y = self.views[view][self.held] @ w, self.label[self.held]
+        a, b = _calibrate(z, y)
+        return float(np.logaddexp(0, np.where(y > 0, -1, 1) * (a * z + b)).mean())
+
+    def step(self, sums: np.ndarray, counts: np.ndarray) -> bool:
+        """Refit each view; sums[view][class] is the gradient over the counts[view][class] rows that the other view is sure of.
+
+        Each of these rows weighs what a labelled one does, all of them at most half of their class.
+        A refit that raises the loss on the held rows isn't taken.  Tells whether any was.
+        """
+        taken = False
+        y = self.label[self.train]
+        for view, x in enumerate(self.views):
+            x, w = x[self.train], self.weights[view]
+            pull = np.zeros(len(w))
+            for c, own in enumerate(_mean_gradients(x, y, w)):
+                if counts[view][c]:
+                    share = min(0.5, counts[view][c] / (counts[view][c] + (y == c).sum()))
+                    pull += 0.5 * share * (sums[view][c][: len(w)] / counts[view][c] - own)
+            if counts[view].any():
+                new = fit(x, y, steps=80, start=w, pull=pull)
+                if self.loss(view, new) <= self.loss(view, w):
+                    self.weights[view], taken = new, True
+        return taken
+
+    def model(self, lost: float = 0.003) -> Model:
+        """The calibrated model; its threshold is the largest score up to 0.5 that rejects at most `lost` of the good held rows."""
+        label = self.label[self.held]
+        calibration = self.calibration()
+        prior = float(np.log(((self.label > 0).sum() + 1) / ((self.label <= 0).sum() + 1)))
+        open_ = Model(*self.weights, calibration, 0.5, self.vocabulary, prior)
+        good = open_.score(*(x[self.held] for x in self.views))[2][label > 0]
+        threshold = min(0.5, float(np.quantile(good, lost, method="lower"))) if len(good) else 0.5
+        return Model(*self.weights, calibration, threshold, self.vocabulary, prior)
+
+
+def pseudo_gradients(text: np.ndarray, meta: np.ndarray, weights: list[np.ndarray], calibration: tuple[tuple[float, float], ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, counts) by view and class over these unlabelled rows; see CoTrainer.step."""
+    views, sums, counts = (text, meta), np.zeros((2, 2, max(TEXT, text.shape[1]))), np.zeros((2, 2))
+    odds = [x @ w for x, w in zip(views, weights, strict=True)]
+    for view, x in enumerate(views):
+        p = 1 / (1 + np.exp(-np.clip(odds[view], -30, 30)))
+        a, b = calibration[1 - view]
+        other = a * odds[1 - view] + b
+        for c, sure in enumerate((other < -SURE, other > SURE)):
+            counts[view, c] = sure.sum()
+            sums[view, c, : x.shape[1]] = x[sure].T @ (p[sure] - c)
+    return sums, counts
+
+
+def _telling(sample: DataFrame) -> np.ndarray:
+    """Hashes of the words of sample (label, text) whose presence tells most about the label: at most WORDS, of those in 5 rows or more, beyond TELLING."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words in cut_words(batch.column(1), NOT_ALNUM):
+                pair = np.unique(np.rec.fromarrays([words.row(), words.hashes]))
+                label = batch.column(0).slice(words.first, words.last - words.first).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(pair.f1.view(np.int64)), pa.array(label[pair.f0].astype(np.int64))], ["word", "label"])
+
+    rows = sample.groupBy().agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("good")).first()
+    n, good = rows["n"], rows["good"] or 0
+    seen = sample.select(F.col("label").cast("long").alias("label"), "text").mapInArrow(run, "word long, label long").groupBy("word").agg(F.count(F.lit(1)).alias("c"), F.sum("label").alias("g"))
+    expected = F.col("c") * F.lit(good / max(1, n))
+    chi = F.pow(F.col("g") - expected, F.lit(2)) / (expected * F.lit(1 - good / max(1, n)) + 1e-9)
+    top = seen.filter("c >= 5").withColumn("chi", chi).filter(F.col("chi") > TELLING).orderBy(F.desc("chi"), "word").limit(WORDS).select("word").toPandas()
+    return np.sort(top["word"].to_numpy(np.int64).view(np.uint64))
 
 
 def train_quality(
@@ -183,45 +263,75 @@ def train_quality(
     source_col: str = "source",
     lang_col: str = "lang",
     label_col: str = "quality",
-    max_labelled: int = 6000,
-    max_pool: int = 6000,
+    toxic_col: str | None = "toxic",
+    max_labelled: int = 8000,
+    rounds: int = 4,
 ) -> Model | None:
     """The co-trained model; None where labels don't hold both classes.
 
-    Of rows that repeat an id's label the largest counts.
+    A row is good if label_col is 1 and toxic_col (where labels have it) isn't
+    1.  Rows of labels with a null id or label aren't read.  Of rows that repeat
+    an id's label the best counts; of documents that repeat an id the one with
+    the smallest (text, source, language).
     """
-    known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("sample_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
+    good = F.col(label_col).cast("int") == 1
+    if toxic_col and toxic_col in labels.columns:
+        good = good & (F.coalesce(F.col(toxic_col).cast("int"), F.lit(0)) != 1)
+    known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("sample_id")).agg(F.max(good.cast("int")).alias("label"))
     chosen = known.orderBy(F.xxhash64(F.lit(3), "sample_id"), "sample_id").limit(max_labelled)
-    others = (
-        docs.select(F.col(id_col).cast("long").alias("sample_id")).filter("sample_id IS NOT NULL").distinct()
-        .join(known, "sample_id", "left_anti")
-        .orderBy(F.xxhash64(F.lit(3), "sample_id"), "sample_id").limit(max_pool)
-        .select("sample_id", F.lit(-1).alias("label"))
+    columns = [F.col(c).cast("string").alias(n) for c, n in ((text_col, "text"), (source_col, "source"), (lang_col, "lang"))]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), *columns)
+    # at most max_labelled ids: broadcast
+    sample = durable(
+        rows.join(F.broadcast(chosen), rows["id"] == chosen["sample_id"]).groupBy("id", "label").agg(F.min(F.struct("text", "source", "lang")).alias("row")).select("id", "label", "row.*"), "labelled"
     )
-    sample = chosen.unionByName(others)
+    vocabulary = _telling(sample)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, text, meta in features(batch.column(2), batch.column(3), batch.column(4)):
+            for first, text, meta in features(*batch.columns[2:5], vocabulary):
                 part = batch.slice(first, len(text))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([t.tobytes() for t in text.astype(np.float16)]), pa.array([m.tobytes() for m in meta])], ["id", "label", "text", "meta"]
-                )
+                packed = [pa.array([v.tobytes() for v in view.astype(np.float16)], pa.binary()) for view in (text, meta)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *packed], ["id", "label", "text", "meta"])
 
-    rows = (
-        docs.join(F.broadcast(sample), docs[id_col].cast("long") == sample["sample_id"])
-        .select("sample_id", "label", F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"))
-        .dropDuplicates(["sample_id"])
-        .mapInArrow(run, "id long, label int, text binary, meta binary")
-        .toPandas()
-        .sort_values("id")
-    )
-    label = rows["label"].to_numpy()
-    if not len(rows) or not (label == 1).any() or not (label == 0).any():
+    table = sample.mapInArrow(vectors, "id long, label int, text binary, meta binary").toArrow().sort_by("id")
+    label = table["label"].to_numpy().astype(np.int64)
+    if not (label == 1).any() or not (label == 0).any():
         return None
-    text = np.frombuffer(b"".join(rows["text"]), np.float16).reshape(len(rows), TEXT).astype(np.float32)
-    meta = np.frombuffer(b"".join(rows["meta"]), np.float32).reshape(len(rows), META)
-    return co_train(text, meta, label)
+    views = [np.frombuffer(b"".join(v.as_py() for v in table[c]), np.float16).reshape(len(label), size).astype(np.float32) for c, size in (("text", TEXT), ("meta", META))]
+    ids = np.sort(table["id"].to_numpy())
+    trainer = CoTrainer(*views, label, vocabulary)
+    for _ in range(rounds):
+        sums, counts = _round(rows, ids, trainer)
+        if not trainer.step(sums, counts):
+            break
+    return trainer.model()
+
+
+def _round(rows: DataFrame, ids: np.ndarray, trainer: CoTrainer) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of pseudo_gradients over all rows (id, text, source, lang) but those of the sorted ids."""
+    shipped = rows.sparkSession.sparkContext.broadcast((ids, trainer.weights, trainer.calibration(), trainer.vocabulary))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labelled, own, calibration, words = shipped.value
+        total, n = np.zeros((2, 2, TEXT)), np.zeros((2, 2))
+        for batch in batches:
+            known = np.isin(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), labelled) & ~batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            for first, text, meta in features(*batch.columns[1:4], words):
+                open_ = ~known[first : first + len(text)]
+                sums, counts = pseudo_gradients(text[open_], meta[open_], own, calibration)
+                total, n = total + sums, n + counts
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["sums", "counts"])
+
+    def add(part: pa.Table) -> pa.Table:
+        parts = [np.sum([np.frombuffer(v.as_py(), np.float64) for v in part[c]], axis=0) for c in ("sums", "counts")]
+        return pa.table({"sums": pa.array([parts[0].tobytes()], pa.binary()), "counts": pa.array([parts[1].tobytes()], pa.binary())})
+
+    # one row a task, then at most 16
+    summed = rows.mapInArrow(run, "sums binary, counts binary").withColumn("slot", F.spark_partition_id() % 16).groupBy("slot").applyInArrow(add, "sums binary, counts binary").toArrow()
+    sums = np.sum([np.frombuffer(v.as_py(), np.float64) for v in summed["sums"]], axis=0).reshape(2, 2, TEXT) if len(summed) else np.zeros((2, 2, TEXT))
+    counts = np.sum([np.frombuffer(v.as_py(), np.float64) for v in summed["counts"]], axis=0).reshape(2, 2) if len(summed) else np.zeros((2, 2))
+    return sums, counts
 
 
 def score_quality(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
@@ -238,7 +348,7 @@ def score_quality(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, text, meta in features(*batch.columns[1:4]):
+            for first, text, meta in features(*batch.columns[1:4], model.vocabulary):
                 a, b, both = (s.astype(np.float64) for s in model.score(text, meta))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, len(text)), pa.array(a), pa.array(b), pa.array(both), pa.array(both >= model.threshold)],
@@ -257,7 +367,7 @@ def keep_good(docs: DataFrame, model: Model | None, text_col: str = "text", sour
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(i).cast(pa.string()) for i in places]
-            marks = [model.score(text, meta)[2] >= model.threshold for _, text, meta in features(*columns)]
+            marks = [model.score(text, meta)[2] >= model.threshold for _, text, meta in features(*columns, model.vocabulary)]
             if marks:
                 yield batch.filter(pa.array(np.concatenate(marks)))
 

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 from openings.llm.block_labeller import main_texts, train
-from openings.llm.cotraining import co_train, features, keep_good, quality_scores, train_quality
+from openings.llm.cotraining import CoTrainer, features, keep_good, pseudo_gradients, quality_scores, train_quality
 from openings.llm.html_blocks import blocks
 from openings.llm.suffix_tree import END, SuffixTree, _contexts, _pair, language_model_scores, learn
 
@@ -93,13 +93,41 @@ def test_quality(spark):
 
 
 def test_co_training_gains_from_unlabelled_rows():
+    """A weak view learns from what a strong one is sure of; no view gets worse."""
     r = np.random.default_rng(1)
-    y = (r.random(3000) < 0.5).astype(int)
-    text = np.concatenate([r.standard_normal((3000, 30)) + 0.5 * y[:, None] - 0.25, np.ones((3000, 1))], axis=1).astype(np.float32)
-    meta = np.concatenate([r.standard_normal((3000, 30)) + 0.5 * y[:, None] - 0.25, np.ones((3000, 1))], axis=1).astype(np.float32)
-    label = np.where(np.arange(3000) < 60, y, -1)
-    right = lambda m: ((m.score(text, meta)[2] >= 0.5) == y)[1500:].mean()
-    assert right(co_train(text, meta, label, rounds=6)) > 0.85
+    y = (r.random(6000) < 0.5).astype(int)
+    view = lambda d, apart: np.concatenate([r.standard_normal((6000, d)) + apart * (y[:, None] - 0.5), np.ones((6000, 1))], axis=1).astype(np.float32)
+    gains = []
+    for _ in range(3):
+        text, meta = view(20, 1.2), view(200, 0.15)
+        trainer = CoTrainer(text[:300], meta[:300], y[:300])
+        right = lambda: [((s >= 0.5) == y)[4000:].mean() for s in trainer.model().score(text, meta)]  # noqa: E731, B023
+        before = right()
+        while trainer.step(*pseudo_gradients(text[300:4000], meta[300:4000], trainer.weights, trainer.calibration())) and len(gains) < 30:
+            gains.append(0.0)
+        gains.append(right()[1] - before[1])
+        assert right()[0] >= before[0] - 0.01 and right()[2] > 0.95
+    assert max(gains) > 0.01 and min(gains) > -0.01
+
+
+def test_the_views_share_no_measure():
+    """Another text changes the metadata view only by its length and lines; another source leaves the text view alone."""
+    one = next(features(pa.array(["abc def ghi\njkl"]), pa.array(["s"]), pa.array(["en"])))
+    two = next(features(pa.array(["### !!! %%%\n| |"]), pa.array(["s"]), pa.array(["en"])))
+    three = next(features(pa.array(["abc def ghi\njkl"]), pa.array(["t"]), pa.array(["de"])))
+    assert (one[2] == two[2]).all() and not (one[1] == two[1]).all()
+    assert (one[1] == three[1]).all() and not (one[2] == three[2]).all()
+
+
+def test_toxic_rows_are_bad(spark):
+    rows = documents()
+    toxic = {i for i, *_ in rows if i % 6 == 0}
+    text = lambda x: x[1].replace(" ", " wretch ", 3) if x[0] in toxic else x[1]
+    df = spark.createDataFrame([(x[0], text(x), x[2], x[3]) for x in rows], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(x[0], x[4], int(x[0] in toxic)) for x in rows[:400]], "doc_id long, quality int, toxic int")
+    kept = {x.doc_id for x in keep_good(df, train_quality(df, labels)).select("doc_id").collect()}
+    held = rows[400:]
+    assert sum((x[0] in kept) == (bool(x[4]) and x[0] not in toxic) for x in held) >= 0.95 * len(held)
 
 
 def test_features_of_odd_texts():
