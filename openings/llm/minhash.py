@@ -1,8 +1,9 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
-1. Every text becomes its set of k-word shingles (64-bit hashes), a digest of
-   the sorted set and a MinHash signature.  Rows with one digest are one node,
-   so that exact copies cost one row from here on.
+1. Every text becomes its set of k-word shingles (64-bit hashes), a 128-bit
+   digest of the sorted set and a MinHash signature.  Rows with one digest are
+   one node, so that exact copies cost one row from here on; nodes are numbered
+   once, when their table is written.
 2. Signatures are cut into bands; nodes that agree on a band meet in a bucket.
    Bands are chosen so that a pair at the threshold shares none with at most
    `miss` probability.  No bucket ever emits its pairs: each member is paired
@@ -87,7 +88,7 @@ def _sets(texts: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
 
 
 def shingle_features(docs: DataFrame, id_col: str, text_col: str, k: int, places: int) -> DataFrame:
-    """One row a row of docs: id, n_shingles, node (null for an empty set) and signature."""
+    """One row a row of docs: id, n_shingles, d1 and d2 (the set's digest; null for an empty set) and signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,21 +96,20 @@ def shingle_features(docs: DataFrame, id_col: str, text_col: str, k: int, places
                 ids = batch.column(0).slice(first, len(sets))
                 sizes = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(sizes)
-                nodes, signs = [None] * len(sets), [None] * len(sets)
+                digests, signs = [(None, None)] * len(sets), [None] * len(sets)
                 if len(full):
                     bounds = np.concatenate([[0], np.cumsum(sizes[full])])
                     made = signatures(np.concatenate([sets[i] for i in full]), bounds, places)
                     for i, row in zip(full, made, strict=True):
-                        digest = hashlib.blake2b(sets[i].tobytes(), digest_size=8).digest()
-                        nodes[i] = int.from_bytes(digest, "little", signed=True)
+                        digests[i] = _digest(sets[i].tobytes())
                         signs[i] = row.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(sizes), pa.array(nodes, pa.int64()), pa.array(signs, pa.binary())],
-                    ["id", "n_shingles", "node", "sign"],
+                    [ids, pa.array(sizes), *(pa.array([d[j] for d in digests], pa.int64()) for j in range(2)), pa.array(signs, pa.binary())],
+                    ["id", "n_shingles", "d1", "d2", "sign"],
                 )
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "id long, n_shingles long, node long, sign binary"
+        run, "id long, n_shingles long, d1 long, d2 long, sign binary"
     )
 
 
@@ -144,22 +144,32 @@ def _sequential(pairs: DataFrame, threshold: float, miss: float, places: int) ->
 
 
 def _members(asked: DataFrame, nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(node, members): the full sets of the asked nodes, made again from their first text.
+    """(node, members): the full sets of the asked nodes, made again from a text of theirs.
 
-    Of rows that repeat an id with other texts the one with the node's set counts.
+    The text is found by the node's smallest id (of rows that repeat it with
+    other texts the one with the node's set counts), or, where none of the
+    node's rows has an id, by the set's digest among the rows without one.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, sets in _sets(batch.column(1), k):
-                wanted = batch.column(0).slice(first, len(sets)).to_pylist()
-                out = [(w, raw) for w, s in zip(wanted, sets, strict=True) if len(s) and _node(raw := s.tobytes()) == w]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([w for w, _ in out], pa.int64()), pa.array([raw for _, raw in out], pa.binary())], ["node", "members"]
-                )
+            for first, sets in _sets(batch.column(3), k):
+                wanted = [batch.column(c).slice(first, len(sets)).to_pylist() for c in range(3)]
+                out = [(node, raw) for node, *digest, s in zip(*wanted, sets, strict=True) if len(s) and _digest(raw := s.tobytes()) == tuple(digest)]
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.int64()), pa.array([raw for _, raw in out], pa.binary())], ["node", "members"])
 
-    wanted = nodes.join(asked.select("node").distinct(), "node").select("node", "rep")
-    made = wanted.join(docs, wanted["rep"] == docs["id"]).select("node", "text").mapInArrow(make, "node long, members binary")
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, sets in _sets(batch.column(0), k):
+                raw = [s.tobytes() for s in sets if len(s)]
+                found = [_digest(r) for r in raw]
+                yield pa.RecordBatch.from_arrays([*(pa.array([d[j] for d in found], pa.int64()) for j in range(2)), pa.array(raw, pa.binary())], ["d1", "d2", "members"])
+
+    wanted = durable(nodes.join(asked.select("node").distinct(), "node").select("node", "rep", "d1", "d2"), "wanted")
+    made = wanted.join(docs, wanted["rep"] == docs["id"]).select("node", "d1", "d2", "text").mapInArrow(make, "node long, members binary")
+    if not wanted.filter("rep IS NULL").isEmpty():
+        nameless = docs.filter("id IS NULL").select("text").mapInArrow(digests, "d1 long, d2 long, members binary")
+        made = made.unionByName(nameless.join(wanted.filter("rep IS NULL"), ["d1", "d2"]).select("node", "members"))
     return durable(made.dropDuplicates(["node"]), "members")
 
 
@@ -184,8 +194,9 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percen
     return pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(test, "a long, b long")
 
 
-def _node(raw: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+def _digest(raw: bytes) -> tuple[int, int]:
+    both = hashlib.blake2b(raw, digest_size=16).digest()
+    return int.from_bytes(both[:8], "little", signed=True), int.from_bytes(both[8:], "little", signed=True)
 
 
 def _survivors(table: pa.Table, threshold: float, steps: tuple, places: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -290,9 +301,10 @@ def near_duplicates(
     feats = durable(shingle_features(docs, id_col, text_col, k, places), "features")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     nodes = durable(
-        feats.filter(F.col("node").isNotNull())
-        .groupBy("node")
-        .agg(F.min("id").alias("rep"), F.min("n_shingles").alias("n"), F.first("sign").alias("sign")),
+        feats.filter(F.col("d1").isNotNull())
+        .groupBy("d1", "d2")
+        .agg(F.min("id").alias("rep"), F.min("n_shingles").alias("n"), F.first("sign").alias("sign"))
+        .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
     banded = durable(_bands(nodes, bands), "bands")
@@ -349,12 +361,12 @@ def near_duplicates(
         links = links.unionByName(more)
         roots = durable(components(links, "a", "b"), "roots")
 
-    rooted = nodes.select("node", "rep").join(roots.withColumnRenamed("vertex", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = nodes.select("node", "rep", "d1", "d2").join(roots.withColumnRenamed("vertex", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least_id = rooted.groupBy("root").agg(F.min("rep").alias("component"))
-    named = rooted.join(least_id, "root").select("node", "component")
+    named = rooted.join(least_id, "root").select("d1", "d2", "component")
     return (
-        feats.select("id", "n_shingles", "node")
-        .join(named, "node", "left")
+        feats.select("id", "n_shingles", "d1", "d2")
+        .join(named, ["d1", "d2"], "left")
         .select(
             F.col("id").alias("doc_id"),
             "n_shingles",

@@ -87,6 +87,24 @@ def test_a_large_group_that_its_first_member_does_not_link(spark):
     assert sorted([(x.doc_id, x.n_shingles, x.component_id) for x in got], key=str) == brute(rows, 2, 80)
 
 
+@pytest.mark.parametrize("bridge", [None, 9])
+def test_a_row_without_an_id_links_others(spark, bridge):
+    words = ["w%d" % i for i in range(300)]
+    part = lambda a, b: " ".join(words[a:b])
+    rows = [(1, part(0, 100)), (bridge, part(8, 108)), (2, part(16, 116)), (None, part(150, 250)), (None, part(152, 252)), (None, None)]
+    got = near_duplicates(frame(spark, rows), k=2).collect()
+    assert sorted([(x.doc_id, x.n_shingles, x.component_id) for x in got], key=str) == brute(rows, 2, 80)
+    assert {x.component_id for x in got if x.doc_id in (1, 2)} == {1}
+
+
+def test_a_very_long_text(spark):
+    r = random.Random(9)
+    long = [f"v{r.randrange(10**6)}" for _ in range(400_000)]
+    rows = [(3, " ".join(long)), (2, " ".join(long[:399_000])), (1, " ".join(reversed(long)))]
+    got = {x.doc_id: x.component_id for x in near_duplicates(frame(spark, rows), k=2).collect()}
+    assert got == {3: 2, 2: 2, 1: 1}
+
+
 def test_empty_table(spark):
     assert near_duplicates(frame(spark, [])).count() == 0
 
