@@ -7,10 +7,12 @@ place by place, and the best stretch through the hit is kept if it is long
 enough and alike enough.  Substituted tokens cost a place, not the hit: one of
 the masks jumps over them.
 
-Training windows are looked up in a bitmap of the test hashes first (a fixed
-2 MB, whatever the size of the benchmark), so that what is shuffled is hits
-and not the corpus.  Hits that stand near each other in a text travel as one
-run with the tokens around it.
+Training windows are looked up in a bitmap of the test hashes first (32 bits a
+hash and four probes, at most 128 MB), so that what is shuffled is hits and not
+the corpus.  Hits that stand no further apart than the longest item is long
+travel as one run, with as many tokens around it: whatever an item can overlap
+is in one run, and all runs together are at most a few times the texts that
+have a hit.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitmaps import bitmap, may_be, size_for
 from .durable import durable
 from .words import _STEP, NOT_ALNUM, cut_words, mix
 
@@ -33,11 +36,6 @@ SHORT_MASKS = ((0, 1, 2, 3), (0, 1, 3, 4), (1, 2, 3, 4), (0, 2, 3, 4), (0, 1, 2,
 SHORT = 13
 LEAST_TOKENS = 5
 
-BITS = 24
-#: Up to so many test hashes are broadcast for an exact look-up and join; beyond, the bitmap alone thins the training side and the join shuffles.
-MAX_BROADCAST = 2_000_000
-
-
 def _windows(hashes: np.ndarray, bounds: np.ndarray, mask: tuple[int, ...], number: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts of all windows that lie within one text, and the hashes of their tokens under the mask."""
     span = mask[-1] + 1
@@ -80,16 +78,6 @@ def test_hashes(items: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
     return durable(kept.mapInArrow(hash_, "hash long, item_id long, at long").distinct(), "tests"), kept
 
 
-def _bitmap(tests: DataFrame) -> np.ndarray:
-    """2^BITS bits of the test hashes: a bounded number of words to the driver."""
-    slot = tests.select(F.shiftrightunsigned("hash", 64 - BITS).alias("slot"))
-    words = slot.select(F.shiftright("slot", 6).alias("w"), F.expr("shiftleft(1L, cast(slot & 63 AS int))").alias("b"))
-    out = np.zeros(1 << (BITS - 6), np.uint64)
-    for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
-        out[r.w] = np.uint64(r.b % (1 << 64))
-    return out
-
-
 def find_leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -99,7 +87,6 @@ def find_leaks(
     item_text_col: str = "text",
     least_overlap: int = 13,
     identity: float = 0.8,
-    around: int = 48,
 ) -> DataFrame:
     """One row a (text, test item) that overlap: doc_id, item_id, start, length, matched, share.
 
@@ -107,9 +94,9 @@ def find_leaks(
     overlap is a stretch of `length` places without shift, through a hit of one
     of the masks, at least `least_overlap` tokens long (all of a shorter item,
     but for its outermost token), of which `matched` >= identity * length agree;
-    it is sought within `around` tokens of the hits.  start is its first token
-    in the text, share = matched / tokens of the item; of several the one with
-    most matches (then the smallest start) is given.
+    of each shift the longest counts.  start is its first token in the text,
+    share = matched / tokens of the item; of several the one with most matches
+    (then the smallest start) is given.
 
     Items of fewer than LEAST_TOKENS tokens are too short to be evidence and
     match nothing.  Null and empty texts have no tokens.  Rows that repeat an
@@ -118,27 +105,21 @@ def find_leaks(
     """
     spark = docs.sparkSession
     tests, kept = test_hashes(items, item_col, item_text_col)
-    n_tests = tests.count()
-    exact = None
-    if n_tests <= MAX_BROADCAST:
-        exact = np.unique(np.array([r.hash for r in tests.select("hash").distinct().toLocalIterator()], np.int64).view(np.uint64))
-    short = not kept.filter(F.col("n") < SHORT).isEmpty()
-    shipped = spark.sparkContext.broadcast((_bitmap(tests), exact))
+    facts = kept.agg(F.coalesce(F.max("n"), F.lit(0)).alias("longest"), F.coalesce(F.min("n") < SHORT, F.lit(False)).alias("short")).first()
+    reach, short = facts["longest"], facts["short"]
+    hashes = tests.select("hash").distinct()
+    shipped = spark.sparkContext.broadcast(bitmap(hashes, size_for(hashes.count())))
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, known = shipped.value
+        known = shipped.value
         masks = [(i, m) for i, m in enumerate(_all_masks()) if i < len(MASKS) or short]
         for batch in batches:
             for words in cut_words(batch.column(1), NOT_ALNUM):
                 found, keys = [], []
                 for number, mask in masks:
                     at, key = _windows(words.hashes, words.bounds, mask, number)
-                    slot = key >> np.uint64(64 - BITS)
-                    hit = (bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+                    hit = may_be(known, key)
                     at, key = at[hit], key[hit]
-                    if known is not None and len(at):
-                        place = np.minimum(np.searchsorted(known, key), len(known) - 1)
-                        at, key = at[known[place] == key], key[known[place] == key]
                     found.append(at)
                     keys.append(key)
                 at, key = np.concatenate(found), np.concatenate(keys)
@@ -147,11 +128,11 @@ def find_leaks(
                 by = np.argsort(at, kind="stable")
                 at, key = at[by], key[by]
                 row = np.searchsorted(words.bounds, at, side="right") - 1
-                cut = np.flatnonzero((np.diff(row) != 0) | (np.diff(at) > around)) + 1
+                cut = np.flatnonzero((np.diff(row) != 0) | (np.diff(at) > reach)) + 1
                 ids = batch.column(0).slice(words.first, words.last - words.first)
                 first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(at)]])
-                begin = np.maximum(at[first] - around, words.bounds[row[first]])
-                end = np.minimum(at[last - 1] + SHORT + around, words.bounds[row[first] + 1])
+                begin = np.maximum(at[first] - reach, words.bounds[row[first]])
+                end = np.minimum(at[last - 1] + reach, words.bounds[row[first] + 1])
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.take(pa.array(row[first])),
@@ -183,8 +164,7 @@ def find_leaks(
     )
     runs = durable(runs.withColumn("run", F.monotonically_increasing_id()), "runs")
     hits = runs.select("run", F.explode(F.arrays_zip("hashes", "places")).alias("h")).select("run", F.col("h.hashes").alias("hash"), F.col("h.places").alias("place"))
-    side = F.broadcast(tests) if exact is not None else tests
-    shifts = hits.join(side, "hash").groupBy("run", "item_id", (F.col("place") - F.col("at")).alias("shift")).agg(F.collect_set("place").alias("places"))
+    shifts = hits.join(tests, "hash").groupBy("run", "item_id", (F.col("place") - F.col("at")).alias("shift")).agg(F.collect_set("place").alias("places"))
     item = kept.select("item_id", "n", F.col("tokens").alias("item_tokens"))
     leaks = (
         shifts.join(runs.select("run", "doc_id", "begin", "tokens"), "run")
@@ -207,13 +187,16 @@ def _best_stretch(same: np.ndarray, seeds: list[int], identity: float) -> tuple[
     order = np.arange(len(ones))
     rise = order + 1 - identity * (ones + 1)
     fall = order - identity * ones
-    best = None
     least = np.minimum.accumulate(fall)
-    start = np.searchsorted(-least, -(rise + 1e-9), side="left")  # the first start whose potential is low enough
-    for b, a in enumerate(start):
-        if a <= b and (best is None or ones[b] - ones[a] + 1 > best[1]) and any(ones[a] <= s <= ones[b] for s in seeds):
-            best = (int(ones[a]), int(ones[b] - ones[a] + 1), int(b - a + 1))
-    return best
+    a = np.searchsorted(-least, -(rise + 1e-9), side="left")  # the first start whose potential is low enough
+    b = np.flatnonzero(a <= order)
+    a, seeds = a[b], np.sort(np.asarray(seeds))
+    seeded = np.searchsorted(seeds, ones[b], side="right") > np.searchsorted(seeds, ones[a], side="left")
+    a, b = a[seeded], b[seeded]
+    if not len(b):
+        return None
+    at = int(np.argmax(ones[b] - ones[a]))
+    return int(ones[a[at]]), int(ones[b[at]] - ones[a[at]] + 1), int(b[at] - a[at] + 1)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
