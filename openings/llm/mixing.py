@@ -1,17 +1,19 @@
 """Mixing sources to target weights, in fixed-length blocks of words.
 
 Each source's documents, in a fixed order, are one run of words that is cut
-into blocks of `block_words`.  A source's share of the mix is a number of block
-draws; the draws of every output shard are multinomial counts conditioned on
-those totals.  The k-th draw of a source takes block perm(k mod n) where perm
-is a pseudorandom permutation of the source's n block numbers that is keyed by
+evenly into blocks of at most `block_words` (a small source into shorter ones,
+so that `least_blocks` of them come near any target).  A source's share of the
+mix is a number of block draws, dealt to the output shards by multinomial
+counts.  The k-th draw of a source takes block perm(k mod n) where perm is a
+pseudorandom permutation of the source's n block numbers that is keyed by
 source and epoch, so a block is taken floor(k/n) or ceil(k/n) times.  Blocks
 are then joined by (source, block).
 
-The driver sees one row a source and the shards x sources counts only.
+The driver sees one row a source (name and size), nothing else; counts are
+drawn where Spark holds the sources, and no number of draws is too large.
 Offsets of documents within a source are prefix sums in two levels (hashed
 chunks of a source, then the chunks' totals), so a source that holds a third
-of all rows is spread over `chunks` tasks.
+of all rows is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -70,9 +72,18 @@ def permute(k: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def shard_counts(draws: int, shards: int, source_no: int, seed: int) -> np.ndarray:
+    """Draws of one source by shard: multinomial, all shards alike likely."""
+    return np.random.default_rng([seed, source_no]).multinomial(draws, np.full(shards, 1 / shards))
+
+
+def block_count(size: int, block_words: int, least_blocks: int) -> int:
+    return max(-(-size // block_words), min(size, least_blocks))
+
+
 @dataclass
 class Mix:
-    """sources: source, source_no, size, blocks, target, draws.
+    """sources: source, source_no, source_size, blocks, short (words of a short block), long (number of blocks one word longer), target, draws.
     rows: row columns with size, source_no and at (the row's first word within its source; null without words).
     pieces: source_no, block, at (the row's), first (word within the row), words - a block's parts.
     slots: shard, slot, source_no, epoch, block - the mix.
@@ -84,6 +95,12 @@ class Mix:
     slots: DataFrame
 
 
+def _block_of(word: Column) -> Column:
+    """The block of a word of its source: the first `long` blocks have short + 1 words, the others `short`."""
+    longer = F.col("long") * (F.col("short") + 1)
+    return F.when(word < longer, F.floor(word / (F.col("short") + 1))).otherwise(F.col("long") + F.floor((word - longer) / F.col("short"))).cast("long")
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -93,19 +110,20 @@ def mix_sources(
     share: float = 1.5,
     most: float = 2.0,
     block_words: int = 128,
-    shards: int = 256,
-    chunks: int = 1024,
+    least_blocks: int = 32,
+    shard_blocks: int = 4096,
     seed: int = 11,
     carry: tuple[str, ...] = (),
 ) -> Mix:
     """Plan the mix of all rows of docs; see Mix.
 
     Sources stand in code-point order, null last, and weigh `weights` in turn.
-    Null and empty texts have size 0 and are never taken.  Rows that repeat an
-    id are rows of their own.  A source's order is that of (hash of the id, id,
-    size, text hash), so reruns agree whatever the partitioning.  Columns
-    other than the named ones (and `carry`, kept in rows) aren't read.  An
-    empty table gives an empty plan.
+    There is a shard for every `shard_blocks` draws.  Null and empty texts have
+    size 0 and are never taken.  Rows that repeat an id are rows of their own.
+    A source's order is that of (hash of id, text and size, id, size, text
+    hash), so reruns agree whatever the partitioning.  Columns other than the
+    named ones (and `carry`, kept in rows) aren't read.  An empty table gives
+    an empty plan.
     """
     spark = docs.sparkSession
     base = docs.select(
@@ -118,35 +136,34 @@ def mix_sources(
     base = durable(base, "sizes")
     # one row a source
     found = sorted(
-        base.groupBy("source").agg(F.sum("size").alias("size")).collect(), key=lambda r: (r.source is None, (r.source or "").encode())
+        base.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).collect(), key=lambda r: (r.source is None, (r.source or "").encode())
     )
     sizes = [r["size"] for r in found]
     want = targets(sizes, weights, share, most)
-    blocks = [-(-s // block_words) for s in sizes]
+    blocks = [block_count(s, block_words, least_blocks) for s in sizes]
     draws = [min(int(most * n), round(t * n / s)) if s else 0 for t, n, s in zip(want, blocks, sizes, strict=True)]
     sources = spark.createDataFrame(
-        [(r.source, i, *x) for i, (r, *x) in enumerate(zip(found, sizes, blocks, want, draws, strict=True))],
-        "source string, source_no int, source_size long, blocks long, target double, draws long",
+        [(r.source, i, s, n, s // n if n else 0, s % n if n else 0, t, k) for i, (r, s, n, t, k) in enumerate(zip(found, sizes, blocks, want, draws, strict=True))],
+        "source string, source_no int, source_size long, blocks long, short long, long long, target double, draws long",
     )
-    # shards x sources counts: multinomial given each source's total
-    rng = np.random.default_rng(seed)
-    left, counts, total = np.array(draws, np.int64), [], sum(draws)
-    used = max(1, min(shards, total))
-    taken = np.zeros(len(draws), np.int64)
-    for shard in range(used if total else 0):
-        quota = total * (shard + 1) // used - total * shard // used
-        got = rng.multivariate_hypergeometric(left, quota, method="marginals")
-        slot = 0
-        for s in np.flatnonzero(got):
-            counts.append((shard, slot, int(s), int(taken[s]), int(got[s]), blocks[s]))
-            slot += int(got[s])
-        left, taken = left - got, taken + got
-    planned = spark.createDataFrame(counts, "shard int, slot long, source_no int, first long, count long, blocks long")
+    shards = max(1, -(-sum(draws) // shard_blocks))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s, n, k in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                got = shard_counts(k, shards, s, seed)
+                used = np.flatnonzero(got)
+                columns = [used.astype(np.int32), np.full(len(used), s, np.int32), (np.cumsum(got) - got)[used], got[used], np.full(len(used), n)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shard", "source_no", "first", "count", "blocks"])
+
+    planned = sources.filter("draws > 0").select("source_no", "blocks", "draws").mapInArrow(deal, "shard int, source_no int, first long, count long, blocks long")
+    before = Window.partitionBy("shard").orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
+    planned = planned.withColumn("slot", F.coalesce(F.sum("count").over(before), F.lit(0)))
     ranges = planned.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1, F.lit(RANGE).cast("long"))).alias("skip"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, slot, s, first, count, n, skip in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for shard, slot, s, first, count, n, skip in zip(*[batch.column(c).to_pylist() for c in ("shard", "slot", "source_no", "first", "count", "blocks", "skip")], strict=True):
                 k = np.arange(first + skip, first + min(count, skip + RANGE))
                 epoch, place = k // n, k % n
                 key = np.uint64((seed * 0x9E3779B1 + s * 0x85EBCA77C2B2AE63) % (1 << 64)) ^ (epoch.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
@@ -158,8 +175,10 @@ def mix_sources(
 
     slots = ranges.repartition("shard", "source_no", "skip").mapInArrow(run, "shard int, slot long, source_no int, epoch long, block long")
 
-    chunk = F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("chunk")
-    numbered = base.join(F.broadcast(sources.select("source", "source_no")), base["source"].eqNullSafe(sources["source"])).drop(sources["source"]).select("*", chunk)
+    # chunks of about 2000 rows, at most 2^20
+    chunks = min(1 << 20, max(64, sum(r["rows"] for r in found) // 2000))
+    chunk = F.pmod(F.xxhash64("id", "text_key", "size"), F.lit(chunks)).alias("chunk")
+    numbered = base.join(sources.select("source", "source_no", "short", "long"), base["source"].eqNullSafe(sources["source"])).drop(sources["source"]).select("*", chunk)
     inside = Window.partitionBy("source_no", "chunk").orderBy("id", "size", "text_key").rowsBetween(Window.unboundedPreceding, -1)
     sums = (
         numbered.groupBy("source_no", "chunk").agg(F.sum("size").alias("sum"))
@@ -172,14 +191,14 @@ def mix_sources(
         .withColumn("at", F.when(F.col("size") > 0, F.col("before") + F.col("within")))
         .drop("chunk", "before", "within", "text_key")
     )
-    length = F.lit(block_words).cast("long")
+    start = lambda b: b * F.col("short") + F.least(b, F.col("long"))
     pieces = (
         rows.filter("size > 0")
-        .select("source_no", "at", "size", F.explode(F.sequence(F.expr(f"at div {block_words}"), F.expr(f"(at + size - 1) div {block_words}"))).alias("block"))
+        .select("source_no", "at", "size", "short", "long", F.explode(F.sequence(_block_of(F.col("at")), _block_of(F.col("at") + F.col("size") - 1))).alias("block"))
         .select(
             "source_no", "block", "at",
-            (F.greatest("at", F.col("block") * length) - F.col("at")).alias("first"),
-            (F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * length) - F.greatest("at", F.col("block") * length)).alias("words"),
+            (F.greatest("at", start(F.col("block"))) - F.col("at")).alias("first"),
+            (F.least(F.col("at") + F.col("size"), start(F.col("block") + 1)) - F.greatest("at", start(F.col("block")))).alias("words"),
         )
     )
     return Mix(sources, rows, pieces, slots)
@@ -194,7 +213,7 @@ def taken_words(mix: Mix) -> DataFrame:
     )
     return (
         mix.rows.join(taken, ["source_no", "at"], "left")
-        .join(F.broadcast(mix.sources.drop("source")), "source_no")
+        .join(mix.sources.select("source_no", "source_size", "target"), "source_no")
         .select(
             F.col("id").cast("long").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source"
         )
@@ -205,7 +224,8 @@ def mixed_blocks(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sou
     """The mix itself: shard, slot, source, epoch, block, words, doc_ids, text - one row a slot.
 
     A block's text is its documents' words in order with what stands between
-    them; parts of different documents are separated by a blank line.
+    them; parts of different documents are separated by a blank line.  Nulls,
+    repeated rows and empty tables are answered as in mix_sources.
     """
     mix = mix_sources(docs, id_col, source_col, text_col, carry=(text_col,), **options)
 
@@ -214,25 +234,27 @@ def mixed_blocks(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sou
 
         word = re.compile(WORD)
         for batch in batches:
-            no, at, ids, text, b = (batch.column(c).to_pylist() for c in ("source_no", "at", "id", "text", "b"))
+            no, at, ids, text, short, longer = (batch.column(c).to_pylist() for c in ("source_no", "at", "id", "text", "short", "long"))
             out: list[tuple] = []
-            for n, a, i, t, length in zip(no, at, ids, text, b, strict=True):
-                spans = [m.span() for m in word.finditer(t)]
-                w = 0
-                while w < len(spans):
-                    block = (a + w) // length
-                    e = min(len(spans), (block + 1) * length - a)
-                    out.append((n, block, a + w, i, e - w, t[spans[w][0] : spans[e - 1][1]]))
-                    w = e
+            for n, a, i, t, q, r in zip(no, at, ids, text, short, longer, strict=True):
+                block, first, begin, w, last = None, 0, 0, 0, None
+                for w, m in enumerate(word.finditer(t), a):
+                    own = w // (q + 1) if w < r * (q + 1) else r + (w - r * (q + 1)) // q
+                    if own != block:
+                        if block is not None:
+                            out.append((n, block, first, i, w - first, t[begin:last]))
+                        block, first, begin = own, w, m.start()
+                    last = m.end()
+                if block is not None:
+                    out.append((n, block, first, i, w + 1 - first, t[begin:last]))
                 if len(out) >= 5000:
                     yield _record(out)
                     out = []
             yield _record(out)
 
-    block_words = options.get("block_words", 128)
     parts = (
         mix.rows.filter("size > 0")
-        .select("source_no", "at", F.col("id").cast("long").alias("id"), F.col(f"carry_{text_col}").alias("text"), F.lit(block_words).cast("long").alias("b"))
+        .select("source_no", "at", F.col("id").cast("long").alias("id"), F.col(f"carry_{text_col}").alias("text"), "short", "long")
         .mapInArrow(cut, "source_no int, block long, at long, id long, words long, text string")
     )
     whole = parts.groupBy("source_no", "block").agg(F.array_sort(F.collect_list(F.struct("at", "id", "words", "text"))).alias("p")).select(
@@ -243,7 +265,7 @@ def mixed_blocks(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sou
     )
     return (
         mix.slots.hint("merge").join(whole, ["source_no", "block"])
-        .join(F.broadcast(mix.sources.select("source_no", "source")), "source_no")
+        .join(mix.sources.select("source_no", "source"), "source_no")
         .select("shard", "slot", "source", "epoch", "block", "words", "doc_ids", "text")
     )
 
