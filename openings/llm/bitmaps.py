@@ -28,13 +28,8 @@ def slots(keys: np.ndarray, bits: int, probe: int) -> np.ndarray:
     return mix(keys * _STEP[48 + probe] + np.uint64(probe)) >> np.uint64(64 - bits)
 
 
-def bitmap(keys: DataFrame, bits: int, probes: int = 4) -> np.ndarray:
-    """2^bits bits, `probes` of them set for every key of the only column (long); parts are put together in Spark."""
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = batch.column(0).to_numpy().view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([slots(own, bits, i) for i in range(probes)])).view(np.int64))], ["slot"])
+def packed(placed: DataFrame, size: int) -> np.ndarray:
+    """Bytes of a bitmap of `size` bits, set at every slot (long, below size); each part is put together in its own group."""
 
     def pack(part: pa.Table) -> pa.Table:
         out = np.zeros(1 << PART, bool)
@@ -42,13 +37,24 @@ def bitmap(keys: DataFrame, bits: int, probes: int = 4) -> np.ndarray:
         out[own & ((1 << PART) - 1)] = True
         return pa.table({"part": pa.array([own[0] >> PART], pa.int64()), "bits": pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())})
 
-    made = keys.mapInArrow(place, "slot long").distinct().withColumn("part", F.shiftright("slot", PART))
-    out = np.zeros((1 << (bits - PART), 1 << (PART - 3)), np.uint8)
-    for r in made.groupBy("part").applyInArrow(pack, "part long, bits binary").toLocalIterator():
+    out = np.zeros((-(-size // (1 << PART)), 1 << (PART - 3)), np.uint8)
+    parts = placed.select("slot").distinct().withColumn("part", F.shiftright("slot", PART)).groupBy("part").applyInArrow(pack, "part long, bits binary")
+    for r in parts.toLocalIterator():  # a row for every 128 KB
         out[r.part] = np.frombuffer(r.bits, np.uint8)
     return out.ravel()
 
 
+def bitmap(keys: DataFrame, bits: int, probes: int = 4) -> np.ndarray:
+    """2^bits bits, `probes` of them set for every key of the only column (long)."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_numpy().view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([slots(own, bits, i) for i in range(probes)])).view(np.int64))], ["slot"])
+
+    return packed(keys.mapInArrow(place, "slot long"), 1 << bits)
+
+
 def may_be(bits: np.ndarray, keys: np.ndarray, probes: int = 4) -> np.ndarray:
     """False where a key is surely not among those of the bitmap."""
     log2 = int(len(bits)).bit_length() + 2

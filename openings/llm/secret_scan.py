@@ -7,8 +7,10 @@ looks like a credential is live-looking.  DataFrame functions only.
 
 Only texts with a candidate are taken beyond the scan; their matches are
 placed by window sums of the text lengths between matches, so that a text with
-many matches costs in proportion to them.  Counting is by (hash, owner,
-repository) first, so a value in a third of all rows arrives as one row a task.
+many matches costs in proportion to them.  The candidates (no texts) are written
+once, then counted and joined with their counts.  Counting is by (hash, owner,
+repository) first, so a value in a third of all rows arrives as one row a task;
+the join with one row a value is one that AQE splits where a value is hot.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .durable import durable
+
 
 @dataclass(frozen=True)
 class Kind:
@@ -99,6 +103,7 @@ def secret_spans(
             (F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")).alias("mixed"),
         )
     )
+    spans = durable(spans, "candidates")
     counts = (
         spans.select("value_hash", "owner", "repository").distinct()
         .groupBy("value_hash", "owner").agg(F.count(F.lit(1)).alias("repositories"))

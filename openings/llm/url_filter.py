@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bitmaps import packed
 from .durable import durable
 
 #: A cascade larger than this isn't broadcast; the listed keys are joined instead.
@@ -35,7 +36,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class Cascade:
-    """levels: (bitmap as uint64 words, number of bits, hashes)."""
+    """levels: (bitmap's bytes, number of bits, hashes)."""
 
     levels: tuple[tuple[np.ndarray, int, int], ...]
 
@@ -46,10 +47,8 @@ class Cascade:
     def listed(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         out = np.zeros(len(h1), bool)
         todo = np.arange(len(h1))
-        for i, (words, bits, hashes) in enumerate(self.levels):
-            inside = np.ones(len(todo), bool)
-            for at in _places(h1[todo], h2[todo], bits, hashes, i):
-                inside &= (words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        for i, (bitmap, bits, hashes) in enumerate(self.levels):
+            inside = _inside(bitmap, h1[todo], h2[todo], bits, hashes, i)
             out[todo[~inside]] = i % 2 == 1
             todo = todo[inside]
         out[todo] = len(self.levels) % 2 == 1
@@ -64,22 +63,22 @@ def _places(h1: np.ndarray, h2: np.ndarray, bits: int, hashes: int, level: int)
         yield (x ^ (x >> np.uint64(29))) % np.uint64(bits)
 
 
+def _inside(bitmap: np.ndarray, h1: np.ndarray, h2: np.ndarray, bits: int, hashes: int, level: int) -> np.ndarray:
+    out = np.ones(len(h1), bool)
+    for at in _places(h1, h2, bits, hashes, level):
+        out &= (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return out
+
+
 def _bitmap(keys: DataFrame, bits: int, hashes: int, level: int) -> np.ndarray:
-    """Bits of all keys (h1, h2): set per batch, united word by word, at most bits / 64 rows to the driver."""
+    """Bits of all keys (h1, h2), put together in Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h1, h2 = (batch.column(c).to_numpy() for c in ("h1", "h2"))
-            words = np.zeros(bits // 64, np.uint64)
-            for at in _places(h1, h2, bits, hashes, level):
-                np.bitwise_or.at(words, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
-            full = np.flatnonzero(words)
-            yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(words[full].view(np.int64))], ["word", "bits"])
-
-    out = np.zeros(bits // 64, np.uint64)
-    for r in keys.select("h1", "h2").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
-        out[r.word] = np.uint64(r.bits % (1 << 64))
-    return out
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(list(_places(h1, h2, bits, hashes, level)))).astype(np.int64))], ["slot"])
+
+    return packed(keys.select("h1", "h2").mapInArrow(run, "slot long"), bits)
 
 
 def keyed(df: DataFrame, key: str = "key") -> DataFrame:
@@ -105,16 +104,12 @@ def build_cascade(listed: DataFrame, universe: DataFrame, max_bytes: int = MAX_B
             return None
         if len(levels) == 64:
             raise ValueError("keys that no hash holds apart")
-        words, level = _bitmap(inside, bits, hashes, len(levels)), len(levels)
-        levels.append((words, bits, hashes))
+        bitmap, level = _bitmap(inside, bits, hashes, len(levels)), len(levels)
+        levels.append((bitmap, bits, hashes))
 
-        def passed(batches: Iterator[pa.RecordBatch], words=words, bits=bits, hashes=hashes, level=level) -> Iterator[pa.RecordBatch]:
+        def passed(batches: Iterator[pa.RecordBatch], bitmap=bitmap, bits=bits, hashes=hashes, level=level) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                h1, h2 = (batch.column(c).to_numpy() for c in ("h1", "h2"))
-                hit = np.ones(len(h1), bool)
-                for at in _places(h1, h2, bits, hashes, level):
-                    hit &= (words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-                yield batch.filter(pa.array(hit))
+                yield batch.filter(pa.array(_inside(bitmap, batch.column("h1").to_numpy(), batch.column("h2").to_numpy(), bits, hashes, level)))
 
         # what this level takes wrongly is what the next one lists
         inside, outside = durable(outside.select("key", "h1", "h2").mapInArrow(passed, "key string, h1 long, h2 long"), "level"), inside
@@ -145,7 +140,7 @@ def candidate_keys(host: Column, path: Column, labels: int, lengths: list[int])
 
 def filter_urls(
     pages: DataFrame,
-    rules: list[tuple[str, str, str]],
+    rules: list[tuple[str, str, str]] | DataFrame,
     id_col: str = "page_id",
     url_col: str = "url",
     default: str = "allow",
@@ -153,25 +148,29 @@ def filter_urls(
 ) -> DataFrame:
     """One row a row of pages: page_id, host, path, rule, verdict.
 
-    rules: (verdict, host, path), verdict "allow" or "block".  A rule fits its
+    rules: (verdict, host, path), verdict "allow" or "block", as a list or as a
+    DataFrame of these columns, which no driver needs to hold.  A rule fits its
     host and all subdomains where the url's path starts with the rule's; the
     longest (host and path together, then the smaller string) wins.  rule is
     host + path of the winner, else null, and the verdict is then `default`.
-    Of rules with one host and path the last counts.
+    Of rules with one host and path the last of a list counts, of a DataFrame
+    the one that blocks.  Rules with a null column don't count.
 
     Null urls and urls without :// have an empty host and path, fit no rule
     and get the default.  Repeated rows and null ids are each answered.  Other
     columns aren't read; an empty table gives an empty result.
     """
     spark = pages.sparkSession
-    table = {f"{host}\x00{path}": verdict for verdict, host, path in rules}
-    labels = max((k.split("\x00")[0].count(".") + 1 for k in table), default=1)
-    lengths = sorted({len(k.split("\x00")[1]) for k in table}, reverse=True)
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame([(v, h, p) for (h, p), v in {(h, p): v for v, h, p in rules}.items()], "verdict string, host string, path string")
+    listed = rules.dropna(subset=["verdict", "host", "path"]).groupBy(F.concat("host", F.lit("\x00"), "path").alias("key")).agg(F.max("verdict").alias("verdict"))
+    shapes = rules.select((F.size(F.split("host", r"\.", -1))).alias("labels"), F.length("path").alias("length")).dropna().distinct().collect()  # as many as hosts have labels times paths' lengths
+    labels = max((r.labels for r in shapes), default=1)
+    lengths = sorted({r.length for r in shapes}, reverse=True)
     host, path = host_and_path(F.col(url_col))
     split = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     split = split.select("*", candidate_keys(F.col("host"), F.col("path"), labels, lengths).alias("keys"))
     universe = split.select(F.explode("keys").alias("key")).distinct()
-    listed = spark.createDataFrame([(k, v) for k, v in table.items()], "key string, verdict string")
     rule_cascade = build_cascade(listed, universe, max_bytes)
     block_cascade = build_cascade(listed.filter("verdict = 'block'"), listed, max_bytes) if rule_cascade else None
     if not rule_cascade or not block_cascade:  # beyond the size bound: the same keys by a join
