@@ -3,15 +3,21 @@
 A page's blocks, in order, are vectors of hashed tag paths and hashed words
 with a few measures (length, share in links, place).  A numpy LSTM reads them
 in both directions, so that each label rests on the whole document; blocks
-labelled main are joined.  It is trained here, on made-up pages (html_pages).
+labelled main are joined.
+
+It is trained by `python -m openings.llm.block_labeller`, on made-up pages
+(html_pages), which writes labeller_weights.npz beside this module.
 
 Pages are independent: one pass, no shuffle; a task holds one batch of pages.
+A page of more than WINDOW blocks is read a window at a time with the state
+carried on, first backward, then forward.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +32,8 @@ PATH, WORDS, MEASURES = 96, 48, 8
 INPUT = PATH + WORDS + MEASURES
 HIDDEN = 24
 DEPTH = 6
+WINDOW = 2048
+WEIGHTS = Path(__file__).with_name("labeller_weights.npz")
 
 
 @lru_cache(maxsize=100_000)
@@ -45,9 +53,13 @@ def _path_buckets(path: tuple[str, ...]) -> tuple[int, ...]:
     return tuple(out)
 
 
-def vectors(pages: list[list[Block]]) -> np.ndarray:
-    """One row a block of all pages, in order."""
-    flat = [b for page in pages for b in page]
+def places(size: int) -> np.ndarray:
+    """Where the blocks of a page stand in it, from 0 to 1."""
+    return np.arange(size) / max(1, size)
+
+
+def vectors(flat: list[Block], place: np.ndarray) -> np.ndarray:
+    """One row a block."""
     x = np.zeros((len(flat), INPUT), np.float32)
     if not flat:
         return x
@@ -66,7 +78,7 @@ def vectors(pages: list[list[Block]]) -> np.ndarray:
     m[:, 2] = length < 25
     m[:, 3] = np.array([len(b.path) for b in flat]) / 10
     m[:, 4] = np.array([b.text[-1] in ".!?…:;" for b in flat])
-    m[:, 5] = np.concatenate([np.arange(len(p)) / max(1, len(p)) for p in pages if p])
+    m[:, 5] = place
     m[:, 6] = np.array(["©" in b.text for b in flat])
     m[:, 7] = 1
     return x
@@ -86,11 +98,11 @@ def _padded(x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[at] * mask[:, :, None], mask
 
 
-def _run(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-    """Hidden states of one direction over time; state stands still where the mask is off."""
+def _run(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, keep: bool, state: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, list, tuple[np.ndarray, np.ndarray]]:
+    """Hidden states of one direction over time, from `state`, and the last state; it stands still where the mask is off."""
     t, n, _ = x.shape
     z_in = (x.reshape(t * n, -1) @ w + b).reshape(t, n, -1)
-    h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+    h, c = state or (np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32))
     out, kept = np.zeros((t, n, HIDDEN), np.float32), []
     for s in range(t):
         z = z_in[s] + h @ u
@@ -105,7 +117,7 @@ def _run(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.nd
             kept.append((i, f, o, g, c, tc, h))
         h, c = np.where(m, h_new, h), np.where(m, c_new, c)
         out[s] = h
-    return out, kept
+    return out, kept, (h, c)
 
 
 def _back(x: np.ndarray, mask: np.ndarray, d_out: np.ndarray, kept: list, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,12 +142,35 @@ def _back(x: np.ndarray, mask: np.ndarray, d_out: np.ndarray, kept: list, u: np.
 
 def _probabilities(weights: tuple[np.ndarray, ...], x: np.ndarray, mask: np.ndarray) -> np.ndarray:
     wf, uf, bf, wb, ub, bb, v, v0 = weights
-    ahead, _ = _run(x, mask, wf, uf, bf, False)
-    behind, _ = _run(x[::-1], mask[::-1], wb, ub, bb, False)
+    ahead, *_ = _run(x, mask, wf, uf, bf, False)
+    behind, *_ = _run(x[::-1], mask[::-1], wb, ub, bb, False)
     return _sigmoid(np.concatenate([ahead, behind[::-1]], axis=2) @ v + v0)
 
 
+def _long_page(weights: tuple[np.ndarray, ...], page: list[Block]) -> np.ndarray:
+    """The probabilities of one page's blocks, a window at a time."""
+    wf, uf, bf, wb, ub, bb, v, v0 = weights
+    place, behind, out = places(len(page)), np.zeros((len(page), HIDDEN), np.float32), np.zeros(len(page), np.float32)
+    starts, state = range(0, len(page), WINDOW), None
+    for at in reversed(starts):
+        x = vectors(page[at : at + WINDOW], place[at : at + WINDOW])[:, None]
+        states, _, state = _run(x[::-1], np.ones(x.shape[:2], bool), wb, ub, bb, False, state)
+        behind[at : at + WINDOW] = states[::-1, 0]
+    state = None
+    for at in starts:
+        x = vectors(page[at : at + WINDOW], place[at : at + WINDOW])[:, None]
+        ahead, _, state = _run(x, np.ones(x.shape[:2], bool), wf, uf, bf, False, state)
+        out[at : at + WINDOW] = _sigmoid(np.concatenate([ahead[:, 0], behind[at : at + WINDOW]], axis=1) @ v + v0)
+    return out
+
+
 @lru_cache
+def trained() -> tuple[np.ndarray, ...]:
+    """The stored weights."""
+    with np.load(WEIGHTS) as stored:
+        return tuple(stored[k].astype(np.float32) for k in stored.files)
+
+
 def train(pages: int = 2400, epochs: int = 7, batch: int = 48, seed: int = 5) -> tuple[np.ndarray, ...]:
     """Weights, from `pages` made-up pages (fixed seeds)."""
     rng = np.random.default_rng(seed)
@@ -144,7 +179,7 @@ def train(pages: int = 2400, epochs: int = 7, batch: int = 48, seed: int = 5) ->
         found = blocks(made_page(s))
         labels.append(np.array(["\x01" in b.text for b in found], np.float32))
         seen.append([Block(b.path, b.text.replace("\x01", "") or ".", b.linked) for b in found])
-    x_all, sizes = vectors(seen), np.array([len(p) for p in seen])
+    x_all, sizes = vectors([b for page in seen for b in page], np.concatenate([places(len(p)) for p in seen])), np.array([len(p) for p in seen])
     starts = np.concatenate([[0], np.cumsum(sizes)])
     init = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
     bias = np.zeros(4 * HIDDEN, np.float32)
@@ -159,8 +194,8 @@ def train(pages: int = 2400, epochs: int = 7, batch: int = 48, seed: int = 5) ->
             x, mask = _padded(x_all[rows], sizes[chosen])
             y = _padded(np.concatenate([labels[p] for p in chosen])[:, None], sizes[chosen])[0][:, :, 0]
             wf, uf, bf, wb, ub, bb, v, v0 = weights
-            ahead, kept_a = _run(x, mask, wf, uf, bf, True)
-            behind, kept_b = _run(x[::-1], mask[::-1], wb, ub, bb, True)
+            ahead, kept_a, _ = _run(x, mask, wf, uf, bf, True)
+            behind, kept_b, _ = _run(x[::-1], mask[::-1], wb, ub, bb, True)
             h = np.concatenate([ahead, behind[::-1]], axis=2)
             d = np.where(mask, _sigmoid(h @ v + v0) - y, 0).astype(np.float32) / mask.sum()
             dv = np.tensordot(h, d, axes=([0, 1], [0, 1]))
@@ -178,18 +213,22 @@ def train(pages: int = 2400, epochs: int = 7, batch: int = 48, seed: int = 5) ->
 
 
 def label(pages: list[list[Block]], weights: tuple[np.ndarray, ...], group: int = 128) -> list[np.ndarray]:
-    """Per page the probability of each block to be main text; pages of like length are read together."""
+    """Per page the probability of each block to be main text; pages of like length are read together, long ones alone."""
     sizes = np.array([len(p) for p in pages])
     out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(pages)
     order = [int(i) for i in np.argsort(sizes, kind="stable") if sizes[i]]
     at = 0
     while at < len(order):
+        if sizes[order[at]] > WINDOW:
+            out[order[at]] = _long_page(weights, pages[order[at]])
+            at += 1
+            continue
         n = group
         while n > 1 and at + n <= len(order) and sizes[order[at + n - 1]] * n > 1 << 14:
             n //= 2
         chosen = order[at : at + n]
         at += n
-        x, mask = _padded(vectors([pages[i] for i in chosen]), sizes[chosen])
+        x, mask = _padded(vectors([b for i in chosen for b in pages[i]], np.concatenate([places(len(pages[i])) for i in chosen])), sizes[chosen])
         p = _probabilities(weights, x, mask)
         for j, i in enumerate(chosen):
             out[i] = p[: sizes[i], j]
@@ -204,7 +243,7 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     null ids and urls stay; repeated rows are each answered; other columns
     aren't read; an empty table gives an empty result.
     """
-    weights = train()
+    weights = trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,3 +258,7 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(
         run, "page_id long, url string, text string, n_chars long"
     )
+
+
+if __name__ == "__main__":
+    np.savez(WEIGHTS, *[w.astype(np.float16) for w in train()])

@@ -6,7 +6,11 @@ import re
 from dataclasses import dataclass
 from html import unescape
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|template|noscript|svg|iframe|object)\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|$)|<[!?][^>]*(?:>|$)", re.S | re.I)
+#: Attributes: a > in quotes doesn't end the tag; where quotes don't pair, the first > does.
+_ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?=>|$)|[^>]*"""
+_TOKEN = re.compile(
+    rf"<!--.*?(?:-->|$)|<(script|style|template|noscript|svg|iframe|object)\b(?:{_ATTRIBUTES})>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_ATTRIBUTES})(?:>|$)|<[!?][^>]*(?:>|$)", re.S | re.I
+)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 BLOCKS = frozenset(

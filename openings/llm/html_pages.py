@@ -40,8 +40,8 @@ class _Page:
     def prose(self, low: int, high: int) -> str:
         words = self.r.choices(self.words, k=self.r.randint(low, high))
         words[0] = words[0].capitalize()
-        if self.r.random() < 0.1:
-            words = [w + self.r.choice(["###", "***", "%%%", "&amp;", " |"]) for w in words]
+        if self.r.random() < 0.15:  # quotations, brackets, numbers, links between words
+            words = [self.r.choice(["{}", "{},", "&quot;{}&quot;", "({})", "{} &amp;", "{}/{}", "{} 12", "{};", "&#8211; {}"]).replace("{}", w) if self.r.random() < 0.4 else w for w in words]
         return " ".join(words) + self.r.choice([".", ".", "", "!"])
 
     def talk(self, kind: str, low: int, high: int) -> str:
@@ -61,7 +61,9 @@ class _Page:
         link = lambda: f'<a href="/{r.choice(self.words)}">{self.talk(kind, 1, 3)}</a>'
         items = lambda n: "".join(f"<li>{link()}</li>" for _ in range(r.randint(2, n)))
         if kind == "menu":
-            return self.named(kind, "nav", f"<ul>{items(8)}</ul>" if r.random() < 0.8 else " ".join(link() for _ in range(r.randint(2, 6))))
+            return self.named(kind, "nav", f"<ul>{items(8)}</ul>" if r.random() < 0.7 else r.choice([" ", " | ", "<br>", " &middot; "]).join(link() for _ in range(r.randint(2, 6))))
+        if kind == "share":
+            return self.named("sidebar", "", " ".join(link() for _ in range(r.randint(1, 4))))
         if kind == "header":
             return self.named(kind, "header", r.choice([f"<h1>{self.prose(1, 4)}</h1>", f"<a href='/'>{self.prose(1, 3)}</a>", f"<p>{self.prose(2, 8)}</p>"]))
         if kind == "sidebar":
@@ -89,8 +91,9 @@ class _Page:
                 if r.random() < 0.15:
                     text += f" <a href='/x'>{self.prose(1, 3)}</a>"
                 parts.append(f"<p>{main}{text}</p>")
-            elif x < 0.72:
-                parts.append(f"<p><b>{main}{self.prose(1, 40)}<br>")
+            elif x < 0.72:  # line breaks instead of paragraphs, elements that nobody closed
+                tag = r.choice(["b", "i", "strong", "em", "span", "font"])
+                parts.append(r.choice([f"<p>{main}{self.prose(1, 40)}", f"<p><{tag}>{main}{self.prose(1, 40)}</p>", f"<p>{main}<{tag}>{self.prose(1, 30)}<br>{self.prose(1, 20)}", f"<div>{main}{self.prose(2, 30)}<br><br>{self.prose(2, 30)}</div>"]))
             elif x < 0.78:
                 parts.append(f"<h{r.randint(2, 4)}>{main}{self.prose(1, 8)}</h2>")
             elif x < 0.83:
@@ -102,7 +105,7 @@ class _Page:
             elif x < 0.89:
                 parts.append(f"<pre>{main}{self.prose(3, 20)}</pre>")
             elif x < 0.94:
-                parts.append(self.junk(r.choice(["advert", "advert", "sidebar", "form", "notice", "comment", "menu"])))
+                parts.append(self.junk(r.choice(["advert", "advert", "share", "share", "sidebar", "form", "notice", "comment", "menu"])))
             else:
                 parts.append(f"<div>{main}{self.prose(3, 40)}</div>")
         return "".join(parts)
@@ -115,10 +118,16 @@ class _Page:
             body = f"<article>{body}</article>"
         elif wrap < 0.6:
             body = f"<main>{body}</main>"
-        elif wrap < 0.7:
+        elif wrap < 0.68:
             body = f'<main><article class="{r.choice(_MAIN)}">{body}</article></main>'
-        else:
+        elif wrap < 0.8:
             body = f'<div {r.choice(["class", "id"])}="{r.choice(_MAIN)}">{body}</div>'
+        elif wrap < 0.93:
+            body = f'<div {r.choice(["class", "id"])}="{r.choice(_MAIN)}"><div class="{r.choice(_MAIN)}">{body}</div></div>'
+        else:  # laid out as a table
+            menu = r.choice(["<br>", " "]).join(f'<a href="{i}">{self.talk("menu", 1, 2)}</a>' for i in range(r.randint(2, 7)))
+            menu = f'<td class="{r.choice(_NAMES["menu"] + _NAMES["sidebar"])}">{menu}</td>' if r.random() < 0.8 else f"<td width=20%>{menu}</td>"
+            body = f'<table><tr>{menu}<td{r.choice(["", f" class={r.choice(_MAIN)}", " valign=top"])}>{body}</td></tr></table>'
         some = lambda kinds, p: "".join(self.junk(k) for k in kinds if r.random() < p)
         before = some(["notice", "header", "menu", "menu", "advert", "form"], 0.5)
         after = some(["advert", "form", "comment", "comment", "sidebar", "menu", "notice", "footer", "footer"], 0.4)

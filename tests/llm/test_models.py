@@ -6,7 +6,8 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from openings.llm.block_labeller import main_texts, train
+from openings.llm import block_labeller
+from openings.llm.block_labeller import label, main_texts, trained
 from openings.llm.cotraining import CoTrainer, features, keep_good, pseudo_gradients, quality_scores, train_quality
 from openings.llm.html_blocks import blocks
 from openings.llm.suffix_tree import END, SuffixTree, _contexts, _pair, language_model_scores, learn
@@ -149,6 +150,8 @@ def test_blocks():
     texts = [b.text for b in blocks(PAGE)]
     assert texts[5:9] == ["Contact", "A & B <tag>", "First paragraph goes on here.", "Second one with a link in it."]
     assert blocks(None) == [] and blocks("") == [] and [b.text for b in blocks("just text &amp; more")] == ["just text & more"]
+    assert [b.text for b in blocks('<p><a title="a > b" href="x">two</a> <b data-x=\'1 > 0 " \'>three</b></p><p title="open>four</p>')] == ["two three", "four"]
+    assert [b.text for b in blocks("<p>" + '<a "' * 3000 + ">x")] and [b.text for b in blocks("<b a='" * 2000)] is not None
     assert [b.text for b in blocks("<p>a<p>b<div>c</p>d</div><script>x")] == ["a", "b", "c", "d"]
 
 
@@ -162,12 +165,72 @@ def test_main_texts(spark):
 
 
 def test_labeller_on_unseen_pages():
-    from openings.llm.block_labeller import label
     from openings.llm.html_blocks import Block
     from openings.llm.html_pages import made_page
 
     pages = [blocks(made_page(50_000 + i)) for i in range(150)]
     truth = [np.array(["\x01" in b.text for b in p]) for p in pages]
-    seen = label([[Block(b.path, b.text.replace("\x01", "") or ".", b.linked) for b in p] for p in pages], train())
+    seen = label([[Block(b.path, b.text.replace("\x01", "") or ".", b.linked) for b in p] for p in pages], trained())
     wrong = sum(((p >= 0.3) != t).sum() for p, t in zip(seen, truth))
     assert wrong <= 0.015 * sum(map(len, truth))
+
+
+#: Pages as they stand on the web, written and labelled by hand: lines that begin with + are main text.
+BY_HAND = [
+    """<html><head><title>Ferry times</title></head><body>
+<div id="header"><a href="/"><img src="l.png" alt=""></a><span class="tagline">News from the harbour</span></div>
+<div id="nav"><a href="/news">News</a> | <a href="/sport">Sport</a> | <a href="/weather">Weather</a></div>
+<div id="content"><div class="post">
++<h1>Ferry service resumes after storm</h1>
++<p>The ferry between the two islands sailed again on Tuesday morning, three days after the storm had damaged the pier.</p>
++<p>Crews worked through the night to replace the ramp, the harbour master said, and the first boat left with 140 passengers.</p>
+<div class="share"><a href="#">Tweet</a> <a href="#">Share</a></div>
++<h2>What comes next</h2>
++<p>A second vessel is expected to join the route in May. Tickets that were bought for the cancelled trips remain valid until the end of the year.</p>
+</div></div>
+<div id="sidebar"><h3>Most read</h3><ul><li><a href="/1">Storm in pictures</a></li><li><a href="/2">Road closures</a></li></ul></div>
+<div id="footer">&copy; 2023 Harbour Post. All rights reserved. <a href="/imprint">Imprint</a></div></body></html>""",
+    """<!doctype html><html><body class="single"><header class="site-header"><nav class="menu"><ul><li><a href="/">Home</a></li><li><a href="/recipes">Recipes</a></li><li><a href="/about">About</a></li></ul></nav></header>
+<div class="cookie-banner"><p>This website uses cookies. By continuing you agree to their use.</p><button>OK</button></div>
+<main><article class="entry">
++<h1>Rye bread without kneading</h1>
++<p>Rye flour holds a lot of water, so the dough for this loaf is closer to a batter and needs a tin.</p>
++<ul>
++<li>500 g rye flour</li>
++<li>420 ml warm water</li>
++<li>2 teaspoons salt</li>
++</ul>
++<p>Stir everything together in the evening, cover the bowl and leave it at room temperature until the next morning.</p>
++<blockquote>A loaf is done when it sounds hollow.</blockquote>
+</article>
+<section class="comments"><h3>2 comments</h3><div class="comment"><p>Worked well with half spelt, thanks for the recipe!</p></div><div class="comment"><p>How long does it keep?</p></div></section>
+<form class="newsletter"><label>Your email</label><input type="email"><button>Subscribe</button></form></main>
+<aside class="related"><h4>You may also like</h4><a href="/r/1">Sourdough starter</a></aside>
+<footer><p>Powered by a static site generator</p></footer></body></html>""",
+    """<html><body><table width="100%"><tr><td class="menu"><a href="a.html">Start</a><br><a href="b.html">Archive</a><br><a href="c.html">Links</a></td><td class="text">
++<h2>Notes on restoring an old radio</h2>
++<p>The set came with two dead valves and a transformer that hummed louder than any station did.
++<p>I began with the capacitors, since paper ones of that age leak almost without exception, and measured each before I took it out.
++<p>After a week the dial lit up and a faint voice read the shipping forecast.
+</td></tr></table><div class="ad">Sponsored: cheap valves, buy now</div></body></html>""",
+]
+
+
+def test_labeller_on_pages_labelled_by_hand():
+    right = total = 0
+    for source in BY_HAND:
+        lines = source.split("\n")
+        page = blocks("\n".join(line.removeprefix("+") for line in lines))
+        main = "\n".join(" ".join(b.text for b in blocks(line[1:])) for line in lines if line.startswith("+"))
+        (p,) = label([page], trained())
+        total += len(page)
+        right += sum((q >= 0.3) == (b.text in main) for b, q in zip(page, p))
+    assert right >= 0.94 * total
+
+
+def test_a_long_page_is_read_in_windows(monkeypatch):
+    page = blocks("<body><nav><a>x</a></nav><article>" + "".join(f"<p>Sentence number {i} of a page that goes on and on.</p>" for i in range(700)) + "</article><footer>end</footer>")
+    (whole,) = label([page], trained())
+    monkeypatch.setattr(block_labeller, "WINDOW", 64)
+    (windows,) = label([page], trained())
+    assert len(windows) == len(page) and np.abs(windows - whole).max() < 1e-4
