@@ -1,20 +1,24 @@
 """Licence scans with a positional index of rare words.  DataFrame functions only.
 
-1. Words of every text, with their places; the document frequency of each word
-   of the mandatory phrases is counted over the corpus.
-2. The index holds a posting (word -> template, place) of each template: the
-   word of its mandatory phrases with the highest IDF.  No word is too common
-   or too short for it, so the frequencies set the cost, never the labels.
-3. Each occurrence of an indexed word proposes (template, offset).  The
-   template's mandatory phrases are verified word by word at theirs, and its
-   other words are counted at that offset (the score).
+1. The document frequency of every template word is counted over the corpus.
+2. The index holds postings (word -> template, place) of each template's words
+   of highest IDF among those that any document has, the rarest word of its
+   mandatory phrases always among them.  No word is too common or too short for
+   that one, so the frequencies set the cost, never the labels.
+3. Each file's occurrences of indexed words are looked up, and their postings
+   intersected by relative position: words of one template that stand where it
+   has them propose one (template, offset).
+4. The template's mandatory phrases are verified word by word at theirs, and all
+   its words are counted at that offset (the score).
 
 All of it is one projection a text, linear in its occurrences; the only
-shuffle is the count of the phrases' document frequencies.
+shuffle is the count of document frequencies, of at most as many words as the
+templates have.
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -34,10 +38,11 @@ class Template:
 
 
 def template(label: str, notice: str, *phrases: str) -> Template:
-    words = tuple(notice.lower().split())
+    """A template of a notice in plain text; phrases default to the whole notice."""
+    words = tuple(re.findall(WORD, notice.lower()))
     placed = []
-    for phrase in phrases:
-        wanted = tuple(phrase.lower().split())
+    for phrase in phrases or (notice,):
+        wanted = tuple(re.findall(WORD, phrase.lower()))
         placed.append((next(i for i in range(len(words)) if words[i : i + len(wanted)] == wanted), wanted))
     return Template(label, words, tuple(placed))
 
@@ -45,22 +50,44 @@ def template(label: str, notice: str, *phrases: str) -> Template:
 #: Base phrases and their labels, counted wherever their words stand consecutively.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-TEMPLATES = (
-    template("apache-2.0", "licensed under the apache license version 2 0", "apache license"),
-    template("mit", "released under the mit license", "mit license"),
-    template("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby granted", "free of charge"),
-    template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
-    template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    template("gpl-notice", "licensed under the gnu general public license version", "gnu general public license"),
-    template("lgpl-notice", "licensed under the gnu lesser general public license version", "lesser general public license"),
-    template("agpl-notice", "licensed under the gnu affero general public license version", "affero general public license"),
-    template("cc-by-nc", "licensed under cc by nc", "cc by nc"),
-    template("cc-by-sa", "licensed under cc by sa", "cc by sa"),
-    template("cc0", "dedicated to the public domain under cc0", "public domain"),
-    template("isc", "permission to use copy modify and or distribute this software for any purpose", "modify and or distribute"),
-    template("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
-    template("reserved-notice", "copyright all rights reserved", "all rights reserved"),
-)
+#: Notices as the licences themselves ask for or begin.
+NOTICES = (
+    template("apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "Apache License"),
+    template("mit", "Released under the MIT License", "MIT License"),
+    template("mit-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction", "hereby granted", "free of charge", "to any person obtaining"),
+    template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "source and binary forms"),
+    template("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "Neither the name of", "endorse or promote products"),
+    template("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Mozilla Public License"),
+    template("gpl-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "GNU General Public License"),
+    template("gpl-2.0", "licensed under the GNU General Public License version 2", "GNU General Public License version 2"),
+    template("gpl-3.0", "licensed under the GNU General Public License version 3", "GNU General Public License version 3"),
+    template("lgpl-notice", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "Lesser General Public License"),
+    template("agpl-notice", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "Affero General Public License"),
+    template("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "Eclipse Public License"),
+    template("bsl-1.0", "Distributed under the Boost Software License, Version 1.0", "Boost Software License"),
+    template("cddl-1.0", "The contents of this file are subject to the terms of the Common Development and Distribution License", "Common Development and Distribution License"),
+    template("eupl-1.2", "Licensed under the European Union Public Licence, Version 1.2", "European Union Public Licence"),
+    template("artistic-2.0", "distributed under the terms of the Artistic License 2.0", "Artistic License"),
+    template("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software", "provided as is without any express or implied warranty", "authors be held liable"),
+    template("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "modify and or distribute this software"),
+    template("unlicense", "This is free and unencumbered software released into the public domain", "unencumbered software"),
+    template("wtfpl", "Do What The Fuck You Want To Public License", "Do What The Fuck You Want To"),
+    template("psf-2.0", "Python Software Foundation License Version 2", "Python Software Foundation License"),
+    template("cc0", "dedicated to the public domain under CC0", "public domain under CC0"),
+    template("cc0", "Creative Commons Zero v1.0 Universal", "Creative Commons Zero"),
+    template("cc-by-text", "This work is licensed under a Creative Commons Attribution 4.0 International License", "Creative Commons Attribution 4 0"),
+    template("cc-by-sa-text", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution ShareAlike"),
+    template("cc-by-nc-text", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution NonCommercial"),
+    template("cc-by-nc", "licensed under CC BY NC", "CC BY NC"),
+    template("cc-by-sa", "licensed under CC BY SA", "CC BY SA"),
+    template("cc-by-nd", "licensed under CC BY ND", "CC BY ND"),
+    template("reserved-notice", "Copyright. All rights reserved.", "All rights reserved"),
+)
+
+#: Identifiers of the SPDX list; each is a template of the tag that names it.
+SPDX = "Apache-2.0 MIT BSD-2-Clause BSD-3-Clause MPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only AGPL-3.0-only AGPL-3.0-or-later EPL-2.0 BSL-1.0 ISC Zlib Unlicense CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0".split()
+
+TEMPLATES = (*NOTICES, *(template(i.lower(), f"SPDX-License-Identifier: {i}") for i in SPDX))
 
 
 def _words(text: Column) -> Column:
@@ -69,27 +96,32 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(kept), F.lit(WORD), F.lit(0))
 
 
-def _at(words: Column, place: Column) -> Column:
-    """The word at a place from 0 (null outside)."""
-    return F.get(words, place)
+def _stands(words: Column, place: Column, phrase: Column) -> Column:
+    """The phrase's words (an array) stand at a place from 0."""
+    return (place >= 0) & (F.slice(words, F.greatest(place, F.lit(0)).cast("int") + 1, F.size(phrase)) == phrase)
 
 
-def _stands(words: Column, place: Column, phrase: tuple[str, ...]) -> Column:
-    out = F.lit(True)
-    for i, w in enumerate(phrase):
-        out = out & F.coalesce(_at(words, place + i) == F.lit(w), F.lit(False))
-    return out
+def build_index(docs: DataFrame, text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES, rare: int = 3) -> dict[str, list[tuple[int, int]]]:
+    """word -> (template's number, place): of each template its `rare` words of highest IDF, the rarest one of its phrases first.
 
-
-def anchors(docs: DataFrame, text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> list[int]:
-    """Of each template the place of the mandatory word that the fewest of all docs have (the first of several)."""
-    vocabulary = sorted({w for t in templates for _, phrase in t.phrases for w in phrase})
+    Words that no document has are left out; a template with one of these in its phrases stands nowhere.
+    """
+    vocabulary = sorted({w for t in templates for w in t.words})
     if not vocabulary:
-        return []
+        return {}
     text = F.col(text_col).cast("string")
     hit = F.array_distinct(F.filter(_words(F.coalesce(text, F.lit(""))), lambda w: w.isin(vocabulary)))
     n = {r.word: r.n for r in docs.select(F.explode(hit).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return [min((n.get(w, 0), place + i) for place, phrase in t.phrases for i, w in enumerate(phrase))[1] for t in templates]
+    index: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    for number, t in enumerate(templates):
+        mandatory = {place + i: w for place, phrase in t.phrases for i, w in enumerate(phrase)}
+        if not all(n.get(w) for w in mandatory.values()):
+            continue
+        anchor = min(mandatory, key=lambda q: (n[mandatory[q]], q))
+        others = sorted((q for q, w in enumerate(t.words) if q != anchor and 0 < n.get(w, 0) <= n[mandatory[anchor]]), key=lambda q: (n[t.words[q]], q))
+        for q in [anchor, *others[: rare - 1]]:
+            index[t.words[q]].append((number, q))
+    return index
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
@@ -97,47 +129,48 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     n_base counts all places of the BASE phrases, first_word and last_word are
     the smallest and largest of them (words from 0; null if none).  labels
-    are the base labels and those of templates whose mandatory phrases stand, distinct, sorted,
-    comma-joined ("" if none).  found: distinct (label, place) of verified
-    templates, place being that of the template's first word (it may lie
-    before the text, if the text has only the later part).  score: the largest
-    share of a verified template's words that stand at its offset; 1 where a
-    base phrase stands; else 0.
+    are the base labels and those of templates whose mandatory phrases stand,
+    distinct, sorted, comma-joined ("" if none).  found: distinct (label, place,
+    support, share) of verified templates: place is that of the template's
+    first word (before the text, if that has only the later part), support the
+    number of indexed words and share that of all words which stand there.
+    score: the largest share; at least 0.5 where a base phrase stands; else 0.
 
     Null and empty texts have no words.  Rows are independent: ties, repeated
     rows and null ids are each answered as they come.  Only id_col and
     text_col are read.  An empty table gives an empty result.
     """
-    postings: dict[str, list[tuple[Template, int]]] = defaultdict(list)
-    for t, place in zip(templates, anchors(docs, text_col, templates), strict=True):
-        postings[t.words[place]].append((t, place))
+    index = build_index(docs, text_col, templates)
     phrases = {tuple(p.split()): label for p, label in BASE.items()}
-    starts = sorted({p[0] for p in phrases} | set(postings))
+    starts = sorted({p[0] for p in phrases})
+    known = F.array(*[F.struct(F.lit(t.label).alias("label"), F.array(*map(F.lit, t.words)).alias("words"), F.array(*[F.struct(F.lit(q).alias("place"), F.array(*map(F.lit, p)).alias("words")) for q, p in t.phrases]).alias("phrases")) for t in templates])
+    postings = F.create_map(*[x for w, own in index.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(number).alias("t"), F.lit(q).alias("place")) for number, q in own]))]) if index else None
+
+    def placed(vocabulary: list[str]) -> Column:
+        return F.filter(F.transform("words", lambda w, i: F.when(w.isin(vocabulary), F.struct(w.alias("w"), i.alias("i")))), lambda h: h.isNotNull()) if vocabulary else F.array().cast("array<struct<w:string,i:int>>")
 
     step1 = docs.select(F.col(id_col).alias("id"), _words(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("words"))
-    hits = F.filter(F.transform("words", lambda w, i: F.when(w.isin(starts), F.struct(w.alias("w"), i.alias("i")))), lambda h: h.isNotNull())
-    step2 = step1.select("id", "words", hits.alias("hits"))
-    base = lambda h: F.filter(F.array(*[F.when((h["w"] == p[0]) & _stands(F.col("words"), h["i"], p), F.struct(h["i"].alias("i"), F.lit(label).alias("label"))) for p, label in phrases.items()]), lambda x: x.isNotNull())
-
-    def proposed(h: Column) -> Column:
-        tests = []
-        for word, places in postings.items():
-            for t, q in places:
-                offset = h["i"] - q
-                verified = F.lit(True)
-                for place, phrase in t.phrases:
-                    verified = verified & _stands(F.col("words"), offset + place, phrase)
-                matched = sum((F.when(_at(F.col("words"), offset + r) == w, 1).otherwise(0) for r, w in enumerate(t.words)), F.lit(0))
-                tests.append(F.when((h["w"] == word) & verified, F.struct(F.lit(t.label).alias("label"), offset.alias("place"), (matched / len(t.words)).alias("share"))))
-        return F.filter(F.array(*tests), lambda x: x.isNotNull()) if tests else F.array().cast("array<struct<label:string,place:int,share:double>>")
-
-    some = F.size("hits") > 0
-    step3 = step2.select(
-        "id",
-        F.size("words").cast("long").alias("n_words"),
-        F.when(some, F.flatten(F.transform("hits", base))).alias("base"),
-        F.when(some, F.array_distinct(F.flatten(F.transform("hits", proposed)))).alias("found"),
-    )
+    step2 = step1.select("id", "words", placed(starts).alias("starts"), placed(sorted(index)).alias("hits"))
+
+    def base(h: Column) -> Column:
+        found = [F.when((h["w"] == p[0]) & _stands(F.col("words"), h["i"], F.array(*map(F.lit, p))), F.struct(h["i"].alias("i"), F.lit(label).alias("label"))) for p, label in phrases.items()]
+        return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+    # (t, place) of every posting of every occurrence; those of one template that agree are one candidate
+    proposals = F.flatten(F.transform("hits", lambda h: F.transform(F.element_at(postings, h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["place"]).alias("place"))))) if postings is not None else F.array().cast("array<struct<t:int,place:int>>")
+    step3 = step2.select("id", "words", F.when(F.size("starts") > 0, F.flatten(F.transform("starts", base))).alias("base"), F.when(F.size("hits") > 0, proposals).alias("proposals"))
+
+    def verified(c: Column) -> Column:
+        t = F.element_at(known, c["t"] + 1)
+        return F.forall(t["phrases"], lambda p: _stands(F.col("words"), c["place"] + p["place"], p["words"]))
+
+    def measured(c: Column) -> Column:
+        t = F.element_at(known, c["t"] + 1)
+        standing = F.size(F.filter(F.transform(t["words"], lambda w, i: (c["place"] + i >= 0) & F.coalesce(F.get("words", c["place"] + i) == w, F.lit(False))), lambda x: x))
+        support = F.size(F.filter("proposals", lambda o: o == c))
+        return F.struct(t["label"].alias("label"), c["place"].alias("place"), support.alias("support"), (standing / F.size(t["words"])).alias("share"))
+
+    step3 = step3.select("id", F.size("words").cast("long").alias("n_words"), "base", F.when(F.col("proposals").isNotNull(), F.array_distinct(F.transform(F.filter(F.array_distinct("proposals"), verified), measured))).alias("found"))
     base_labels = F.coalesce(F.transform("base", lambda b: b["label"]), F.array().cast("array<string>"))
     own = F.coalesce(F.transform("found", lambda b: b["label"]), F.array().cast("array<string>"))
     n_base = F.coalesce(F.size("base"), F.lit(0))
@@ -150,6 +183,6 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.array_max(F.transform("base", lambda b: b["i"])).cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct(base_labels)), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat(base_labels, own))), ",").alias("labels"),
-        F.when(n_base > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("found", lambda f: f["share"])), F.lit(0.0))).alias("score"),
-        F.coalesce("found", F.array().cast("array<struct<label:string,place:int,share:double>>")).alias("found"),
+        F.greatest(F.when(n_base > 0, 0.5).otherwise(0.0), F.coalesce(F.array_max(F.transform("found", lambda f: f["share"])), F.lit(0.0))).alias("score"),
+        F.coalesce("found", F.array().cast("array<struct<label:string,place:int,support:int,share:double>>")).alias("found"),
     )
