@@ -11,9 +11,15 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests, one machine), one of our own."""
+    """The folder that spark.checkpoint.dir names.
+
+    Where it is unset, one of our own on a single machine (tests); a cluster
+    must name one that all of its machines share.
+    """
     own = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{SETTING} is unset: name a folder that all machines of the cluster share")
         own = tempfile.mkdtemp(prefix="openings-")
         spark.conf.set(SETTING, own)
     return own.rstrip("/")
@@ -24,4 +30,14 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.durable_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that durable() made, once nothing reads them any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.durable_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .durable import durable
+from .durable import durable, release
 from .words import SPACES, cut_words, shingles
 
 _rng = np.random.default_rng(97)
@@ -115,8 +115,9 @@ def shingle_features(docs: DataFrame, id_col: str, text_col: str, k: int, places
 
 def _bands(nodes: DataFrame, bands: int) -> DataFrame:
     width = ROWS_A_BAND * 4
-    buckets: Column = F.array(*[F.xxhash64(F.lit(b), F.substring("sign", 1 + b * width, width)) for b in range(bands)])
-    return nodes.select("node", "n", F.posexplode(buckets).alias("band", "bucket"))
+    # the last byte of a bucket's number is its band
+    buckets: Column = F.array(*[(F.xxhash64(F.lit(b), F.substring("sign", 1 + b * width, width)).bitwiseAND(F.lit(-256))).bitwiseOR(F.lit(b)) for b in range(bands)])
+    return nodes.select("node", F.explode(buckets).alias("bucket"))
 
 
 def _close(n: str, m: str, threshold: float) -> Column:
@@ -307,13 +308,16 @@ def near_duplicates(
         .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
-    banded = durable(_bands(nodes, bands), "bands")
+    slim = durable(feats.drop("sign"), "rows")
+    release(feats)
     size = nodes.select("node", "n")
 
-    # each bucket's members with its smallest node
-    least = banded.groupBy("bucket").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("count")).filter("count > 1")
-    star = banded.join(least, "bucket").filter("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b"), F.col("n").alias("m")).distinct()
-    star = star.join(size.withColumnRenamed("node", "a"), "a").filter(_close("n", "m", threshold)).select("a", "b")
+    # the buckets of two nodes or more: each member with its bucket's smallest node
+    banded = _bands(nodes, bands)
+    least = banded.groupBy("bucket").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("count")).filter("count > 1").select("bucket", "lead")
+    shared = durable(banded.join(least, "bucket"), "buckets")
+    star = shared.filter("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    star = star.join(size.toDF("a", "n"), "a").join(size.toDF("b", "m"), "b").filter(_close("n", "m", threshold)).select("a", "b")
     signed = nodes.select("node", "sign")
     tried = durable(
         _sequential(
@@ -332,8 +336,8 @@ def near_duplicates(
 
     # buckets that hold several components still
     marked = (
-        banded.join(roots.withColumnRenamed("vertex", "node"), "node", "left")
-        .select("bucket", "band", "node", "n", F.coalesce("root", "node").alias("comp"))
+        shared.join(roots.withColumnRenamed("vertex", "node"), "node", "left")
+        .select("bucket", "node", F.coalesce("root", "node").alias("comp"))
     )
     shares = marked.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
     mixed = (
@@ -353,10 +357,10 @@ def near_duplicates(
             F.transform(F.filter(F.sequence(F.lit(0), F.col("others") - 1), lambda o: o > F.col("piece")), lambda o: F.struct(o.alias("o"), F.col("piece").alias("p"), F.lit("o").alias("kind"), F.lit("r").alias("side"))),
         )
     )
-    blocks = rows.select("bucket", "band", "node", "n", "comp", F.explode(steps).alias("at")).select(
-        F.xxhash64("bucket", "at.o", "at.p", "at.kind").alias("block"), "band", "at.side", "comp", "node", "n"
+    blocks = rows.select("bucket", "node", "comp", F.explode(steps).alias("at")).select(
+        F.xxhash64("bucket", "at.o", "at.p", "at.kind").alias("block"), F.col("bucket").bitwiseAND(F.lit(255)).cast("int").alias("band"), "at.side", "comp", "node"
     )
-    more = durable(_across(blocks.join(signed, "node").select("block", "band", "side", "comp", "node", "n", "sign"), nodes, texts, k, threshold_percent, miss, places), "links")
+    more = durable(_across(blocks.join(nodes.select("node", "n", "sign"), "node").select("block", "band", "side", "comp", "node", "n", "sign"), nodes, texts, k, threshold_percent, miss, places), "links")
     if not more.isEmpty():
         links = links.unionByName(more)
         roots = durable(components(links, "a", "b"), "roots")
@@ -365,7 +369,7 @@ def near_duplicates(
     least_id = rooted.groupBy("root").agg(F.min("rep").alias("component"))
     named = rooted.join(least_id, "root").select("d1", "d2", "component")
     return (
-        feats.select("id", "n_shingles", "d1", "d2")
+        slim
         .join(named, ["d1", "d2"], "left")
         .select(
             F.col("id").alias("doc_id"),
