@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spans
-from .screen import settle
+from ..functions.frames import settle
 
-# Phrases of the rails.
+# Fixed values, all of what follows up to DEADLINE: phrases of the rails.
 CLEARANCE = (
     r"(?i)\(cleared\)|\b(active|current)\s+(ts/?\s?sci|top secret|secret)\b|\b(secret|ts/?\s?sci|top.secret)\b.{0,15}\bclearance\b|"
     r"\bsecurity clearance\b.{0,40}\b(required|must)\b|\bmust\b.{0,50}\bsecurity clearance\b|\b(obtain|acquire|attain)\b.{0,60}\bclearance\b|\bdoes not hold dual citizenship\b"
@@ -71,7 +71,7 @@ def hard_requirements(description: Column, patterns: dict[str, str]) -> Column:
 
     def gate(label: str, pattern: str) -> Column:
         s = F.get(spans.spans(section, pattern), F.lit(0))
-        head = F.regexp_extract(spans.before(section, s), r"[^.\n]*$", 0)
+        head = F.regexp_extract(spans.before(section, s), r"[^.\n]*\z", 0)
         tail = F.regexp_extract(F.substring(section, s["end"] + 1, F.length(section)), r"^[^\n]*", 0)
         sentence = F.substring(F.trim(F.regexp_replace(F.concat(head, s["match"], tail), r"\s+", " ")), 1, 180)
         return F.when(section.rlike(pattern) & ~sentence.rlike(OPTIONAL), F.struct(F.lit(label).alias("label"), sentence.alias("sentence")))

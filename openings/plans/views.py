@@ -12,6 +12,13 @@ from .registry import table
 
 _CASE = lambda key, values, kind="'{}'": "CASE " + key + " " + " ".join(f"WHEN {i} THEN " + (kind.format(v) if v is not None else "NULL") for i, v in enumerate(values)) + " END"
 
+_CASE_OF = lambda key, values: "CASE " + key + " " + " ".join(f"WHEN {k} THEN concat('{v}')" if "\n" not in v else f"WHEN {k} THEN concat('" + v.replace("\n", "', chr(10), '") + "')" for k, v in values.items()) + " ELSE '' END"
+
+#: Sentences that some postings end with, so that each rail has something to read.
+SAID = {
+    3: "\nYou will own a sales quota.", 4: "\nThis is not a quota-carrying role.", 5: "\nYou must hold a security clearance.", 6: "\nNo security clearance is required.", 7: "\nMust have deep knowledge of CPQ.",
+    8: "\nCPQ is a plus.", 9: "\nRequirements:\n- 15 years of it", 10: "\nThe CTA is required.", 11: "\nApply by June 1, 2020.", 17: "\nApply by June 1, 2030.", 18: "\nRequirements:\n- two products\n- CPQ", 19: "\nRequirements:\n- familiarity with CPQ",
+}
 LOCATIONS = ("Austin, TX", "Remote (US)", "Berlin, Germany", "Remote", "", "3 Locations", "United States", "Toronto, Canada", "Remote - US, Canada", "Denver, CO", "Remote, in")
 COMPANIES = ("Acme Inc.", "The Globex Group", "Initech, LLC", "Umbrella Corp", "Hooli Labs", "Stark Technologies", "Wayne-Enterprises Ltd")
 SOURCES = ("greenhouse", "lever", "freehire:greenhouse", "remotive", "workday")
@@ -20,7 +27,7 @@ POSTINGS = [
     "doc_id",
     "CAST(doc_id AS STRING) AS external_id",
     _CASE("doc_id % 7", COMPANIES) + " AS company",
-    "trim(substring(text, 1, 40)) AS title",
+    "concat(" + _CASE_OF("doc_id % 31", {14: "the CPQ ", 15: "the Rivalforce "}) + ", trim(substring(text, 1, 40))) AS title",
     _CASE("doc_id % 11", LOCATIONS) + " AS location",
     _CASE("doc_id % 5", SOURCES) + " AS source",
     "concat('https://jobs.example.com/', source, '/', CAST(doc_id % 400 AS STRING)) AS url",
@@ -33,7 +40,7 @@ POSTINGS = [
     _CASE("doc_id % 3", ("A", "B", "C")) + " AS tier",
     "CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 13 < 5 THEN '' ELSE concat('https://apply.example.com/', CAST(doc_id % 50 AS STRING)) END AS url_direct",
     "CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 11 < 4 THEN '' ELSE concat('https://', source, '.example.com/') END AS company_site",
-    "text AS description",
+    "concat(" + _CASE_OF("doc_id % 31", {12: "Onsite 5x per week. ", 13: "You must be based in Denver Metro. ", 16: "You must be based in the United States. "}) + ", text, " + _CASE_OF("doc_id % 31", SAID) + ") AS description",
 ]
 
 #: Stored openings: one an order.

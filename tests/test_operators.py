@@ -46,14 +46,49 @@ def test_screening_a_stored_row_gives_the_same(spark):
     assert got.collect() == again.collect()
 
 
-def test_denied_and_waived_rails(spark):
-    rules = RuleSet(lanes=(("data", 40, ("data",)),), body_block=(("quota", ("sales quota",)),), title_block=("cook",))
-    rows = [(1, "Data", "You own a sales quota.", False), (2, "Data", "There is no sales quota here.", False), (3, "Data cook", "You own a sales quota.", True), (4, "Data cook", "x", False)]
-    p = spark.createDataFrame(rows, "doc_id int, title string, description string, rails_exempt boolean")
-    p = p.withColumns({"location": F.lit("Remote (US)"), "company": F.lit("x"), "source": F.lit("lever"), "tier": F.lit("C"), "remote_flag": F.lit(True), "comp_min": F.lit(1), "comp_max": F.lit(2)})
-    assert {x.doc_id: (x.gate, x.reasons[0]) for x in screen(p, rules).collect()} == {
-        1: ("EXCLUDED", "quota: You own a sales quota."), 2: ("VERIFY", "check: thin body"), 3: ("VERIFY", "check: thin body"), 4: ("EXCLUDED", "title blocked: cook"),
-    }
+def posting(spark, rows):
+    """(doc_id, title, description, changes) as postings that pass every rail but those asked for."""
+    plain = {"location": "Remote (US)", "company": "Globex", "source": "lever", "tier": "C", "remote_flag": True, "comp_min": 90_000, "comp_max": 150_000, "department": "", "registry_lane": "", "rails_exempt": False}
+    schema = "doc_id int, title string, description string, location string, company string, source string, tier string, remote_flag boolean, comp_min int, comp_max int, department string, registry_lane string, rails_exempt boolean"
+    return spark.createDataFrame([(i, t, d, *{**plain, **more}.values()) for i, t, d, more in rows], schema)
+
+
+RULES = RuleSet(
+    lanes=(("data", 40, ("data",)), ("ops", 30, ("operations",))), favoured_lanes=(("dream", 60, ("gardener",)),), favoured_companies=("Hooli Inc.",), lane_context={"plat": "Data"},
+    title_block=("cook",), title_always_block=("surgeon",), competing=("rivalforce",), products=("cpq",), quota=True, body_block=(("travel", ("travel 80%",)),), certificates=("cta",), clearance=True,
+    requirements={"years": ("15 years",)}, signals=(("spark", 5, ("spark",)), ("sql", 3, ("sql",))), metros=("austin",), comp_screen=80_000, comp_accept=100_000,
+)
+LONG = " We look for people who like their work." * 8
+CASES = [
+    ("", "", {}, "EXCLUDED", 0, "malformed"), ("Data", "Apply by June 1, 2024." + LONG, {}, "EXCLUDED", 0, "closed: 2024-06-01"), ("Data", "Apply by June 1, 2025." + LONG, {}, "QUALIFIED", 48, "remote-US"),
+    ("Clerk", LONG, {}, "EXCLUDED", 0, "no lane"), ("Clerk", "Our data." + LONG, {}, "VERIFY", 26, "remote-US"), ("Clerk", LONG, {"registry_lane": "plat"}, "QUALIFIED", 48, "remote-US"), ("Data surgeon", LONG, {"rails_exempt": True}, "SLOT-BLOCKED", 40, "title always"),
+    ("Data cook", LONG, {}, "SLOT-BLOCKED", 40, "title blocked: cook"), ("Data cook", LONG, {"rails_exempt": True}, "QUALIFIED", 48, "favoured"), ("Data cook gardener", LONG, {"company": "Hooli"}, "QUALIFIED", 68, "favoured"),
+    ("Rivalforce data", LONG, {}, "SLOT-BLOCKED", 40, "competing"), ("Data CPQ", LONG, {}, "SLOT-BLOCKED", 40, "product in the title"), ("Data", "Must have deep knowledge of CPQ." + LONG, {}, "SLOT-BLOCKED", 40, "product demanded"),
+    ("Data", "CPQ is a plus." + LONG, {}, "QUALIFIED", 48, "remote-US"), ("Data", LONG, {"location": "Berlin, Germany"}, "EXCLUDED", 40, "location: non-US"), ("Data", "You own a sales quota." + LONG, {}, "EXCLUDED", 40, "quota: You own a sales quota."),
+    ("Data", "This is not a quota-carrying role." + LONG, {}, "QUALIFIED", 48, "remote-US"), ("Data", "You travel 80% of the time." + LONG, {}, "EXCLUDED", 40, "travel: You"), ("Data", "The CTA is required." + LONG, {}, "EXCLUDED", 40, "certificate refused"),
+    ("Data", "You must hold a security clearance." + LONG, {"rails_exempt": True}, "EXCLUDED", 40, "clearance: You must"), ("Data", "No security clearance is required." + LONG, {}, "QUALIFIED", 48, "remote-US"),
+    ("Data", "Requirements:\n- 15 years of it" + LONG, {}, "EXCLUDED", 40, "requirement not met: years: - 15 years"), ("Data", "Requirements:\n- 15 years preferred" + LONG, {}, "QUALIFIED", 48, "remote-US"),
+    ("Data", LONG, {"comp_max": 70_000}, "EXCLUDED", 40, "pay below the screen: 70000"), ("Data", LONG, {"comp_max": 95_000}, "VERIFY", 40, "remote-US"), ("Data", "Spark and SQL." + LONG, {"tier": "A", "comp_min": None, "comp_max": None}, "VERIFY", 54, "remote-US"),
+    ("Data", "Onsite 5x per week." + LONG, {}, "VERIFY", 48, "pay 90000"), ("Data", "You must be based in Denver Metro." + LONG, {}, "VERIFY", 48, "pay 90000"), ("Data", "You must be based in the United States." + LONG, {}, "QUALIFIED", 48, "remote-US"),
+    ("Data", "You must reside in Austin." + LONG, {}, "VERIFY", 48, "pay 90000"), ("Data", "short", {}, "VERIFY", 48, "remote-US"), ("Data", LONG, {"source": "freehire:lever"}, "VERIFY", 48, "source verification"),
+]
+
+
+def test_every_rail(spark):
+    p = posting(spark, [(i, t, d, more) for i, (t, d, more, *_) in enumerate(CASES)])
+    got = screen(p, RULES, F.lit(D(2025, 1, 1))).orderBy("doc_id").collect()
+    for x, (*_, gate, score, reason) in zip(got, CASES, strict=True):
+        assert (x.gate, x.score) == (gate, score) and x.reasons[0].startswith(reason), x
+    from openings.operators.screen import needs_check
+
+    checks = {x.doc_id: x.c for x in screen(p, RULES, F.lit(D(2025, 1, 1))).select("doc_id", needs_check(F.col("reasons")).alias("c")).collect()}
+    assert checks[26] == "called remote, but: Onsite 5x per week." and checks[25] == "pay not stated" and checks[13] == ""
+
+
+def test_rules_that_contradict_themselves():
+    for bad in ({"floors": {"Acme": True}}, {"floors": {"Acme": 101}}, {"floors": {"Acme Inc": 5, "acme": 6}}, {"certificates": (" ",)}):
+        with pytest.raises(ValueError):
+            RuleSet(**bad)
 
 
 def test_evidence(spark):
