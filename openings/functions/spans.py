@@ -33,22 +33,28 @@ def before(text: Column, span: Column) -> Column:
     return F.substring(text, F.lit(1), span["start"])
 
 
+def after_last(text: Column, ends: str) -> Column:
+    """What follows the last of these characters (all, if none stands there), in one pass: a regular expression would start over at every place."""
+    first, *others = ends
+    return F.substring_index(F.translate(text, "".join(others), first * len(others)) if others else text, first, -1)
+
+
 def clause_before(text: Column, span: Column) -> Column:
     """The part of the match's own clause before it, blanks squeezed."""
-    part = F.regexp_extract(before(text, span), r"[^.\n!?;]*\z", 0)
+    part = after_last(before(text, span), ".\n!?;")
     return F.trim(F.regexp_replace(part, r"\s+", " "))
 
 
 def sentence_around(text: Column, span: Column, limit: int = 180) -> Column:
     """The sentence (or line) a match stands in, blanks squeezed, cut to a length."""
-    head = F.regexp_extract(before(text, span), r"[^.\n!?]*\z", 0)
+    head = after_last(before(text, span), ".\n!?")
     tail = F.regexp_extract(F.substring(text, span["end"] + 1, F.length(text)), r"^[^.\n]*[.\n]?", 0)
     return F.substring(F.trim(F.regexp_replace(F.concat(head, span["match"], tail), r"\s+", " ")), 1, limit)
 
 
 def negated(text: Column, span: Column, window: int = NEGATION_WINDOW) -> Column:
     """A negator stands between the sentence's start (or `window` characters back) and the match."""
-    head = F.regexp_extract(before(text, span), r"[^.\n]*\z", 0)
+    head = after_last(before(text, span), ".\n")
     near = F.when(F.length(head) > window, F.substring(head, F.length(head) - window + 1, F.lit(window))).otherwise(head)
     return near.rlike(NEGATOR)
 
@@ -71,7 +77,8 @@ def requirements_section(description: Column) -> Column:
 
 def governing_heading(text: Column, span: Column, lines: int = 8) -> Column:
     """The nearest of the last non-blank lines above the match's line that ends with a colon ("" if none)."""
-    above = F.regexp_replace(before(text, span), r"[^\n]*\z", "")
+    head = before(text, span)
+    above = F.substring(head, F.lit(1), F.length(head) - F.length(after_last(head, "\n")))
     kept = F.filter(F.transform(F.split(above, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     near = F.slice(kept, F.greatest(F.size(kept) - lines + 1, F.lit(1)), F.lit(lines))
     headings = F.filter(near, lambda x: F.regexp_replace(x, r"[*_#\s]+$", "").endswith(":"))

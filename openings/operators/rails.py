@@ -71,7 +71,7 @@ def hard_requirements(description: Column, patterns: dict[str, str]) -> Column:
 
     def gate(label: str, pattern: str) -> Column:
         s = F.get(spans.spans(section, pattern), F.lit(0))
-        head = F.regexp_extract(spans.before(section, s), r"[^.\n]*\z", 0)
+        head = spans.after_last(spans.before(section, s), ".\n")
         tail = F.regexp_extract(F.substring(section, s["end"] + 1, F.length(section)), r"^[^\n]*", 0)
         sentence = F.substring(F.trim(F.regexp_replace(F.concat(head, s["match"], tail), r"\s+", " ")), 1, 180)
         return F.when(section.rlike(pattern) & ~sentence.rlike(OPTIONAL), F.struct(F.lit(label).alias("label"), sentence.alias("sentence")))
