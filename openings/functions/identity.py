@@ -123,3 +123,35 @@ def site_operand(url: Column, operand: str) -> Column:
         return on_host
     prefix = "/" + path_part.strip("/")
     return on_host & ((path == prefix) | path.startswith(prefix + "/"))
+
+
+# Host names that never are public.
+LOCAL_HOSTS = ("localhost", "local", "internal", "lan", "home", "home.arpa", "intranet", "corp", "private")
+#: A char that no link may hold as it is: blanks, controls, format characters, back-slashes.
+_UNSAFE = r"[\x00-\x20\x7F\\\\\p{Cf}]"
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+
+
+def public_url(url: Column, limit: int = 2048) -> Column:
+    """The url if it may be shown as a link, else "".
+
+    http or https, no credentials, no blanks or hidden characters, at most
+    `limit` long; a host of two labels or more in a-z, 0-9, - and . that isn't
+    local, or a dotted IPv4 address of the public ranges.  Other spellings of
+    addresses, IPv6 literals and names outside ASCII aren't shown.  Brackets,
+    quotes and the like in what follows the host are percent-encoded.
+    """
+    raw = F.coalesce(url, F.lit(""))
+    shape = r"^(?i:(https?))://([^/?#@:\[\]]+?)\.?(:\d{1,5})?([/?#].*)?$"
+    scheme, host, port, rest = F.lower(F.regexp_extract(raw, shape, 1)), F.lower(F.regexp_extract(raw, shape, 2)), F.regexp_extract(raw, shape, 3), F.regexp_extract(raw, shape, 4)
+    dotted = host.rlike(rf"^{_OCTET}(\.{_OCTET}){{3}}$")
+    closed = host.rlike(r"^(0|10|127|22[4-9]|23\d|24\d|25[0-5])\.|^169\.254\.|^172\.(1[6-9]|2\d|3[01])\.|^192\.168\.|^192\.0\.[02]\.|^198\.(1[89]|51\.100)\.|^203\.0\.113\.|^100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.")
+    named = host.rlike(r"^[a-z0-9]([a-z0-9-]*[a-z0-9])?(\.[a-z0-9]([a-z0-9-]*[a-z0-9])?)+$") & (F.length(host) <= 253) & ~host.rlike(r"^(0x[0-9a-f]+|\d+)(\.(0x[0-9a-f]+|\d+))*$")
+    local = F.lit(False)
+    for name in LOCAL_HOSTS:
+        local = local | (host == name) | host.endswith("." + name)
+    for raw_, coded in (("(", "%28"), (")", "%29"), ("[", "%5B"), ("]", "%5D"), ("<", "%3C"), (">", "%3E"), ('"', "%22"), ("`", "%60"), ("{", "%7B"), ("}", "%7D"), ("|", "%7C"), ("^", "%5E"), ("*", "%2A")):
+        rest = F.replace(rest, F.lit(raw_), F.lit(coded))
+    port_fits = F.coalesce(F.substring(port, 2, 5).try_cast("int"), F.lit(0)) <= 65535
+    fine = raw.rlike(shape) & ~raw.rlike(_UNSAFE) & (F.length(raw) <= limit) & port_fits & ((dotted & ~closed) | (named & ~local))
+    return F.when(fine, F.concat(scheme, F.lit("://"), host, port, rest)).otherwise("")

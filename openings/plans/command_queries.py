@@ -6,27 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import commands, rails
+from ..operators.screen import compile_terms
 from .registry import query, table
+from .screen_queries import demanded, quote, undenied
 from .views import cte, view
 
 
-@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'quota' WHEN 2 THEN 'clearance' END AS rail, CASE doc_id % 4 WHEN 0 THEN 'You own a sales quota.' WHEN 2 THEN 'You must hold a security clearance today.' END AS quote FROM documents""")
+@query(cte("postings") + f""", t AS (SELECT doc_id, description AS whole FROM postings),
+m AS (SELECT doc_id, whole, {undenied('whole', rails.QUOTA)} AS q, {undenied('whole', rails.CLEARANCE)} AS c FROM t)
+SELECT doc_id, CASE WHEN q IS NOT NULL THEN 'quota' WHEN c IS NOT NULL THEN 'clearance' END AS rail, CASE WHEN q IS NOT NULL THEN {quote('whole', 'q', rails.QUOTA)} WHEN c IS NOT NULL THEN {quote('whole', 'c', rails.CLEARANCE)} END AS quote FROM m""")
 def denied_rails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("doc_id") % 4
-    said = F.when(n == 0, "This is not quota-carrying. You own a sales quota.").when(n == 1, "This is not a quota-carrying role.").when(n == 2, "You must hold a security clearance today.").otherwise("No security clearance is required here.")
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.regexp_replace(F.substring("text", 1, 2000), r"[^\p{L}\n ]", ""), F.lit("\n"), said).alias("description"))
-    return rails.denied_rails(d, {"quota": rails.QUOTA, "clearance": rails.CLEARANCE}).select("doc_id", "rail", "quote")
+    return rails.denied_rails(view(spark, sf_dir, "postings"), {"quota": rails.QUOTA, "clearance": rails.CLEARANCE}).select("doc_id", "rail", "quote")
 
 
-@query("""SELECT doc_id, doc_id % 5 IN (0, 3) AS demanded FROM documents""")
+@query(cte("postings") + f""" SELECT doc_id, len({demanded('description', 'cpq')}) > 0 AS demanded FROM postings""")
 def required_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("doc_id") % 5
-    said = (
-        F.when(n == 0, "Must have deep knowledge of CPQ").when(n == 1, "5 years required across our stack, including CPQ").when(n == 2, "CPQ is a plus")
-        .when(n == 3, "Requirements:\n- two products\n- CPQ").otherwise("Requirements:\n- familiarity with CPQ")
-    )
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.regexp_replace(F.substring("text", 1, 500), r"[^\p{L}\n ]", ""), F.lit("\n"), said).alias("t"))
-    return d.select("doc_id", rails.requires_product(F.col("t"), "CPQ").isNotNull().alias("demanded"))
+    return view(spark, sf_dir, "postings").select("doc_id", rails.requires_product(F.col("description"), compile_terms(["cpq"])).isNotNull().alias("demanded"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS deadline FROM orders")
@@ -55,11 +50,11 @@ def recorded_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commands.record_stages(e)[1]
 
 
-@query(cte("openings") + """, m AS (SELECT event_id AS ord, CAST(event_id * 3 AS BIGINT) AS uid, CASE event_id % 6 WHEN 0 THEN 'applied' WHEN 1 THEN 'ignored' WHEN 2 THEN 'apllied' WHEN 3 THEN 'rejected' WHEN 4 THEN 'new' ELSE 'reviewed' END AS status FROM events WHERE event_id * 3 < 9000)
+@query(cte("openings") + """, m AS (SELECT event_id AS ord, CAST(event_id * 3 AS BIGINT) AS uid, CASE event_id % 6 WHEN 0 THEN 'applied' WHEN 1 THEN 'ignored' WHEN 2 THEN 'apllied' WHEN 3 THEN 'rejected' WHEN 4 THEN 'new' ELSE 'reviewed' END AS status FROM events)
 SELECT o.uid, 'status:' || m.status AS kind FROM m JOIN openings o USING (uid) WHERE m.status <> 'apllied' AND m.status <> o.status""")
 def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = view(spark, sf_dir, "openings").select("uid", "status", F.lit("").alias("notes"))
-    marks = table(spark, sf_dir, "events").filter("event_id * 3 < 9000").selectExpr(
+    marks = table(spark, sf_dir, "events").selectExpr(
         "event_id AS ord", "event_id * 3 AS uid", "CASE event_id % 6 WHEN 0 THEN 'applied' WHEN 1 THEN 'ignored' WHEN 2 THEN 'apllied' WHEN 3 THEN 'rejected' WHEN 4 THEN 'new' ELSE 'reviewed' END AS status", "'' AS notes", "ts AS at"
     )
     return commands.set_statuses(o, marks)[1].select("uid", "kind")

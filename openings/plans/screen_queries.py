@@ -66,26 +66,26 @@ def _only(*terms: str) -> str:
     return "(?i)(?:" + "|".join(terms) + ")"
 
 
-def _undenied(t: str, pattern: str) -> str:
+def undenied(t: str, pattern: str) -> str:
     """The first place that its sentence doesn't deny, null if none."""
     near = f"regexp_extract(substr({t}, greatest(1, i - 90), i - greatest(1, i - 90)), '[^.\\n]*\\z')"
     return f"list_min(list_filter({_at(t, pattern)}, lambda i: NOT {_m(near, NEGATOR)}))"
 
 
-def _quote(t: str, i: str, pattern: str) -> str:
+def quote(t: str, i: str, pattern: str) -> str:
     matched = f"regexp_extract(substr({t}, {i}), '{_q('^(?:' + pattern + ')')}')"
     head = f"regexp_extract(substr({t}, 1, {i} - 1), '[^.\\n!?]*\\z')"
     tail = f"regexp_extract(substr({t}, {i} + length({matched})), '^[^.\\n]*[.\\n]?')"
     return f"substr(trim(regexp_replace({head} || {matched} || {tail}, '\\s+', ' ', 'g')), 1, 180)"
 
 
-def _demanded(t: str, term: str) -> str:
+def demanded(t: str, term: str) -> str:
     """Places of a product that the text demands."""
     before = f"substr({t}, 1, i - 1)"
     clause = f"trim(regexp_replace(regexp_extract({before}, '[^.\\n!?;]*\\z'), '\\s+', ' ', 'g'))"
     lines = f"list_filter(list_transform(string_split(regexp_replace({before}, '[^\\n]*\\z', ''), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
     heading = f"coalesce(list_filter(({lines})[-8:], lambda x: ends_with(regexp_replace(x, '[*_#\\s]+$', ''), ':'))[-1], '')"
-    optional = f"({_m(_quote(t, 'i', _only(term)), rails.PREFERENCE)} OR {_m(heading, rails.PREFERENCE)})"
+    optional = f"({_m(quote(t, 'i', _only(term)), rails.PREFERENCE)} OR {_m(heading, rails.PREFERENCE)})"
     inline = _m(clause, rails.REQUIREMENT)
     by_heading = f"(NOT {inline} AND ({_m(heading, rails.REQUIREMENT)} OR {_m(heading, rails.REQUIREMENT_HEADING)}) AND NOT {_m(clause, rails.SHALLOW)})"
     after = f"string_split_regex({clause}, '{_q(rails.REQUIREMENT)}')[-1]"
@@ -113,7 +113,7 @@ _TESTS = [  # (test, verdict, reason) in order
     ("abroad AND NOT home", "fail", "'non-US: ' || CASE WHEN location <> '' THEN location ELSE company END"), (f"coded AND code NOT IN ({_CODES})", "fail", "'non-US country code: ' || location"),
     (_has("blob", "austin"), "pass", "'target metro: ' || location"), ("remote AND abroad2 AND NOT here", "fail", "'remote but non-US: ' || location"), ("remote AND vague", "unknown", "'global remote, US payroll unconfirmed'"),
     ("remote AND here AND NOT says AND location <> '' AND home_loc", "unknown", "'named US office; remote appears only in body text'"), ("remote AND here AND lock", "unknown", "'remote but state-restricted; needs check'"),
-    (f"remote AND here AND {_ONSITE} IS NOT NULL", "unknown", f"'called remote, but: ' || {_quote('body', _ONSITE, ATTENDANCE)}"), (f"remote AND here AND {_LIVING} IS NOT NULL", "unknown", f"'called remote, but: ' || {_quote('body', _LIVING, RESIDENCY)}"),
+    (f"remote AND here AND {_ONSITE} IS NOT NULL", "unknown", f"'called remote, but: ' || {quote('body', _ONSITE, ATTENDANCE)}"), (f"remote AND here AND {_LIVING} IS NOT NULL", "unknown", f"'called remote, but: ' || {quote('body', _LIVING, RESIDENCY)}"),
     ("remote AND here", "pass", "'remote-US: ' || CASE WHEN location <> '' THEN location ELSE 'flagged remote' END"), (f"remote AND location <> '' AND NOT {_m('location', r'(?i)^\s*(remote|anywhere)?\s*$')}", "unknown", "'remote but US eligibility unconfirmed'"),
     ("remote", "unknown", "'remote, no country stated'"), (_m("blob", ONSITE_WORD), "fail", "'onsite/hybrid outside target metros: ' || location"), ("location = ''", "unknown", "'no location given'"),
     (_m("location", UNRESOLVED), "unknown", "'board did not name the cities'"), (_m("location", BARE_COUNTRY), "unknown", "'bare US location, remote vs onsite unstated'"), ("here", "fail", "'US but onsite outside target metros: ' || location"), ("TRUE", "fail", "'located ' || location"),
@@ -132,8 +132,8 @@ _RAILS = [  # (null or what the reason ends with, gate, score, how it begins) in
     ("CASE WHEN trim(title) = '' AND trim(description) = '' THEN '' END", "EXCLUDED", "0", "malformed: no title and no body"), (f"CASE WHEN {_CLOSED} < DATE '{AS_OF}' THEN CAST({_CLOSED} AS VARCHAR) END", "EXCLUDED", "0", "closed: "),
     ("CASE WHEN lane IS NULL THEN '' END", "EXCLUDED", "0", "no lane matched"),
     *[(f"CASE WHEN {_has('title', *terms)} THEN {_term('title', *terms)} END", "SLOT-BLOCKED", "weight", f"{label}: ") for label, terms in (("title always blocked", ("license",)), ("title blocked", ("of", "que")), ("competing platform", ("rivalforce",)), ("product in the title", ("cpq",)))],
-    (f"CASE WHEN len({_demanded('whole', 'cpq')}) > 0 THEN substr(whole, ({_demanded('whole', 'cpq')})[1], 3) END", "SLOT-BLOCKED", "weight", "product demanded: "), ("CASE WHEN verdict = 'fail' THEN place END", "EXCLUDED", "weight", "location: "),
-    *[(f"CASE WHEN {_undenied('whole', p)} IS NOT NULL THEN {_quote('whole', _undenied('whole', p), q)} END", "EXCLUDED", "weight", f"{label}: ") for label, p, q in (
+    (f"CASE WHEN len({demanded('whole', 'cpq')}) > 0 THEN substr(whole, ({demanded('whole', 'cpq')})[1], 3) END", "SLOT-BLOCKED", "weight", "product demanded: "), ("CASE WHEN verdict = 'fail' THEN place END", "EXCLUDED", "weight", "location: "),
+    *[(f"CASE WHEN {undenied('whole', p)} IS NOT NULL THEN {quote('whole', undenied('whole', p), q)} END", "EXCLUDED", "weight", f"{label}: ") for label, p, q in (
         ("quota", rails.QUOTA, rails.QUOTA), ("gambling", _whole("scum"), _only("scum")), ("credentials", _whole("password"), _only("password")), ("certificate refused", certificates_demanded(["cta"]), certificates_demanded(["cta"])), ("clearance", rails.CLEARANCE, rails.CLEARANCE))],
     (_unmet("years", "15 years"), "EXCLUDED", "weight", "requirement not met: "), ("CASE WHEN top < 70000 THEN CAST(top AS VARCHAR) END", "EXCLUDED", "weight", "pay below the screen: "),
 ]

@@ -10,11 +10,15 @@ from .registry import query, table
 from .views import cte, view
 
 
+PAGE = 50
+
+
 def _landed(items: DataFrame, source: str, board: str, item: str, body: str, order: str) -> DataFrame:
-    """raw_payloads with one page a board: `item` is one item's struct, `body` the whole body over `items`."""
-    made = items.groupBy(F.expr(board).alias("board")).agg(F.array_sort(F.collect_list(F.struct(F.expr(order).alias("o"), F.expr(item).alias("v")))).alias("x"))
+    """raw_payloads with pages of at most PAGE items a board, whatever the table's size: `item` is one item's struct, `body` the whole body over `items`."""
+    page = F.expr(f"CAST(({order}) div {PAGE} AS INT)").alias("page_no")
+    made = items.groupBy(F.expr(board).alias("board"), page).agg(F.array_sort(F.collect_list(F.struct(F.expr(order).alias("o"), F.expr(item).alias("v")))).alias("x"))
     made = made.withColumn("items", F.transform("x", lambda x: x["v"]))
-    return made.select(F.lit(source).alias("source"), "board", F.lit(1).alias("page_no"), F.expr(body).alias("body"))
+    return made.select(F.lit(source).alias("source"), "board", "page_no", F.expr(body).alias("body"))
 
 
 @query("""SELECT CAST(p_partkey AS VARCHAR) AS external_id, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_name END AS title, CASE WHEN p_partkey % 4 = 0 THEN 'Austin; Berlin' ELSE 'Denver' END AS location, p_type AS department,
@@ -84,7 +88,7 @@ def parsed_personio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.parse(raw, payloads.SPECS["personio"]).select("external_id", "title", "department", "description")
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS external_id, c_name AS title, CAST(count(*) OVER (PARTITION BY c_nationkey) AS BIGINT) AS reported_total FROM customer")
+@query("SELECT CAST(c_custkey AS VARCHAR) AS external_id, c_name AS title, CAST(count(*) OVER (PARTITION BY c_nationkey, c_custkey // 50) AS BIGINT) AS reported_total FROM customer")
 def parsed_phenom(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _landed(
         table(spark, sf_dir, "customer"), "phenom", "c_nationkey", "named_struct('jobId', CAST(c_custkey AS STRING), 'title', c_name, 'applyUrl', 'https://p.example.com/1')",
@@ -93,8 +97,7 @@ def parsed_phenom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.parse(raw, payloads.SPECS["phenom"]).select("external_id", "title", "reported_total")
 
 
-@query("""SELECT p_brand AS external_id, string_agg(DISTINCT CASE WHEN p_size % 2 = 0 THEN 'Austin' ELSE 'Berlin' END, '; ') AS unused, array_to_string(list_distinct_in_order, '; ') AS location FROM (
- SELECT p_brand, p_size, 0 AS x, CASE WHEN first(p_size % 2 ORDER BY p_partkey) OVER (PARTITION BY p_brand) = 0 THEN ['Austin', 'Berlin'] ELSE ['Berlin', 'Austin'] END AS list_distinct_in_order FROM part) GROUP BY p_brand, list_distinct_in_order""".replace("string_agg(DISTINCT CASE WHEN p_size % 2 = 0 THEN 'Austin' ELSE 'Berlin' END, '; ') AS unused, ", ""))
+@query("""SELECT p_brand AS external_id, string_agg(city, '; ' ORDER BY first) AS location FROM (SELECT p_brand, CASE WHEN p_size % 2 = 0 THEN 'Austin' ELSE 'Berlin' END AS city, min(p_partkey) AS first FROM part GROUP BY ALL) GROUP BY p_brand""")
 def merged_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _landed(
         table(spark, sf_dir, "part"), "workable", "'all'", "named_struct('title', p_brand, 'shortcode', p_brand, 'url', 'https://w.example.com', 'city', CASE WHEN p_size % 2 = 0 THEN 'Austin' ELSE 'Berlin' END)",
