@@ -170,8 +170,12 @@ def _members(asked: DataFrame, nodes: DataFrame, docs: DataFrame, k: int) -> Dat
     made = wanted.join(docs, wanted["rep"] == docs["id"]).select("node", "d1", "d2", "text").mapInArrow(make, "node long, members binary")
     if not wanted.filter("rep IS NULL").isEmpty():
         nameless = docs.filter("id IS NULL").select("text").mapInArrow(digests, "d1 long, d2 long, members binary")
-        made = made.unionByName(nameless.join(wanted.filter("rep IS NULL"), ["d1", "d2"]).select("node", "members"))
-    return durable(made.dropDuplicates(["node"]), "members")
+        # copies without an id are many rows of one digest: one of them goes on
+        first = nameless.join(wanted.filter("rep IS NULL"), ["d1", "d2"]).select("node", "members").dropDuplicates(["node"])
+        made = made.unionByName(first)
+    made = durable(made, "members")  # an id that repeats may give a node twice, which repeats a comparison
+    release(wanted)
+    return made
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -192,7 +196,9 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percen
     members = _members(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, docs, k)
     x = members.select(F.col("node").alias("a"), F.col("members").alias("x"))
     y = members.select(F.col("node").alias("b"), F.col("members").alias("y"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(test, "a long, b long")
+    links = durable(pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(test, "a long, b long"), "links")
+    release(members)
+    return links
 
 
 def _digest(raw: bytes) -> tuple[int, int]:
@@ -270,7 +276,9 @@ def _across(rows: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent:
 
     likely = durable(rows.groupBy("block").applyInArrow(sift, columns), "likely")
     members = _members(likely, nodes, docs, k)
-    return likely.join(members, "node").groupBy("block").applyInArrow(confirm, "a long, b long")
+    links = durable(likely.join(members, "node").groupBy("block").applyInArrow(confirm, "a long, b long"), "links")
+    release(likely, members)
+    return links
 
 
 def near_duplicates(
@@ -327,11 +335,11 @@ def near_duplicates(
     )
     # the likeliest partner first, the others where that leaves the ends apart
     best = tried.groupBy("b").agg(F.max(F.struct("matches", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    links = durable(_confirm(best, nodes, texts, k, threshold_percent), "links")
+    links = _confirm(best, nodes, texts, k, threshold_percent)
     roots = durable(components(links, "a", "b"), "roots")
     rest = durable(_apart(tried.select("a", "b").join(best, ["a", "b"], "left_anti"), roots), "rest")
     if not rest.isEmpty():
-        links = links.unionByName(durable(_confirm(rest, nodes, texts, k, threshold_percent), "links"))
+        links = links.unionByName(_confirm(rest, nodes, texts, k, threshold_percent))
         roots = durable(components(links, "a", "b"), "roots")
 
     # buckets that hold several components still
@@ -360,7 +368,8 @@ def near_duplicates(
     blocks = rows.select("bucket", "node", "comp", F.explode(steps).alias("at")).select(
         F.xxhash64("bucket", "at.o", "at.p", "at.kind").alias("block"), F.col("bucket").bitwiseAND(F.lit(255)).cast("int").alias("band"), "at.side", "comp", "node"
     )
-    more = durable(_across(blocks.join(nodes.select("node", "n", "sign"), "node").select("block", "band", "side", "comp", "node", "n", "sign"), nodes, texts, k, threshold_percent, miss, places), "links")
+    signed_blocks = blocks.join(nodes.select("node", "n", "sign"), "node").select("block", "band", "side", "comp", "node", "n", "sign")
+    more = _across(signed_blocks, nodes, texts, k, threshold_percent, miss, places)
     if not more.isEmpty():
         links = links.unionByName(more)
         roots = durable(components(links, "a", "b"), "roots")
