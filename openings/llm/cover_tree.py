@@ -1,40 +1,42 @@
 """Exact top-k by inner product: dual-tree search with cover trees.
 
-Both sides are cut into regions around pivots, and each region becomes a
-cover tree in its own task: nodes with a centre, a covering radius (over all
-their points) and the largest norm.  A query node and a data node are
-compared by one bound on all their inner products,
-
-    <q, d> <= <cq, cd> + rq * |cd| + rd * |cq| + rq * rd,
-
-and the pair is pruned when the bound is below the worst k-th score of the
-query node's queries.  What isn't pruned is split further, down to leaves,
-which are scored exactly in integers.
-
-Spark deals the work: first every query region meets the few data regions
-nearest to it, which gives each query a k-th score to beat; then (query
-region, data region) pairs whose root bounds can beat it are joined, each to
-one task; the k best of each query's lists are merged.  No task holds more than
-one region of either side.
+Both sides are cover trees that Spark builds from the top: a cell of more than
+`region` vectors is split around pivots of its own (every vector goes to its
+nearest one), level by level, until all cells are small; then each cell's lower
+part is built in its own task, once, and stored as one row.  Every node has a
+centre, a covering radius over all its vectors, and so, for a query node and a
+data node, one bound on all their inner products,
+
+    <q, d> <= <cq, cd> + rq * |cd| + rd * |cq| + rq * rd.
+
+The search goes down both trees together.  First every query cell meets the few
+data cells whose centres score highest with its own, which gives each query a
+k-th score to beat.  Then pairs of nodes are joined level by level, and a pair
+goes whose bound is below the worst k-th score of the query node's queries.  The
+pairs of cells that are left are one task each, in which the lower parts are
+searched alike, down to leaves whose vectors are scored exactly in integers.
+The k best of each query's lists are merged.  No task holds more than one cell
+of either side, and the driver sees counts only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .durable import durable
 
-LEAF, QUERY_LEAF = 256, 32
-#: Below every score.  Scores are integers in doubles, which hold them exactly up to 2^53.
-NONE = -float(1 << 62)
-REGION = 4096
+LEAF, QUERY_LEAF = 64, 16
+#: Below every score.
+NONE = -(1 << 62)
+#: Vectors of a data cell, of a query cell; pivots of a split, and sampled vectors for each.
+REGION, QUERIES = 4096, 1024
+FAN, SAMPLE = 64, 64
 
 
 @dataclass
@@ -97,29 +99,54 @@ def _offer(best_s: np.ndarray, best_i: np.ndarray, rows: np.ndarray, scores: np.
         best_s[rows[r]], best_i[rows[r]] = s[by], i[by]
 
 
-def dual_search(q: np.ndarray, q_ids: np.ndarray, d: np.ndarray, d_ids: np.ndarray, k: int, kth: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+@dataclass
+class Cell:
+    """The lower part of a tree: vectors (integers, in doubles where these hold every score), ids, root and order."""
+
+    x: np.ndarray
+    ids: np.ndarray
+    root: Node
+    order: np.ndarray
+
+
+def pack(cell: Cell) -> bytes:
+    """A cell as bytes of plain arrays and tuples."""
+    plain = lambda n: (n.start, n.end, n.centre, n.radius, n.norm, [plain(c) for c in n.children])
+    return pickle.dumps((cell.x, cell.ids, plain(cell.root), cell.order))
+
+
+def unpack(raw: bytes) -> Cell:
+    x, ids, root, order = pickle.loads(raw)
+    node = lambda t: Node(*t[:5], [node(c) for c in t[5]])
+    return Cell(x, ids, node(root), order)
+
+
+def make_cell(x: np.ndarray, ids: np.ndarray, leaf: int) -> Cell:
+    root, order = build_tree(x.astype(np.float64), leaf)
+    return Cell(x, ids, root, order)
+
+
+def dual_search(q: Cell, d: Cell, k: int, kth: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """The k best (scores, ids) of each query among d that reach kth (a known k-th score of each query), and the
-    number of pairs scored.  Unused places have the smallest score.
+    number of pairs scored.  Unused places have the score NONE.
     """
-    best_s, best_i = np.full((len(q), k), NONE), np.full((len(q), k), np.iinfo(np.int64).max)
-    q, d = q.astype(np.float64), d.astype(np.float64)
-    q_tree, q_order = build_tree(q, QUERY_LEAF)
-    d_tree, d_order = build_tree(d)
-    scored = 0
+    best_s, best_i = np.full((len(q.ids), k), NONE, q.x.dtype), np.full((len(q.ids), k), np.iinfo(np.int64).max)
+    kth, scored = kth.astype(q.x.dtype), 0
 
     def bound(a: Node, b: Node) -> float:
         return float(a.centre @ b.centre) + a.radius * b.norm + b.radius * a.norm + a.radius * b.radius
 
     def visit(a: Node, b: Node) -> None:
         nonlocal scored
-        rows = q_order[a.start : a.end]
-        worst = np.maximum(best_s[rows, k - 1], kth[rows]).min()
-        if bound(a, b) * (1 + 1e-9) + 1e-6 < worst:
+        rows = q.order[a.start : a.end]
+        worst = float(np.maximum(best_s[rows, k - 1], kth[rows]).min())
+        most = bound(a, b)
+        if most + abs(most) * 1e-9 + 1e-6 < worst - abs(worst) * 1e-12:
             return
         if not a.children and not b.children:
-            cols = d_order[b.start : b.end]
+            cols = d.order[b.start : b.end]
             scored += len(rows) * len(cols)
-            _offer(best_s, best_i, rows, q[rows] @ d[cols].T, d_ids[cols], q_ids, k)
+            _offer(best_s, best_i, rows, q.x[rows] @ d.x[cols].T, d.ids[cols], q.ids, k)
             return
         if b.children and (not a.children or b.radius >= a.radius):
             for c in sorted(b.children, key=lambda c: -bound(a, c)):
@@ -128,22 +155,100 @@ def dual_search(q: np.ndarray, q_ids: np.ndarray, d: np.ndarray, d_ids: np.ndarr
             for c in a.children:
                 visit(c, b)
 
-    if len(q) and len(d):
-        visit(q_tree, d_tree)
+    if len(q.ids) and len(d.ids):
+        visit(q.root, d.root)
     return best_s, best_i, scored
 
 
 def _vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """(id, v): floor(scale * x) of every vector without null or non-finite components."""
-    whole = F.col(vector_col).isNotNull() & ~F.exists(vector_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    made = df.filter(F.col(id_col).isNotNull() & F.coalesce(whole, F.lit(False))).select(
+    whole = F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & ~F.exists(vector_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return df.filter(F.col(id_col).isNotNull() & F.coalesce(whole, F.lit(False))).select(
         F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long")).alias("v")
     )
-    return made
 
 
-def _matrix(column) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.int64) if len(column) else np.zeros((0, 0), np.int64)
+def _matrix(column: pd.Series, kind: type = np.int64) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(kind)
+
+
+def _pivots(pool: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Up to n rows of pool, each drawn by its squared distance from those before."""
+    rng, chosen = np.random.default_rng(seed), [0]
+    nearest = ((pool - pool[0]) ** 2).sum(axis=1)
+    while len(chosen) < n and nearest.sum() > 0:
+        chosen.append(int(rng.choice(len(pool), p=nearest / nearest.sum())))
+        nearest = np.minimum(nearest, ((pool - pool[chosen[-1]]) ** 2).sum(axis=1))
+    return pool[chosen]
+
+
+def _cells(points: DataFrame, region: int, seed: int) -> tuple[DataFrame, int]:
+    """points with cell, the path of numbers that leads to it, and the depth of the deepest; no cell has much more than `region` vectors.
+
+    A level splits all larger cells: pivots come from at most SAMPLE * FAN
+    vectors of a cell (the result doesn't depend on them), and a cell is dealt
+    to as many tasks as it has regions.  Vectors that are all one are dealt by hash.
+    """
+    placed, depth = points.withColumn("cell", F.array(F.lit(0).cast("long"))), 0
+    while True:
+        sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > region).withColumn("pieces", F.ceil(F.col("n") / region))
+        sizes = durable(sizes, "sizes")
+        if sizes.isEmpty():
+            return placed, depth
+        depth += 1
+        large = placed.join(sizes, "cell")
+        order = Window.partitionBy("cell").orderBy(F.xxhash64(F.lit(seed + depth), "id"), "id")
+        sample = large.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE * FAN)
+
+        def choose(group: pd.DataFrame) -> pd.DataFrame:
+            made = _pivots(_matrix(group["v"], np.float64), int(min(FAN, max(2, group["pieces"].iloc[0]))), seed)
+            return pd.DataFrame({"cell": [group["cell"].iloc[0]], "pieces": [group["pieces"].iloc[0]], "pivots": [made.tobytes()]})
+
+        pivots = sample.select("cell", "pieces", "v").groupBy("cell").applyInPandas(choose, "cell array<long>, pieces long, pivots binary")
+        pivots = pivots.select("cell", "pivots", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))
+
+        def deal(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+            if not len(rows):  # pivots of a piece that no vector fell into
+                return pd.DataFrame({"id": pd.Series(dtype=np.int64), "v": pd.Series(dtype=object), "cell": pd.Series(dtype=object)})
+            x = _matrix(rows["v"], np.float64)
+            centres = np.frombuffer(own["pivots"].iloc[0]).reshape(-1, x.shape[1])
+            child = ((centres**2).sum(axis=1)[None, :] - 2 * x @ centres.T).argmin(axis=1)
+            if len(centres) == 1:
+                child = np.full(len(x), rows["piece"].iloc[0])
+            return pd.DataFrame({"id": rows["id"], "v": rows["v"], "cell": [np.append(c, n) for c, n in zip(rows["cell"], child, strict=True)]})
+
+        pieces = large.select("id", "v", "cell", F.pmod(F.xxhash64(F.lit(depth), "id"), "pieces").alias("piece")).groupBy("cell", "piece")
+        split = pieces.cogroup(pivots.groupBy("cell", "piece")).applyInPandas(deal, "id long, v array<long>, cell array<long>")
+        placed = durable(placed.join(sizes, "cell", "left_anti").select("id", "v", "cell").unionByName(split), "placed")
+
+
+def _builder(leaf: int, kind: type):
+    def build(group: pd.DataFrame) -> pd.DataFrame:
+        cell = make_cell(_matrix(group["v"]).astype(kind), group["id"].to_numpy(np.int64), leaf)
+        root = cell.root
+        return pd.DataFrame({"cell": [group["cell"].iloc[0]], "centre": [root.centre], "radius": [root.radius], "norm": [root.norm], "ids": [cell.ids], "tree": [pack(cell)]})
+
+    return build
+
+
+def _dot(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def _nodes(cells: DataFrame, depth: int) -> list[DataFrame]:
+    """By depth, from the root: node (path), centre, radius, norm of the nodes there; a cell that ends higher up stands for itself below."""
+
+    def cover(group: pd.DataFrame) -> pd.DataFrame:
+        centres = _matrix(group["centre"], np.float64)
+        mean = centres.mean(axis=0)
+        far = np.sqrt(((centres - mean) ** 2).sum(axis=1)) + group["radius"].to_numpy()
+        return pd.DataFrame({"node": [group["up"].iloc[0]], "centre": [mean], "radius": [float(far.max())], "norm": [float(np.sqrt((mean**2).sum()))]})
+
+    levels = [cells.select(F.col("cell").alias("node"), "centre", "radius", "norm")]
+    for at in range(depth, 0, -1):  # a node's children are at most FAN
+        up = levels[0].withColumn("up", F.slice("node", 1, at))
+        levels.insert(0, durable(up.groupBy("up").applyInPandas(cover, "node array<long>, centre array<double>, radius double, norm double"), "nodes"))
+    return levels
 
 
 def top_k(
@@ -160,118 +265,92 @@ def top_k(
     """One row a query and rank: query_id, rank (from 1), vec_id, score; exact.
 
     Vectors are turned into integers floor(scale * x); score is their inner
-    product.  Candidates are all rows of data but those with the query's id;
-    ties go to the smaller id; fewer than k candidates give fewer rows.
-    Vectors that are null or hold null or non-finite components, and rows with
-    a null id, take no part; all others must have one length.  Rows that
-    repeat an id are one candidate, and one query, each with its best score.
-    Other columns aren't read; an empty side gives an empty result.
-
-    Regions come from a bounded sample of at most 64 * 256 rows (pivots only:
-    every row is indexed and the result doesn't depend on it).  A region with
-    more than `region` rows is dealt into pieces of about that size by hash.
+    product, exact as a 64-bit integer (larger ones raise an error).
+    Candidates are all rows of data but those with the query's id; ties go to
+    the smaller id; fewer than k candidates give fewer rows.  Vectors that are
+    null, empty, hold null or non-finite components, or have another length
+    than most of data (of several the smallest), and rows with a null id, take
+    no part.  Rows that repeat an id are one candidate, and one query, each
+    with its best score.  Other columns aren't read; an empty side gives an
+    empty result.
     """
     spark = data.sparkSession
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     points = durable(_vectors(data, id_col, vector_col, scale).distinct(), "points")
-    asked = durable(_vectors(queries, id_col, vector_col, scale).distinct(), "asked")
-    n = points.count()
-    if not n or asked.isEmpty():
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    n_pivots = int(min(256, max(1, n // region)))
-    sample = points.orderBy(F.xxhash64(F.lit(seed), "id")).limit(64 * n_pivots).toPandas()
-    pool = _matrix(sample["v"]).astype(np.float64)
-    pivots = [0]
-    nearest = ((pool - pool[0]) ** 2).sum(axis=1)
-    rng = np.random.default_rng(seed)
-    for _ in range(n_pivots - 1):
-        if nearest.sum() <= 0:
-            break
-        c = int(rng.choice(len(pool), p=nearest / nearest.sum()))
-        pivots.append(c)
-        nearest = np.minimum(nearest, ((pool - pool[c]) ** 2).sum(axis=1))
-    # queries are fewer: the first pivots make their cells, so that few regions of data copies are needed
-    group = 4 * LEAF
-    centres = {"d": pool[pivots], "q": pool[pivots[: max(1, min(len(pivots), asked.count() // group))]]}
-
-    def assign(df: DataFrame, side: str, size: int) -> DataFrame:
-        own = centres[side]
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                x = _matrix(batch["v"]).astype(np.float64)
-                if len(x):
-                    d = (own**2).sum(axis=1)[None, :] - 2 * x @ own.T
-                    yield batch.assign(cell=d.argmin(axis=1))
-
-        placed = df.mapInPandas(run, "id long, v array<long>, cell long")
-        sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).alias("pieces"))
-        return durable(
-            placed.join(F.broadcast(sizes), "cell").select(
-                "id", "v", (F.col("cell") * F.lit(1 << 20) + F.pmod(F.xxhash64("id"), "pieces")).alias(side)
-            ),
-            side,
-        )
-
-    points, asked = assign(points, "d", region), assign(asked, "q", group)
-
-    def summary(df: DataFrame, side: str) -> DataFrame:
-        """Per region: the covering radius around its cell's centre."""
-        own = centres[side]
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                x = _matrix(batch["v"]).astype(np.float64)
-                if len(x):
-                    cell = batch[side].to_numpy() >> 20
-                    far = np.sqrt(((x - own[cell]) ** 2).sum(axis=1))
-                    yield pd.DataFrame({side: batch[side], "radius": far})
-
-        return df.mapInPandas(run, f"{side} long, radius double").groupBy(side).agg(F.max("radius").alias(f"{side}_radius"))
-
-    # how the cells' centres stand to each other: at most 256 x 256 rows
-    q_norms, d_norms = (np.sqrt((centres[side] ** 2).sum(axis=1)) for side in "qd")
-    dots = centres["q"] @ centres["d"].T
-    place = np.argsort(np.argsort(-dots, axis=1, kind="stable"), axis=1)
-    cells = spark.createDataFrame(
-        [(i, j, float(dots[i, j]), float(q_norms[i]), float(d_norms[j]), int(place[i, j])) for i in range(len(q_norms)) for j in range(len(d_norms))],
-        "q_cell long, d_cell long, dot double, q_norm double, d_norm double, place int",
-    )
-    bound = F.col("dot") + F.col("q_radius") * F.col("d_norm") + F.col("q_norm") * F.col("d_radius") + F.col("q_radius") * F.col("d_radius")
-    # pairs of regions (not of rows); to begin with, the first piece of the cells whose centres score highest
-    plan = durable(
-        summary(asked, "q").withColumn("q_cell", F.shiftright("q", 20))
-        .join(F.broadcast(cells), "q_cell")
-        .join(summary(points, "d").withColumn("d_cell", F.shiftright("d", 20)), "d_cell")
-        .select("q", "d", bound.alias("bound"), ((F.col("place") < seeds) & (F.col("d") % (1 << 20) == 0)).alias("first")),
-        "plan",
-    )
-
-    def search(plan: DataFrame, asked: DataFrame) -> DataFrame:
-        """Each planned (q, d) pair in one task: the k best of its queries."""
-        plan = plan.select("q", "d", F.xxhash64("q", "d").alias("pair"))
-        left = asked.join(plan, "q").select("pair", "id", "v", "kth", F.lit(True).alias("is_query"))
-        right = points.join(plan, "d").select("pair", "id", "v", F.lit(None).cast("long").alias("kth"), F.lit(False).alias("is_query"))
+    usual = points.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    if usual is None:
+        return empty
+    points = points.filter(F.size("v") == usual["size"])
+    asked = durable(_vectors(queries, id_col, vector_col, scale).filter(F.size("v") == usual["size"]).distinct(), "asked")
+    # the size of scores: at most dimensions * the largest component of either side
+    largest = lambda df: df.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))).alias("m")).first()["m"]
+    ours, theirs = largest(points), largest(asked)
+    if theirs is None:
+        return empty
+    most = usual["size"] * ours * theirs
+    if most >= 2.0**63:
+        raise ValueError("scores beyond 64-bit integers")
+    kind = np.float64 if most < 2.0**53 else np.int64
+    sides = {}
+    for side, df, size, leaf in (("d", points, region, LEAF), ("q", asked, min(region, QUERIES), QUERY_LEAF)):
+        placed, depth = _cells(df, size, seed)
+
+        cells = durable(placed.groupBy("cell").applyInPandas(_builder(leaf, kind), "cell array<long>, centre array<double>, radius double, norm double, ids array<long>, tree binary"), side)
+        sides[side] = (cells, _nodes(cells, depth), depth)
+    (d_cells, d_levels, d_depth), (q_cells, q_levels, q_depth) = sides["d"], sides["q"]
+
+    def pairs(worst: list[DataFrame] | None, beam: int | None = None) -> DataFrame:
+        """(q, d) pairs of cells, from the roots down: those whose bound reaches the query node's worst k-th score, or the `beam` most promising of each query node."""
+        now = None
+        for at in range(max(q_depth, d_depth) + 1):
+            a, b = q_levels[min(at, q_depth)].toDF("q", "q_centre", "q_radius", "q_norm"), d_levels[min(at, d_depth)].toDF("d", "d_centre", "d_radius", "d_norm")
+            if now is not None:  # children of both; a node that ends higher up is its own
+                a, b = a.withColumn("q_up", F.slice("q", 1, at)), b.withColumn("d_up", F.slice("d", 1, at))
+                a, b = now.join(a, "q_up"), b
+                met = a.join(b, "d_up")
+            else:
+                met = a.withColumn("one", F.lit(1)).join(b.withColumn("one", F.lit(1)), "one")  # the two roots
+            dot = _dot("q_centre", "d_centre")
+            met = met.select("q", "d", dot.alias("dot"), (dot + F.col("q_radius") * F.col("d_norm") + F.col("q_norm") * F.col("d_radius") + F.col("q_radius") * F.col("d_radius")).alias("bound"))
+            if beam:
+                met = met.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("dot"), "d"))).filter(F.col("place") <= beam)
+            else:
+                met = met.join(worst[min(at, q_depth)], "q", "left")
+                met = met.filter(F.col("worst").isNull() | (F.col("bound") + F.abs("bound") * 1e-9 + 1e-6 >= F.col("worst") - F.abs("worst") * 1e-12))
+            now = durable(met.select(F.col("q").alias("q_up"), F.col("d").alias("d_up")), "pairs")
+        return now.toDF("q", "d")
+
+    def search(plan: DataFrame, known: DataFrame | None) -> DataFrame:
+        """Each (q, d) pair of cells in one task: the k best of its queries."""
+        plan = plan.select("q", "d", F.monotonically_increasing_id().alias("pair"))
+        kths = known.groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("id", "kth"))).alias("kths")) if known is not None else None  # a cell's queries
+        left = q_cells.select(F.col("cell").alias("q"), "tree")
+        left = left.join(kths, "q", "left") if kths is not None else left.withColumn("kths", F.lit(None).cast("map<long,long>"))
+        rows = plan.join(left, "q").select("pair", "tree", "kths", F.lit(True).alias("is_query"))
+        others = plan.join(d_cells.select(F.col("cell").alias("d"), "tree"), "d").select("pair", "tree", F.lit(None).cast("map<long,long>").alias("kths"), F.lit(False).alias("is_query"))
 
         def run(group: pd.DataFrame) -> pd.DataFrame:
-            a, b = group[group["is_query"]], group[~group["is_query"]]
-            q_ids = a["id"].to_numpy(np.int64)
-            kth = a["kth"].astype(float).fillna(NONE).to_numpy()
-            s, i, _ = dual_search(_matrix(a["v"]), q_ids, _matrix(b["v"]), b["id"].to_numpy(np.int64), k, kth)
-            row, col = np.nonzero((s > NONE) & (s >= kth[:, None]))
-            return pd.DataFrame({"query_id": q_ids[row], "vec_id": i[row, col], "score": s[row, col].astype(np.int64)})
+            a, b = group[group["is_query"]].iloc[0], group[~group["is_query"]].iloc[0]
+            q, d = unpack(a["tree"]), unpack(b["tree"])
+            have = dict(a["kths"]) if a["kths"] is not None else {}
+            kth = np.array([have.get(int(i), NONE) for i in q.ids], np.int64)
+            s, i, _ = dual_search(q, d, k, kth)
+            row, col = np.nonzero((s > NONE) & (s >= kth.astype(s.dtype)[:, None]))
+            return pd.DataFrame({"query_id": q.ids[row], "vec_id": i[row, col], "score": s[row, col].astype(np.int64)})
 
-        return left.unionByName(right).groupBy("pair").applyInPandas(run, "query_id long, vec_id long, score long")
+        return rows.unionByName(others).groupBy("pair").applyInPandas(run, "query_id long, vec_id long, score long")
 
     def best(found: DataFrame) -> DataFrame:
         one = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return one.select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
 
-    no_kth = asked.withColumn("kth", F.lit(None).cast("long"))
-    first = durable(best(search(plan.filter("first"), no_kth)), "first")
+    started = durable(pairs(None, seeds), "started")
+    first = durable(best(search(started, None)), "first")
     kth = first.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
-    known = durable(asked.join(kth, "id", "left"), "known")
-    worst = known.groupBy("q").agg(F.when(F.count("kth") == F.count(F.lit(1)), F.min("kth")).alias("worst"))
-    rest = plan.filter("NOT first").join(worst, "q").filter(F.col("worst").isNull() | (F.col("bound") * (1 + 1e-9) + 1e-6 >= F.col("worst")))
-    again = search(rest.select("q", "d"), known)
+    known = durable(q_cells.select(F.col("cell").alias("q"), F.explode("ids").alias("id")).distinct().join(kth, "id", "left"), "known")
+    # of each node the worst k-th score of its queries; unknown where one of them has none yet
+    worst = [known.groupBy(F.slice("q", 1, at + 1).alias("q") if at < q_depth else F.col("q")).agg(F.when(F.count("kth") == F.count(F.lit(1)), F.min("kth")).alias("worst")) for at in range(q_depth + 1)]
+    rest = pairs(worst).join(started, ["q", "d"], "left_anti")
+    again = search(rest, known.filter("kth IS NOT NULL"))
     return best(first.select("query_id", "vec_id", "score").unionByName(again))

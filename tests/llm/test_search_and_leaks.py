@@ -4,7 +4,7 @@ import re
 import numpy as np
 
 from openings.llm.bitmaps import bitmap, may_be, size_for
-from openings.llm.cover_tree import NONE, build_tree, dual_search, top_k
+from openings.llm.cover_tree import LEAF, NONE, QUERY_LEAF, build_tree, dual_search, make_cell, top_k
 from openings.llm.decontaminate import LEAST_TOKENS, MASKS, SHORT, SHORT_MASKS, _best_stretch, decontaminate, find_leaks
 
 
@@ -36,11 +36,13 @@ def test_dual_search_prunes_and_is_exact():
     centres = rng.standard_normal((20, 8)) * 400
     d = np.round(centres[rng.integers(0, 20, 3000)] + rng.standard_normal((3000, 8)) * 4).astype(np.int64)
     q = d[::30]
-    s, i, scored = dual_search(q, np.arange(0, 3000, 30), d, np.arange(3000), 5, np.full(100, NONE))
+    ids = np.arange(0, 3000, 30)
     full = q @ d.T
-    full[np.arange(100), np.arange(0, 3000, 30)] = NONE
-    assert (s == -np.sort(-full, axis=1)[:, :5]).all()
-    assert scored < 0.85 * full.size
+    full[np.arange(100), ids] = NONE
+    for kind in (np.float64, np.int64):
+        s, _, scored = dual_search(make_cell(q.astype(kind), ids, QUERY_LEAF), make_cell(d.astype(kind), np.arange(3000), LEAF), 5, np.full(100, NONE))
+        assert (s == -np.sort(-full, axis=1)[:, :5]).all()
+        assert scored < 0.6 * full.size
 
 
 def test_top_k(spark):
@@ -53,6 +55,12 @@ def test_top_k(spark):
     queries = df.filter("vec_id % 50 = 0")
     got = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in top_k(df, queries, region=64).collect())
     assert got == brute_top(vectors, [v for v in vectors if v[0] % 50 == 0], 5)
+    odd = df.unionByName(spark.createDataFrame([(3000, [], "x", 1), (3050, [1.0, 2.0], "x", 1), (3100, [], "x", 1)], df.schema))
+    assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in top_k(odd, odd.filter("vec_id % 50 = 0"), region=64).collect()) == got
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(150)], "vec_id long, embedding array<double>")
+    assert {(x.query_id, x.vec_id) for x in top_k(same, same.filter("vec_id = 0"), region=20).collect()} == {(0, i) for i in range(1, 6)}
+    large = spark.createDataFrame([(i, [(2.0**28 + i) * (-1) ** j for j in range(3)]) for i in range(20)], "vec_id long, embedding array<double>")
+    assert {x.score for x in top_k(large, large.filter("vec_id = 0"), k=1, scale=1).collect()} == {3 * 2**28 * (2**28 + 19)}
     few = df.filter("vec_id IN (0, 1000)")
     assert [(x.query_id, x.vec_id) for x in top_k(few, few).orderBy("query_id").collect()] == [(0, 1000), (1000, 0)]
     assert top_k(df.filter("false"), queries).count() == 0 and top_k(df, df.filter("false")).count() == 0
