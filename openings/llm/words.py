@@ -64,7 +64,7 @@ class Words:
         return np.repeat(np.arange(self.last - self.first), np.diff(self.bounds))
 
 
-def _cut(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray, first: int, last: int) -> Words:
+def _cut(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray, first: int, last: int, hashed: bool) -> Words:
     data = _LOWER[raw]
     inside = ~separators[data]
     begins = inside.copy()
@@ -75,6 +75,11 @@ def _cut(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray, first: in
     if not len(starts):
         empty = np.zeros(0, np.int64)
         return Words(first, last, np.zeros(0, np.uint64), np.zeros(last - first + 1, np.int64), empty, empty, data)
+    if not hashed:
+        closes = inside.copy()
+        closes[:-1] &= ~inside[1:]
+        closes[edges - 1] = inside[edges - 1]
+        return Words(first, last, np.zeros(0, np.uint64), np.searchsorted(starts, offsets), starts, np.flatnonzero(closes) + 1, data)
     lengths = np.add.reduceat(inside.astype(np.int64), starts)
     place = np.arange(len(data), dtype=np.int64) - starts[np.maximum(np.cumsum(begins) - 1, 0)]
     value = (data.astype(np.uint64) + np.uint64(1)) * _PLACE[place & (_PLACES - 1)]
@@ -85,8 +90,8 @@ def _cut(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray, first: in
     return Words(first, last, hashes, np.searchsorted(starts, offsets), starts, starts + lengths, data)
 
 
-def cut_words(texts: pa.Array, separators: np.ndarray = SPACES) -> Iterator[Words]:
-    """The words of every row (null: none), in chunks of about CHUNK_BYTES."""
+def cut_words(texts: pa.Array, separators: np.ndarray = SPACES, hashed: bool = True) -> Iterator[Words]:
+    """The words of every row (null: none), in chunks of about CHUNK_BYTES; without hashes where only places are asked for."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.fill_null("").cast(pa.large_binary())
@@ -100,7 +105,7 @@ def cut_words(texts: pa.Array, separators: np.ndarray = SPACES) -> Iterator[Word
     while first < n:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK_BYTES, side="right")) - 1)
         last = min(last, n)
-        yield _cut(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], separators, first, last)
+        yield _cut(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], separators, first, last, hashed)
         first = last
 
 
