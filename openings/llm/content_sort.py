@@ -6,7 +6,9 @@
    are neighbours.  A window over the sorted rows starts a new group wherever
    a row differs, byte for byte, from the one before it, and takes the group's
    smallest identifier.  Texts are shuffled once; nothing is hashed to decide
-   whether two of them are equal.
+   whether two of them are equal.  A splitter is a text's first `HEAD`
+   characters and a hash that orders texts of one head, so that what is
+   sampled stays small however long texts are.
 3. A text with so many copies that they would fill a task is sorted in pieces:
    (text, piece) is the sort key then.  Which texts these are follows from
    sums of bytes by a hash of the text (8 bytes a row are shuffled for it, and
@@ -32,6 +34,9 @@ LEAST_BYTES = 1 << 17
 #: What a row takes besides its text.
 ROW_BYTES = 64
 
+#: Characters of a text in a splitter.
+HEAD = 64
+
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -57,10 +62,13 @@ def _runs(docs: DataFrame, id_col: str, text_col: str, least_bytes: int, *carrie
     large = _large(rows, least_bytes)
     # copies are dealt to pieces by their ids; rows without one by their place
     spread = F.pmod(F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id())), "pieces")
-    keyed = rows.withColumn("hash", F.xxhash64("body")).join(F.broadcast(large), "hash", "left").withColumn("piece", F.when(F.col("pieces").isNotNull(), spread).otherwise(F.lit(-1))).drop("hash", "pieces")
-    run = Window.partitionBy("body", "piece").orderBy(F.col("doc_id").asc_nulls_last())
+    keyed = (
+        rows.withColumn("head", F.substring("body", 1, HEAD)).withColumn("hash", F.xxhash64("body"))
+        .join(F.broadcast(large), "hash", "left").withColumn("piece", F.when(F.col("pieces").isNotNull(), spread).otherwise(F.lit(-1)))
+    )
+    run = Window.partitionBy("head", "hash", "body", "piece").orderBy(F.col("doc_id").asc_nulls_last())
     return (
-        keyed.repartitionByRange("body", "piece")
+        keyed.repartitionByRange("head", "hash", "piece")
         .withColumn("place", F.row_number().over(run))
         .withColumn("least", F.first("doc_id").over(run))
         .withColumn("size", F.count(F.lit(1)).over(run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
