@@ -140,12 +140,14 @@ def slug_candidates(name: Column) -> Column:
 
 
 def sentences(c: Column, least_words: int = 3) -> Column:
-    """Sentences of a draft, without Markdown furniture, of at least so many words."""
-    lines = F.split(F.coalesce(c, F.lit("")), "\n")
-    clean = F.transform(lines, lambda x: F.regexp_replace(x, r"^\s*(?:[#>*-]+|\d+\.)\s*", ""))
-    split = F.flatten(F.transform(clean, lambda x: F.split(x, r"(?<=[.!?])\s+(?=[\p{Lu}\"'(])")))
-    trimmed = F.transform(split, lambda s: F.trim(s))
-    return F.filter(trimmed, lambda s: F.size(F.regexp_extract_all(s, F.lit(r"\S+"), F.lit(0))) >= least_words)
+    """Sentences of a draft, in order, of at least so many words: no Markdown furniture before a line, no fences.
+
+    A sentence ends at . ! or ? before white space and a capital (A-Z), quote or bracket.
+    """
+    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    lines = F.transform(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: bare(F.regexp_replace(bare(x), r"^[-*#>]+", "")))
+    split = F.flatten(F.transform(F.filter(lines, lambda x: ~x.startswith("```")), lambda x: F.split(x, r"(?<=[.!?])\s+(?=[A-Z\"'(])")))
+    return F.filter(F.transform(split, bare), lambda s: F.regexp_count(s, F.lit(r"\S+")) >= least_words)
 
 
 def scorable_text(title: Column, location: Column, department: Column, description: Column) -> Column:

@@ -16,8 +16,12 @@ def run_rows(marks: DataFrame) -> DataFrame:
 
 
 def run_scopes(attempts: DataFrame) -> DataFrame:
-    """(run_id, attempted, failed, complete) of attempts (run_id, source, ok): distinct sources; a run is complete if none failed in its last attempt."""
-    last = attempts.groupBy("run_id", "source").agg(F.max_by("ok", "ord").alias("ok"))
+    """(run_id, attempted, failed, complete) of attempts (run_id, source, ok, ord): distinct sources; a run is complete if none failed in its last attempt.
+
+    Of attempts that tie as the last one, a failure counts; a null ok is one.
+    """
+    bad = ~F.coalesce("ok", F.lit(False))
+    last = attempts.groupBy("run_id", "source").agg((~F.max(F.struct("ord", bad.alias("bad"))).getField("bad")).alias("ok"))
     return last.groupBy("run_id").agg(F.count(F.lit(1)).alias("attempted"), F.count_if(~F.coalesce("ok", F.lit(False))).alias("failed")).withColumn("complete", F.col("failed") == 0)
 
 

@@ -213,7 +213,7 @@ def run_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _runs(spark, sf_dir)
 
 
-@query("""WITH l AS (SELECT l_orderkey AS run_id, l_suppkey % 5 AS source, arg_max(l_returnflag <> 'R', l_linenumber * 10000000 + l_partkey) AS ok FROM lineitem GROUP BY 1, 2)
+@query("""WITH l AS (SELECT l_orderkey AS run_id, l_suppkey % 5 AS source, arg_max(l_returnflag <> 'R', (l_linenumber * 10000000 + l_partkey, l_returnflag = 'R')) AS ok FROM lineitem GROUP BY 1, 2)
 SELECT run_id, count(*) AS attempted, count(*) FILTER (NOT ok) AS failed, count(*) FILTER (NOT ok) = 0 AS complete FROM l GROUP BY run_id""")
 def run_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_scopes(table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS run_id", "l_suppkey % 5 AS source", "l_returnflag <> 'R' AS ok", "l_linenumber * 10000000 + l_partkey AS ord"))

@@ -157,9 +157,6 @@ def test_lint(spark):
     drafts = spark.createDataFrame([(1, "I raised revenue by 45% at Initech Global Systems over three long years."), (2, "I raised revenue by 45% at Initech Global Systems over four long years."), (3, "Something else was written by another person here today.")], "doc_id long, text string")
     register = spark.createDataFrame([("45% growth",)], "text string")
     assert sorted((x.doc_id, x.kind) for x in lint.claims(drafts, register).collect()) == [(1, "name"), (2, "name")]
-    assert [(x.left_doc, x.right_doc) for x in lint.alike_sentences(drafts).collect()] == [(1, 2)]
-    loud = spark.createDataFrame([(1, "A proven track record — and — more — here")], "doc_id long, text string")
-    assert sorted(x.check for x in lint.voice(loud).collect()) == ["dead phrase", "em dash"]
 
 
 def test_sinks(spark, tmp_path):
