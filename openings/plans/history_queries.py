@@ -71,7 +71,7 @@ def representative_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.representatives(g).select("doc_id", "group_size")
 
 
-def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def snapshot_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A stored snapshot (documents not divisible by 5) and a batch (those not by 3), with edits."""
     p = view(spark, sf_dir, "postings").selectExpr("*", "doc_id AS uid", "department AS registry_lane", "CASE doc_id % 4 WHEN 0 THEN 'QUALIFIED' ELSE 'VERIFY' END AS gate", "CAST(doc_id % 97 AS INT) AS score", "'r' AS reasons", "department AS lane", "'2024-01-01' AS posted_at")
     stored = p.filter("doc_id % 5 <> 0").selectExpr(
@@ -108,7 +108,7 @@ SELECT coalesce(b.uid, s.uid) AS uid, coalesce(s.status, 'new') AS status,
 FROM s FULL JOIN (SELECT *, comp_source IN ('board', 'body', 'unknown') AND (comp_min IS NOT NULL OR comp_max IS NOT NULL) AS res FROM b) b ON s.uid = b.uid"""
 )
 def merged_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored, batch = _snapshots(spark, sf_dir)
+    stored, batch = snapshot_inputs(spark, sf_dir)
     m = merge.merge_snapshot(stored, batch, F.lit(AS_OF).cast("date"), F.lit(3).cast("long"))
     return m.select("uid", "status", "score", "comp_min", "comp_max", "comp_source", "remote_flag", "source", "url_direct", "seen_count", "last_seen", "misses")
 
@@ -121,7 +121,7 @@ SELECT uid, misses + CASE WHEN miss THEN 1 ELSE 0 END AS misses, CASE WHEN miss
   CASE WHEN status <> 'applied' AND misses + CASE WHEN miss THEN 1 ELSE 0 END >= 2 THEN DATE '2024-02-01' END AS delisted_on FROM t"""
 )
 def retired_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored, _ = _snapshots(spark, sf_dir)
+    stored, _ = snapshot_inputs(spark, sf_dir)
     healthy = stored.filter(base_source(F.col("source")).isin("greenhouse", "workday")).select("source").distinct()
     return merge.retire(stored, healthy, F.lit(AS_OF).cast("date")).select("uid", "misses", "miss_on", "delisted_on")
 
