@@ -73,11 +73,16 @@ def least_matches(threshold: float, miss: float, places: int, batch: int = BATCH
 
 
 def signatures(values: np.ndarray, bounds: np.ndarray, places: int) -> np.ndarray:
-    """uint32 MinHash signatures (rows x places) of sets values[bounds[i]:bounds[i+1]], none of them empty."""
+    """MinHash signatures (rows x places) of sets values[bounds[i]:bounds[i+1]], none of them empty.
+
+    A place is the low half of the smallest of 32-bit hashes: equal minima stay
+    equal, different ones fall together once in 65536 times, which at worst
+    sends a pair to confirmation on its full sets.
+    """
     x = (values >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(bounds) - 1, places), np.uint32)
+    out = np.empty((len(bounds) - 1, places), np.uint16)
     for i in range(places):
-        out[:, i] = np.minimum.reduceat(x * _MULTIPLY[i] ^ _SHIFT[i], bounds[:-1])
+        out[:, i] = np.minimum.reduceat(x * _MULTIPLY[i] ^ _SHIFT[i], bounds[:-1]).astype(np.uint16)
     return out
 
 
@@ -114,7 +119,7 @@ def shingle_features(docs: DataFrame, id_col: str, text_col: str, k: int, places
 
 
 def _bands(nodes: DataFrame, bands: int) -> DataFrame:
-    width = ROWS_A_BAND * 4
+    width = ROWS_A_BAND * 2
     # the last byte of a bucket's number is its band
     buckets: Column = F.array(*[(F.xxhash64(F.lit(b), F.substring("sign", 1 + b * width, width)).bitwiseAND(F.lit(-256))).bitwiseOR(F.lit(b)) for b in range(bands)])
     return nodes.select("node", F.explode(buckets).alias("bucket"))
@@ -131,7 +136,7 @@ def _sequential(pairs: DataFrame, threshold: float, miss: float, places: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            signs = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, places) for c in ("sign_a", "sign_b")]
+            signs = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, places) for c in ("sign_a", "sign_b")]
             alive, matches, done = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64), 0
             for n, need in steps:
                 matches[alive] += (signs[0][alive, done:n] == signs[1][alive, done:n]).sum(axis=1)
@@ -216,7 +221,7 @@ def _survivors(table: pa.Table, threshold: float, steps: tuple, places: int) ->
     side = np.array(table.column("side").to_pylist()) == "r"
     n, comp = table.column("n").to_numpy(), table.column("comp").to_numpy()
     band = table.column("band")[0].as_py()
-    sign = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint32).reshape(-1, places)
+    sign = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint16).reshape(-1, places)
     own = np.flatnonzero(~side)
     other = np.flatnonzero(side) if side.any() else own
     low, high = np.minimum(n[own][:, None], n[other][None, :]), np.maximum(n[own][:, None], n[other][None, :])
