@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bitmaps import bitmap, may_be, size_for
 from .components import components
 from .durable import durable, release
 from .words import SPACES, cut_words, shingles
@@ -130,6 +131,18 @@ def _close(n: str, m: str, threshold: float) -> Column:
     return F.least(n, m) >= F.floor(F.greatest(n, m) * F.lit(threshold))
 
 
+def _signed(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, sign) of all nodes in pairs (and some others): a bitmap keeps the other signatures out of the shuffles."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    bits = bitmap(ends, size_for(2 * pairs.count()))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_be(bits, batch.column(0).to_numpy().view(np.uint64))))
+
+    return nodes.select("node", "sign").mapInArrow(keep, "node long, sign binary")
+
+
 def _sequential(pairs: DataFrame, threshold: float, miss: float, places: int) -> DataFrame:
     """(a, b, matches) of the pairs (a, b, sign_a, sign_b) that no batch of places ruled out."""
     steps = least_matches(threshold, miss, places)
@@ -330,14 +343,15 @@ def near_duplicates(
     least = banded.groupBy("bucket").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("count")).filter("count > 1").select("bucket", "lead")
     shared = durable(banded.join(least, "bucket"), "buckets")
     star = shared.filter("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    star = star.join(size.toDF("a", "n"), "a").join(size.toDF("b", "m"), "b").filter(_close("n", "m", threshold)).select("a", "b")
-    signed = nodes.select("node", "sign")
+    star = durable(star.join(size.toDF("a", "n"), "a").join(size.toDF("b", "m"), "b").filter(_close("n", "m", threshold)).select("a", "b"), "star")
+    signed = _signed(nodes, star)
     tried = durable(
         _sequential(
             star.join(signed.toDF("a", "sign_a"), "a").join(signed.toDF("b", "sign_b"), "b"), threshold, miss, places
         ),
         "tried",
     )
+    release(star)
     # the likeliest partner first, the others where that leaves the ends apart
     best = tried.groupBy("b").agg(F.max(F.struct("matches", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
     links = _confirm(best, nodes, texts, k, threshold_percent)
