@@ -4,13 +4,16 @@ View 1, text content: hashed byte trigrams of the whole text (log counts, unit
 length), how much they repeat, and the presence of telling words.  View 2, page
 metadata: source, language, length, number and length of lines.  The views
 share no measure.  Each has its own logistic regression, fitted on labelled
-rows.  Then, for some rounds, each view labels every unlabelled row that it is
-sure of, and hands these to the other.  The views are last calibrated on
+rows.  Then, for some rounds, each view labels the unlabelled rows of either
+class that it is surest of, a tenth of the class at least (or more, if the
+other view gains more from that), and hands these to the other.  The views are last calibrated on
 labelled rows that neither has seen, and combined by adding their calibrated
 log-odds (the prior once).
 
-A round is one Spark pass over all rows: each task sums, by view and class, the
-gradient of the loss on the rows that the other view is sure of.  The driver
+A round is one Spark pass over all rows: each task sums, by view, class and
+confidence of the other view (a few levels), the gradient of the loss on the
+rows that the other view puts into the class; the surest levels that make up
+the share count.  The driver
 takes a Newton-like step from these sums alone: it minimises the labelled loss
 plus the difference of the two gradients as a linear term (the labelled sample
 stands for the curvature), so no unlabelled row ever reaches it.
@@ -40,8 +43,12 @@ TEXT = DIMS + WORDS + 3
 SOURCES, LANGS, LAYOUT = 64, 16, 6
 META = SOURCES + LANGS + LAYOUT
 ROWS = 1024
-#: Calibrated log-odds from which a view is sure of a row.
-SURE = 3.0
+#: Share of its loss on the held rows that a step may cost a view: what labelled rows don't have, they can't reward.
+SLACK = 0.02
+#: Shares of a class's unlabelled rows, the surest ones, that a view hands on; and lengths of a step.
+SHARES, LENGTHS = (0.1, 0.3, 0.6, 1.0), (1.0, 0.5, 0.2, 0.05)
+#: Levels of confidence begin at these quantiles of the labelled rows that a view puts into the class.
+LEVELS = (0.0, 0.5, 0.75, 0.9, 0.97)
 #: Squared standard deviations that a telling word's good rows lie from their expected number.
 TELLING = 20.0
 
@@ -190,52 +197,100 @@ class CoTrainer:
         a, b = _calibrate(z, y)
         return float(np.logaddexp(0, np.where(y > 0, -1, 1) * (a * z + b)).mean())
 
-    def step(self, sums: np.ndarray, counts: np.ndarray) -> bool:
-        """Refit each view; sums[view][class] is the gradient over the counts[view][class] rows that the other view is sure of.
-
-        Each of these rows weighs what a labelled one does, all of them at most half of their class.
-        A refit that raises the loss on the held rows isn't taken.  Tells whether any was.
+    def prior(self) -> float:
+        """Log-odds of good among the labelled rows."""
+        return float(np.log(((self.label > 0).sum() + 1) / ((self.label <= 0).sum() + 1)))
+
+    def levels(self) -> list[list[np.ndarray]]:
+        """By view and class, the confidences at which levels begin: distances of calibrated log-odds from the prior."""
+        out = []
+        for x, w, (a, b) in zip(self.views, self.weights, self.calibration(), strict=True):
+            z = a * (x @ w) + b - self.prior()
+            out.append([np.concatenate([[0.0], np.quantile(own, LEVELS[1:])]) if len(own) else np.zeros(len(LEVELS)) for own in (-z[z < 0], z[z > 0])])
+        return out
+
+    def step(self, sums: np.ndarray, counts: np.ndarray) -> list[bool]:
+        """Refit each view; sums[view][class][level] is the gradient over the counts[view][class][level] rows that the other view puts there.
+
+        The surest levels that make up a share of the class are taken as labels,
+        each row for as much as a labelled one, all of them at most half of
+        their class.  The longest step is taken that raises the loss on the held
+        rows by at most SLACK, with the share that leaves the least; tells for
+        which views one was.
         """
-        taken = False
+        taken = [False, False]
         y = self.label[self.train]
         for view, x in enumerate(self.views):
+            if not counts[view].any():
+                continue
             x, w = x[self.train], self.weights[view]
-            pull = np.zeros(len(w))
-            for c, own in enumerate(_mean_gradients(x, y, w)):
-                if counts[view][c]:
-                    share = min(0.5, counts[view][c] / (counts[view][c] + (y == c).sum()))
-                    pull += 0.5 * share * (sums[view][c][: len(w)] / counts[view][c] - own)
-            if counts[view].any():
-                new = fit(x, y, steps=80, start=w, pull=pull)
-                if self.loss(view, new) <= self.loss(view, w):
-                    self.weights[view], taken = new, True
+            own, most = _mean_gradients(x, y, w), self.loss(view, w) * (1 + SLACK)
+            ways = []
+            for share in SHARES:
+                pull = np.zeros(len(w))
+                for c in (0, 1):
+                    from_top = np.cumsum(counts[view][c][::-1])[::-1]
+                    if from_top[0]:
+                        first = np.flatnonzero(from_top >= share * from_top[0])[-1]
+                        n, total = from_top[first], sums[view][c][first:].sum(axis=0)
+                        pull += 0.5 * min(0.5, n / (n + (y == c).sum())) * (total[: len(w)] / n - own[c])
+                ways.append(fit(x, y, steps=80, start=w, pull=pull) - w)
+            for length in LENGTHS:
+                loss, new = min(((self.loss(view, v), i, v) for i, v in enumerate(w + np.float32(length) * way for way in ways)), key=lambda r: r[:2])[::2]
+                if loss <= most:
+                    self.weights[view], taken[view] = new, True
+                    break
         return taken
 
     def model(self, lost: float = 0.003) -> Model:
         """The calibrated model; its threshold is the largest score up to 0.5 that rejects at most `lost` of the good held rows."""
         label = self.label[self.held]
         calibration = self.calibration()
-        prior = float(np.log(((self.label > 0).sum() + 1) / ((self.label <= 0).sum() + 1)))
+        prior = self.prior()
         open_ = Model(*self.weights, calibration, 0.5, self.vocabulary, prior)
         good = open_.score(*(x[self.held] for x in self.views))[2][label > 0]
         threshold = min(0.5, float(np.quantile(good, lost, method="lower"))) if len(good) else 0.5
         return Model(*self.weights, calibration, threshold, self.vocabulary, prior)
 
 
-def pseudo_gradients(text: np.ndarray, meta: np.ndarray, weights: list[np.ndarray], calibration: tuple[tuple[float, float], ...]) -> tuple[np.ndarray, np.ndarray]:
-    """(sums, counts) by view and class over these unlabelled rows; see CoTrainer.step."""
-    views, sums, counts = (text, meta), np.zeros((2, 2, max(TEXT, text.shape[1]))), np.zeros((2, 2))
-    odds = [x @ w for x, w in zip(views, weights, strict=True)]
+def pseudo_gradients(text: np.ndarray, meta: np.ndarray, trainer: CoTrainer | Views) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, counts) by view, class and level over these unlabelled rows; see CoTrainer.step."""
+    views = (text, meta)
+    sums, counts = np.zeros((2, 2, len(LEVELS), max(TEXT, text.shape[1]))), np.zeros((2, 2, len(LEVELS)))
+    odds = [x @ w for x, w in zip(views, trainer.weights, strict=True)]
+    levels, calibration, prior = trainer.levels(), trainer.calibration(), trainer.prior()
     for view, x in enumerate(views):
         p = 1 / (1 + np.exp(-np.clip(odds[view], -30, 30)))
         a, b = calibration[1 - view]
-        other = a * odds[1 - view] + b
-        for c, sure in enumerate((other < -SURE, other > SURE)):
-            counts[view, c] = sure.sum()
-            sums[view, c, : x.shape[1]] = x[sure].T @ (p[sure] - c)
+        other = a * odds[1 - view] + b - prior
+        for c, own in enumerate((other < 0, other > 0)):
+            level = np.searchsorted(levels[1 - view][c], np.abs(other), side="right") - 1
+            for k in range(len(LEVELS)):
+                rows = own & (level == k)
+                counts[view, c, k] = rows.sum()
+                sums[view, c, k, : x.shape[1]] = x[rows].T @ (p[rows] - c)
     return sums, counts
 
 
+@dataclass(frozen=True)
+class Views:
+    """What tasks need of a CoTrainer: no labelled rows."""
+
+    weights: list
+    known_levels: list
+    known_calibration: tuple
+    known_prior: float
+
+    def levels(self) -> list:
+        return self.known_levels
+
+    def calibration(self) -> tuple:
+        return self.known_calibration
+
+    def prior(self) -> float:
+        return self.known_prior
+
+
 def _telling(sample: DataFrame) -> np.ndarray:
     """Hashes of the words of sample (label, text) whose presence tells most about the label: at most WORDS, of those in 5 rows or more, beyond TELLING."""
 
@@ -303,23 +358,23 @@ def train_quality(
     trainer = CoTrainer(*views, label, vocabulary)
     for _ in range(rounds):
         sums, counts = _round(rows, ids, trainer)
-        if not trainer.step(sums, counts):
+        if not any(trainer.step(sums, counts)):
             break
     return trainer.model()
 
 
 def _round(rows: DataFrame, ids: np.ndarray, trainer: CoTrainer) -> tuple[np.ndarray, np.ndarray]:
     """Sums of pseudo_gradients over all rows (id, text, source, lang) but those of the sorted ids."""
-    shipped = rows.sparkSession.sparkContext.broadcast((ids, trainer.weights, trainer.calibration(), trainer.vocabulary))
+    shipped = rows.sparkSession.sparkContext.broadcast((ids, Views(trainer.weights, trainer.levels(), trainer.calibration(), trainer.prior()), trainer.vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labelled, own, calibration, words = shipped.value
-        total, n = np.zeros((2, 2, TEXT)), np.zeros((2, 2))
+        labelled, own, words = shipped.value
+        total, n = np.zeros((2, 2, len(LEVELS), TEXT)), np.zeros((2, 2, len(LEVELS)))
         for batch in batches:
             known = np.isin(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), labelled) & ~batch.column(0).is_null().to_numpy(zero_copy_only=False)
             for first, text, meta in features(*batch.columns[1:4], words):
                 open_ = ~known[first : first + len(text)]
-                sums, counts = pseudo_gradients(text[open_], meta[open_], own, calibration)
+                sums, counts = pseudo_gradients(text[open_], meta[open_], own)
                 total, n = total + sums, n + counts
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["sums", "counts"])
 
@@ -329,8 +384,8 @@ def _round(rows: DataFrame, ids: np.ndarray, trainer: CoTrainer) -> tuple[np.nda
 
     # one row a task, then at most 16
     summed = rows.mapInArrow(run, "sums binary, counts binary").withColumn("slot", F.spark_partition_id() % 16).groupBy("slot").applyInArrow(add, "sums binary, counts binary").toArrow()
-    sums = np.sum([np.frombuffer(v.as_py(), np.float64) for v in summed["sums"]], axis=0).reshape(2, 2, TEXT) if len(summed) else np.zeros((2, 2, TEXT))
-    counts = np.sum([np.frombuffer(v.as_py(), np.float64) for v in summed["counts"]], axis=0).reshape(2, 2) if len(summed) else np.zeros((2, 2))
+    sums = np.sum([np.frombuffer(v.as_py(), np.float64) for v in summed["sums"]], axis=0).reshape(2, 2, len(LEVELS), TEXT) if len(summed) else np.zeros((2, 2, len(LEVELS), TEXT))
+    counts = np.sum([np.frombuffer(v.as_py(), np.float64) for v in summed["counts"]], axis=0).reshape(2, 2, len(LEVELS)) if len(summed) else np.zeros((2, 2, len(LEVELS)))
     return sums, counts
 
 

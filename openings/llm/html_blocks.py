@@ -6,8 +6,8 @@ import re
 from dataclasses import dataclass
 from html import unescape
 
-#: Attributes: a > in quotes doesn't end the tag; where quotes don't pair, the first > does.
-_ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?=>|$)|[^>]*"""
+#: Attributes: a > in a quoted value (after =) doesn't end the tag, other quotes are characters; where quotes don't pair, the first > ends it.
+_ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+(?=>|$)|[^>]*"""
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|$)|<(script|style|template|noscript|svg|iframe|object)\b(?:{_ATTRIBUTES})>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_ATTRIBUTES})(?:>|$)|<[!?][^>]*(?:>|$)", re.S | re.I
 )

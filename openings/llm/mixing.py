@@ -3,8 +3,9 @@
 Each source's documents, in a fixed order, are one run of words that is cut
 evenly into blocks of at most `block_words` (a small source into shorter ones,
 so that `least_blocks` of them come near any target).  A source's share of the
-mix is a number of block draws, dealt to the output shards by multinomial
-counts.  The k-th draw of a source takes block perm(k mod n) where perm is a
+mix is a number of block draws.  Each output shard holds the same number of
+blocks; how many of them come from each source is drawn, shard by shard, by
+multinomial counts over what the sources have left of their draws.  The k-th draw of a source takes block perm(k mod n) where perm is a
 pseudorandom permutation of the source's n block numbers that is keyed by
 source and epoch, so a block is taken floor(k/n) or ceil(k/n) times.  Blocks
 are then joined by (source, block).
@@ -72,9 +73,43 @@ def permute(k: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def shard_counts(draws: int, shards: int, source_no: int, seed: int) -> np.ndarray:
-    """Draws of one source by shard: multinomial, all shards alike likely."""
-    return np.random.default_rng([seed, source_no]).multinomial(draws, np.full(shards, 1 / shards))
+def _halve(left: np.ndarray, blocks: int, seed: list[int]) -> np.ndarray:
+    """Of `left` blocks of each source a random choice of so many in all: multinomial counts over what the sources have left."""
+    rng, total = np.random.default_rng(seed), int(left.sum())
+    if total < 10**9:
+        return rng.multivariate_hypergeometric(left, blocks, method="marginals")
+    # beyond what the exact draw takes: a binomial a source, then evened out to the number asked for
+    out = rng.binomial(left, blocks / total)
+    off = blocks - int(out.sum())
+    room = left - out if off > 0 else out
+    step = np.minimum(room, (room * (abs(off) / int(room.sum()))).astype(np.int64))
+    step[np.argsort(-room, kind="stable")[:1]] += abs(off) - int(step.sum())
+    return out + np.sign(off) * step
+
+
+def shard_counts(draws: np.ndarray, shard_blocks: int, seed: int, low: int, high: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, blocks of each source in it, blocks of each source in earlier shards) of the shards low..high-1.
+
+    Every shard but the last has shard_blocks blocks, and its sources are drawn
+    from what each has left.  The draw halves a range of shards again and again,
+    keyed by the range, so that any shard is found in a logarithmic number of
+    draws, alike in every task.
+    """
+    total = int(draws.sum())
+
+    def part(a: int, b: int, own: np.ndarray, before: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if b <= low or a >= high:
+            return
+        if b - a == 1:
+            yield a, own, before
+            return
+        mid = (a + b) // 2
+        left = _halve(own, (mid - a) * shard_blocks, [seed, a, b])
+        yield from part(a, mid, left, before)
+        yield from part(mid, b, own - left, before + left)
+
+    if total:
+        yield from part(0, -(-total // shard_blocks), draws, np.zeros(len(draws), np.int64))
 
 
 def block_count(size: int, block_words: int, least_blocks: int) -> int:
@@ -148,17 +183,18 @@ def mix_sources(
     )
     shards = max(1, -(-sum(draws) // shard_blocks))
 
+    drawn, counted = np.array(draws, np.int64), np.array(blocks, np.int64)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s, n, k in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                got = shard_counts(k, shards, s, seed)
+            own = batch.column(0).to_numpy()
+            for shard, got, before in shard_counts(drawn, shard_blocks, seed, int(own.min(initial=0)), int(own.max(initial=-1)) + 1):
                 used = np.flatnonzero(got)
-                columns = [used.astype(np.int32), np.full(len(used), s, np.int32), (np.cumsum(got) - got)[used], got[used], np.full(len(used), n)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shard", "source_no", "first", "count", "blocks"])
+                columns = [np.full(len(used), shard, np.int32), used.astype(np.int32), before[used], got[used], counted[used], (np.cumsum(got) - got)[used]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shard", "source_no", "first", "count", "blocks", "slot"])
 
-    planned = sources.filter("draws > 0").select("source_no", "blocks", "draws").mapInArrow(deal, "shard int, source_no int, first long, count long, blocks long")
-    before = Window.partitionBy("shard").orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
-    planned = planned.withColumn("slot", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    tasks = max(1, min(shards // 64, 4096))  # shards of a task stand side by side
+    planned = spark.range(0, shards if sum(draws) else 0, 1, tasks).mapInArrow(deal, "shard int, source_no int, first long, count long, blocks long, slot long")
     ranges = planned.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1, F.lit(RANGE).cast("long"))).alias("skip"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

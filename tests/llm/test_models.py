@@ -8,7 +8,7 @@ import pyarrow as pa
 
 from openings.llm import block_labeller
 from openings.llm.block_labeller import label, main_texts, trained
-from openings.llm.cotraining import CoTrainer, features, keep_good, pseudo_gradients, quality_scores, train_quality
+from openings.llm.cotraining import CoTrainer, features, keep_good, pseudo_gradients, quality_scores, score_quality, train_quality
 from openings.llm.html_blocks import blocks
 from openings.llm.suffix_tree import END, SuffixTree, _contexts, _pair, language_model_scores, learn
 
@@ -104,13 +104,30 @@ def test_co_training_gains_from_unlabelled_rows():
         trainer = CoTrainer(text[:300], meta[:300], y[:300])
         right = lambda: [((s >= 0.5) == y)[4000:].mean() for s in trainer.model().score(text, meta)]  # noqa: E731, B023
         before = right()
-        while trainer.step(*pseudo_gradients(text[300:4000], meta[300:4000], trainer.weights, trainer.calibration())) and len(gains) < 30:
+        while any(trainer.step(*pseudo_gradients(text[300:4000], meta[300:4000], trainer))) and len(gains) < 30:
             gains.append(0.0)
         gains.append(right()[1] - before[1])
         assert right()[0] >= before[0] - 0.01 and right()[2] > 0.95
     assert max(gains) > 0.01 and min(gains) > -0.01
 
 
+def test_unlabelled_rows_teach_words_that_no_labelled_row_has(spark):
+    """Sources tell quality; labelled rows use old words, unlabelled ones new words; new words are then known without their sources."""
+    r = random.Random(12)
+    old, new = (["mildew", "rusty"], ["lemon", "orchid"]), (["kvetch", "zizzag"], ["quaver", "jubily"])
+    text = lambda words: " ".join(r.choice(words) if r.random() < 0.5 else r.choice(["stone", "river", "table", "window"]) for _ in range(30))
+    rows = [(i, text((old if i < 300 else new)[i % 2]), "en", f"{'good' if i % 2 else 'bad'}{i % 3}") for i in range(2000)]
+    asked = [(i, text(new[i % 2]), "en", "elsewhere") for i in range(5000, 5200)]
+    schema = "doc_id long, text string, lang string, source string"
+    docs, labels = spark.createDataFrame(rows, schema), spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    right = []
+    for rounds in (0, 4):
+        model = train_quality(docs, labels, rounds=rounds)
+        got = score_quality(spark.createDataFrame(asked, schema), model).collect()
+        right.append(sum((x.text_score >= 0.5) == (x.doc_id % 2 == 1) for x in got) / len(got))
+    assert right[0] < 0.8 and right[1] > 0.95, right
+
+
 def test_the_views_share_no_measure():
     """Another text changes the metadata view only by its length and lines; another source leaves the text view alone."""
     one = next(features(pa.array(["abc def ghi\njkl"]), pa.array(["s"]), pa.array(["en"])))
@@ -146,6 +163,12 @@ goes on here.</p><p><b>Second one with <a href="/x">a link</a> in it.<br><p>Thir
 <footer>&copy; 2024 Example &middot; All rights reserved.</footer></body></html>"""
 
 
+def test_quotes_outside_values_are_characters():
+    texts = lambda html: [b.text for b in blocks(html)]
+    assert texts("<p><a title=O'Brien href=x>one</a> isn't two</p><p>three</p>") == ["one isn't two", "three"]
+    assert texts("""<p title="a>b" rel = 'c>d'>one</p><p class=x"y>two "quoted"</p>""") == ["one", 'two "quoted"']
+
+
 def test_blocks():
     texts = [b.text for b in blocks(PAGE)]
     assert texts[5:9] == ["Contact", "A & B <tag>", "First paragraph goes on here.", "Second one with a link in it."]

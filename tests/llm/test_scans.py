@@ -110,15 +110,36 @@ def test_targets():
 
 
 def test_a_mix_of_a_million_million_words():
-    """The plan needs no data: draws, shards' counts and permutations at 10^12 words of one source."""
+    """The plan needs no data: draws and shards' counts at 10^12 words of one source."""
     size = 10**12 + 7
     n = block_count(size, 128, 32)
     draws = round(1.5 * n)
     shards = -(-draws // 4096)
     assert n * 128 >= size and shards > 10**6
-    got = shard_counts(draws, 100_000, 0, 11)
-    assert got.sum() == draws and abs(got - draws / 100_000).max() < 10 * (draws / 100_000) ** 0.5
-    assert (shard_counts(draws, 100_000, 0, 11) == got).all() and (shard_counts(draws, 100_000, 1, 11) != got).any()
+    three = np.array([draws, draws // 2, 77], np.int64)
+    all_shards = -(-int(three.sum()) // 4096)
+    some = {s: (got, before) for s, got, before in shard_counts(three, 4096, 11, 10**6, 10**6 + 50)}
+    assert sorted(some) == list(range(10**6, 10**6 + 50)) and all(got.sum() == 4096 and abs(got[1] - 4096 / 3) < 300 for got, _ in some.values())
+    for s in range(10**6, 10**6 + 49):
+        assert (some[s][0] + some[s][1] == some[s + 1][1]).all() and some[s][1].sum() == s * 4096
+    ((_, last, before),) = shard_counts(three, 4096, 11, all_shards - 1, all_shards)
+    assert (last + before == three).all()
+
+
+def test_shards_of_one_size_with_counts_drawn_from_what_is_left():
+    draws = np.array([900, 30, 0, 71], np.int64)
+    every = list(shard_counts(draws, 100, 5, 0, 11))
+    assert [int(g.sum()) for _, g, _ in every] == [100] * 10 + [1] and (sum(g for _, g, _ in every) == draws).all()
+    assert len({tuple(g) for _, g, _ in every}) > 5
+    for low, high in ((0, 4), (4, 5), (5, 11)):
+        assert all((g == every[s][1]).all() and (b == every[s][2]).all() for s, g, b in shard_counts(draws, 100, 5, low, high))
+    # over many seeds a shard's count of a source has its mean and spread
+    first = np.array([next(shard_counts(draws, 100, seed, 0, 1))[1][0] for seed in range(400)])
+    assert abs(first.mean() - 100 * 900 / 1001) < 0.7 and 1.5 < first.std() < 5
+
+
+def test_permutations_of_a_million_million_blocks():
+    n = 10**10
     k = np.arange(n - 5000, n)
     at = permute(k, np.full(5000, n), np.full(5000, 3, np.uint64))
     assert len(set(at.tolist())) == 5000 and at.min() >= 0 and at.max() < n
