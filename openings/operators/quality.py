@@ -43,7 +43,40 @@ def differences(published: DataFrame, stored: DataFrame, key: str, columns: list
     return both.select(F.coalesce(f"a.{key}", f"b.{key}").alias(key), F.explode(F.array_compact(F.array(*found, lost))).alias("d")).select(key, "d.field", "d.published", "d.stored")
 
 
-def fingerprint(df: DataFrame) -> DataFrame:
-    """One row that any changed, added or lost row changes, whatever the order: count, and two folds of row hashes."""
-    h = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in df.columns])
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(h).alias("xor"), F.sum(h.cast("decimal(20,0)")).cast("string").alias("sum"))
+def row_digest(columns: list[str]) -> Column:
+    """sha256 of a row's values: each with its length before it, null apart from every text."""
+    return F.sha2(F.concat(*[F.coalesce(F.concat(F.lit("s"), F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("n")) for c in columns]), 256)
+
+
+def fingerprint(df: DataFrame, by: list[str] | None = None, depth: int = 2) -> DataFrame:
+    """A hash tree over the rows: (by..., prefix, rows, digest), the root having the empty prefix.
+
+    Rows stand in the order of their digests, so neither partitioning nor the
+    order of files counts; a row that repeats counts each time.  A leaf holds
+    the rows whose digests share their first `depth` hex digits: its digest is
+    the sha256 of "row digest:times" of them all, in order; an inner node's is
+    that of its children's digests.  Two tables (of the same `by`) are equal
+    where their roots are, and differ under the prefixes whose digests differ.
+    Choose `depth` so that 16^depth leaves hold some thousand rows each.
+    """
+    by, columns = by or [], [c for c in df.columns if c not in (by or [])]
+    rows = df.select(*by, row_digest(columns).alias("digest")).groupBy(*by, "digest").agg(F.count(F.lit(1)).alias("rows"))
+    node = lambda parts: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]), "\n"), 256)
+    level = rows.select(*by, F.substring("digest", 1, depth).alias("prefix"), "rows", F.col("digest").alias("at"), F.concat("digest", F.lit(":"), F.col("rows").cast("string")).alias("part"))
+    out = None
+    for length in range(depth, -1, -1):
+        level = level.groupBy(*by, "prefix").agg(F.sum("rows").alias("rows"), node("part").alias("digest"))
+        out = level if out is None else out.unionByName(level)
+        level = level.select(*by, F.substring("prefix", 1, length - 1 if length > 1 else 0).alias("prefix"), "rows", F.col("prefix").alias("at"), F.col("digest").alias("part"))
+    return out
+
+
+def stale(published: DataFrame, state: DataFrame, by: list[str], today: Column) -> DataFrame:
+    """(by..., stale, why) of every published report: rendered on another day, or from rows that are no longer those of the state.
+
+    published: by..., digest (a root of fingerprint), day.  state: the tree of
+    the present rows.  A report whose rows are all gone is stale, too.
+    """
+    roots = state.filter("prefix = ''").select(*by, F.col("digest").alias("now"))
+    why = F.when(F.col("day").isNull() | (F.col("day") != today), "another day").when(~F.col("digest").eqNullSafe(F.col("now")), "rows changed")
+    return published.join(roots, by, "left").select(*by, why.isNotNull().alias("stale"), why.alias("why"))

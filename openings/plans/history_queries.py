@@ -275,9 +275,32 @@ def export_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.differences(published, stored, "uid", ["gate", "score"])
 
 
-@query()
+_STATE = ("uid", "status", "gate", "score", "comp_min", "comp_source", "delisted_on")
+_DIGEST = lambda extra="": "sha256(concat(" + ", ".join(f"coalesce('s' || length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), 'n')" for c in _STATE).replace("CAST(score AS VARCHAR)", f"CAST(score{extra} AS VARCHAR)") + "))"
+
+
+def _tree(name: str, source: str) -> str:
+    """Leaves of two digits, their parents and the root, by lane."""
+    node = "sha256(string_agg({}, chr(10) ORDER BY {}))"
+    return f"""{name}0 AS (SELECT lane, digest, count(*) AS n FROM ({source}) GROUP BY ALL), {name}2 AS (SELECT lane, substr(digest, 1, 2) AS prefix, sum(n) AS rows, {node.format("digest || ':' || n", "digest")} AS digest FROM {name}0 GROUP BY ALL),
+{name}1 AS (SELECT lane, substr(prefix, 1, 1) AS p, sum(rows) AS rows, {node.format("digest", "prefix")} AS digest FROM {name}2 GROUP BY ALL), {name} AS (SELECT lane, prefix, rows, digest FROM {name}2 UNION ALL SELECT lane, p, rows, digest FROM {name}1 UNION ALL SELECT lane, '', sum(rows), {node.format("digest", "p")} FROM {name}1 GROUP BY lane)"""
+
+
+@query(cte("openings") + f", {_tree('t', f'SELECT lane, {_DIGEST()} AS digest FROM openings')} SELECT lane, prefix, CAST(rows AS BIGINT) AS rows, digest FROM t")
 def state_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.fingerprint(view(spark, sf_dir, "openings"))
+    """The hash tree of the stored openings' states by lane."""
+    return quality.fingerprint(view(spark, sf_dir, "openings").select("lane", *_STATE), ["lane"])
+
+
+@query(cte("openings") + f""", {_tree('t', f'SELECT lane, {_DIGEST()} AS digest FROM openings')}, {_tree('o', f"SELECT lane, {_DIGEST(" + CASE WHEN lane = '1-URGENT' AND uid % 1000 = 1 THEN 1 ELSE 0 END")} AS digest FROM openings")}
+SELECT o.lane, o.lane IN ('1-URGENT', '5-LOW') AS stale, CASE WHEN o.lane = '5-LOW' THEN 'another day' WHEN o.digest <> t.digest THEN 'rows changed' END AS why FROM o JOIN t ON o.lane = t.lane AND o.prefix = '' AND t.prefix = ''""")
+def stale_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports by lane that were rendered before a few scores of one lane changed, or the day before."""
+    openings = view(spark, sf_dir, "openings").select("lane", *_STATE)
+    before = openings.withColumn("score", F.col("score") + F.when((F.col("lane") == "1-URGENT") & (F.col("uid") % 1000 == 1), 1).otherwise(0))
+    day = F.when(F.col("lane") == "5-LOW", F.lit("2024-01-31")).otherwise(AS_OF).cast("date")
+    published = quality.fingerprint(before, ["lane"]).filter("prefix = ''").select("lane", "digest", day.alias("day"))
+    return quality.stale(published, quality.fingerprint(openings, ["lane"]), ["lane"], F.lit(AS_OF).cast("date"))
 
 
 @query(cte("openings") + " SELECT gate, status, count(*) AS n, CAST(max(score) AS INTEGER) AS best FROM openings GROUP BY gate, status")

@@ -10,7 +10,7 @@ from ..functions.text import EDGE_AFTER, EDGE_BEFORE
 from ..operators import rails
 from ..operators.screen import (
     ABROAD, AMBIGUOUS_CODES, ATTENDANCE, BARE_COUNTRY, COUNTRY_LEVEL, FOREIGN_CODE, HOME, HOME_TOKEN, ONSITE_WORD, REMOTE_PHRASE, REMOTE_WORD, RESIDENCY, STATE_LOCK, TIME_ZONE, UNRESOLVED, VAGUE_REMOTE,
-    RuleSet, certificates_demanded, location_verdict, screen,
+    RuleSet, certificates_demanded, location_verdict, rule_regression, screen,
 )
 from .registry import query
 from .text_queries import COMPANY_SQL, LOOSE_SQL
@@ -211,3 +211,17 @@ def exclusion_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = screen(view(spark, sf_dir, "postings"), RULES, F.lit(AS_OF).cast("date")).filter("gate = 'EXCLUDED'")
     label = reason_label(F.get("reasons", F.lit(0))).alias("reason")
     return s.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).orderBy(F.desc("n"), "reason").limit(12)
+
+
+_NAMES = ", ".join(f"CASE WHEN r{i} IS NOT NULL THEN '{r.split(':')[0].strip()}' END" for i, (_, _, _, r) in enumerate(_RAILS))
+
+
+@query(
+    cte("postings")
+    + SCREEN_CTES
+    + f""", h AS (SELECT doc_id, ckey, lane, list_filter([{_NAMES}], lambda x: x IS NOT NULL) AS held FROM railed)
+SELECT held[1] AS rail, count(*) AS postings, min(doc_id) AS example FROM h WHERE len(held) = 1 AND lane IS NOT NULL AND ckey <> 'hooli' AND held[1] <> 'malformed' GROUP BY 1"""
+)
+def rule_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rail alone keeps out: postings that would surface if the rule went."""
+    return rule_regression(view(spark, sf_dir, "postings"), RULES, F.lit(AS_OF).cast("date"))
