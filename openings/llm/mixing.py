@@ -188,7 +188,7 @@ def mix_sources(
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column(0).to_numpy()
-            for shard, got, before in shard_counts(drawn, shard_blocks, seed, int(own.min(initial=0)), int(own.max(initial=-1)) + 1):
+            for shard, got, before in shard_counts(drawn, shard_blocks, seed, int(own.min()), int(own.max()) + 1) if len(own) else ():
                 used = np.flatnonzero(got)
                 columns = [np.full(len(used), shard, np.int32), used.astype(np.int32), before[used], got[used], counted[used], (np.cumsum(got) - got)[used]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shard", "source_no", "first", "count", "blocks", "slot"])

@@ -138,6 +138,14 @@ def test_shards_of_one_size_with_counts_drawn_from_what_is_left():
     assert abs(first.mean() - 100 * 900 / 1001) < 0.7 and 1.5 < first.std() < 5
 
 
+def test_each_shard_is_planned_once_whatever_the_tasks(spark):
+    rows = [(i, f"s{i % 3}", "one two three four five six seven eight") for i in range(3000)]
+    mix = mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string"), block_words=4, shard_blocks=8)
+    slots = [(r.shard, r.slot) for r in mix.slots.select("shard", "slot").collect()]
+    draws = sum(r.draws for r in mix.sources.collect())
+    assert draws > 8 * 64 * 4 and len(slots) == draws and set(slots) == {(i // 8, i % 8) for i in range(draws)}
+
+
 def test_permutations_of_a_million_million_blocks():
     n = 10**10
     k = np.arange(n - 5000, n)
