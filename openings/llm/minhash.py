@@ -131,16 +131,18 @@ def _close(n: str, m: str, threshold: float) -> Column:
     return F.least(n, m) >= F.floor(F.greatest(n, m) * F.lit(threshold))
 
 
-def _signed(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, sign) of all nodes in pairs (and some others): a bitmap keeps the other signatures out of the shuffles."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    bits = bitmap(ends, size_for(2 * pairs.count()))
+def _possible(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose key (long) is among the keys (one column), and some others: a bitmap keeps the rest out of the shuffles.  Null keys go."""
+    bits = bitmap(keys, size_for(keys.count()))
+    place = rows.columns.index(key)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(may_be(bits, batch.column(0).to_numpy().view(np.uint64))))
+            own = batch.column(place)
+            mark = may_be(bits, own.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) & own.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(mark))
 
-    return nodes.select("node", "sign").mapInArrow(keep, "node long, sign binary")
+    return rows.mapInArrow(keep, rows.schema)
 
 
 def _sequential(pairs: DataFrame, threshold: float, miss: float, places: int) -> DataFrame:
@@ -185,7 +187,8 @@ def _members(asked: DataFrame, nodes: DataFrame, docs: DataFrame, k: int) -> Dat
                 yield pa.RecordBatch.from_arrays([*(pa.array([d[j] for d in found], pa.int64()) for j in range(2)), pa.array(raw, pa.binary())], ["d1", "d2", "members"])
 
     wanted = durable(nodes.join(asked.select("node").distinct(), "node").select("node", "rep", "d1", "d2"), "wanted")
-    made = wanted.join(docs, wanted["rep"] == docs["id"]).select("node", "d1", "d2", "text").mapInArrow(make, "node long, members binary")
+    some = _possible(docs, "id", wanted.filter("rep IS NOT NULL").select("rep"))
+    made = wanted.join(some, wanted["rep"] == some["id"]).select("node", "d1", "d2", "text").mapInArrow(make, "node long, members binary")
     if not wanted.filter("rep IS NULL").isEmpty():
         nameless = docs.filter("id IS NULL").select("text").mapInArrow(digests, "d1 long, d2 long, members binary")
         # copies without an id are many rows of one digest: one of them goes on
@@ -344,7 +347,7 @@ def near_duplicates(
     shared = durable(banded.join(least, "bucket"), "buckets")
     star = shared.filter("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     star = durable(star.join(size.toDF("a", "n"), "a").join(size.toDF("b", "m"), "b").filter(_close("n", "m", threshold)).select("a", "b"), "star")
-    signed = _signed(nodes, star)
+    signed = _possible(nodes.select("node", "sign"), "node", star.select(F.explode(F.array("a", "b")).alias("node")))
     tried = durable(
         _sequential(
             star.join(signed.toDF("a", "sign_a"), "a").join(signed.toDF("b", "sign_b"), "b"), threshold, miss, places
