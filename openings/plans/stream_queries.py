@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import merge
@@ -15,8 +15,9 @@ from .registry import ORACLES, query, table
 from .views import EVENTS, SOURCE_RUNS, cte, view
 
 
-#: Events carry wall-clock times; watermarks want instants, those of the same clock in UTC.
-_INSTANT = F.expr("CAST(convert_timezone('UTC', current_timezone(), CAST(ts AS TIMESTAMP_NTZ)) AS TIMESTAMP)")
+def _instant() -> Column:
+    """Events carry wall-clock times; watermarks want instants, those of the same clock in UTC."""
+    return F.expr("CAST(convert_timezone('UTC', current_timezone(), CAST(ts AS TIMESTAMP_NTZ)) AS TIMESTAMP)")
 
 
 def _shared(spark: SparkSession) -> str:
@@ -88,7 +89,7 @@ def streamed_replays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(cte("app_events") + " SELECT CAST(date_trunc('week', ts) AS DATE) AS week, count(*) AS applications FROM app_events WHERE stage = 'applied' GROUP BY 1")
 def streamed_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _stream(spark, sf_dir).selectExpr(*EVENTS).withColumn("ts", _INSTANT)
+    events = _stream(spark, sf_dir).selectExpr(*EVENTS).withColumn("ts", _instant())
     return _drain(spark, jobs.weekly_applications(events), "weeks", "complete")
 
 
@@ -109,7 +110,7 @@ _HEARD = cte("app_events") + f", w AS (SELECT epoch_us(max(ts)) // 1000 - {_LATE
 SELECT uid, at_ms, stage FROM n WHERE stage IN ('applied', 'interviewing') AND until > at_ms + 2 * 86400000""")
 def streamed_silences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every follow-up that came due after two days, from timers of a stream in several micro-batches."""
-    events = view(spark, sf_dir, "app_events").filter("stage IS NOT NULL").select("uid", _INSTANT.alias("ts"), "event_id", "stage")
+    events = view(spark, sf_dir, "app_events").filter("stage IS NOT NULL").select("uid", _instant().alias("ts"), "event_id", "stage")
     return _drain(spark, timers.silences(_in_batches(spark, events, 3), days=2), "silences", "append").withColumnRenamed("at", "at_ms")
 
 
@@ -118,7 +119,7 @@ def streamed_silences(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT uid AS key, at_ms FROM f WHERE at_ms IS NOT NULL""")
 def streamed_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests that a six-hour cache leaves to the network, events standing for requests of a user's page."""
-    asked = view(spark, sf_dir, "app_events").select(F.col("uid").alias("key"), _INSTANT.alias("ts"), F.col("event_id").alias("ord"))
+    asked = view(spark, sf_dir, "app_events").select(F.col("uid").alias("key"), _instant().alias("ts"), F.col("event_id").alias("ord"))
     return _drain(spark, timers.fetches(_in_batches(spark, asked, 3)), "fetches", "append").withColumnRenamed("at", "at_ms")
 
 
