@@ -74,3 +74,13 @@ def test_detail_continuity(spark):
 def test_profile(spark):
     r = spark.createDataFrame([(1, "lanes", "x", "5"), (2, "lane", "", None), (3, "lane", "x", "5.5"), (4, "lane", "x", "101")], "ord int, kind string, pattern string, weight string")
     assert sorted((x.ord, x.problem, x.hint) for x in commands.profile_violations(r, ["lane", "signal"]).collect()) == [(1, "unknown kind", "lane"), (2, "blank pattern", None), (3, "bad weight", None), (4, "bad weight", None)]
+
+
+def test_queries_import_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    here = Path(__file__).resolve().parent.parent
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and set(e.oracle_sql()) <= set(e.queries())"], cwd=here, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
