@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from difflib import get_close_matches
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,19 +91,30 @@ def continuous_detail(preview: Column, detail: Column) -> Column:
     return agree[0] & agree[1] & agree[2] & (~names | same)
 
 
+def nearest_keys(kinds: DataFrame, known: list[str], least: float = 0.6) -> DataFrame:
+    """(kind, hint): the known key with the largest Ratcliff-Obershelp ratio to each distinct kind, if it is `least` or more (ties by the later name)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [get_close_matches(k, known, n=1, cutoff=least) for k in batch["kind"]]
+            yield batch.assign(hint=[f[0] if f else None for f in found])
+
+    return kinds.select("kind").filter("kind IS NOT NULL").distinct().mapInPandas(run, "kind string, hint string")
+
+
 def profile_violations(rules: DataFrame, known_kinds: list[str]) -> DataFrame:
     """(ord, problem, hint) of rules that a profile can't hold: unknown kinds (with the nearest known one), blank patterns, weights that aren't whole numbers from 0 to 100.
 
-    rules: ord, kind, pattern, weight (text).
+    rules: ord, kind, pattern, weight (text).  Hints are looked up once for each distinct unknown kind; a null kind is unknown and has none.
     """
-    kinds = F.array(*[F.lit(k) for k in known_kinds])
-    nearest = F.array_min(F.transform(kinds, lambda k: F.struct(F.levenshtein(k, F.col("kind")).alias("d"), k.alias("k"))))
+    strange = ~F.coalesce(F.col("kind").isin(*known_kinds), F.lit(False))
+    hints = nearest_keys(rules.filter(strange), known_kinds)
     none = F.lit(None).cast("string")
     found = F.array_compact(
         F.array(
-            F.when(~F.array_contains(kinds, F.col("kind")), F.struct(F.lit("unknown kind").alias("problem"), nearest["k"].alias("hint"))),
+            F.when(strange, F.struct(F.lit("unknown kind").alias("problem"), F.col("hint"))),
             F.when(F.trim(F.coalesce("pattern", F.lit(""))) == "", F.struct(F.lit("blank pattern").alias("problem"), none.alias("hint"))),
             F.when(F.col("weight").isNotNull() & ~F.coalesce(F.col("weight").rlike(r"^\d{1,3}$") & (F.try_to_number("weight", F.lit("999")) <= 100), F.lit(False)), F.struct(F.lit("bad weight").alias("problem"), none.alias("hint"))),
         )
     )
-    return rules.select("ord", F.explode(found).alias("f")).select("ord", "f.problem", "f.hint")
+    return rules.join(hints, "kind", "left").select("ord", F.explode(found).alias("f")).select("ord", "f.problem", "f.hint")

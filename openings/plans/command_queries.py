@@ -76,11 +76,16 @@ def health_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commands.health_of(s.select(name.alias("stable"), F.concat(F.lit("src"), (F.col("s_suppkey") + 1).cast("string")).alias("legacy")), h)
 
 
-@query("""SELECT p_partkey AS ord, unnest(list_filter([CASE WHEN p_partkey % 3 = 0 THEN 'unknown kind' END, CASE WHEN p_partkey % 5 = 0 THEN 'blank pattern' END, CASE WHEN p_partkey % 4 = 0 THEN 'bad weight' END], lambda x: x IS NOT NULL)) AS problem FROM part""")
+_KINDS = {0: ("lanes", "lane"), 3: ("titel_block", "title_block"), 6: ("sgnal", "signal"), 9: ("zzz", None)}
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS ord, CASE p_partkey % 12 {' '.join(f"WHEN {n} THEN {chr(39) + h + chr(39) if h else 'NULL'}" for n, (_, h) in _KINDS.items())} END AS hint FROM part)
+SELECT ord, 'unknown kind' AS problem, hint FROM p WHERE ord % 3 = 0 UNION ALL SELECT ord, 'blank pattern', NULL FROM p WHERE ord % 5 = 0 UNION ALL SELECT ord, 'bad weight', NULL FROM p WHERE ord % 4 = 0""")
 def profile_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    r = table(spark, sf_dir, "part").select(k.alias("ord"), F.when(k % 3 == 0, "lanes").otherwise("lane").alias("kind"), F.when(k % 5 == 0, " ").otherwise(F.col("p_name")).alias("pattern"), F.when(k % 4 == 0, F.concat(F.lit("1"), k.cast("string"), F.lit("00"))).otherwise("50").alias("weight"))
-    return commands.profile_violations(r, ["lane", "signal", "title_block"]).select("ord", "problem")
+    kind = F.coalesce(*[F.when(k % 12 == n, name) for n, (name, _) in _KINDS.items()], F.lit("lane"))
+    r = table(spark, sf_dir, "part").select(k.alias("ord"), kind.alias("kind"), F.when(k % 5 == 0, " ").otherwise(F.col("p_name")).alias("pattern"), F.when(k % 4 == 0, F.concat(F.lit("1"), k.cast("string"), F.lit("00"))).otherwise("50").alias("weight"))
+    return commands.profile_violations(r, ["lane", "signal", "title_block"])
 
 
 @query("""SELECT doc_id, NOT (doc_id % 3 = 0) AND length(text) <= 5900 AS needed FROM (SELECT doc_id, text FROM documents)""")
