@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.identity import identity_url
+
 # Fixed values.
 STATUSES = ("new", "reviewed", "applied", "rejected", "ignored")
 STAGE_STATUS = {"applied": "applied", "interviewing": "applied", "offer": "applied", "rejected": "rejected", "withdrawn": "applied"}
@@ -79,15 +81,28 @@ def health_of(sources: DataFrame, health: DataFrame) -> DataFrame:
     return out.select("stable", F.coalesce("n_0", "n_1", "n_2", "n_3").alias("last_count"))
 
 
+def _same_place(a: Column, b: Column) -> Column:
+    """Whether two urls are one as in identity_url; of https ones, closing slashes of the path and the order of the query's parts don't count."""
+
+    def place(url: Column) -> Column:
+        whole = identity_url(url)
+        parts = F.array_join(F.array_sort(F.split(F.regexp_extract(whole, r"\?(.*)$", 1), "&")), "&")
+        return F.when(whole.startswith("https://"), F.concat(F.regexp_replace(F.regexp_extract(whole, r"^[^?]*", 0), "/+$", ""), F.lit("?"), parts)).otherwise(F.nullif(whole, F.lit("")))
+
+    return F.coalesce(place(a) == place(b), F.lit(False))
+
+
 def continuous_detail(preview: Column, detail: Column) -> Column:
     """Whether a detail record belongs to its preview: company, title and source agree where given, and if it names a url or id one of them does.
 
-    Both are structs with company, title, source, url, external_id.
+    Both are structs with company, title, source, url, external_id.  Companies
+    and titles agree if their words do; ids must be equal as they are.
     """
-    text = lambda c: F.trim(F.lower(F.coalesce(c, F.lit(""))))
-    agree = [(text(detail[f]) == "") | (text(detail[f]) == text(preview[f])) for f in ("company", "title", "source")]
+    words = lambda c: F.array_join(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}+#.]+"), F.lit(0)), " ")
+    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    agree = [(words(detail[f]) == "") | (words(detail[f]) == words(preview[f])) for f in ("company", "title", "source")]
     names = (text(detail["url"]) != "") | (text(detail["external_id"]) != "")
-    same = ((text(preview["url"]) != "") & (text(preview["url"]) == text(detail["url"]))) | ((text(preview["external_id"]) != "") & (text(preview["external_id"]) == text(detail["external_id"])))
+    same = _same_place(preview["url"], detail["url"]) | ((text(preview["external_id"]) != "") & (text(preview["external_id"]) == text(detail["external_id"])))
     return agree[0] & agree[1] & agree[2] & (~names | same)
 
 

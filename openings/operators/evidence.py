@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard
@@ -11,38 +11,78 @@ from ..functions.text import jaccard
 OVERLAP, MARGIN = 0.6, 0.15
 
 
+def _sets(df: DataFrame, uid: str) -> DataFrame:
+    """One row a distinct (key, word set) with words: the smallest id and the number of rows."""
+    titled = df.filter(F.size("words") > 0).select("key", F.array_sort("words").alias("words"), F.col(uid).alias("id"))
+    return titled.groupBy("key", "words").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+
+
+def _prefixes(sets: DataFrame, ranks: DataFrame, floor: float) -> DataFrame:
+    """sets with prefix: their rarest words, as many as a set with overlap `floor` or more must share one of."""
+    ordered = (
+        sets.select("key", "words", F.explode("words").alias("word")).join(ranks, "word", "left")
+        .groupBy("key", "words").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("rank", F.lit(0)).alias("rank"), "word"))).alias("w"))
+    )
+    n = F.size("w")
+    keep = n - F.ceil(n * F.lit(floor) - F.lit(1e-9)).cast("int") + 1
+    first = F.transform(F.slice("w", F.lit(1), F.least(keep, n)), lambda x: x["word"])
+    return sets.join(ordered.select("key", "words", first.alias("prefix")), ["key", "words"])
+
+
+def title_candidates(asked: DataFrame, offered: DataFrame, floor: float) -> DataFrame:
+    """Pairs of distinct title sets of one company that may overlap by `floor` or more: key, asked and offered words, id, copies.
+
+    asked: key, words.  offered: key, words, id, copies.  Both sides look each
+    other up by their rarest words only, so words that most titles hold pair
+    nothing; a pair comes once, at the first word that its prefixes share.
+    """
+    ranks = offered.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("rank"))
+    a = _prefixes(asked, ranks, floor).select("key", F.col("words").alias("asked_"), F.col("prefix").alias("ap"), F.explode("prefix").alias("word"))
+    o = _prefixes(offered, ranks, floor).select("key", F.col("words").alias("offered_"), "id", "copies", F.col("prefix").alias("op"), F.explode("prefix").alias("word"))
+    pairs = a.join(o, ["key", "word"]).filter(F.get(F.array_intersect("ap", "op"), F.lit(0)) == F.col("word"))
+    return pairs.select("key", "asked_", "offered_", "id", "copies")
+
+
 def match_evidence(evidence: DataFrame, postings: DataFrame, overlap: float = OVERLAP, margin: float = MARGIN) -> DataFrame:
     """One row an evidence row: line, verdict (matched, ambiguous, unmatched), uid, best, runner_up.
 
     evidence: line, key (company), words (title set; null without a title).
     postings: uid, key, words.  A title matches when the best overlap reaches
     `overlap` and leads the next by `margin`; without a title only a company's
-    single posting does.  Ties are ordered by uid.
+    single posting does.  best and runner_up are exact from overlap - margin
+    on; what is below can't change a verdict, isn't looked for, and is null.
+    Titles that repeat within a company are compared once, and only titles that
+    share one of their rarest words are compared at all.  A null key is no company.
     """
-    pairs = evidence.alias("e").join(postings.alias("p"), F.col("e.key") == F.col("p.key"), "left")
-    score = F.when(F.col("p.uid").isNull(), F.lit(None)).when(F.col("e.words").isNull(), F.lit(0.0)).otherwise(jaccard(F.col("e.words"), F.col("p.words")))
-    scored = pairs.select("e.line", "p.uid", F.col("e.words").isNull().alias("untitled"), score.alias("score"))
-    w = Window.partitionBy("line").orderBy(F.desc_nulls_last("score"), "uid")
-    ranked = scored.select("*", F.row_number().over(w).alias("n"), F.lead("score").over(w).alias("runner_up"), F.count("uid").over(Window.partitionBy("line")).alias("candidates")).filter("n = 1")
-    runner = F.coalesce("runner_up", F.lit(0.0))
+    floor = overlap - margin
+    offered = _sets(postings, "uid")
+    asked = evidence.filter(F.size("words") > 0).select("key", F.array_sort("words").alias("words")).filter("key IS NOT NULL").distinct()
+    scored = title_candidates(asked, offered, floor).withColumn("score", jaccard(F.col("asked_"), F.col("offered_"))).filter(F.col("score") >= floor)
+    # Two sets have few distinct overlaps, so what is listed a title stays small.
+    levels = scored.groupBy("key", "asked_", "score").agg(F.sum("copies").alias("copies"), F.min("id").alias("id"))
+    top = levels.groupBy("key", "asked_").agg(F.sort_array(F.collect_list(F.struct("score", "copies", "id")), asc=False).alias("top")).withColumn("best_", F.get("top", F.lit(0)))
+    top = top.select(F.col("key"), F.col("asked_"), F.col("best_.score").alias("best"), F.col("best_.id").alias("uid_"), F.when(F.col("best_.copies") > 1, F.col("best_.score")).otherwise(F.get("top", F.lit(1))["score"]).alias("runner_up"))
+    sole = postings.filter("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("candidates"), F.min("uid").alias("sole_"))
+    e = evidence.withColumn("asked_", F.when(F.size("words") > 0, F.array_sort("words")))
+    joined = e.join(sole, "key", "left").join(top, ["key", "asked_"], "left")
     verdict = (
-        F.when(F.col("candidates") == 0, "unmatched")
-        .when(F.col("untitled"), F.when(F.col("candidates") == 1, "matched").otherwise("ambiguous"))
-        .when((F.col("score") >= overlap) & (F.col("score") - runner >= margin), "matched")
-        .when(F.col("score") >= overlap, "ambiguous")
+        F.when(F.col("candidates").isNull(), "unmatched")
+        .when(F.col("words").isNull(), F.when(F.col("candidates") == 1, "matched").otherwise("ambiguous"))
+        .when((F.col("best") >= overlap) & (F.col("best") - F.coalesce("runner_up", F.lit(0.0)) >= margin), "matched")
+        .when(F.col("best") >= overlap, "ambiguous")
         .otherwise("unmatched")
     )
-    return ranked.select("line", verdict.alias("verdict"), F.when(verdict == "matched", F.col("uid")).alias("uid"), F.col("score").alias("best"), F.col("runner_up"))
+    chosen = F.when(verdict == "matched", F.when(F.col("words").isNull(), F.col("sole_")).otherwise(F.col("uid_")))
+    return joined.select("line", verdict.alias("verdict"), chosen.alias("uid"), "best", "runner_up")
 
 
 def closed_doors(live: DataFrame, rejected: DataFrame, overlap: float = OVERLAP) -> DataFrame:
     """Live postings of employers that rejected the user: problem where the titles overlap much, note where a little (the first rejection counts).
 
-    live, rejected: uid, key, words.
+    live, rejected: uid, key, words.  Each company's first rejection is found before the join.
     """
-    r = rejected.select(F.col("uid").alias("rejected_uid"), "key", F.col("words").alias("rejected_words"))
-    pairs = live.join(r, "key").withColumn("n", F.row_number().over(Window.partitionBy("uid").orderBy("rejected_uid"))).filter("n = 1")
-    scored = pairs.withColumn("overlap", jaccard(F.col("words"), F.col("rejected_words"))).filter("overlap > 0")
+    first = rejected.groupBy("key").agg(F.min(F.struct("uid", "words")).alias("r")).select("key", F.col("r.uid").alias("rejected_uid"), F.col("r.words").alias("rejected_words"))
+    scored = live.join(first, "key").withColumn("overlap", jaccard(F.col("words"), F.col("rejected_words"))).filter("overlap > 0")
     return scored.select("uid", "rejected_uid", F.when(F.col("overlap") >= overlap, "problem").otherwise("note").alias("severity"), "overlap")
 
 

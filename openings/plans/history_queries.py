@@ -166,7 +166,7 @@ p AS (SELECT p_partkey AS uid, p_brand AS key, {_WORDS.format("p_name || ' ' ||
 s AS (SELECT e.line, p.uid, e.words IS NULL AS untitled, CASE WHEN p.uid IS NULL THEN NULL WHEN e.words IS NULL THEN 0.0 ELSE CAST(len(list_intersect(e.words, p.words)) AS DOUBLE) / len(list_distinct(list_concat(e.words, p.words))) END AS score FROM e LEFT JOIN p USING (key)),
 r AS (SELECT *, row_number() OVER w AS n, lead(score) OVER w AS runner_up, count(uid) OVER (PARTITION BY line) AS candidates FROM s WINDOW w AS (PARTITION BY line ORDER BY score DESC NULLS LAST, uid)),
 v AS (SELECT *, CASE WHEN candidates = 0 THEN 'unmatched' WHEN untitled THEN CASE WHEN candidates = 1 THEN 'matched' ELSE 'ambiguous' END WHEN score >= 0.6 AND score - coalesce(runner_up, 0) >= 0.15 THEN 'matched' WHEN score >= 0.6 THEN 'ambiguous' ELSE 'unmatched' END AS verdict FROM r WHERE n = 1)
-SELECT line, verdict, CASE WHEN verdict = 'matched' THEN uid END AS uid, score AS best, runner_up FROM v""")
+SELECT line, verdict, CASE WHEN verdict = 'matched' THEN uid END AS uid, CASE WHEN score >= 0.6 - 0.15 THEN score END AS best, CASE WHEN runner_up >= 0.6 - 0.15 THEN runner_up END AS runner_up FROM v""")
 def matched_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     e = part.filter("p_size <= 10").select(F.col("p_partkey").alias("line"), F.col("p_brand").alias("key"), F.when(F.col("p_partkey") % 5 != 0, text.title_tokens(F.col("p_name"))).alias("words"))

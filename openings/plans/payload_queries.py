@@ -102,9 +102,10 @@ SOURCES: dict[str, tuple[str, str, dict[str, str]]] = {
     "themuse": (_struct(id="c_custkey", name=TITLE, refs=_struct(landing_page="'https://m/1'"), company=_struct(name="c_mktsegment"), locations="array(named_struct('name', 'A'), named_struct('name', 'B'))", contents="'c'", publication_date="'2024-06-07'"), _list("results", total="size(items)"), {"url": "'https://m/1'", "company": "c_mktsegment", "location": "'A; B'", "reported_total": COUNT}),
     "workingnomads": (_struct(url="concat('https://n/', c_custkey)", title=TITLE, company_name="c_mktsegment", location="'x'", description="'d'", pub_date="'2024-08-09T01:00:00'", category_name="'c'"), "to_json(items)", {"external_id": "'https://n/' || c_custkey", "company": "c_mktsegment", "posted_at": "'2024-08-09'", "department": "'c'"}),
     "usajobs": (
-        _struct(MatchedObjectId=ID, MatchedObjectDescriptor=_struct(PositionTitle=TITLE, PositionURI="'https://u/1'", OrganizationName="c_mktsegment", PositionLocationDisplay="'DC'", PublicationStartDate="'2024-10-11T00:00'", QualificationSummary="'q'", PositionRemuneration="array(named_struct('MinimumRange', concat(CAST(c_custkey AS STRING), '.0'), 'MaximumRange', CAST(c_custkey + 1 AS STRING), 'RateIntervalCode', CASE WHEN c_custkey % 2 = 0 THEN 'PA' ELSE 'PH' END))")),
+        _struct(MatchedObjectId=ID, MatchedObjectDescriptor=_struct(PositionTitle=TITLE, PositionURI="'https://u/1'", OrganizationName="c_mktsegment", PositionLocationDisplay="'DC'", PublicationStartDate="'2024-10-11T00:00'", UserArea=_struct(Details=_struct(JobSummary="concat('<p>Sum ', c_mktsegment, '</p>')", MajorDuties="CASE WHEN c_custkey % 2 = 0 THEN array('one', ' ', c_mktsegment) ELSE array('two') END", Education="' '", OtherInformation="CASE WHEN c_custkey % 3 = 0 THEN c_name END")), PositionRemuneration="array(named_struct('MinimumRange', concat(CAST(c_custkey AS STRING), '.0'), 'MaximumRange', CAST(c_custkey + 1 AS STRING), 'RateIntervalCode', CASE WHEN c_custkey % 2 = 0 THEN 'PA' ELSE 'PH' END))")),
         "to_json(named_struct('SearchResult', named_struct('SearchResultCountAll', size(items), 'SearchResultItems', items)))",
-        {"company": "c_mktsegment", "location": "'DC'", "comp_min": "CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS BIGINT) END", "comp_max": "CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey + 1 AS BIGINT) END", "description": "'q'", "reported_total": COUNT},
+        {"company": "c_mktsegment", "location": "'DC'", "comp_min": "CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS BIGINT) END", "comp_max": "CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey + 1 AS BIGINT) END", "reported_total": COUNT,
+         "description": "'Summary' || chr(10) || ' Sum ' || c_mktsegment || chr(10) || chr(10) || 'Duties' || chr(10) || CASE WHEN c_custkey % 2 = 0 THEN 'one' || chr(10) || c_mktsegment ELSE 'two' END || CASE WHEN c_custkey % 3 = 0 THEN chr(10) || chr(10) || 'Other information' || chr(10) || c_name ELSE '' END"},
     ),
     "findwork": (_struct(id="c_custkey", role=TITLE, url="'https://f/1'", company_name="c_mktsegment", location="'y'", text="'t'", date_posted="'2024-11-12T13:14:15Z'", remote="c_custkey % 2 = 0"), _list("results", count="size(items)"), {"company": "c_mktsegment", "description": "'t'", "posted_at": "'2024-11-12'", "remote_flag": "c_custkey % 2 = 0", "reported_total": COUNT}),
     "careerjet": (_struct(url="concat('https://c/', c_custkey)", title=TITLE, company="c_mktsegment", locations="'z'", description="'d'", salary="'$2 a year'"), _list("jobs", hits="size(items)"), {"external_id": "'https://c/' || c_custkey", "company": "c_mktsegment", "comp_text": "'$2 a year'", "reported_total": COUNT}),

@@ -42,6 +42,24 @@ def _place(*parts: str) -> str:
     return "nullif(concat_ws(', ', " + ", ".join(f"nullif(trim({p}), '')" for p in parts) + "), '')"
 
 
+# The sections of a federal feed's body, heading -> field.
+BODY_SECTIONS = {
+    "Summary": "JobSummary", "Duties": "MajorDuties", "Requirements": "Requirements", "Qualifications": "Qualifications", "Education": "Education", "Evaluation": "Evaluations",
+    "Required documents": "RequiredDocuments", "Benefits": "Benefits", "Other information": "OtherInformation",
+}
+
+
+def _listed(e: str) -> str:
+    """A field that is a text or a list of texts, as text: one line an item that isn't blank."""
+    return f"CASE WHEN {e} LIKE '[%' THEN coalesce(array_join(filter(from_json({e}, 'array<string>'), x -> trim(x) <> ''), '\\n'), {e}) ELSE {e} END"
+
+
+def _headed(parts: dict[str, str]) -> str:
+    """Sections with their headings, those without text left out."""
+    made = ", ".join(f"CASE WHEN trim(coalesce({_listed(e)}, '')) <> '' THEN concat('{h}\\n', trim({_listed(e)})) END" for h, e in parts.items())
+    return f"concat_ws('\\n\\n', {made})"
+
+
 _SPECS = [
     Spec(
         "greenhouse",
@@ -221,8 +239,8 @@ _SPECS += [
           external_id="i.id", title="i.title", url="i.redirect_url", company="i.company.display_name", location="i.location.display_name", description="i.description", posted_at="substring(i.created, 1, 10)", reported_total="b.count",
           comp_min="CASE WHEN i.salary_is_predicted = '1' OR i.salary_min = i.salary_max THEN NULL ELSE CAST(i.salary_min AS BIGINT) END", comp_max="CASE WHEN i.salary_is_predicted = '1' OR i.salary_min = i.salary_max THEN NULL ELSE CAST(i.salary_max AS BIGINT) END",
           comp_text="CASE WHEN i.salary_is_predicted = '1' OR i.salary_min = i.salary_max THEN 'salary predicted by the feed, not stated' END"),
-    _feed("usajobs", "SearchResult STRUCT<SearchResultCountAll BIGINT, SearchResultItems ARRAY<STRUCT<MatchedObjectId STRING, MatchedObjectDescriptor STRUCT<PositionTitle STRING, PositionURI STRING, OrganizationName STRING, PositionLocationDisplay STRING, PublicationStartDate STRING, QualificationSummary STRING, PositionRemuneration ARRAY<STRUCT<MinimumRange STRING, MaximumRange STRING, RateIntervalCode STRING>>>>>>", "b.SearchResult.SearchResultItems",
-          external_id="i.MatchedObjectId", title="i.MatchedObjectDescriptor.PositionTitle", url="i.MatchedObjectDescriptor.PositionURI", company="i.MatchedObjectDescriptor.OrganizationName", location="i.MatchedObjectDescriptor.PositionLocationDisplay", description="i.MatchedObjectDescriptor.QualificationSummary",
+    _feed("usajobs", "SearchResult STRUCT<SearchResultCountAll BIGINT, SearchResultItems ARRAY<STRUCT<MatchedObjectId STRING, MatchedObjectDescriptor STRUCT<PositionTitle STRING, PositionURI STRING, OrganizationName STRING, PositionLocationDisplay STRING, PublicationStartDate STRING, PositionRemuneration ARRAY<STRUCT<MinimumRange STRING, MaximumRange STRING, RateIntervalCode STRING>>, UserArea STRUCT<Details STRUCT<" + ", ".join(f"{k} STRING" for k in BODY_SECTIONS.values()) + ">>>>>>", "b.SearchResult.SearchResultItems",
+          external_id="i.MatchedObjectId", title="i.MatchedObjectDescriptor.PositionTitle", url="i.MatchedObjectDescriptor.PositionURI", company="i.MatchedObjectDescriptor.OrganizationName", location="i.MatchedObjectDescriptor.PositionLocationDisplay", description=_headed({h: f"i.MatchedObjectDescriptor.UserArea.Details.{k}" for h, k in BODY_SECTIONS.items()}),
           posted_at="substring(i.MatchedObjectDescriptor.PublicationStartDate, 1, 10)", reported_total="b.SearchResult.SearchResultCountAll",
           comp_min="CASE WHEN i.MatchedObjectDescriptor.PositionRemuneration[0].RateIntervalCode IN ('PA', 'Per Year') THEN CAST(try_cast(i.MatchedObjectDescriptor.PositionRemuneration[0].MinimumRange AS DOUBLE) AS BIGINT) END",
           comp_max="CASE WHEN i.MatchedObjectDescriptor.PositionRemuneration[0].RateIntervalCode IN ('PA', 'Per Year') THEN CAST(try_cast(i.MatchedObjectDescriptor.PositionRemuneration[0].MaximumRange AS DOUBLE) AS BIGINT) END"),
@@ -297,8 +315,45 @@ def merge_locations(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source", "board", "external_id").agg(F.array_join(F.array_distinct(F.transform(places, lambda p: p["location"])), "; ").alias("location"), *[first(c) for c in others])
 
 
+#: Detail pages of boards whose lists lack the body: one opening a page, landed with kind "detail" and its external_id.
+DETAILS = {
+    s.name: s
+    for s in (
+        Spec(
+            "smartrecruiters", "jobAd STRUCT<sections STRUCT<companyDescription STRUCT<text STRING>, jobDescription STRUCT<text STRING>, qualifications STRUCT<text STRING>, additionalInformation STRUCT<text STRING>>>", "b.jobAd.sections",
+            {"description": "concat_ws(' \\n', i.companyDescription.text, i.jobDescription.text, i.qualifications.text, i.additionalInformation.text)"},
+        ),
+        Spec(
+            "workday", "jobPostingInfo STRUCT<jobDescription STRING, remoteType STRING, location STRING, additionalLocations ARRAY<STRING>, startDate STRING>", "b.jobPostingInfo",
+            {"description": "i.jobDescription", "location": "array_join(filter(concat(array(i.location), coalesce(i.additionalLocations, array())), x -> x <> ''), ', ')", "posted_at": "substring(i.startDate, 1, 10)", "remote_flag": "CASE WHEN i.remoteType <> '' THEN i.remoteType RLIKE '(?i)remote' END"},
+        ),
+        Spec(
+            "oracle_orc", "ExternalDescriptionStr STRING, ExternalResponsibilitiesStr STRING, ExternalQualificationsStr STRING, PrimaryLocation STRING, WorkplaceType STRING, ExternalPostedStartDate STRING",
+            "CASE WHEN coalesce(b.ExternalDescriptionStr, b.ExternalResponsibilitiesStr, b.ExternalQualificationsStr) IS NOT NULL THEN b END",
+            {"description": _headed({"Description": "i.ExternalDescriptionStr", "Responsibilities": "i.ExternalResponsibilitiesStr", "Qualifications": "i.ExternalQualificationsStr"}), "location": "i.PrimaryLocation", "posted_at": "substring(i.ExternalPostedStartDate, 1, 10)", "remote_flag": "CASE WHEN trim(i.WorkplaceType) <> '' THEN i.WorkplaceType RLIKE '(?i)\\\\bremote\\\\b' END"},
+        ),
+    )
+}
+DETAIL_COLUMNS = ("description", "location", "posted_at", "remote_flag")
+
+
+def parse_details(raw: DataFrame, spec: Spec) -> DataFrame:
+    """Detail pages of one source: source, board, external_id, the columns that details override, reject ("envelope": not the source's shape; "body": no text).
+
+    raw: source, board, external_id, body.  Of a page landed again, one counts:
+    the one with the longest text.
+    """
+    read = raw.filter(F.col("source") == spec.name).withColumn("b", F.from_json("body", spec.schema)).withColumn("i", F.expr(spec.items))
+    columns = [(F.expr(spec.fields[c]) if c in spec.fields else F.lit(None)).cast(COLUMNS[c]).alias(c) for c in DETAIL_COLUMNS]
+    rows = read.select("source", "board", "external_id", F.col("i").isNull().alias("no_item"), *columns).withColumn("description", strip_html(F.col("description")))
+    rows = rows.withColumn("reject", F.when(F.col("no_item"), "envelope").when(F.col("description") == "", "body")).drop("no_item")
+    values = F.struct(*DETAIL_COLUMNS, "reject")
+    best = rows.groupBy("source", "board", "external_id").agg(F.max_by(values, F.struct(F.length("description"), F.to_json(values))).alias("v"))
+    return best.select("source", "board", "external_id", "v.*")
+
+
 def with_details(lists: DataFrame, details: DataFrame, columns: tuple[str, ...] = ("description", "location", "department")) -> DataFrame:
     """List rows enriched by detail rows of the same opening: a detail's value wins unless blank."""
     d = details.select("source", "board", "external_id", *[F.col(c).alias(f"detail_{c}") for c in columns])
     joined = lists.join(d, ["source", "board", "external_id"], "left")
-    return joined.select(*[F.coalesce(F.when(F.trim(f"detail_{c}") != "", F.col(f"detail_{c}")), F.col(c)).alias(c) if c in columns else F.col(c) for c in lists.columns])
+    return joined.select(*[F.coalesce(F.when(F.trim(F.col(f"detail_{c}").cast("string")) != "", F.col(f"detail_{c}")), F.col(c)).alias(c) if c in columns else F.col(c) for c in lists.columns])
