@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,17 +30,64 @@ def short_hash(c: Column) -> Column:
     return F.substring(F.sha2(c, 256), 1, 20)
 
 
+#: scheme, user info, host (a name, or an address in brackets), port, path, query.
+_URL = r"^(?i:(https?))://([^/?#]*@)?(\[[^/?#@\[\]]*\]|[^/?#@:\[\]]*)(?::(\d*))?(/[^?#]*)?(\?[^#]*)?(?:#.*)?$"
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_DOTTED = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once: calls into the JVM are never recognised as common subexpressions."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _address(bracketed: Column) -> Column:
+    """An IPv6 literal in brackets as eight groups (a.b.c.d if it maps IPv4), null if it isn't one; a zone is left out."""
+    inside = F.lower(F.regexp_extract(bracketed, r"^\[([^\]%]*)(?:%[^\]]*)?\]$", 1))
+    # only what can be a literal: in brackets the JVM parses it or fails, and never looks a name up
+    literal = F.when(inside.rlike(r"^[0-9a-f:.]*:[0-9a-f:.]*$"), F.concat(F.lit("["), inside, F.lit("]")))
+    return F.when(literal.isNotNull(), F.substring_index(F.try_reflect(F.lit("java.net.InetAddress"), F.lit("getByName"), literal), "/", -1))
+
+
+def _shown_address(groups: Column) -> Column:
+    """The shortest spelling of _address: the first of its longest runs of zero groups (two or more) becomes ::."""
+    shown = groups
+    for n in range(2, 9):  # the longest run decides, so it is the outermost case
+        run = rf"^(|.*?:)0(?::0){{{n - 1}}}(?:$|:(.*))$"
+        shown = F.when(groups.rlike(run), F.concat(F.regexp_replace(F.regexp_extract(groups, run, 1), ":$", ""), F.lit("::"), F.regexp_extract(groups, run, 2))).otherwise(shown)
+    return F.when(groups.contains("."), F.concat(F.lit("::ffff:"), groups)).otherwise(shown)
+
+
+def ascii_host(host: Column) -> Column:
+    """A host as it is compared, null if it is none: lower case, no dots at its end, names outside ASCII in their xn-- form, IPv6 literals in their shortest spelling.
+
+    Names outside ASCII go through the JVM's own IDN, and only they; nothing leaves the JVM.
+    """
+    name = F.regexp_replace(F.lower(host), r"\.+$", "")
+    coded = F.when(name.rlike(r"[^\x00-\x7F]"), F.lower(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), name, F.lit(1)))).otherwise(name)
+    # characters whose compatibility form holds a delimiter must not open another part of the url
+    fits = r"^[^./?#@:\[\]]{1,63}(\.[^./?#@:\[\]]{1,63})*$"
+    return F.when(host.startswith("["), F.concat(F.lit("["), _let(_address(host), _shown_address), F.lit("]"))).otherwise(_let(coded, lambda c: F.when(c.rlike(fits), c)))
+
+
+def _port(digits: Column) -> Column:
+    """A port as a number, -1 if it is none, null if there is none."""
+    return F.when(digits != "", F.when(F.coalesce(digits.try_cast("bigint"), F.lit(-1)) <= 65535, F.coalesce(digits.try_cast("bigint"), F.lit(-1))).otherwise(-1))
+
+
 def identity_url(url: Column) -> Column:
-    """A url for comparison: lower-cased scheme and host, no default port, no fragment, / for an empty path; others just lose the fragment."""
+    """A url for comparison: lower-cased scheme, host as in ascii_host, no user info, no default port, no fragment, / for an empty path.
+
+    What isn't http or https, or has no such host or port, just loses the
+    fragment; null is "".
+    """
     raw = F.trim(F.coalesce(url, F.lit("")))
     bare = F.substring_index(raw, "#", 1)
-    pattern = r"^(?i:(https?))://([^/?#@]*?)\.?(?::(\d+))?(/[^?#]*)?(\?[^#]*)?(?:#.*)?$"
-    scheme, host, port, path, query = (F.regexp_extract(raw, pattern, i) for i in range(1, 6))
-    scheme = F.lower(scheme)
-    default = F.when(scheme == "https", "443").otherwise("80")
-    shown = F.when((port != "") & (port != default), F.concat(F.lit(":"), port)).otherwise("")
-    whole = F.concat(scheme, F.lit("://"), F.lower(host), shown, F.when(path == "", "/").otherwise(path), F.when(query == "?", "").otherwise(query))
-    return F.when(raw.rlike(pattern) & (host != ""), whole).otherwise(bare)
+    scheme, host, digits, path, query = (F.regexp_extract(raw, _URL, i) for i in (1, 3, 4, 5, 6))
+    scheme, port = F.lower(scheme), _port(digits)
+    shown = F.when(port != F.when(scheme == "https", 443).otherwise(80), F.concat(F.lit(":"), port.cast("string"))).otherwise("")
+    whole = F.concat(scheme, F.lit("://"), ascii_host(host), shown, F.when(path == "", "/").otherwise(path), F.when(query == "?", "").otherwise(query))
+    return F.coalesce(F.when(raw.rlike(_URL) & (F.coalesce(port, F.lit(0)) >= 0), whole), bare)  # null without a host
 
 
 def discriminator(source: Column, locator: Column) -> Column:
@@ -129,29 +179,51 @@ def site_operand(url: Column, operand: str) -> Column:
 LOCAL_HOSTS = ("localhost", "local", "internal", "lan", "home", "home.arpa", "intranet", "corp", "private")
 #: A char that no link may hold as it is: blanks, controls, format characters, back-slashes.
 _UNSAFE = r"[\x00-\x20\x7F\\\\\p{Cf}]"
-_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+# IPv4 ranges that aren't public, but for two addresses of 192.0.0.0/24.
+_CLOSED_IPV4 = r"^(0|10|127|22[4-9]|23\d|24\d|25[0-5])\.|^169\.254\.|^172\.(1[6-9]|2\d|3[01])\.|^192\.168\.|^192\.0\.2\.|^192\.0\.0\.(?!(9|10)$)|^198\.(1[89]|51\.100)\.|^203\.0\.113\.|^100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\."
+
+
+def _public_ipv6(groups: Column) -> Column:
+    """Whether eight groups are a public address: within 2000::/3, without documentation, 6to4 and the protocol block 2001::/23 but for its public parts."""
+    group = lambda i: F.conv(F.split(groups, ":")[i], 16, 10).cast("int")
+    first, second = group(0), group(1)
+    tail = F.regexp_replace(groups, r"^[^:]*:", "")
+    protocol = (first == 0x2001) & (second < 0x200)
+    opened = tail.rlike(r"^1(:0){5}:[12]$|^3:|^4:112:|^[23][0-9a-f]:")
+    return first.between(0x2000, 0x3FFF) & (~protocol | opened) & ~((first == 0x2001) & (second == 0xDB8)) & (first != 0x2002) & ~((first == 0x3FFF) & (second < 0x1000))
+
+
+def _encoded(part: Column, safe: str) -> Column:
+    """part with every character outside `safe` percent-encoded in UTF-8."""
+    runs = F.regexp_extract_all(part, F.lit(rf"(?s)[{safe}]+|[^{safe}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(rf"^[{safe}]"), r).otherwise(F.regexp_replace(F.hex(F.encode(r, "UTF-8")), "(..)", "%$1"))), "")
 
 
 def public_url(url: Column, limit: int = 2048) -> Column:
     """The url if it may be shown as a link, else "".
 
     http or https, no credentials, no blanks or hidden characters, at most
-    `limit` long; a host of two labels or more in a-z, 0-9, - and . that isn't
-    local, or a dotted IPv4 address of the public ranges.  Other spellings of
-    addresses, IPv6 literals and names outside ASCII aren't shown.  Brackets,
-    quotes and the like in what follows the host are percent-encoded.
+    `limit` long; a host of two labels or more that isn't local (names outside
+    ASCII are shown in their xn-- form), or an IPv4 or IPv6 literal of the
+    public ranges in its shortest spelling; IPv4 in an IPv6 literal counts as
+    itself.  Other spellings of addresses aren't shown.  What isn't safe behind
+    the host is percent-encoded.
     """
     raw = F.coalesce(url, F.lit(""))
-    shape = r"^(?i:(https?))://([^/?#@:\[\]]+?)\.?(:\d{1,5})?([/?#].*)?$"
-    scheme, host, port, rest = F.lower(F.regexp_extract(raw, shape, 1)), F.lower(F.regexp_extract(raw, shape, 2)), F.regexp_extract(raw, shape, 3), F.regexp_extract(raw, shape, 4)
-    dotted = host.rlike(rf"^{_OCTET}(\.{_OCTET}){{3}}$")
-    closed = host.rlike(r"^(0|10|127|22[4-9]|23\d|24\d|25[0-5])\.|^169\.254\.|^172\.(1[6-9]|2\d|3[01])\.|^192\.168\.|^192\.0\.[02]\.|^198\.(1[89]|51\.100)\.|^203\.0\.113\.|^100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.")
-    named = host.rlike(r"^[a-z0-9]([a-z0-9-]*[a-z0-9])?(\.[a-z0-9]([a-z0-9-]*[a-z0-9])?)+$") & (F.length(host) <= 253) & ~host.rlike(r"^(0x[0-9a-f]+|\d+)(\.(0x[0-9a-f]+|\d+))*$")
-    local = F.lit(False)
-    for name in LOCAL_HOSTS:
-        local = local | (host == name) | host.endswith("." + name)
-    for raw_, coded in (("(", "%28"), (")", "%29"), ("[", "%5B"), ("]", "%5D"), ("<", "%3C"), (">", "%3E"), ('"', "%22"), ("`", "%60"), ("{", "%7B"), ("}", "%7D"), ("|", "%7C"), ("^", "%5E"), ("*", "%2A")):
-        rest = F.replace(rest, F.lit(raw_), F.lit(coded))
-    port_fits = F.coalesce(F.substring(port, 2, 5).try_cast("int"), F.lit(0)) <= 65535
-    fine = raw.rlike(shape) & ~raw.rlike(_UNSAFE) & (F.length(raw) <= limit) & port_fits & ((dotted & ~closed) | (named & ~local))
-    return F.when(fine, F.concat(scheme, F.lit("://"), host, port, rest)).otherwise("")
+    scheme, user, host, digits, path, query = (F.regexp_extract(raw, _URL, i) for i in range(1, 7))
+    fragment = F.regexp_extract(raw, r"(?s)^[^#]*#(.*)$", 1)
+    port = _port(digits)
+    label = r"[a-z0-9]([a-z0-9-]*[a-z0-9])?"
+
+    def public(groups: Column, host: Column) -> Column:
+        named = host.rlike(rf"^{label}(\.{label})+$") & (F.length(host) <= 253) & ~host.rlike(r"^(0x[0-9a-f]*|\d+)(\.(0x[0-9a-f]*|\d+))*$")
+        local = host.rlike(r"(^|\.)(" + "|".join(re.escape(n) for n in LOCAL_HOSTS) + ")$")
+        v4 = F.when(host.startswith("["), F.when(groups.contains("."), groups)).otherwise(host)
+        return F.when(v4.rlike(_DOTTED), ~v4.rlike(_CLOSED_IPV4)).when(host.startswith("["), _public_ipv6(groups)).otherwise(named & ~local)
+
+    shown = _let(F.struct(_address(host).alias("groups"), ascii_host(host).alias("host")), lambda h: F.when(public(h["groups"], h["host"]), h["host"]))
+    fine = raw.rlike(_URL) & (user == "") & ~raw.rlike(_UNSAFE) & (F.length(raw) <= limit) & (F.coalesce(port, F.lit(0)) >= 0)
+    safe = r"A-Za-z0-9_.~/%:@!$&'+,;=\-"
+    rest = F.concat(_encoded(path, safe), *[F.when(part != "", F.concat(F.lit(mark), _encoded(part, safe + "?"))).otherwise("") for mark, part in (("?", F.regexp_replace(query, r"^\?", "")), ("#", fragment))])
+    whole = F.concat(F.lower(scheme), F.lit("://"), shown, F.coalesce(F.concat(F.lit(":"), port.cast("string")), F.lit("")), rest)
+    return F.coalesce(F.when(fine, whole), F.lit(""))  # null without a public host
