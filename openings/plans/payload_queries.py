@@ -45,10 +45,13 @@ SOURCES: dict[str, tuple[str, str, dict[str, str]]] = {
         _struct(uuid=ID, name=TITLE, url="'https://ats/1'", department="CASE WHEN c_custkey % 2 = 0 THEN to_json(named_struct('label', c_mktsegment)) ELSE c_mktsegment END", workLocation="CASE WHEN c_custkey % 3 = 0 THEN to_json(named_struct('label', 'Rome')) ELSE 'Oslo' END"), "to_json(items)",
         {"url": "'https://ats/1'", "department": "c_mktsegment", "location": "CASE WHEN c_custkey % 3 = 0 THEN 'Rome' ELSE 'Oslo' END"},
     ),
+    # pages of three shapes: a feed, an object of the older list, that list alone
     "teamtailor": (
-        _struct(id=ID, title=TITLE, url="'https://t/1'", date_published="'2024-03-04T05:06:07+02:00'", content_html="CASE WHEN c_custkey % 2 = 0 THEN '<p>x</p>' END", _jobposting="CASE WHEN c_custkey % 3 = 0 THEN '{\"jobLocation\":[{\"address\":{\"addressLocality\":\"Malm\"}}],\"description\":\"y\"}' ELSE '{\"jobLocation\":{\"address\":{\"addressLocality\":\"Lund\"}},\"description\":\"y\"}' END"),
-        _list("items", next_url="CASE WHEN size(items) % 2 = 0 THEN 'https://t/next' END"),
-        {"posted_at": "'2024-03-04'", "location": "CASE WHEN c_custkey % 3 = 0 THEN 'Malm' ELSE 'Lund' END", "description": "CASE WHEN c_custkey % 2 = 0 THEN 'x' ELSE 'y' END", "capped": f"{COUNT} % 2 = 0"},
+        "named_struct('id', CASE WHEN c_custkey % 5 > 0 THEN " + ID + " END, 'title', " + TITLE + r""", 'url', 'https://t/1', 'careersite-job-url', CASE WHEN c_custkey % 4 = 0 THEN concat('https://t/job/', c_custkey) END, 'location', CASE WHEN c_custkey % 7 = 0 THEN c_mktsegment END, 'date_published', CASE WHEN c_custkey % 2 = 0 THEN '2024-03-04T05:06:07+02:00' END, 'content_html', CASE WHEN c_custkey % 2 = 0 THEN '<p>x</p>' END,
+        '_jobposting', named_struct('identifier', named_struct('value', CAST(c_custkey AS STRING)), 'datePosted', '2023-01-02', 'description', 'y', 'jobLocationType', CASE WHEN c_custkey % 6 = 0 THEN 'TELECOMMUTE' END, 'jobLocation', array(named_struct('address', named_struct('addressLocality', CASE WHEN c_custkey % 3 = 0 THEN 'Lund' ELSE 'Malm' END, 'addressCountry', 'SE')), named_struct('address', named_struct('addressLocality', 'Lund', 'addressCountry', 'SE')))))""",
+        "CASE size(items) % 3 WHEN 0 THEN to_json(items) WHEN 1 THEN to_json(named_struct('jobs', items, 'next_url', ' ')) ELSE to_json(named_struct('jobs', array(), 'items', items, 'next_url', 'https://t/next')) END",
+        {"url": "CASE WHEN c_custkey % 4 = 0 THEN 'https://t/job/' || c_custkey ELSE 'https://t/1' END", "posted_at": "CASE WHEN c_custkey % 2 = 0 THEN '2024-03-04' ELSE '2023-01-02' END", "remote_flag": "CASE WHEN c_custkey % 6 = 0 THEN TRUE END",
+         "location": "CASE WHEN c_custkey % 7 = 0 THEN c_mktsegment WHEN c_custkey % 3 = 0 THEN 'Lund, SE' ELSE 'Malm, SE; Lund, SE' END", "description": "CASE WHEN c_custkey % 2 = 0 THEN 'x' ELSE 'y' END", "capped": f"{COUNT} % 3 = 2"},
     ),
     "pinpoint": (
         _struct(id=ID, title=TITLE, url="'https://p/1'", description="'a'", key_responsibilities="'b'", benefits="'c'", workplace_type="CASE c_custkey % 3 WHEN 0 THEN 'remote' WHEN 1 THEN 'onsite' END", compensation="'pay'", compensation_minimum="CAST(c_custkey AS DOUBLE)", compensation_maximum="CAST(c_custkey + 5 AS DOUBLE)", compensation_currency="CASE WHEN c_custkey % 2 = 0 THEN 'USD' ELSE 'EUR' END", compensation_frequency="CASE WHEN c_custkey % 5 = 0 THEN 'hour' ELSE 'Year' END", compensation_visible="c_custkey % 7 <> 0", location="'{\"name\":\"Bath\"}'", department="'ops'"),
@@ -77,8 +80,8 @@ SOURCES: dict[str, tuple[str, str, dict[str, str]]] = {
         {"external_id": "'o' || c_custkey", "url": "'https://jobs.jobvite.com/acme/job/o' || c_custkey"},
     ),
     "hrmdirect": (
-        f"concat('<tr data-req-id=\"', c_custkey, '\"><td><a href=\"job.php?req=', c_custkey, '\"> ', coalesce({TITLE}, ''), '</a></td><td class=\"city\"> ', c_mktsegment, ' </td><td>', c_custkey % 12 + 1, '/', c_custkey % 28 + 1, '/2024</td></tr>')", "concat('<table>', array_join(items, ''), '</table>')",
-        {"url": "'job.php?req=' || c_custkey", "location": "c_mktsegment", "posted_at": "CAST(make_date(2024, CAST(c_custkey % 12 + 1 AS INT), CAST(c_custkey % 28 + 1 AS INT)) AS VARCHAR)"},
+        f"concat('<tr class=\"reqitem\" data-req-id=\"', c_custkey, '\"><td id=\"departments', c_custkey, '\"><b>', c_mktsegment, '</b></td><td id=\"posTitle\"> <a href=\"job-opening.php?req=', c_custkey, '&amp;x=1\"> ', coalesce({TITLE}, ''), ' </a></td><td class=\"city\"> ', c_mktsegment, ' </td><td class=\"reqitem\">', c_custkey % 12 + 1, '/', c_custkey % 28 + 1, '/2024</td></tr>')", "concat('<table>', array_join(items, ''), '</table>')",
+        {"url": "'https://' || c_nationkey || '.hrmdirect.com/employment/job-opening.php?req=' || c_custkey || '&x=1'", "location": "c_mktsegment", "department": "c_mktsegment", "posted_at": "CAST(make_date(2024, CAST(c_custkey % 12 + 1 AS INT), CAST(c_custkey % 28 + 1 AS INT)) AS VARCHAR)"},
     ),
     "linkedin_guest": (
         f"concat('<div class=\"base-card\" data-entity-urn=\"urn:li:jobPosting:', c_custkey, '\"><a href=\"https://l/', c_custkey, '?trk=1\"></a><h3 class=\"base-search-card__title\"> ', coalesce({TITLE}, ''), ' </h3><h4 class=\"base-search-card__subtitle\"><a> ', c_mktsegment, ' </a></h4><span class=\"job-search-card__location\"> Here </span><time datetime=\"2024-02-0', c_custkey % 9 + 1, '\">x</time>')",
@@ -86,9 +89,10 @@ SOURCES: dict[str, tuple[str, str, dict[str, str]]] = {
         {"url": "'https://l/' || c_custkey", "company": "c_mktsegment", "location": "'Here'", "posted_at": "'2024-02-0' || (c_custkey % 9 + 1)"},
     ),
     "neogov": (
-        f"concat('<item><title>', coalesce({TITLE}, ''), '</title><link>https://n/1</link><joblisting:jobId>', c_custkey, '</joblisting:jobId><joblisting:minimumSalary>', c_custkey * 10, '.50</joblisting:minimumSalary><joblisting:maximumSalary>', c_custkey * 20, '</joblisting:maximumSalary><joblisting:salaryCurrency>USD</joblisting:salaryCurrency><joblisting:salaryInterval>', CASE WHEN c_custkey % 2 = 0 THEN 'Year' ELSE 'Hour' END, '</joblisting:salaryInterval><pubDate>Mon, 5 Feb 2024 01:00:00 PST</pubDate><description>duties</description></item>')",
-        "concat('<rss xmlns:joblisting=\"x\"><channel><title>c</title>', array_join(items, ''), '</channel></rss>')",
-        {"url": "'https://n/1'", "comp_min": "CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey * 10 AS BIGINT) END", "comp_max": "CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey * 20 AS BIGINT) END", "posted_at": "'2024-02-05'", "description": "'duties'"},
+        f"concat('<item><title>', coalesce({TITLE}, ''), '</title><link>https://n/1</link><joblisting:jobId>', c_custkey, '</joblisting:jobId><joblisting:minimumSalary>', c_custkey * 10, '.50</joblisting:minimumSalary><joblisting:maximumSalary>', c_custkey * 20, '</joblisting:maximumSalary><joblisting:salaryCurrency>USD</joblisting:salaryCurrency><joblisting:salaryInterval>', CASE WHEN c_custkey % 2 = 0 THEN 'Year' ELSE 'Hour' END, '</joblisting:salaryInterval>', CASE WHEN c_custkey % 3 = 0 THEN '<joblisting:advertiseFromDate>Tue, 6 Feb 2024 05:00:00:0</joblisting:advertiseFromDate><joblisting:department>Parks &amp; Roads</joblisting:department><joblisting:qualifications>able</joblisting:qualifications>' ELSE '<joblisting:categories><joblisting:category>Law</joblisting:category><joblisting:category>Fire</joblisting:category></joblisting:categories>' END, '<pubDate>Mon, 5 Feb 2024 01:00:00 PST</pubDate><description>duties</description></item>')",
+        "concat('<rss xmlns:joblisting=\"x\"><channel><title> City of ', size(items), ' &amp; Co </title><link>https://n</link>', array_join(items, ''), '</channel></rss>')",
+        {"url": "'https://n/1'", "comp_min": "CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey * 10 AS BIGINT) END", "comp_max": "CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey * 20 AS BIGINT) END", "posted_at": "CASE WHEN c_custkey % 3 = 0 THEN '2024-02-06' ELSE '2024-02-05' END", "description": "CASE WHEN c_custkey % 3 = 0 THEN 'duties' || chr(10) || chr(10) || 'Qualifications' || chr(10) || 'able' ELSE 'duties' END",
+         "company": f"'City of ' || {COUNT} || ' & Co'", "department": "CASE WHEN c_custkey % 3 = 0 THEN 'Parks & Roads' ELSE 'Law, Fire' END", "comp_text": "'USD ' || (c_custkey * 10) || '.50 - ' || (c_custkey * 20) || CASE WHEN c_custkey % 2 = 0 THEN ' / Year' ELSE ' / Hour' END"},
     ),
     "weworkremotely": (
         f"concat('<item><title>', CASE WHEN c_custkey % 9 = 0 THEN '' WHEN c_custkey % 2 = 0 THEN concat('Acme: ', c_name, ': lead') ELSE c_name END, '</title><link>https://w/', c_custkey, '</link><guid>', c_custkey, '</guid><region>Anywhere</region><category>', c_mktsegment, '</category><description>d</description></item>')",

@@ -125,3 +125,21 @@ def _register(source: str, body: str, expected: dict[str, str]) -> None:
 
 for _name, (_body, _expected) in DETAILS.items():
     _register(_name, _body, _expected)
+
+
+@query("""WITH p AS (SELECT CAST(c_nationkey AS VARCHAR) AS board, CAST(c_custkey // 50 AS INT) AS page_no, c_nationkey AS k, count(*) AS n, count(*) FILTER (c_custkey % 9 > 0) AS ok, c_custkey // 50 AS pg FROM customer GROUP BY ALL),
+q AS (SELECT *, CASE WHEN k % 4 = 0 THEN 1 WHEN k % 4 = 1 THEN 5 WHEN k % 4 = 2 THEN 1 END AS "first", CASE WHEN k % 4 = 0 THEN ok WHEN k % 4 = 1 THEN 2 WHEN k % 4 = 2 THEN n END AS "last", CASE WHEN k % 4 = 0 THEN ok WHEN k % 4 = 1 THEN 9 WHEN k % 4 = 2 THEN n + pg END AS total FROM p),
+r AS (SELECT *, ok > 0 AND ok < coalesce(total, 0) AS capped, coalesce("first" < 1 OR "last" < "first" OR total < "last", FALSE) AS odd FROM q)
+SELECT board, page_no, CAST(n AS BIGINT) AS candidates, CAST(ok AS BIGINT) AS openings, CAST(total AS BIGINT) AS total, capped,
+ concat_ws('; ', CASE WHEN ok > 0 AND n > ok THEN 'read ' || ok || ' of ' || n || ' rows' END, CASE WHEN odd THEN 'range makes no sense' WHEN ok > 0 AND ok <> "last" - "first" + 1 THEN 'read ' || ok || ' of ' || ("last" - "first" + 1) || ' shown' END) AS notes,
+ CASE WHEN ok = 0 THEN CASE WHEN k % 2 = 0 THEN 'empty' ELSE 'unproven' END WHEN capped THEN 'capped' WHEN n > ok OR odd OR ok <> "last" - "first" + 1 THEN 'partial' ELSE 'whole' END AS verdict FROM r""")
+def card_page_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose own counts agree, make no sense, name more than they show, or say nothing; every ninth link has no title."""
+    item = "CASE WHEN c_custkey % 9 = 0 THEN concat('<a href=\"/acme/job/o', c_custkey, '\"><img></a>') ELSE concat('<a href=\"/acme/job/o', c_custkey, '\">', c_name, '</a>') END"
+    page = F.expr("CAST(c_custkey div 50 AS INT)").alias("page_no")
+    made = table(spark, sf_dir, "customer").groupBy("c_nationkey", page).agg(F.array_join(F.collect_list(F.expr(item)), " ").alias("links"), F.count(F.lit(1)).alias("n"), F.count(F.expr("CASE WHEN c_custkey % 9 > 0 THEN 1 END")).alias("ok"))  # at most 50 a page
+    shown = F.expr("CASE c_nationkey % 4 WHEN 0 THEN concat('1 - ', ok, ' of ', ok) WHEN 1 THEN '5-2 of 9' WHEN 2 THEN concat('1-', n, ' of ', n + page_no) END")
+    tail = F.expr("CASE WHEN c_nationkey % 2 = 0 THEN '<p class=\"jv-page-message\">No open positions</p>' ELSE '' END")
+    body = F.concat("links", F.coalesce(F.concat(F.lit('<span class="jv-pagination-text">'), shown, F.lit("</span>")), F.lit("")), tail)
+    raw = made.select(F.lit("jobvite").alias("source"), F.col("c_nationkey").cast("string").alias("board"), "page_no", body.alias("body"))
+    return walks.card_pages(raw, "jobvite").select("board", "page_no", "candidates", "openings", "total", "capped", "notes", "verdict")

@@ -48,3 +48,14 @@ def jobvite_empty(page: Column) -> Column:
     """The same for pages with the marks of the other board."""
     page = F.coalesce(page, F.lit(""))
     return page.rlike(r"(?i)\bjv-") & strip_html(page).rlike(NONE_TEXT)
+
+
+# The words of a third board's own empty page.
+HRM_TEMPLATE = r"(?i)current job opportunities are posted here as they become available"
+HRM_NONE = r"(?i)\b(?:there are\s+)?(?:currently\s+)?no\s+(?:open\s+)?(?:jobs?|positions?|job openings?|openings?)(?:\s+(?:are\s+)?(?:currently\s+)?available(?:\s+at\s+this\s+time)?|(?=[.!?]|$))"
+
+
+def hrmdirect_empty(page: Column) -> Column:
+    """The third board's template with a sentence that says there are none."""
+    plain = strip_html(F.coalesce(page, F.lit("")))
+    return plain.rlike(HRM_TEMPLATE) & plain.rlike(HRM_NONE)

@@ -26,7 +26,7 @@ HTML_COLUMNS = ("description",)
 
 @dataclass(frozen=True)
 class Spec:
-    """format: json (schema of the whole body), embedded (json that `pattern` finds in a page), cards (html pieces that `pattern` finds), xml (row schema under `items`)."""
+    """format: json (schema of the whole body), embedded (json that `pattern` finds in a page), cards (html pieces that `pattern` finds), xml (row schema under `items`; `b` is the body without its items).  A json body that is a list alone stands for an object with it as `bare_list`."""
 
     name: str
     schema: str
@@ -35,6 +35,7 @@ class Spec:
     format: str = "json"
     pattern: str = ""
     skip_first: bool = False
+    bare_list: str = ""
     extra: dict[str, str] = field(default_factory=dict)
 
 
@@ -42,6 +43,18 @@ def _place(*parts: str) -> str:
     return "nullif(concat_ws(', ', " + ", ".join(f"nullif(trim({p}), '')" for p in parts) + "), '')"
 
 
+#: An item of a JSON Feed, or of the older list of the same board.
+_FEED_ITEM = "id STRING, title STRING, url STRING, `careersite-job-url` STRING, location STRING, body STRING, date_published STRING, content_html STRING, _jobposting STRING"
+
+
+def _feed_places(posting: str) -> str:
+    """The places of a schema.org posting (one or a list), once each in order, semicolon-joined."""
+    raw = f"get_json_object({posting}, '$.jobLocation')"
+    listed = f"from_json(CASE WHEN {raw} LIKE '[%' THEN {raw} ELSE concat('[', {raw}, ']') END, 'array<struct<address:struct<addressLocality:string,addressRegion:string,addressCountry:string>>>')"
+    place = _place("x.address.addressLocality", "x.address.addressRegion", "x.address.addressCountry")
+    return f"array_join(array_distinct(transform({listed}, x -> {place})), '; ')"
+
+
 # The sections of a federal feed's body, heading -> field.
 BODY_SECTIONS = {
     "Summary": "JobSummary", "Duties": "MajorDuties", "Requirements": "Requirements", "Qualifications": "Qualifications", "Education": "Education", "Evaluation": "Evaluations",
@@ -56,10 +69,20 @@ def _listed(e: str) -> str:
 
 def _headed(parts: dict[str, str]) -> str:
     """Sections with their headings, those without text left out."""
-    made = ", ".join(f"CASE WHEN trim(coalesce({_listed(e)}, '')) <> '' THEN concat('{h}\\n', trim({_listed(e)})) END" for h, e in parts.items())
+    made = ", ".join(f"CASE WHEN trim(coalesce({_listed(e)}, '')) <> '' THEN concat('{h + chr(92) + 'n' if h else ''}', trim({_listed(e)})) END" for h, e in parts.items())
     return f"concat_ws('\\n\\n', {made})"
 
 
+def _rss_date(e: str) -> str:
+    """The day of a feed's date, whatever stands around it."""
+    return f"CAST(to_date(try_to_timestamp(regexp_extract({e}, '(\\\\d{{1,2}} [A-Za-z]{{3}} \\\\d{{4}})', 1), 'd MMM yyyy')) AS STRING)"
+
+
+def _annual(e: str) -> str:
+    """A yearly pay in dollars as a whole number; others are null."""
+    return f"CASE WHEN upper(trim(i.salaryCurrency)) = 'USD' AND lower(trim(i.salaryInterval)) IN ('year', 'annual', 'annually') THEN CAST(try_cast(replace({e}, ',', '') AS DOUBLE) AS BIGINT) END"
+
+
 _SPECS = [
     Spec(
         "greenhouse",
@@ -121,11 +144,15 @@ _SPECS = [
     ),
     Spec(
         "teamtailor",
-        "items ARRAY<STRUCT<id STRING, title STRING, url STRING, date_published STRING, content_html STRING, _jobposting STRING>>, next_url STRING",
-        "b.items",
-        {"external_id": "i.id", "title": "i.title", "url": "i.url", "posted_at": "substring(i.date_published, 1, 10)", "description": "coalesce(i.content_html, get_json_object(i._jobposting, '$.description'))",
-         "location": "coalesce(get_json_object(i._jobposting, '$.jobLocation.address.addressLocality'), get_json_object(i._jobposting, '$.jobLocation[0].address.addressLocality'))"},
-        extra={"capped": "b.next_url IS NOT NULL"},
+        f"jobs ARRAY<STRUCT<{_FEED_ITEM}>>, items ARRAY<STRUCT<{_FEED_ITEM}>>, next_url STRING",
+        "CASE WHEN size(b.jobs) > 0 THEN b.jobs ELSE coalesce(b.items, b.jobs) END",
+        {"external_id": "coalesce(nullif(i.id, ''), nullif(get_json_object(i._jobposting, '$.identifier.value'), ''), nullif(get_json_object(i._jobposting, '$.identifier.name'), ''), CASE WHEN get_json_object(i._jobposting, '$.identifier') NOT LIKE '{%' THEN get_json_object(i._jobposting, '$.identifier') END)",
+         "title": "coalesce(nullif(i.title, ''), get_json_object(i._jobposting, '$.title'))", "url": "coalesce(nullif(i.`careersite-job-url`, ''), i.url)",
+         "posted_at": "substring(coalesce(nullif(i.date_published, ''), get_json_object(i._jobposting, '$.datePosted')), 1, 10)",
+         "description": "coalesce(nullif(i.body, ''), nullif(i.content_html, ''), get_json_object(i._jobposting, '$.description'))",
+         "remote_flag": "CASE WHEN get_json_object(i._jobposting, '$.jobLocationType') = 'TELECOMMUTE' THEN true END",
+         "location": f"coalesce(nullif(i.location, ''), {_feed_places('i._jobposting')})"},
+        extra={"capped": "trim(coalesce(b.next_url, '')) <> ''"}, bare_list="jobs",
     ),
     Spec(
         "pinpoint",
@@ -147,7 +174,7 @@ _SPECS = [
         "oracle_orc",
         "items ARRAY<STRUCT<TotalJobsCount BIGINT, requisitionList ARRAY<STRUCT<Id STRING, Title STRING, PostedDate STRING, PrimaryLocation STRING, ShortDescriptionStr STRING>>>>",
         "flatten(transform(b.items, w -> w.requisitionList))",
-        {"external_id": "i.Id", "title": "i.Title", "url": "concat('https://', board, '/job/', i.Id)", "location": "i.PrimaryLocation", "posted_at": "i.PostedDate", "description": "i.ShortDescriptionStr", "reported_total": "array_max(transform(b.items, w -> w.TotalJobsCount))"},
+        {"external_id": "i.Id", "title": "i.Title", "url": "concat('https://', board, '/job/', i.Id)", "location": "i.PrimaryLocation", "posted_at": "substring(i.PostedDate, 1, 10)", "description": "i.ShortDescriptionStr", "reported_total": "array_max(transform(b.items, w -> w.TotalJobsCount))"},
     ),
     Spec(
         "eightfold",
@@ -183,9 +210,13 @@ _SPECS = [
     ),
     Spec(
         "hrmdirect", "", "",
-        {"external_id": r"regexp_extract(i, 'data-req-id=\"(\\d+)\"', 1)", "title": r"trim(regexp_extract(i, '(?s)<a[^>]*>(.*?)</a>', 1))", "url": r"regexp_extract(i, 'href=\"([^\"]+)\"', 1)", "location": r"trim(regexp_extract(i, '(?s)class=\"city\"[^>]*>(.*?)<', 1))",
+        {"external_id": r"regexp_extract(i, 'data-req-id=[\"\\x27]([^\"\\x27]+)', 1)",
+         "title": r"regexp_replace(coalesce(nullif(trim(regexp_extract(i, '(?is)<td[^>]*\\bid=[\"\\x27]posTitle[^>]*>(.*?)</td>', 1)), ''), trim(regexp_extract(i, '(?s)<a[^>]*>(.*?)</a>', 1))), '^\\s*<a[^>]*>\\s*|\\s*</a>\\s*$', '')",
+         "url": r"CASE WHEN regexp_extract(i, 'href=[\"\\x27]([^\"\\x27]+)', 1) RLIKE '(?i)^https?://' THEN replace(regexp_extract(i, 'href=[\"\\x27]([^\"\\x27]+)', 1), '&amp;', '&') WHEN regexp_extract(i, 'href=[\"\\x27]([^\"\\x27]+)', 1) <> '' THEN concat('https://', board, '.hrmdirect.com/employment/', replace(regexp_extract(i, 'href=[\"\\x27]([^\"\\x27]+)', 1), '&amp;', '&')) END",
+         "department": r"nullif(trim(regexp_replace(regexp_extract(i, '(?is)<td[^>]*\\bid=[\"\\x27]departments[^>]*>(.*?)</td>', 1), '<[^>]+>', ' ')), '')",
+         "location": r"trim(regexp_extract(i, '(?s)class=\"city\"[^>]*>(.*?)<', 1))",
          "posted_at": r"CAST(try_to_date(regexp_extract(i, '(\\d{1,2}/\\d{1,2}/\\d{4})', 1), 'M/d/yyyy') AS STRING)"},
-        format="cards", pattern=r"(?s)<tr[^>]*data-req-id=[^>]*>.*?</tr>",
+        format="cards", pattern=r"(?is)<tr[^>]*\bdata-req-id=[^>]*>.*?</tr>",
     ),
     Spec(
         "linkedin_guest", "", "",
@@ -199,11 +230,17 @@ _SPECS = [
         format="xml",
     ),
     Spec(
-        "neogov", "guid STRING, link STRING, title STRING, description STRING, pubDate STRING, jobId STRING, minimumSalary STRING, maximumSalary STRING, salaryCurrency STRING, salaryInterval STRING, department STRING, location STRING, qualifications STRING", "item",
-        {"external_id": "coalesce(i.jobId, i.guid)", "title": "i.title", "url": "i.link", "location": "i.location", "department": "i.department", "description": "concat_ws('\\n\\n', i.description, i.qualifications)",
-         "posted_at": "CAST(to_date(try_to_timestamp(regexp_extract(i.pubDate, '(\\\\d{1,2} [A-Za-z]{3} \\\\d{4})', 1), 'd MMM yyyy')) AS STRING)",
-         "comp_min": "CASE WHEN i.salaryCurrency = 'USD' AND lower(i.salaryInterval) IN ('year', 'annual', 'annually') THEN CAST(try_cast(i.minimumSalary AS DOUBLE) AS BIGINT) END",
-         "comp_max": "CASE WHEN i.salaryCurrency = 'USD' AND lower(i.salaryInterval) IN ('year', 'annual', 'annually') THEN CAST(try_cast(i.maximumSalary AS DOUBLE) AS BIGINT) END"},
+        "neogov",
+        "guid STRING, link STRING, title STRING, description STRING, pubDate STRING, jobId STRING, minimumSalary STRING, maximumSalary STRING, salaryCurrency STRING, salaryInterval STRING, department STRING, categories STRUCT<category ARRAY<STRING>>, location STRING, examplesofduties STRING, qualifications STRING, supplementalinformation STRING, advertiseFromDate STRING, advertiseFromDateUTC STRING, advertiseToDateTime STRING, advertiseToDateTimeUTC STRING",
+        "item",
+        {"external_id": r"coalesce(nullif(trim(i.jobId), ''), nullif(regexp_extract(coalesce(nullif(trim(i.link), ''), i.guid), '/jobs/(\\d+)', 1), ''))", "title": "i.title", "location": "i.location",
+         "url": "coalesce(nullif(trim(i.link), ''), nullif(trim(i.guid), ''), concat('https://www.governmentjobs.com/careers/', board, '/jobs/', trim(i.jobId)))",
+         "company": r"nullif(trim(from_xml(concat('<c>', regexp_extract(b, '(?s)<channel[^>]*>.*?(<title>.*?</title>)', 1), '</c>'), 'title STRING').title), '')",
+         "department": "coalesce(nullif(trim(i.department), ''), nullif(array_join(filter(i.categories.category, c -> trim(c) <> ''), ', '), ''))",
+         "description": _headed({"": "i.description", "Examples of duties": "i.examplesofduties", "Qualifications": "i.qualifications", "Supplemental information": "i.supplementalinformation", "Application deadline": _rss_date("coalesce(nullif(trim(i.advertiseToDateTimeUTC), ''), i.advertiseToDateTime)")}),
+         "posted_at": f"coalesce({_rss_date('coalesce(nullif(trim(i.advertiseFromDateUTC), \'\'), i.advertiseFromDate)')}, {_rss_date('i.pubDate')})",
+         "comp_min": _annual("i.minimumSalary"), "comp_max": _annual("i.maximumSalary"),
+         "comp_text": "nullif(concat(concat_ws(' ', nullif(upper(trim(i.salaryCurrency)), ''), nullif(concat_ws(' - ', nullif(trim(i.minimumSalary), ''), nullif(trim(i.maximumSalary), '')), '')), CASE WHEN trim(i.salaryInterval) <> '' THEN concat(' / ', trim(i.salaryInterval)) ELSE '' END), '')"},
         format="xml",
     ),
     Spec(
@@ -263,6 +300,9 @@ def _body(spec: Spec) -> Column:
     if spec.format == "embedded":
         inside = F.regexp_extract("body", spec.pattern, 1)
         return F.from_json(F.when(F.ltrim("body").startswith("{"), F.col("body")).otherwise(inside), spec.schema)
+    if spec.bare_list:
+        alone = F.ltrim("body").startswith("[")
+        return F.from_json(F.when(alone, F.concat(F.lit(f'{{"{spec.bare_list}":'), "body", F.lit("}"))).otherwise(F.col("body")), spec.schema)
     return F.from_json("body", spec.schema)
 
 
@@ -280,7 +320,8 @@ def parse(raw: DataFrame, spec: Spec) -> DataFrame:
     elif spec.format == "xml":
         rows = F.regexp_extract_all("body", F.lit(rf"(?s)<{spec.items}[\s>].*?</{spec.items}>"), F.lit(0))
         clean = F.transform(rows, lambda r: F.regexp_replace(r, r"<(/?)[A-Za-z]+:", "<$1"))
-        ids = mine.select("*", F.lit(None).cast("string").alias("b"), F.when(F.size(rows) > 0, clean).alias("texts"))
+        around = F.regexp_replace(F.regexp_replace("body", rf"(?s)<{spec.items}[\s>].*?</{spec.items}>", ""), r"<(/?)[A-Za-z]+:", "<$1")
+        ids = mine.select("*", around.alias("b"), F.when(F.size(rows) > 0, clean).alias("texts"))
         made = ids.withColumnRenamed("texts", "items")
     else:
         with_body = mine.withColumn("b", _body(spec))
@@ -292,7 +333,7 @@ def parse(raw: DataFrame, spec: Spec) -> DataFrame:
         exploded = exploded.withColumn("i", F.from_xml("i", spec.schema))
     columns = [(F.expr(spec.fields[c]) if c in spec.fields else F.lit(None)).cast(kind).alias(c) for c, kind in COLUMNS.items()]
     rows = exploded.select("source", "board", "page_no", "pos", F.col("i").isNull().alias("no_item"), *columns, *[F.expr(e).alias(n) for n, e in spec.extra.items()])
-    text = {c: strip_html(F.col(c)) for c in HTML_COLUMNS}
+    text = {c: strip_html(F.col(c)) for c in (*HTML_COLUMNS, *(("title",) if spec.format == "cards" else ()))}
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
     reject = F.when(F.col("pos").isNull() & F.col("no_item"), "envelope").when(blank("external_id") | blank("title") | blank("url"), "item")
     return rows.withColumns(text).withColumn("reject", reject).drop("no_item")

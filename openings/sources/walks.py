@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import payloads
 from .integrity import whole_count
+from .landed import hrmdirect_empty, jobvite_empty
 
 #: Ends after which nothing is missing, and ends whose own page doesn't count.
 DONE, UNCOUNTED = ("complete", "end"), ("missing page", "http", "unusable", "replayed page")
@@ -94,3 +96,40 @@ def page_counts(raw: DataFrame, pattern: str) -> DataFrame:
     """The totals that HTML pages state: source, board, page_no, http_status, parsed, total (the number behind `pattern`'s first group, commas out; null if none)."""
     said = F.regexp_replace(F.regexp_extract("body", pattern, 1), ",", "")
     return raw.select("source", "board", "page_no", "http_status", (F.trim(F.coalesce("body", F.lit(""))) != "").alias("parsed"), F.when(said != "", said).alias("total"))
+
+
+# What can be an opening on the pages of two boards, and how one of them says which rows of how many a page shows.
+CANDIDATES = {"jobvite": r"(?i)href=[\"']/[^\"'/]+/job/[A-Za-z0-9]+", "hrmdirect": r"(?i)<tr[^>]*\bdata-req-id="}
+SHOWN = r"(?is)class=[\"'][^\"']*\bjv-pagination-text\b[^\"']*[\"'][^>]*>\s*(\d+)\s*-\s*(\d+)\s+of\s+(\d+)\b"
+
+
+def card_pages(raw: DataFrame, source: str) -> DataFrame:
+    """What an HTML page of a board without an interface proves about its own openings.
+
+    raw: raw_payloads of jobvite or hrmdirect.  One row a page: source, board,
+    page_no, candidates (places that look like an opening), openings (distinct
+    ids of usable rows), first, last, total (as the page says, else null),
+    capped (more are said to exist), notes, verdict: "whole", "partial" (a
+    note), "capped", "empty" (no rows, and the board's own words for it) or
+    "unproven" (no rows and no such words).  A page twice counts once for its
+    ids; null bodies are unproven.
+    """
+    mine = raw.filter(F.col("source") == source)
+    body = F.coalesce("body", F.lit(""))
+    said = [F.when(body.rlike(SHOWN), F.regexp_extract(body, SHOWN, i).try_cast("bigint")) for i in (1, 2, 3)] if source == "jobvite" else [F.lit(None).cast("bigint")] * 3
+    empty = {"jobvite": jobvite_empty, "hrmdirect": hrmdirect_empty}[source](body)
+    pages = mine.select("source", "board", "page_no", F.regexp_count(body, F.lit(CANDIDATES[source])).cast("bigint").alias("candidates"), empty.alias("empty"), *[c.alias(n) for c, n in zip(said, ("first", "last", "total"), strict=True)])
+    pages = pages.groupBy("source", "board", "page_no").agg(F.max("candidates").alias("candidates"), F.bool_and("empty").alias("empty"), *[F.max(c).alias(c) for c in ("first", "last", "total")])
+    rows = payloads.parse(mine, payloads.SPECS[source]).filter("reject IS NULL")
+    counts = rows.groupBy("source", "board", "page_no").agg(F.countDistinct("external_id").alias("openings"), F.count(F.lit(1)).alias("rows"))
+    p = pages.join(counts, ["source", "board", "page_no"], "left").fillna(0, ["openings", "rows"])
+    odd = (F.col("first") < 1) | (F.col("last") < F.col("first")) | (F.col("total") < F.col("last"))
+    notes = F.array_compact(
+        F.array(
+            F.when((F.col("rows") > 0) & (F.col("candidates") > F.col("rows")), F.concat_ws(" ", F.lit("read"), "rows", F.lit("of"), "candidates", F.lit("rows"))),
+            F.when(odd, "range makes no sense").when((F.col("rows") > 0) & (F.col("openings") != F.col("last") - F.col("first") + 1), F.concat_ws(" ", F.lit("read"), "openings", F.lit("of"), F.col("last") - F.col("first") + 1, F.lit("shown"))),
+        )
+    )
+    capped = F.coalesce((F.col("rows") > 0) & (F.col("openings") < F.col("total")), F.lit(False))
+    verdict = F.when(F.col("rows") == 0, F.when(F.col("empty"), "empty").otherwise("unproven")).when(capped, "capped").when(F.size(notes) > 0, "partial").otherwise("whole")
+    return p.select("source", "board", "page_no", "candidates", "openings", "first", "last", "total", capped.alias("capped"), F.array_join(notes, "; ").alias("notes"), verdict.alias("verdict"))

@@ -157,3 +157,36 @@ def test_evidence_by_rare_words_equals_all_pairs(spark):
     candidates = evidence.title_candidates(sets, evidence._sets(p, "uid"), 0.45).count()
     product = sum(1 for _, k, w in asked if w for _, k2, _ in postings if k == k2 and k)
     assert candidates < product / 5
+
+
+def test_pages_that_count_their_own_cards(spark):
+    link = '<a href="/x/job/{0}">Job {0}</a>'
+    text = '<span class="jv-pagination-text"> {} </span>'
+    bodies = {
+        0: link.format("a1") + link.format("a2") + text.format("1 - 2 of 2"), 1: link.format("a1") * 2 + text.format("1-2 of 7"), 2: link.format("a1") + '<a href="/x/job/a9"><i></i></a>', 3: link.format("a1") + text.format("3-2 of 1"),
+        4: '<div class="jv-wrapper">No open positions</div>', 5: "<p>Sign in</p>", 6: None, 7: "",
+    }
+    raw = spark.createDataFrame([("jobvite", "x", n, b) for n, b in bodies.items()] + [("other", "x", 0, "")], "source string, board string, page_no int, body string")
+    got = {r.page_no: (r.openings, r.total, r.notes, r.verdict) for r in walks.card_pages(raw, "jobvite").collect()}
+    assert got == {
+        0: (2, 2, "", "whole"), 1: (1, 7, "read 1 of 2 shown", "capped"), 2: (1, None, "read 1 of 2 rows", "partial"), 3: (1, 1, "range makes no sense", "partial"),
+        4: (0, None, "", "empty"), 5: (0, None, "", "unproven"), 6: (0, None, "", "unproven"), 7: (0, None, "", "unproven"),
+    }
+    row = '<tr data-req-id="{0}"><td id="posTitle"><a href="job-opening.php?req={0}">R &amp; D {0}</a></td></tr>'
+    raw = spark.createDataFrame([("hrmdirect", "y", 0, row.format(1) + row.format(2)), ("hrmdirect", "y", 1, row.format(3) + '<tr data-req-id="4"><td></td></tr>'), ("hrmdirect", "y", 2, "Current job opportunities are posted here as they become available. There are no openings.")], raw.schema)
+    assert [(r.openings, r.notes, r.verdict) for r in walks.card_pages(raw, "hrmdirect").orderBy("page_no").collect()] == [(2, "", "whole"), (1, "read 1 of 2 rows", "partial"), (0, "", "empty")]
+    assert walks.card_pages(raw.limit(0), "hrmdirect").count() == 0
+
+
+def test_older_list_and_channel_titles(spark):
+    schema = "source string, board string, page_no int, body string"
+    old = '[{"id": "7", "title": "T", "careersite-job-url": "https://t/7", "url": "https://t/x", "location": "Oslo", "body": "<p>b</p>"}]'
+    both = '{"jobs": [], "items": [{"title": "", "url": "u", "_jobposting": {"title": "P", "identifier": "i9", "jobLocation": {"address": {"addressLocality": "Lund", "addressCountry": "SE"}}}}], "next_url": "n"}'
+    rows = payloads.parse(spark.createDataFrame([("teamtailor", "b", 0, old), ("teamtailor", "b", 1, both), ("teamtailor", "b", 2, '{"x": 1}'), ("teamtailor", "b", 3, None)], schema), payloads.SPECS["teamtailor"])
+    got = [(r.external_id, r.title, r.url, r.location, r.description, r.capped, r.reject) for r in rows.orderBy("page_no").collect()]
+    assert got[:2] == [("7", "T", "https://t/7", "Oslo", "b", False, None), ("i9", "P", "u", "Lund, SE", "", True, None)]
+    assert [g[-1] for g in got[2:]] == ["envelope", "envelope"]
+    rss = '﻿<rss xmlns:n="x"><channel><link>l</link><item><title>I</title><guid>https://n/jobs/55</guid></item><title>City &amp; Co</title></channel></rss>'
+    bare = '<rss><channel><item><title>I</title><guid>g</guid></item></channel></rss>'
+    rows = payloads.parse(spark.createDataFrame([("neogov", "b", 0, rss), ("neogov", "b", 1, bare)], schema), payloads.SPECS["neogov"]).orderBy("page_no").collect()
+    assert [(r.external_id, r.url, r.company, r.reject) for r in rows] == [("55", "https://n/jobs/55", "City & Co", None), (None, "g", None, "item")]
