@@ -13,10 +13,10 @@ The search goes down both trees together.  First every query cell meets the few
 data cells whose centres score highest with its own, which gives each query a
 k-th score to beat.  Then pairs of nodes are joined level by level, and a pair
 goes whose bound is below the worst k-th score of the query node's queries.  The
-pairs of cells that are left are one task each, in which the lower parts are
-searched alike, down to leaves whose vectors are scored exactly in integers.
-The k best of each query's lists are merged.  No task holds more than one cell
-of either side, and the driver sees counts only.
+pairs of cells that are left go to tasks of one data cell and a few query cells,
+in which the lower parts are searched alike, down to leaves whose vectors are scored exactly in integers.
+The k best of each query's lists are merged.  No task holds more than one data
+cell and TOGETHER query cells, and the driver sees counts only.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ NONE = -(1 << 62)
 #: Vectors of a data cell, of a query cell; pivots of a split, and sampled vectors for each.
 REGION, QUERIES = 4096, 1024
 FAN, SAMPLE = 64, 64
+#: Query cells that share one copy of a data cell.
+TOGETHER = 8
 
 
 @dataclass
@@ -197,8 +199,10 @@ def _cells(points: DataFrame, region: int, seed: int) -> tuple[DataFrame, int]:
             return placed, depth
         depth += 1
         large = placed.join(sizes, "cell")
-        order = Window.partitionBy("cell").orderBy(F.xxhash64(F.lit(seed + depth), "id"), "id")
-        sample = large.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE * FAN)
+        # a threshold from the cell's size leaves about twice the sample, and only these are ranked
+        drawn = F.pmod(F.xxhash64(F.lit(seed + depth), "id", "v"), F.col("n")) < 2 * SAMPLE * FAN
+        order = Window.partitionBy("cell").orderBy(F.xxhash64(F.lit(seed + depth), "id"), "id", "v")
+        sample = large.filter(drawn).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE * FAN)
 
         def choose(group: pd.DataFrame) -> pd.DataFrame:
             made = _pivots(_matrix(group["v"], np.float64), int(min(FAN, max(2, group["pieces"].iloc[0]))), seed)
@@ -265,7 +269,8 @@ def top_k(
     """One row a query and rank: query_id, rank (from 1), vec_id, score; exact.
 
     Vectors are turned into integers floor(scale * x); score is their inner
-    product, exact as a 64-bit integer (larger ones raise an error).
+    product, exact as a 64-bit integer; a vector with a component (scaled) of
+    sqrt(2^63 / dimensions) or more, whose scores needn't fit one, takes no part.
     Candidates are all rows of data but those with the query's id; ties go to
     the smaller id; fewer than k candidates give fewer rows.  Vectors that are
     null, empty, hold null or non-finite components, or have another length
@@ -280,16 +285,16 @@ def top_k(
     usual = points.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
     if usual is None:
         return empty
-    points = points.filter(F.size("v") == usual["size"])
-    asked = durable(_vectors(queries, id_col, vector_col, scale).filter(F.size("v") == usual["size"]).distinct(), "asked")
+    bound = int((2.0**63 / usual["size"]) ** 0.5)
+    fits = (F.size("v") == usual["size"]) & ~F.exists("v", lambda x: (x >= bound) | (x <= -bound))
+    points = points.filter(fits)
+    asked = durable(_vectors(queries, id_col, vector_col, scale).filter(fits).distinct(), "asked")
     # the size of scores: at most dimensions * the largest component of either side
     largest = lambda df: df.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))).alias("m")).first()["m"]
     ours, theirs = largest(points), largest(asked)
-    if theirs is None:
+    if ours is None or theirs is None:
         return empty
     most = usual["size"] * ours * theirs
-    if most >= 2.0**63:
-        raise ValueError("scores beyond 64-bit integers")
     kind = np.float64 if most < 2.0**53 else np.int64
     sides = {}
     for side, df, size, leaf in (("d", points, region, LEAF), ("q", asked, min(region, QUERIES), QUERY_LEAF)):
@@ -321,24 +326,26 @@ def top_k(
         return now.toDF("q", "d")
 
     def search(plan: DataFrame, known: DataFrame | None) -> DataFrame:
-        """Each (q, d) pair of cells in one task: the k best of its queries."""
-        plan = plan.select("q", "d", F.monotonically_increasing_id().alias("pair"))
+        """The k best of the queries of every (q, d) pair of cells: a data cell's tree goes once to each TOGETHER query cells that it meets."""
+        nth = F.row_number().over(Window.partitionBy("d").orderBy("q")) - 1
+        plan = plan.select("q", "d", F.floor(nth / TOGETHER).alias("chunk"))
         kths = known.groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("id", "kth"))).alias("kths")) if known is not None else None  # a cell's queries
         left = q_cells.select(F.col("cell").alias("q"), "tree")
         left = left.join(kths, "q", "left") if kths is not None else left.withColumn("kths", F.lit(None).cast("map<long,long>"))
-        rows = plan.join(left, "q").select("pair", "tree", "kths", F.lit(True).alias("is_query"))
-        others = plan.join(d_cells.select(F.col("cell").alias("d"), "tree"), "d").select("pair", "tree", F.lit(None).cast("map<long,long>").alias("kths"), F.lit(False).alias("is_query"))
+        rows = plan.join(left, "q").select("d", "chunk", "tree", "kths", F.lit(True).alias("is_query"))
+        others = plan.select("d", "chunk").distinct().join(d_cells.select(F.col("cell").alias("d"), "tree"), "d").select("d", "chunk", "tree", F.lit(None).cast("map<long,long>").alias("kths"), F.lit(False).alias("is_query"))
 
         def run(group: pd.DataFrame) -> pd.DataFrame:
-            a, b = group[group["is_query"]].iloc[0], group[~group["is_query"]].iloc[0]
-            q, d = unpack(a["tree"]), unpack(b["tree"])
-            have = dict(a["kths"]) if a["kths"] is not None else {}
-            kth = np.array([have.get(int(i), NONE) for i in q.ids], np.int64)
-            s, i, _ = dual_search(q, d, k, kth)
-            row, col = np.nonzero((s > NONE) & (s >= kth.astype(s.dtype)[:, None]))
-            return pd.DataFrame({"query_id": q.ids[row], "vec_id": i[row, col], "score": s[row, col].astype(np.int64)})
-
-        return rows.unionByName(others).groupBy("pair").applyInPandas(run, "query_id long, vec_id long, score long")
+            d, out = unpack(group["tree"][~group["is_query"]].iloc[0]), []
+            for raw, kths in group.loc[group["is_query"], ["tree", "kths"]].itertuples(index=False):
+                q, have = unpack(raw), dict(kths) if kths is not None else {}
+                kth = np.array([have.get(int(i), NONE) for i in q.ids], np.int64)
+                s, i, _ = dual_search(q, d, k, kth)
+                row, col = np.nonzero((s > NONE) & (s >= kth.astype(s.dtype)[:, None]))
+                out.append(pd.DataFrame({"query_id": q.ids[row], "vec_id": i[row, col], "score": s[row, col].astype(np.int64)}))
+            return pd.concat(out)
+
+        return rows.unionByName(others).groupBy("d", "chunk").applyInPandas(run, "query_id long, vec_id long, score long")
 
     def best(found: DataFrame) -> DataFrame:
         one = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

@@ -1,30 +1,34 @@
 """Licence scans with a positional index of rare words.  DataFrame functions only.
 
 1. The document frequency of every template word is counted over the corpus.
-2. The index holds postings (word -> template, place) of each template's words
-   of highest IDF among those that any document has, the rarest word of its
-   mandatory phrases always among them.  No word is too common or too short for
-   that one, so the frequencies set the cost, never the labels.
-3. Each file's occurrences of indexed words are looked up, and their postings
-   intersected by relative position: words of one template that stand where it
-   has them propose one (template, offset).
-4. The template's mandatory phrases are verified word by word at theirs, and all
-   its words are counted at that offset (the score).
-
-All of it is one projection a text, linear in its occurrences; the only
-shuffle is the count of document frequencies, of at most as many words as the
-templates have.
+2. A template can stand only in a file that has all words of its mandatory
+   phrases; most files have those of none and are done.
+3. In the others the file's own licence words of highest IDF are looked up, and
+   with them the two rarest mandatory words of each template at hand.
+4. Their postings (template, place) are intersected by relative position: a
+   (template, offset) stays that two or more of them agree on.  Both mandatory
+   words agree wherever the phrases stand, so IDF sets the cost and the
+   evidence, never the labels.
+5. The mandatory phrases are verified word by word at what is left, and all of
+   the template's words are counted at that offset (the score).
+
+All of it is one projection a text.  Postings are intersected by one sort and
+one pass over runs, so a text of n notices costs n log n; the only shuffle is
+the count of document frequencies, of at most as many words as the templates
+have.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import settle
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -101,30 +105,46 @@ def _stands(words: Column, place: Column, phrase: Column) -> Column:
     return (place >= 0) & (F.slice(words, F.greatest(place, F.lit(0)).cast("int") + 1, F.size(phrase)) == phrase)
 
 
-def build_index(docs: DataFrame, text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES, rare: int = 3) -> dict[str, list[tuple[int, int]]]:
-    """word -> (template's number, place): of each template its `rare` words of highest IDF, the rarest one of its phrases first.
+@dataclass(frozen=True)
+class Index:
+    """n: documents that have each word; postings: word -> (template's number, place); pairs: of each template that can stand its two rarest mandatory words."""
+
+    n: dict[str, int] = field(default_factory=dict)
+    postings: dict[str, list[tuple[int, int]]] = field(default_factory=dict)
+    pairs: dict[int, tuple[str, ...]] = field(default_factory=dict)
 
-    Words that no document has are left out; a template with one of these in its phrases stands nowhere.
-    """
+
+def build_index(docs: DataFrame, text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> Index:
+    """The index of all words of templates whose mandatory words all occur somewhere; others stand nowhere."""
     vocabulary = sorted({w for t in templates for w in t.words})
     if not vocabulary:
-        return {}
+        return Index()
     text = F.col(text_col).cast("string")
     hit = F.array_distinct(F.filter(_words(F.coalesce(text, F.lit(""))), lambda w: w.isin(vocabulary)))
-    n = {r.word: r.n for r in docs.select(F.explode(hit).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
-    index: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    n = {r.word: r.n for r in docs.select(F.explode(hit).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most the templates' words
+    postings: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    pairs = {}
     for number, t in enumerate(templates):
-        mandatory = {place + i: w for place, phrase in t.phrases for i, w in enumerate(phrase)}
-        if not all(n.get(w) for w in mandatory.values()):
-            continue
-        anchor = min(mandatory, key=lambda q: (n[mandatory[q]], q))
-        others = sorted((q for q, w in enumerate(t.words) if q != anchor and 0 < n.get(w, 0) <= n[mandatory[anchor]]), key=lambda q: (n[t.words[q]], q))
-        for q in [anchor, *others[: rare - 1]]:
-            index[t.words[q]].append((number, q))
-    return index
+        mandatory = {w for _, phrase in t.phrases for w in phrase}
+        if all(n.get(w) for w in mandatory):
+            pairs[number] = tuple(sorted(mandatory, key=lambda w: (n[w], w))[:2])
+            for place, w in enumerate(t.words):
+                if n.get(w):
+                    postings[w].append((number, place))
+    return Index(n, dict(postings), pairs)
+
+
+def _runs(sorted_: Column, starts: Column) -> Column:
+    """(x, n) of each run of a sorted array, given the places where runs start."""
+    return F.transform(starts, lambda at, j: F.struct(F.get(sorted_, at).alias("x"), (F.coalesce(F.get(starts, j + 1), F.size(sorted_)) - at).alias("n")))
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
+def _run_starts(sorted_: Column) -> Column:
+    places = F.when(F.size(sorted_) > 0, F.sequence(F.lit(0), F.size(sorted_) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(places, lambda i: (i == 0) | (F.get(sorted_, i) != F.get(sorted_, i - 1)))
+
+
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES, rarest: int = 8) -> DataFrame:
     """One row a row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, found.
 
     n_base counts all places of the BASE phrases, first_word and last_word are
@@ -133,7 +153,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     distinct, sorted, comma-joined ("" if none).  found: distinct (label, place,
     support, share) of verified templates: place is that of the template's
     first word (before the text, if that has only the later part), support the
-    number of indexed words and share that of all words which stand there.
+    number of looked-up words (the file's `rarest` ones and the mandatory ones)
+    and share that of all words which stand there.
     score: the largest share; at least 0.5 where a base phrase stands; else 0.
 
     Null and empty texts have no words.  Rows are independent: ties, repeated
@@ -144,33 +165,52 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     phrases = {tuple(p.split()): label for p, label in BASE.items()}
     starts = sorted({p[0] for p in phrases})
     known = F.array(*[F.struct(F.lit(t.label).alias("label"), F.array(*map(F.lit, t.words)).alias("words"), F.array(*[F.struct(F.lit(q).alias("place"), F.array(*map(F.lit, p)).alias("words")) for q, p in t.phrases]).alias("phrases")) for t in templates])
-    postings = F.create_map(*[x for w, own in index.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(number).alias("t"), F.lit(q).alias("place")) for number, q in own]))]) if index else None
+    mandatory = {number: sorted({w for _, phrase in templates[number].phrases for w in phrase}, key=lambda w: (index.n[w], w)) for number in index.pairs}
+    strings, numbers, found_type = F.array().cast("array<string>"), F.array().cast("array<int>"), "array<struct<label:string,place:int,support:int,share:double>>"
 
     def placed(vocabulary: list[str]) -> Column:
         return F.filter(F.transform("words", lambda w, i: F.when(w.isin(vocabulary), F.struct(w.alias("w"), i.alias("i")))), lambda h: h.isNotNull()) if vocabulary else F.array().cast("array<struct<w:string,i:int>>")
 
-    step1 = docs.select(F.col(id_col).alias("id"), _words(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("words"))
-    step2 = step1.select("id", "words", placed(starts).alias("starts"), placed(sorted(index)).alias("hits"))
-
     def base(h: Column) -> Column:
         found = [F.when((h["w"] == p[0]) & _stands(F.col("words"), h["i"], F.array(*map(F.lit, p))), F.struct(h["i"].alias("i"), F.lit(label).alias("label"))) for p, label in phrases.items()]
         return F.filter(F.array(*found), lambda x: x.isNotNull())
 
-    # (t, place) of every posting of every occurrence; those of one template that agree are one candidate
-    proposals = F.flatten(F.transform("hits", lambda h: F.transform(F.element_at(postings, h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["place"]).alias("place"))))) if postings is not None else F.array().cast("array<struct<t:int,place:int>>")
-    step3 = step2.select("id", "words", F.when(F.size("starts") > 0, F.flatten(F.transform("starts", base))).alias("base"), F.when(F.size("hits") > 0, proposals).alias("proposals"))
-
     def verified(c: Column) -> Column:
         t = F.element_at(known, c["t"] + 1)
         return F.forall(t["phrases"], lambda p: _stands(F.col("words"), c["place"] + p["place"], p["words"]))
 
     def measured(c: Column) -> Column:
-        t = F.element_at(known, c["t"] + 1)
-        standing = F.size(F.filter(F.transform(t["words"], lambda w, i: (c["place"] + i >= 0) & F.coalesce(F.get("words", c["place"] + i) == w, F.lit(False))), lambda x: x))
-        support = F.size(F.filter("proposals", lambda o: o == c))
-        return F.struct(t["label"].alias("label"), c["place"].alias("place"), support.alias("support"), (standing / F.size(t["words"])).alias("share"))
-
-    step3 = step3.select("id", F.size("words").cast("long").alias("n_words"), "base", F.when(F.col("proposals").isNotNull(), F.array_distinct(F.transform(F.filter(F.array_distinct("proposals"), verified), measured))).alias("found"))
+        t = F.element_at(known, c["x"]["t"] + 1)
+        standing = F.size(F.filter(F.transform(t["words"], lambda w, i: (c["x"]["place"] + i >= 0) & F.coalesce(F.get("words", c["x"]["place"] + i) == w, F.lit(False))), lambda x: x))
+        return F.struct(t["label"].alias("label"), c["x"]["place"].alias("place"), c["n"].alias("support"), (standing / F.size(t["words"])).alias("share"))
+
+    rows = docs.select(F.col(id_col).alias("id"), _words(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("words"))
+    rows = settle(rows, starts=placed(starts), hits=placed(sorted(index.postings)))
+    rows = settle(rows, base=F.when(F.size("starts") > 0, F.flatten(F.transform("starts", base))), licence=F.array_distinct(F.transform("hits", lambda h: h["w"])))
+    # templates that can stand here; the rarest of their words is asked for first
+    has = lambda w: F.array_contains("licence", w)
+    possible = [F.when(F.forall(F.array(*map(F.lit, words)), has), F.lit(number)) for number, words in mandatory.items()]
+    rows = settle(rows, here=F.when(F.size("licence") > 1, F.array_compact(F.array(*possible))).otherwise(numbers) if possible else numbers)
+    if possible:
+        counts = F.create_map(*[x for w in sorted(index.postings) for x in (F.lit(w), F.lit(index.n[w]))])
+        own = F.transform(F.slice(F.array_sort(F.transform("licence", lambda w: F.struct(F.element_at(counts, w).alias("n"), w.alias("w")))), 1, rarest), lambda x: x["w"])
+        pairs = F.create_map(*[x for number, words in index.pairs.items() for x in (F.lit(number), F.array(*map(F.lit, words)))])
+        postings = F.create_map(*[x for w, places in sorted(index.postings.items()) for x in (F.lit(w), F.array(*[F.struct(F.lit(number).alias("t"), F.lit(q).alias("place")) for number, q in places]))])
+        some = F.size("here") > 0
+        rows = settle(rows, asked=F.when(some, F.array_union(own, F.flatten(F.transform("here", lambda t: F.element_at(pairs, t))))).otherwise(strings))
+        # of each looked-up word the postings in the templates at hand
+        wanted = F.transform("asked", lambda w: F.struct(w.alias("w"), F.filter(F.element_at(postings, w), lambda p: F.array_contains("here", p["t"])).alias("own")))
+        rows = settle(rows, wanted=F.map_from_entries(F.transform(F.when(some, wanted), lambda x: F.struct(x["w"], x["own"]))))
+        agreed = F.flatten(F.transform(F.filter("hits", lambda h: F.array_contains("asked", h["w"])), lambda h: F.transform(F.element_at("wanted", h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["place"]).alias("place")))))
+        rows = settle(rows, agreed=F.when(some, F.array_sort(agreed)))
+        rows = settle(rows, edges=F.when(some, _run_starts(F.col("agreed"))))
+        standing = F.filter(_runs(F.col("agreed"), F.col("edges")), lambda c: (c["n"] >= F.least(F.lit(2), F.size(F.element_at(pairs, c["x"]["t"])))) & verified(c["x"]))
+        rows = settle(rows, standing=F.when(some, F.array_sort(F.transform(standing, measured))))
+        # two templates of one label at one place are one
+        rows = settle(rows, found=F.filter("standing", lambda x, i: (i == 0) | (x != F.get("standing", i - 1))))
+    else:
+        rows = rows.withColumn("found", F.lit(None).cast(found_type))
+    step3 = rows.select("id", F.size("words").cast("long").alias("n_words"), "base", "found")
     base_labels = F.coalesce(F.transform("base", lambda b: b["label"]), F.array().cast("array<string>"))
     own = F.coalesce(F.transform("found", lambda b: b["label"]), F.array().cast("array<string>"))
     n_base = F.coalesce(F.size("base"), F.lit(0))
@@ -184,5 +224,5 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.array_join(F.array_sort(F.array_distinct(base_labels)), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat(base_labels, own))), ",").alias("labels"),
         F.greatest(F.when(n_base > 0, 0.5).otherwise(0.0), F.coalesce(F.array_max(F.transform("found", lambda f: f["share"])), F.lit(0.0))).alias("score"),
-        F.coalesce("found", F.array().cast("array<struct<label:string,place:int,support:int,share:double>>")).alias("found"),
+        F.coalesce("found", F.array().cast(found_type)).alias("found"),
     )

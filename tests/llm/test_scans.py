@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 
@@ -233,3 +234,19 @@ def test_cascade_is_exact(spark):
     truth = set(listed.toPandas()["key"])
     assert len(cascade.levels) > 1
     assert (cascade.listed(rows["h1"].to_numpy(), rows["h2"].to_numpy()) == rows["key"].isin(truth).to_numpy()).all()
+
+
+def test_a_text_of_many_notices(spark):
+    """Every notice is found at its own place, and each once; twice the notices don't cost four times as much."""
+    notices = [t for t in NOTICES if t.label in ("apache-2.0", "mit-text", "isc")]
+    seconds = []
+    for n in (1500, 3000):
+        text = " filler ".join(" ".join(notices[i % 3].words) for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.monotonic()
+        (row,) = scan_licenses(df).collect()
+        seconds.append(time.monotonic() - began)
+        own = [f for f in row.found if f.share == 1.0]
+        assert len(own) == len({(f.label, f.place) for f in row.found if f.share == 1.0}) >= n
+        assert {f.label for f in own} >= {t.label for t in notices} and all(f.support >= 2 for f in row.found)
+    assert seconds[1] < 3 * seconds[0]

@@ -61,6 +61,9 @@ def test_top_k(spark):
     assert {(x.query_id, x.vec_id) for x in top_k(same, same.filter("vec_id = 0"), region=20).collect()} == {(0, i) for i in range(1, 6)}
     large = spark.createDataFrame([(i, [(2.0**28 + i) * (-1) ** j for j in range(3)]) for i in range(20)], "vec_id long, embedding array<double>")
     assert {x.score for x in top_k(large, large.filter("vec_id = 0"), k=1, scale=1).collect()} == {3 * 2**28 * (2**28 + 19)}
+    # a vector whose scores needn't fit 64 bits takes no part, and leaves the others alone
+    beyond = df.unionByName(spark.createDataFrame([(5000, [1e12] * 6, "x", 1)], df.schema))
+    assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in top_k(beyond, queries, region=64).collect()) == got
     few = df.filter("vec_id IN (0, 1000)")
     assert [(x.query_id, x.vec_id) for x in top_k(few, few).orderBy("query_id").collect()] == [(0, 1000), (1000, 0)]
     assert top_k(df.filter("false"), queries).count() == 0 and top_k(df, df.filter("false")).count() == 0
