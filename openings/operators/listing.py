@@ -115,7 +115,10 @@ def rekey(stored: DataFrame, sightings: DataFrame, url_key) -> DataFrame:
     """
     old = stored.select(F.col("uid").alias("old_uid"), F.col("source").alias("s_"), F.col("url").alias("u_"))
     blank = sightings.join(old, (sightings["blank_uid"] == old["old_uid"]) & (sightings["source"] == old["s_"]) & (sightings["url"] == old["u_"])).select("old_uid", "uid", F.lit(1).alias("rule"))
-    named = sightings.join(old, (sightings["named_uid"] == old["old_uid"]) & (F.lower(sightings["source"]) == F.lower(old["s_"])) & (url_key(sightings["url"]) == url_key(old["u_"]))).select("old_uid", "uid", F.lit(2).alias("rule"))
+    # url_key may call the JVM, which Spark allows in columns but not in conditions of a join
+    known = old.select("old_uid", F.lower("s_").alias("source_key"), url_key(F.col("u_")).alias("url_key"))
+    keyed = sightings.filter("named_uid IS NOT NULL").select("uid", F.col("named_uid").alias("old_uid"), F.lower("source").alias("source_key"), url_key(F.col("url")).alias("url_key"))
+    named = keyed.join(known, ["old_uid", "source_key", "url_key"]).select("old_uid", "uid", F.lit(2).alias("rule"))
     best = blank.unionByName(named).filter("old_uid <> uid").groupBy("old_uid").agg(F.min(F.struct("rule", "uid")).alias("m"))
     return best.select("old_uid", F.col("m.uid").alias("new_uid"), F.when(F.col("m.rule") == 1, "blank-company").otherwise("named-aggregator").alias("rule"))
 

@@ -1,9 +1,11 @@
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from openings.operators import commands, rails
+from openings.functions.identity import identity_url
+from openings.operators import commands, listing, rails
 
 D = datetime.date
 
@@ -64,6 +66,25 @@ def test_append_once_and_adoption(spark):
     assert commands.adopt_legacy(legacy, batch).first().new_uid == "n2"
 
 
+def test_legacy_adoption_does_not_pair_whole_groups(spark):
+    n = 60_000  # 3.6e9 pairs if every legacy row met its group
+    legacy = spark.range(n).selectExpr("id AS uid", "'g' AS group_key", "CASE WHEN id % 3 > 0 THEN concat('u', id % 3) END AS url")
+    batch = spark.range(n).selectExpr("1000000 + id AS uid", "'g' AS group_key", "concat('u', id % 3) AS url", "id AS ord")
+    began = time.monotonic()
+    got = {(r.u, r.new_uid, r.n) for r in commands.adopt_legacy(legacy, batch).groupBy((F.col("old_uid") % 3).alias("u"), "new_uid").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {(0, 1000000, n // 3), (1, 1000001, n // 3), (2, 1000002, n // 3)} and time.monotonic() - began < 60
+
+
+def test_rekeyed_openings(spark):
+    stored = spark.createDataFrame([("o1", "remotive", "https://a/1"), ("o2", "Himalayas", "HTTPS://BÜCHER.example.com:443/x#y"), ("o3", "remotive", "https://a/3"), ("o4", "remotive", "https://a/4")], "uid string, source string, url string")
+    sightings = [
+        ("n1", "o1", "o1", "remotive", "https://a/1"), ("n2", None, "o2", "himalayas", "https://xn--bcher-kva.example.com/x"), ("n0", "o2", None, "himalayas", "https://xn--bcher-kva.example.com/x"),
+        ("n3", None, "o3", "remotive", "https://a/other"), ("o4", "o4", "o4", "remotive", "https://a/4"), ("n5", None, None, "remotive", "https://a/4"),
+    ]
+    got = listing.rekey(stored, spark.createDataFrame(sightings, "uid string, blank_uid string, named_uid string, source string, url string"), identity_url).collect()
+    assert sorted(tuple(r) for r in got) == [("o1", "n1", "blank-company"), ("o2", "n2", "named-aggregator")]
+
+
 def test_detail_continuity(spark):
     s = "struct<company:string,title:string,source:string,url:string,external_id:string>"
     rows = [(("A", "T", "s", "u", "1"), ("a", "T", "", "u", "")), (("A", "T", "s", "u", "1"), ("B", "T", "", "u", "")), (("A", "T", "s", "u", "1"), ("", "", "", "v", "1")), (("A", "T", "s", "u", "1"), ("", "", "", "v", "2")), (("A", "T", "s", "u", "1"), ("", "", "", "", ""))]
