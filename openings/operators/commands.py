@@ -60,11 +60,14 @@ def append_once(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame
 def adopt_legacy(legacy: DataFrame, batch: DataFrame) -> DataFrame:
     """(old_uid, new_uid): each legacy row goes to one opening of its group, one with its url before others, then by batch order.
 
-    legacy: uid, group_key, url.  batch: uid, group_key, url, ord.
+    legacy: uid, group_key, url.  batch: uid, group_key, url, ord.  Each group's
+    first opening, and the first of each of its urls, are found before the join,
+    so that no legacy row meets its whole group.
     """
-    pairs = legacy.alias("l").join(batch.alias("b"), F.col("l.group_key") == F.col("b.group_key"))
-    w = Window.partitionBy("l.uid").orderBy(F.when(F.col("l.url") == F.col("b.url"), 0).otherwise(1), "b.ord")
-    return pairs.select(F.col("l.uid").alias("old_uid"), F.col("b.uid").alias("new_uid"), F.row_number().over(w).alias("n")).filter("n = 1").drop("n")
+    first = lambda keys, name: batch.groupBy(*keys).agg(F.min_by("uid", F.struct("ord", "uid")).alias(name))
+    own, any_ = first(["group_key", "url"], "own_"), first(["group_key"], "any_")
+    adopted = legacy.join(any_, "group_key").join(own, ["group_key", "url"], "left")
+    return adopted.select(F.col("uid").alias("old_uid"), F.coalesce("own_", "any_").alias("new_uid"))
 
 
 def health_of(sources: DataFrame, health: DataFrame) -> DataFrame:
