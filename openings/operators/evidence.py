@@ -9,6 +9,8 @@ from ..functions.text import jaccard
 
 # Fixed values.
 OVERLAP, MARGIN = 0.6, 0.15
+#: Least overlaps that are looked for in turn, after overlap - margin; at the last one any shared word pairs two titles.
+FLOORS = (0.2, 1e-6)
 
 
 def _sets(df: DataFrame, uid: str) -> DataFrame:
@@ -43,28 +45,43 @@ def title_candidates(asked: DataFrame, offered: DataFrame, floor: float) -> Data
     return pairs.select("key", "asked_", "offered_", "id", "copies")
 
 
+def best_overlaps(asked: DataFrame, offered: DataFrame, floors: list[float]) -> DataFrame:
+    """(key, asked_, top): each asked title's overlaps above 0 with offered ones, best first, as (score, copies, id): at least those that hold its two best postings.
+
+    A title whose two best postings reach a floor is done; only the others
+    look for lower overlaps.
+    """
+    found, left = None, asked
+    for floor in floors:
+        scored = title_candidates(left, offered, floor).withColumn("score", jaccard(F.col("asked_"), F.col("offered_"))).filter(F.col("score") >= floor)
+        # Two sets have few distinct overlaps, so what is listed a title stays small.
+        levels = scored.groupBy("key", "asked_", "score").agg(F.sum("copies").alias("copies"), F.min("id").alias("id"))
+        top = levels.groupBy("key", "asked_").agg(F.sort_array(F.collect_list(F.struct("score", "copies", "id")), asc=False).alias("top"), F.sum("copies").alias("n"))
+        done = (top if floor == floors[-1] else top.filter("n > 1")).drop("n")
+        left = left.join(done.select("key", F.col("asked_").alias("words")), ["key", "words"], "left_anti")
+        found = done if found is None else found.unionByName(done)
+    return found
+
+
 def match_evidence(evidence: DataFrame, postings: DataFrame, overlap: float = OVERLAP, margin: float = MARGIN) -> DataFrame:
     """One row an evidence row: line, verdict (matched, ambiguous, unmatched), uid, best, runner_up.
 
     evidence: line, key (company), words (title set; null without a title).
     postings: uid, key, words.  A title matches when the best overlap reaches
     `overlap` and leads the next by `margin`; without a title only a company's
-    single posting does.  best and runner_up are exact from overlap - margin
-    on; what is below can't change a verdict, isn't looked for, and is null.
+    single posting does.  best and runner_up are the overlaps of the company's
+    two best postings (0 without a title or a shared word, null without such a posting).
     Titles that repeat within a company are compared once, and only titles that
     share one of their rarest words are compared at all.  A null key is no company.
     """
-    floor = overlap - margin
     offered = _sets(postings, "uid")
     asked = evidence.filter(F.size("words") > 0).select("key", F.array_sort("words").alias("words")).filter("key IS NOT NULL").distinct()
-    scored = title_candidates(asked, offered, floor).withColumn("score", jaccard(F.col("asked_"), F.col("offered_"))).filter(F.col("score") >= floor)
-    # Two sets have few distinct overlaps, so what is listed a title stays small.
-    levels = scored.groupBy("key", "asked_", "score").agg(F.sum("copies").alias("copies"), F.min("id").alias("id"))
-    top = levels.groupBy("key", "asked_").agg(F.sort_array(F.collect_list(F.struct("score", "copies", "id")), asc=False).alias("top")).withColumn("best_", F.get("top", F.lit(0)))
-    top = top.select(F.col("key"), F.col("asked_"), F.col("best_.score").alias("best"), F.col("best_.id").alias("uid_"), F.when(F.col("best_.copies") > 1, F.col("best_.score")).otherwise(F.get("top", F.lit(1))["score"]).alias("runner_up"))
+    top = best_overlaps(asked, offered, [overlap - margin, *[f for f in FLOORS if f < overlap - margin]]).withColumn("best_", F.get("top", F.lit(0)))
+    top = top.select(F.col("key"), F.col("asked_"), F.col("best_.score").alias("first"), F.col("best_.id").alias("uid_"), F.when(F.col("best_.copies") > 1, F.col("best_.score")).otherwise(F.get("top", F.lit(1))["score"]).alias("second"))
     sole = postings.filter("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("candidates"), F.min("uid").alias("sole_"))
     e = evidence.withColumn("asked_", F.when(F.size("words") > 0, F.array_sort("words")))
-    joined = e.join(sole, "key", "left").join(top, ["key", "asked_"], "left")
+    at_least = lambda n, score: F.when(F.col("candidates") >= n, F.coalesce(score, F.lit(0.0)))
+    joined = e.join(sole, "key", "left").join(top, ["key", "asked_"], "left").withColumns({"best": at_least(1, "first"), "runner_up": at_least(2, "second")})
     verdict = (
         F.when(F.col("candidates").isNull(), "unmatched")
         .when(F.col("words").isNull(), F.when(F.col("candidates") == 1, "matched").otherwise("ambiguous"))

@@ -159,6 +159,20 @@ def test_evidence_by_rare_words_equals_all_pairs(spark):
     assert candidates < product / 5
 
 
+def test_evidence_gives_low_overlaps(spark):
+    rng = random.Random(5)
+    title = lambda: sorted(rng.sample([f"w{i}" for i in range(12)], rng.randint(1, 6)))
+    postings = [(f"u{i:03}", f"k{i % 9}", title()) for i in range(60)] + [("z1", "one", ["w1", "x"]), ("z2", "blank", [])]
+    asked = [(i, f"k{i % 9}", title() if i % 8 else None) for i in range(120)] + [(900, "one", ["w1"]), (901, "one", ["y"]), (902, "blank", ["y"]), (903, "none", ["y"]), (904, "k1", ["strange"])]
+
+    def plain(line, key, words):
+        scores = sorted((len({*words} & {*w}) / len({*words} | {*w}) if words and w else 0.0 for _, k, w in postings if k == key), reverse=True)
+        return line, *(scores + [None, None])[:2]
+
+    p, e = spark.createDataFrame(postings, "uid string, key string, words array<string>"), spark.createDataFrame(asked, "line int, key string, words array<string>")
+    assert sorted((r.line, r.best, r.runner_up) for r in evidence.match_evidence(e, p).collect()) == sorted(plain(*a) for a in asked)
+
+
 def test_pages_that_count_their_own_cards(spark):
     link = '<a href="/x/job/{0}">Job {0}</a>'
     text = '<span class="jv-pagination-text"> {} </span>'
