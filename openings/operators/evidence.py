@@ -45,6 +45,22 @@ def title_candidates(asked: DataFrame, offered: DataFrame, floor: float) -> Data
     return pairs.select("key", "asked_", "offered_", "id", "copies")
 
 
+def title_overlaps(titles: DataFrame, uid: str, least: float) -> DataFrame:
+    """(left_key, right_key, overlap): pairs of one company's titles, the smaller id left, whose overlap is `least` or more (above 0).
+
+    titles: the id, key, words.  Distinct word sets are compared, once a pair
+    and only where they share one of their rarest words; then each stands for its titles.
+    """
+    sets = _sets(titles, uid)
+    alike = title_candidates(sets.select("key", "words"), sets, least).select("key", "asked_", "offered_", jaccard(F.col("asked_"), F.col("offered_")).alias("overlap")).filter(F.col("overlap") >= least)
+    each = lambda name, words: titles.select(F.col(uid).alias(name), "key", F.array_sort("words").alias(words))
+    # what goes in is small and what comes out isn't: partitions of a fixed number aren't merged by the size of their input
+    n = titles.sparkSession.sparkContext.defaultParallelism * 4
+    left = alike.join(each("left_key", "asked_"), ["key", "asked_"]).select("key", "offered_", "left_key", "overlap").repartition(n, "key", "offered_")
+    pairs = left.join(each("right_key", "offered_").repartition(n, "key", "offered_"), ["key", "offered_"])
+    return pairs.filter("left_key < right_key").select("left_key", "right_key", "overlap")
+
+
 def best_overlaps(asked: DataFrame, offered: DataFrame, floors: list[float]) -> DataFrame:
     """(key, asked_, top): each asked title's overlaps above 0 with offered ones, best first, as (score, copies, id): at least those that hold its two best postings.
 

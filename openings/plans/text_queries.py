@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identity, pay, spans, text
+from ..operators import evidence
 from .registry import query, table
 from .views import cte, view
 
@@ -171,10 +172,8 @@ SELECT a.p_partkey AS left_key, b.p_partkey AS right_key, CAST(len(list_intersec
 FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey
 WHERE CAST(len(list_intersect(a.w, b.w)) AS DOUBLE) / len(list_distinct(list_concat(a.w, b.w))) >= 0.6""")
 def title_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "part").select("p_partkey", "p_brand", text.title_tokens(F.concat_ws(" ", "p_name", "p_type")).alias("w"))
-    a, b = t.select(F.col("p_partkey").alias("left_key"), "p_brand", F.col("w").alias("wa")), t.select(F.col("p_partkey").alias("right_key"), "p_brand", F.col("w").alias("wb"))
-    overlap = text.jaccard(F.col("wa"), F.col("wb"))
-    return a.join(b, "p_brand").filter("left_key < right_key").select("left_key", "right_key", overlap.alias("overlap")).filter("overlap >= 0.6")
+    t = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("key"), text.title_tokens(F.concat_ws(" ", "p_name", "p_type")).alias("words"))
+    return evidence.title_overlaps(t, "p_partkey", 0.6)
 
 
 @query(r"""

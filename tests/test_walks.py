@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -173,6 +174,19 @@ def test_evidence_gives_low_overlaps(spark):
     assert sorted((r.line, r.best, r.runner_up) for r in evidence.match_evidence(e, p).collect()) == sorted(plain(*a) for a in asked)
 
 
+def test_title_overlaps_compare_distinct_sets(spark):
+    rng = random.Random(7)
+    rows = [(i, f"k{i % 3}" if i % 11 else None, rng.sample([f"w{j}" for j in range(7)], rng.randint(0, 5))) for i in range(200)]
+    t = spark.createDataFrame(rows, "uid int, key string, words array<string>")
+    near = lambda a, b: len({*a} & {*b}) / len({*a} | {*b}) if a and b else 0.0
+    got = sorted(tuple(r) for r in evidence.title_overlaps(t, "uid", 0.6).collect())
+    assert got == sorted((i, j, near(a, b)) for i, k, a in rows for j, m, b in rows if k and k == m and i < j and near(a, b) >= 0.6) and got
+    # 2.5e9 pairs of one company, few of them alike
+    many = spark.range(50_000).selectExpr("id AS uid", "'k' AS key", "array('common', concat('a', id div 2), concat('b', id div 2)) AS words")
+    began = time.monotonic()
+    assert evidence.title_overlaps(many, "uid", 0.6).count() == 25_000 and time.monotonic() - began < 60
+
+
 def test_pages_that_count_their_own_cards(spark):
     link = '<a href="/x/job/{0}">Job {0}</a>'
     text = '<span class="jv-pagination-text"> {} </span>'
