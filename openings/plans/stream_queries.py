@@ -136,13 +136,19 @@ def _in_batches(spark: SparkSession, rows: DataFrame, batches: int) -> DataFrame
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{path}/*")
 
 
+def _landed(spark: SparkSession, batch: DataFrame, path: str) -> int:
+    """The batch in three folders, written by all its partitions; gives the files of a micro-batch, so that there are at least three (a uid is in one of them, whichever)."""
+    for n in range(3):
+        batch.filter(F.pmod(F.xxhash64("uid"), F.lit(3)) == n).write.parquet(f"{path}/{n}")
+    return len(spark.read.schema(batch.schema).parquet(f"{path}/*").inputFiles()) // 3
+
+
 @query(ORACLES["merged_snapshot"])
 def streamed_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """merged_snapshot from a stream that dies twice: once between a version and its marker, once after the marker."""
     stored, batch = snapshot_inputs(spark, sf_dir)
     path = _folder(spark, "history", batch)
-    for n in range(3):
-        batch.filter(F.pmod(F.xxhash64("uid"), F.lit(3)) == n).coalesce(1).write.parquet(f"{path}/in/{n}")
+    files = _landed(spark, batch, f"{path}/in")
     table, died = snapshots.Snapshots(spark, f"{path}/table"), set()
     table.write(stored, 0)
     table.commit(0)
@@ -158,7 +164,7 @@ def streamed_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
                 raise RuntimeError("dies after the marker")
 
     merged = lambda before, rows, number: merge.merge_snapshot(before, rows, F.lit(AS_OF).cast("date"), F.lit(3).cast("long"))
-    source = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in/*")
+    source = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/in/*")
     for _ in range(3):
         try:
             snapshots.merged_stream(source, Dying(spark, f"{path}/table"), merged, f"{path}/state").awaitTermination()

@@ -7,6 +7,7 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from openings.plans import stream_queries
 from openings.streaming import snapshots, timers
 
 BEGIN = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -96,3 +97,10 @@ def test_a_stream_that_dies_applies_each_batch_once(spark, tmp_path):
             snapshots.merged_stream(source, table, add, str(tmp_path / "state")).awaitTermination()
     snapshots.merged_stream(source, table, add, str(tmp_path / "state")).awaitTermination()
     assert sorted(r.x for r in table.read().collect()) == [0, 1, 2]
+
+
+def test_snapshot_input_is_landed_by_all_partitions(spark, tmp_path):
+    files = stream_queries._landed(spark, spark.range(0, 400, 1, 8).withColumnRenamed("id", "uid"), str(tmp_path / "in"))
+    landed = [f for f in (tmp_path / "in").glob("*/*.parquet")]
+    assert files == 8 and len(landed) == 24 and spark.read.parquet(str(tmp_path / "in" / "*")).distinct().count() == 400
+    assert stream_queries._landed(spark, spark.range(1).withColumnRenamed("id", "uid"), str(tmp_path / "one")) >= 1
