@@ -46,9 +46,10 @@ def hydrate(previews: DataFrame, details: DataFrame, hosts: DataFrame, terms: li
     one opening, its row with the smallest url.  A null slug has no detail.
     """
     fields = F.struct(*FIELDS)
-    p = previews.groupBy("slug").agg(F.min_by(fields, F.struct("url", F.to_json(fields))).alias("p"))
-    answer = F.struct("http_status", F.col("slug").alias("said"), fields.alias("f"))
-    d = details.groupBy(F.col("asked").alias("slug")).agg(F.max_by(answer, F.struct("fetched_at", F.to_json(answer))).alias("d"))
+    # rows meet by slug before they are ranked: a task sorts its own shuffle partition, not all that one scan widens into texts and their JSON
+    p = previews.repartition("slug").groupBy("slug").agg(F.min_by(fields, F.struct("url", F.to_json(fields))).alias("p"))
+    answer = F.struct("http_status", "said", fields.alias("f"))
+    d = details.withColumnRenamed("slug", "said").withColumnRenamed("asked", "slug").repartition("slug").groupBy("slug").agg(F.max_by(answer, F.struct("fetched_at", F.to_json(answer))).alias("d"))
     own = hosts.groupBy(source_key(F.col("source")).alias("key_")).agg(F.collect_set(F.lower("suffix")).alias("suffixes"))  # an allow-list's few hosts a source
     t = p.join(d, "slug", "left").withColumn("key_", source_key(F.col("p.source"))).join(own, "key_", "left")
 

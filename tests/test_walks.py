@@ -134,6 +134,13 @@ def test_hydration_steps(spark, detail, step):
         assert got[0].url == preview["url"] and got[0].company == "A"
 
 
+def test_hydrated_rows_meet_before_they_are_ranked(spark):
+    kind = ", ".join(f"{c} string" for c in ("slug", *hydrate.FIELDS))
+    p, d = spark.createDataFrame([], kind), spark.createDataFrame([], f"asked string, http_status int, fetched_at int, {kind}")
+    out = hydrate.hydrate(p, d, spark.createDataFrame([("greenhouse", "greenhouse.io")], "source string, suffix string"), ["sales lead"])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [slug") == 2
+
+
 def test_evidence_by_rare_words_equals_all_pairs(spark):
     rng = random.Random(3)
     common, rare = ["sales", "engineer", "senior", "lead"], [f"w{i}" for i in range(120)]
