@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .durable import durable
 
 LEAF, QUERY_LEAF = 64, 16
+#: Vectors of the first block that a query leaf scores.
+BLOCK = 128
 #: Below every score.
 NONE = -(1 << 62)
 #: Vectors of a data cell, of a query cell; pivots of a split, and sampled vectors for each.
@@ -87,18 +89,20 @@ def build_tree(x: np.ndarray, leaf: int = LEAF) -> tuple[Node, np.ndarray]:
 
 
 def _offer(best_s: np.ndarray, best_i: np.ndarray, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> None:
-    """Merge scores (rows x ids) into the rows' k best (score, then smaller id); a query's own id is left out."""
-    better = scores >= best_s[rows, k - 1][:, None]
-    better &= own[rows][:, None] != ids[None, :]
-    for r in np.flatnonzero(better.any(axis=1)):
-        at = np.flatnonzero(better[r])
-        s = np.concatenate([best_s[rows[r]], scores[r, at]])
-        i = np.concatenate([best_i[rows[r]], ids[at]])
-        if len(s) > 8 * k:  # ties with the k-th stay in
-            keep = s >= np.partition(s, len(s) - k)[len(s) - k]
-            s, i = s[keep], i[keep]
-        by = np.lexsort((i, -s))[:k]
-        best_s[rows[r]], best_i[rows[r]] = s[by], i[by]
+    """Merge scores (rows x ids, overwritten) into the rows' k best (score, then smaller id); a query's own id is left out."""
+    scores[own[rows][:, None] == ids[None, :]] = NONE
+    least = best_s[rows, k - 1]
+    if scores.shape[1] > k:  # ties with the block's k-th stay in
+        least = np.maximum(least, np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k])
+    row, col = np.nonzero((scores >= least[:, None]) & (scores > NONE))
+    if not len(row):
+        return
+    old = np.arange(len(rows))
+    r = np.concatenate([np.repeat(old, k), row])
+    s, i = np.concatenate([best_s[rows].ravel(), scores[row, col]]), np.concatenate([best_i[rows].ravel(), ids[col]])
+    by = np.lexsort((i, -s, r))
+    first = by[np.searchsorted(r[by], old)[:, None] + np.arange(k)]
+    best_s[rows], best_i[rows] = s[first], i[first]
 
 
 @dataclass
@@ -128,37 +132,77 @@ def make_cell(x: np.ndarray, ids: np.ndarray, leaf: int) -> Cell:
     return Cell(x, ids, root, order)
 
 
+class Frontier:
+    """All nodes of a tree as arrays, breadth first: the children of node n are first[n] to first[n] + count[n]."""
+
+    def __init__(self, root: Node) -> None:
+        nodes, first = [root], []
+        for n in nodes:  # grows on the way
+            first.append(len(nodes))
+            nodes += n.children
+        self.first, self.count = np.array(first), np.array([len(n.children) for n in nodes])
+        self.start, self.end = np.array([n.start for n in nodes]), np.array([n.end for n in nodes])
+        self.centre, self.radius, self.norm = np.array([n.centre for n in nodes]), np.array([n.radius for n in nodes]), np.array([n.norm for n in nodes])
+
+    def bounds(self, a: Node, at: np.ndarray) -> np.ndarray:
+        """What no inner product of a vector of a with one of each node exceeds."""
+        return self.centre[at] @ a.centre + a.radius * self.norm[at] + self.radius[at] * a.norm + a.radius * self.radius[at]
+
+    def children(self, at: np.ndarray) -> np.ndarray:
+        return _ranges(self.first[at], self.count[at])
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (size[0] of them), start[1], ..."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def _reaches(most: np.ndarray, worst: float) -> np.ndarray:
+    return most + np.abs(most) * 1e-9 + 1e-6 >= worst - abs(worst) * 1e-12
+
+
 def dual_search(q: Cell, d: Cell, k: int, kth: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """The k best (scores, ids) of each query among d that reach kth (a known k-th score of each query), and the
     number of pairs scored.  Unused places have the score NONE.
+
+    A query node goes down with all data nodes that may still hold an answer; a
+    query leaf scores its data leaves in falling order of bounds, in blocks that
+    double, so that one product serves many leaves.
     """
     best_s, best_i = np.full((len(q.ids), k), NONE, q.x.dtype), np.full((len(q.ids), k), np.iinfo(np.int64).max)
-    kth, scored = kth.astype(q.x.dtype), 0
-
-    def bound(a: Node, b: Node) -> float:
-        return float(a.centre @ b.centre) + a.radius * b.norm + b.radius * a.norm + a.radius * b.radius
+    if not len(q.ids) or not len(d.ids):
+        return best_s, best_i, 0
+    kth, scored, nodes = kth.astype(q.x.dtype), 0, Frontier(d.root)
+    x, ids = d.x[d.order], d.ids[d.order]
 
-    def visit(a: Node, b: Node) -> None:
+    def visit(a: Node, front: np.ndarray) -> None:
         nonlocal scored
         rows = q.order[a.start : a.end]
-        worst = float(np.maximum(best_s[rows, k - 1], kth[rows]).min())
-        most = bound(a, b)
-        if most + abs(most) * 1e-9 + 1e-6 < worst - abs(worst) * 1e-12:
-            return
-        if not a.children and not b.children:
-            cols = d.order[b.start : b.end]
-            scored += len(rows) * len(cols)
-            _offer(best_s, best_i, rows, q.x[rows] @ d.x[cols].T, d.ids[cols], q.ids, k)
+        worst = lambda: float(np.maximum(best_s[rows, k - 1], kth[rows]).min())
+        while True:
+            most = nodes.bounds(a, front)
+            kept = _reaches(most, worst())
+            front, most = front[kept], most[kept]
+            wide = (nodes.count[front] > 0) & ((nodes.radius[front] >= a.radius) | (not a.children))
+            if not wide.any():
+                break
+            front = np.concatenate([front[~wide], nodes.children(front[wide])])
+        if a.children:
+            for c in a.children if len(front) else ():
+                visit(c, front)
             return
-        if b.children and (not a.children or b.radius >= a.radius):
-            for c in sorted(b.children, key=lambda c: -bound(a, c)):
-                visit(a, c)
-        else:
-            for c in a.children:
-                visit(c, b)
-
-    if len(q.ids) and len(d.ids):
-        visit(q.root, d.root)
+        by, room = np.argsort(-most, kind="stable"), BLOCK
+        front, most, mine = front[by], most[by], q.x[rows]
+        while len(front):
+            size = nodes.end[front] - nodes.start[front]
+            n = max(1, int(np.searchsorted(np.cumsum(size), room, side="right")))
+            cols = _ranges(nodes.start[front[:n]], size[:n])
+            scored, room = scored + len(rows) * len(cols), 2 * room
+            _offer(best_s, best_i, rows, mine @ x[cols].T, ids[cols], q.ids, k)
+            kept = _reaches(most[n:], worst())
+            front, most = front[n:][kept], most[n:][kept]
+
+    visit(q.root, np.zeros(1, np.int64))
     return best_s, best_i, scored
 
 

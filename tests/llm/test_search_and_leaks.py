@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+from openings.llm import cover_tree
 from openings.llm.bitmaps import bitmap, may_be, size_for
 from openings.llm.cover_tree import LEAF, NONE, QUERY_LEAF, build_tree, dual_search, make_cell, top_k
 from openings.llm.decontaminate import LEAST_TOKENS, MASKS, SHORT, SHORT_MASKS, _best_stretch, decontaminate, find_leaks
@@ -45,6 +46,21 @@ def test_dual_search_prunes_and_is_exact():
         assert scored < 0.6 * full.size
 
 
+def test_dual_search_scores_leaves_in_blocks(monkeypatch):
+    # nearly random vectors, which no bound excludes: products must be few and large; many ties, so that ids decide
+    rng, calls = np.random.default_rng(6), []
+    d = np.floor(rng.standard_normal((2048, 32)) * 2)
+    q, ids, names = d[::8], np.arange(0, 2048, 8), rng.permutation(2048)
+    full = q @ d.T
+    full[np.arange(256), ids] = NONE
+    order = np.array([np.lexsort((names, -row))[:5] for row in full])
+    offer = cover_tree._offer
+    monkeypatch.setattr(cover_tree, "_offer", lambda *a: (calls.append(a[3].size), offer(*a)))
+    s, i, scored = dual_search(make_cell(q, names[ids], QUERY_LEAF), make_cell(d, names, LEAF), 5, np.full(256, NONE))
+    assert (i == names[order]).all() and (s == np.take_along_axis(full, order, axis=1)).all()
+    assert scored == sum(calls) and len(calls) * 400 < scored
+
+
 def test_top_k(spark):
     r = random.Random(4)
     vectors = [(i, [r.gauss(0, 0.2) for _ in range(6)]) for i in range(300)]
