@@ -1,7 +1,7 @@
 """Vectorised tokens of whole texts.
 
 Texts come as one Arrow column; words are cut and hashed with numpy over the
-column's own bytes, a few MB at a time, so that no Python object per word
+column's own bytes, CHUNK_BYTES at a time, so that no Python object per word
 exists and memory does not depend on how long the longest text is beyond that
 text itself.  A-Z is lower-cased, all other bytes stay.
 """
@@ -14,7 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 21
+#: Temporary arrays take some 50 bytes for each of these; at 256 KB they fit a core's cache, too.
+CHUNK_BYTES = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

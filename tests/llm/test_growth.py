@@ -1,10 +1,12 @@
 """What the operators must still see when the corpus grows or its mix changes."""
 
 import itertools
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 
+from openings.llm.cotraining import features
 from openings.llm.decontaminate import LEAST_TOKENS, MASKS, SHORT, SHORT_MASKS, find_leaks
 from openings.llm.license_scan import scan_licenses
 from openings.llm.suffix_tree import language_model_scores
@@ -61,3 +63,15 @@ def test_shingles_of_chunks_with_few_words():
             (longer,) = cut_words(pa.array([" ".join(f"w{i}" for i in range(n)), "a b c d e f g h i"]))
             assert list(np.diff(bounds)) == [0, n - k + 1 if n >= k else min(n, 1), 0]
             assert list(made) == list(shingles(longer, k)[0][: bounds[-1]])  # as beside other rows
+
+
+def test_a_task_holds_few_temporary_bytes():
+    # what the stages of the pipeline hold beside a batch, in every worker of an executor at once
+    texts = pa.array(["some words of a text that goes on and on, " * 80] * 1200)
+    names = pa.array(["web"] * 1200)
+    tracemalloc.start()
+    assert sum(len(text) for _, text, _ in features(texts, names, names)) == 1200
+    assert sum(len(w.bounds) - 1 for w in cut_words(texts)) == 1200
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 << 20
