@@ -67,7 +67,11 @@ def requires_product(text: Column, product: str) -> Column:
 
 def hard_requirements(description: Column, patterns: dict[str, str]) -> Column:
     """array of struct(label, sentence): gates named in the requirements section and not called optional there."""
-    section = spans.requirements_section(F.coalesce(description, F.lit("")))
+    return gates(spans.requirements_section(F.coalesce(description, F.lit(""))), patterns)
+
+
+def gates(section: Column, patterns: dict[str, str]) -> Column:
+    """hard_requirements of a requirements section, best a column that was settled: it is read many times."""
 
     def gate(label: str, pattern: str) -> Column:
         s = F.get(spans.spans(section, pattern), F.lit(0))
