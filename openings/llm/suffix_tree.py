@@ -21,8 +21,8 @@ there is no bound, reach the texts by a join.  Bitmaps of a fixed size keep
 grams that are in no table out of the shuffles.
 
 Counting covers every training text: tokens in one pass, grams behind
-candidate contexts in one more for each depth, each summed within a batch
-before the shuffle.
+candidate contexts in one more for each depth, each summed within a task,
+some half a million at a time, before the shuffle.
 """
 
 from __future__ import annotations
@@ -36,11 +36,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .durable import durable
+from .durable import durable, release
 from .words import _STEP, SPACES, Words, cut_words, mix
 
 END = 0x1D5EED0FEE1DEAD1
-BITS = 26
+BITS = 27
+#: Grams that a task sums at a time, some 100 bytes each.
+HELD = 1 << 19
 
 
 def held_out(id_: Column) -> Column:
@@ -118,8 +120,9 @@ def _contexts(tokens: np.ndarray, bounds: np.ndarray, depth: int) -> tuple[np.nd
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
-    """2^BITS bits of the only column: a bounded number of words to the driver."""
-    slot = keys.select(F.shiftrightunsigned(F.col(keys.columns[0]), 64 - BITS).alias("slot"))
+    """2^BITS bits, two of them set for each key of the only column: a bounded number of words to the driver."""
+    key = F.col(keys.columns[0])
+    slot = keys.select(F.explode(F.array(F.shiftrightunsigned(key, 64 - BITS), key.bitwiseAND((1 << BITS) - 1))).alias("slot"))
     words = slot.select(F.shiftright("slot", 6).alias("w"), F.expr("shiftleft(1L, cast(slot & 63 AS int))").alias("b"))
     words = words.groupBy("w").agg(F.bit_or("b").alias("b")).withColumn("part", F.shiftright("w", 14))
 
@@ -129,15 +132,19 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
         return pa.table({"part": part["part"][:1], "bits": pa.array([out.tobytes()], pa.binary())})
 
     out = np.zeros((1 << (BITS - 20), 1 << 14), np.uint64)
-    for r in words.groupBy("part").applyInArrow(pack, "part long, bits binary").toLocalIterator():
+    packed = durable(words.groupBy("part").applyInArrow(pack, "part long, bits binary"), "bitmap")
+    for r in packed.toLocalIterator():
         out[r.part] = np.frombuffer(r.bits, np.uint64)
+    release(packed)
     return out.ravel()
 
 
 def _may_be(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """False where a key is surely not among those of the bitmap."""
-    slot = keys >> np.uint64(64 - BITS)
-    return (bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+    set_ = lambda slot: (bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+    out = set_(keys >> np.uint64(64 - BITS))
+    out[out] = set_(keys[out] & np.uint64((1 << BITS) - 1))
+    return out
 
 
 @dataclass(frozen=True)
@@ -188,8 +195,16 @@ def _count_grams(texts: DataFrame, depth: int, contexts: DataFrame, parents: Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, common = shipped.value
+        keys, counts, held = [], [], 0
+
+        def summed() -> pa.RecordBatch:
+            both, times = np.concatenate(keys), np.concatenate(counts)
+            _, first, at = np.unique(_pair(both["context"], both["parent"]), return_index=True, return_inverse=True)
+            n = np.bincount(at, times, len(first)).astype(np.int64)
+            columns = [np.ascontiguousarray(both[c][first]).view(np.int64) for c in ("context", "parent")]
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(n)], ["context", "parent", "n"])
+
         for batch in batches:
-            keys, counts = [], []
             for words in cut_words(batch.column(0), SPACES):
                 tokens, bounds = _tokens(words)
                 at, context = _contexts(tokens, bounds, depth)
@@ -200,11 +215,12 @@ def _count_grams(texts: DataFrame, depth: int, contexts: DataFrame, parents: Dat
                 _, first, c = np.unique(_pair(both["context"], both["parent"]), return_index=True, return_counts=True)
                 keys.append(both[first])
                 counts.append(c)
-            both, counts = np.concatenate(keys), np.concatenate(counts)
-            _, first, at = np.unique(_pair(both["context"], both["parent"]), return_index=True, return_inverse=True)
-            n = np.bincount(at, counts, len(first)).astype(np.int64)
-            columns = [np.ascontiguousarray(both[c][first]).view(np.int64) for c in ("context", "parent")]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(n)], ["context", "parent", "n"])
+                held += len(first)
+                if held >= HELD:
+                    yield summed()
+                    keys, counts, held = [], [], 0
+        if held:
+            yield summed()
 
     return texts.select("text").mapInArrow(run, "context long, parent long, n long").groupBy("context", "parent").agg(F.sum("n").alias("n"))
 
@@ -250,6 +266,7 @@ def learn(texts: DataFrame, depth: int = 2, divergence: float = 4.0, mu: float =
     grams = table.select(F.col("token").alias("key"), "n", F.log10((F.col("n") + 0.1) / F.lit(root.denominator)).alias("logp"))
     contexts = grams.filter((F.col("n") >= often) & (F.col("key") != end)).select(F.col("key").alias("context"), F.col("n").alias("seen"))
     null = F.lit(None).cast("double")
+    made = []
     parts = [table.select(F.lit(1).alias("length"), F.col("token").alias("key"), "n", null.alias("left"), null.alias("gain"))]
     for level in range(1, depth + 1):
         contexts = durable(contexts, "contexts")
@@ -265,12 +282,16 @@ def learn(texts: DataFrame, depth: int = 2, divergence: float = 4.0, mu: float =
         logp = F.log10((n + (F.col("rest") + mu) * q) / (F.col("seen") + mu))
         stored = tested.join(states, "context").select("context", "parent", "n", logp.alias("logp"), (logp - F.col("left") - F.col("parent_logp")).alias("gain"))
         grams = durable(stored.mapInArrow(_joined, "key long, parent long, n long, logp double, gain double"), "grams")
+        release(contexts, tested)
+        made += [states, grams]
         parts.append(states.select(F.lit(level), "context", "seen", "left", null))
         parts.append(grams.select(F.lit(level + 1), "key", "n", null, "gain"))
         # one token longer: a frequent stored gram whose own suffix is retained
         contexts = grams.filter(F.col("n") >= often).join(states.select(F.col("context").alias("parent")), "parent").select(F.col("key").alias("context"), F.col("n").alias("seen"))
     merged = reduce(DataFrame.union, parts).groupBy("length", "key").agg(F.max("n").alias("n"), F.max("left").alias("left"), F.max("gain").alias("gain"))
-    return SuffixTree(durable(merged, "tree"), depth), root
+    tree = SuffixTree(durable(merged, "tree"), depth)
+    release(*made)
+    return tree, root
 
 
 def score_texts(docs: DataFrame, tree: SuffixTree, root: Root, id_col: str = "doc_id", text_col: str = "text", p_hot: float = 2e-7) -> DataFrame:

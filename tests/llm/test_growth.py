@@ -1,15 +1,18 @@
 """What the operators must still see when the corpus grows or its mix changes."""
 
 import itertools
+import time
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from openings.llm.cotraining import features
 from openings.llm.decontaminate import LEAST_TOKENS, MASKS, SHORT, SHORT_MASKS, find_leaks
+from openings.llm.durable import durable, shared_folder
 from openings.llm.license_scan import scan_licenses
-from openings.llm.suffix_tree import language_model_scores
+from openings.llm.suffix_tree import _bitmap, _may_be, language_model_scores
 from openings.llm.words import cut_words, shingles
 
 
@@ -75,3 +78,30 @@ def test_a_task_holds_few_temporary_bytes():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 40 << 20
+
+
+def test_a_written_table_leaves_no_shuffle_behind(spark):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before = files()
+    durable(spark.range(1000).repartition(4, (F.col("id") % 7).alias("k")), "seven")
+    deadline = time.time() + 10
+    while files() > before and time.time() < deadline:
+        time.sleep(0.1)
+    assert files() <= before
+
+
+def test_a_suffix_tree_leaves_only_its_tokens_tree_and_scores(spark):
+    import os
+
+    before = set(os.listdir(shared_folder(spark)))
+    df = spark.createDataFrame([(i, "a b c d a b c e " * 9) for i in range(40)], "doc_id long, text string")
+    assert language_model_scores(df).count() == 40
+    assert sorted(n.split("-")[0] for n in set(os.listdir(shared_folder(spark))) - before) == ["scored", "tokens", "tree"]
+
+
+def test_bitmap_of_grams_passes_few_others(spark):
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 1 << 63, 300_000, dtype=np.uint64) * np.uint64(2)
+    bits = _bitmap(spark.createDataFrame(pa.table({"key": keys.view(np.int64)})))
+    assert _may_be(bits, keys).all()
+    assert _may_be(bits, rng.integers(0, 1 << 63, 300_000, dtype=np.uint64) * np.uint64(2)).mean() < 1e-3
