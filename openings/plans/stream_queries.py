@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -130,10 +131,21 @@ def _in_batches(spark: SparkSession, rows: DataFrame, batches: int) -> DataFrame
     path = _folder(spark, "timed", rows)
     step = max(1, ((span["b"] or 0) - (span["a"] or 0) + 1) // batches + 1)
     late = F.pmod(F.hash("ts"), F.lit(10)) == 0
-    for n in range(batches):
-        end = (span["a"] or 0) + (n + 1) * step
-        rows.filter(F.floor((day + F.when(late, F.lit(1)).otherwise(0) - (span["a"] or 0)) / step).between(n, n if n < batches - 1 else batches)).coalesce(1).write.parquet(f"{path}/{n:03d}-{end}")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{path}/*")
+    place = F.floor((day + F.when(late, F.lit(1)).otherwise(0) - (span["a"] or 0)) / step)
+
+    def land(under: str, deal: Callable[[DataFrame], DataFrame]) -> list[int]:
+        for n in range(batches):
+            deal(rows.filter(place.between(n, n if n < batches - 1 else batches))).write.parquet(f"{under}/{n:03d}")
+        return [len(spark.read.schema(rows.schema).parquet(f"{under}/{n:03d}").inputFiles()) for n in range(batches)]
+
+    # a micro-batch is one folder: its rows are landed and read by all tasks if every folder gets as many files, else (few rows) each is one file
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    files = land(f"{path}/dealt", lambda df: df.repartition(tasks))
+    under = f"{path}/dealt"
+    if files != [files[0]] * batches:
+        under, files = f"{path}/whole", [1]
+        land(under, lambda df: df.coalesce(1))
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files[0]).option("latestFirst", False).parquet(f"{under}/*")
 
 
 def _landed(spark: SparkSession, batch: DataFrame, path: str) -> int:

@@ -44,7 +44,7 @@ def in_event_order(rows: DataFrame, late: str, on_row: Row, on_time: Tick, deadl
             waiting = list(zip(ats, ords, notes, strict=True))
         if not state.hasTimedOut:
             for batch in batches:
-                waiting += zip(batch["at"].tolist(), batch["ord"].tolist(), [None if pd.isna(n) else n for n in batch["note"]], strict=True)
+                waiting += zip(batch["at"].tolist(), batch["ord"].tolist(), [n if isinstance(n, str) else None for n in batch["note"].tolist()], strict=True)
         waiting.sort(key=lambda r: (r[0], r[1], r[2] or ""))
         now, out = state.getCurrentWatermarkMs(), []
         while waiting and waiting[0][0] < now:
@@ -60,7 +60,8 @@ def in_event_order(rows: DataFrame, late: str, on_row: Row, on_time: Tick, deadl
             due = [t for t in (waiting[0][0] if waiting else None, deadline(last)) if t is not None]
             if due:
                 state.setTimeoutTimestamp(max(min(due), now) + 1)
-        yield pd.DataFrame([(key[0], at, note) for at, note in out], columns=["key", "at", "note"])
+        if out:  # most calls have none, and a frame costs more than all the rest
+            yield pd.DataFrame({"key": [key[0]] * len(out), "at": [at for at, _ in out], "note": [note for _, note in out]})
 
     return timed.groupBy("key").applyInPandasWithState(
         step, "key long, at long, note string", "at long, note string, ats array<long>, ords array<long>, notes array<string>", "append", GroupStateTimeout.EventTimeTimeout

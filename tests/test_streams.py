@@ -104,3 +104,24 @@ def test_snapshot_input_is_landed_by_all_partitions(spark, tmp_path):
     landed = [f for f in (tmp_path / "in").glob("*/*.parquet")]
     assert files == 8 and len(landed) == 24 and spark.read.parquet(str(tmp_path / "in" / "*")).distinct().count() == 400
     assert stream_queries._landed(spark, spark.range(1).withColumnRenamed("id", "uid"), str(tmp_path / "one")) >= 1
+
+
+def test_batches_are_landed_by_all_tasks_and_stay_whole(spark):
+    import datetime
+
+    from openings.plans.stream_queries import _in_batches
+
+    start = datetime.datetime(2024, 1, 1)
+    for rows, dealt in ((900, True), (3, False)):
+        df = spark.createDataFrame([(i, start + datetime.timedelta(hours=i)) for i in range(rows)], "key long, ts timestamp").coalesce(1)
+        stream = _in_batches(spark, df, 3)
+        seen = []
+        query = stream.writeStream.foreachBatch(lambda b, n: seen.append([(r.key, r.ts) for r in b.collect()])).trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert sum(map(len, seen)) == rows and len({k for batch in seen for k, _ in batch}) == rows
+        if dealt:
+            files = stream.select("key")._jdf.queryExecution().logical().toString()
+            assert len(seen) == 3 and "dealt" in files
+            # a day's rows come in their batch or, one in ten, up to a day later
+            for earlier, later in zip(seen, seen[1:], strict=False):
+                assert min(t for _, t in later) > max(t for _, t in earlier) - datetime.timedelta(days=2)
