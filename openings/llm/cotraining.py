@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .durable import durable
+from .durable import durable, small_batches
 from .words import NOT_ALNUM, cut_words
 
 DIMS, WORDS = 1024, 512
@@ -383,7 +383,9 @@ def _round(rows: DataFrame, ids: np.ndarray, trainer: CoTrainer) -> tuple[np.nda
         return pa.table({"sums": pa.array([parts[0].tobytes()], pa.binary()), "counts": pa.array([parts[1].tobytes()], pa.binary())})
 
     # one row a task, then at most 16
-    summed = rows.mapInArrow(run, "sums binary, counts binary").withColumn("slot", F.spark_partition_id() % 16).groupBy("slot").applyInArrow(add, "sums binary, counts binary").toArrow()
+    summed = rows.mapInArrow(run, "sums binary, counts binary").withColumn("slot", F.spark_partition_id() % 16).groupBy("slot").applyInArrow(add, "sums binary, counts binary")
+    with small_batches(rows.sparkSession):
+        summed = summed.toArrow()
     sums = np.sum([np.frombuffer(v.as_py(), np.float64) for v in summed["sums"]], axis=0).reshape(2, 2, len(LEVELS), TEXT) if len(summed) else np.zeros((2, 2, len(LEVELS), TEXT))
     counts = np.sum([np.frombuffer(v.as_py(), np.float64) for v in summed["counts"]], axis=0).reshape(2, 2, len(LEVELS)) if len(summed) else np.zeros((2, 2, len(LEVELS)))
     return sums, counts

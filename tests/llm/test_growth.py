@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from openings.llm.cotraining import features
 from openings.llm.decontaminate import LEAST_TOKENS, MASKS, SHORT, SHORT_MASKS, find_leaks
-from openings.llm.durable import durable, shared_folder
+from openings.llm.durable import BATCH, durable, shared_folder
 from openings.llm.license_scan import scan_licenses
 from openings.llm.suffix_tree import _bitmap, _may_be, language_model_scores
 from openings.llm.words import cut_words, shingles
@@ -105,3 +105,15 @@ def test_bitmap_of_grams_passes_few_others(spark):
     bits = _bitmap(spark.createDataFrame(pa.table({"key": keys.view(np.int64)})))
     assert _may_be(bits, keys).all()
     assert _may_be(bits, rng.integers(0, 1 << 63, 300_000, dtype=np.uint64) * np.uint64(2)).mean() < 1e-3
+
+
+def test_a_durable_write_gives_python_whole_texts_in_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["rows", "bytes"])
+
+    texts = spark.range(0, 6000, 1, 1).selectExpr("repeat(cast(id % 10 AS string), 4096) AS text")
+    before = spark.conf.get(BATCH)
+    got = durable(texts.mapInArrow(sizes, "rows long, bytes long"), "sizes").collect()
+    assert sum(r.rows for r in got) == 6000 and max(r.bytes for r in got) < 8 << 20
+    assert spark.conf.get(BATCH) == before
