@@ -16,8 +16,9 @@ A stored pair's suffix is stored, too, so the logarithm of a text's score is a
 sum over its words, pairs and triples: each adds what it has beyond its own
 suffix, and what it leaves for others where it is a context.  All of these
 are rows of one table (gram -> values).  Grams with at least `p_hot` of all
-tokens (at most 1 / p_hot of each length) are broadcast; rarer ones, of which
-there is no bound, reach the texts by a join.  Bitmaps of a fixed size keep
+tokens (at most 1 / p_hot of each length) are broadcast, and of rarer ones the
+most frequent up to HOT in all; the rest, of which there is no bound, reach
+the texts by a join.  Bitmaps of a fixed size keep
 grams that are in no table out of the shuffles.
 
 Counting covers every training text: tokens in one pass, grams behind
@@ -27,12 +28,14 @@ some half a million at a time, before the shuffle.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +46,10 @@ END = 0x1D5EED0FEE1DEAD1
 BITS = 27
 #: Grams that a task sums at a time, some 100 bytes each.
 HELD = 1 << 19
+#: Grams that are broadcast, if so many are not rarer than others that aren't; 24 bytes each.
+HOT = 1 << 20
+#: Turns in which the rarer grams meet the texts: one turn's shuffles go before the next.
+TURNS = 2
 
 
 def held_out(id_: Column) -> Column:
@@ -186,10 +193,12 @@ class SuffixTree:
         return out
 
 
-def _count_grams(texts: DataFrame, depth: int, contexts: DataFrame, parents: DataFrame) -> DataFrame:
+def _count_grams(texts: DataFrame, depth: int, contexts: DataFrame, parents: DataFrame) -> tuple[DataFrame, Broadcast]:
     """(context, parent, n) of tokens behind `depth` others, over all of texts.text; parent is the gram without its first token.
 
-    Only those whose context and parent may be in the given tables (key).
+    Only those whose context and parent may be in the given tables (key).  The
+    broadcast is to be destroyed once the rows are written: until then every
+    machine keeps a file of it.
     """
     shipped = texts.sparkSession.sparkContext.broadcast((_bitmap(contexts), _bitmap(parents)))
 
@@ -222,7 +231,8 @@ def _count_grams(texts: DataFrame, depth: int, contexts: DataFrame, parents: Dat
         if held:
             yield summed()
 
-    return texts.select("text").mapInArrow(run, "context long, parent long, n long").groupBy("context", "parent").agg(F.sum("n").alias("n"))
+    counted = texts.select("text").mapInArrow(run, "context long, parent long, n long").groupBy("context", "parent").agg(F.sum("n").alias("n"))
+    return counted, shipped
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,8 +280,9 @@ def learn(texts: DataFrame, depth: int = 2, divergence: float = 4.0, mu: float =
     parts = [table.select(F.lit(1).alias("length"), F.col("token").alias("key"), "n", null.alias("left"), null.alias("gain"))]
     for level in range(1, depth + 1):
         contexts = durable(contexts, "contexts")
-        counted = _count_grams(texts, level, contexts.select("context"), grams.filter(F.col("n") >= least).select("key")).filter(F.col("n") >= least)
-        tested = durable(counted.join(grams.select(F.col("key").alias("parent"), F.col("logp").alias("parent_logp")), "parent"), "counted")
+        counted, shipped = _count_grams(texts, level, contexts.select("context"), grams.filter(F.col("n") >= least).select("key"))
+        tested = durable(counted.filter(F.col("n") >= least).join(grams.select(F.col("key").alias("parent"), F.col("logp").alias("parent_logp")), "parent"), "counted")
+        shipped.destroy()
         n, q = F.col("n"), F.pow(F.lit(10.0), F.col("parent_logp"))
         sums = tested.groupBy("context").agg(F.sum(n).alias("stored"), F.count(F.lit(1)).alias("size"), F.sum(n * F.log(n / q)).alias("nlog"), F.sum(q).alias("q"))
         g = 2 * (F.col("nlog") - F.log("seen") * F.col("stored") - F.col("stored") + F.col("seen") * F.col("q"))
@@ -294,6 +305,13 @@ def learn(texts: DataFrame, depth: int = 2, divergence: float = 4.0, mu: float =
     return tree, root
 
 
+def _hot_count(values: DataFrame, most: int) -> int:
+    """The least count at which no more than HOT of the values (n) are as frequent; `most` where even there they are more."""
+    by = values.groupBy(F.least("n", F.lit(most)).alias("n")).agg(F.count(F.lit(1)).alias("rows")).toPandas().sort_values("n", ascending=False)
+    fits = by[by["rows"].cumsum() <= HOT]
+    return int(fits["n"].min()) if len(fits) else most
+
+
 def score_texts(docs: DataFrame, tree: SuffixTree, root: Root, id_col: str = "doc_id", text_col: str = "text", p_hot: float = 2e-7) -> DataFrame:
     """One row a row of docs: doc_id, n_tokens, n_known, base_score, score (log10, of all tokens and the end)."""
     known = F.col("length") == 1
@@ -301,7 +319,7 @@ def score_texts(docs: DataFrame, tree: SuffixTree, root: Root, id_col: str = "do
         "key", "n", known.cast("long").alias("known"),
         F.when(known, F.log10((F.col("n") + 0.1) / F.lit(root.denominator))).otherwise(0.0).alias("base"), (F.coalesce("left", F.lit(0.0)) + F.coalesce("gain", F.lit(0.0))).alias("more"),
     ).filter(known | (F.col("more") != 0))
-    often = F.col("n") >= p_hot * root.total
+    often = F.col("n") >= _hot_count(values, max(1, math.ceil(p_hot * root.total)))
     hot = values.filter(often).select("key", "base", "more").toArrow()
     hot_keys = hot["key"].to_numpy().view(np.uint64)
     by = np.argsort(hot_keys)
@@ -347,17 +365,21 @@ def score_texts(docs: DataFrame, tree: SuffixTree, root: Root, id_col: str = "do
         run, "doc_id long, n_tokens long, known long, base double, more double, cold array<long>"
     )
     scored = durable(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = (
-        scored.select("row", F.explode("cold").alias("key"))
-        .join(values.filter(~often).drop("n"), "key")
-        .groupBy("row")
-        .agg(F.sum("known").alias("rare_known"), F.sum("base").alias("rare_base"), F.sum("more").alias("rare_more"))
-    )
+    shipped.destroy()
+    cold, rare, parts = scored.select("row", F.explode("cold").alias("key")), values.filter(~often).drop("n"), []
+    for turn in range(TURNS):
+        own = F.pmod(F.xxhash64("key"), F.lit(TURNS)) == turn
+        sums = cold.filter(own).join(rare.filter(own), "key").groupBy("row")
+        parts.append(durable(sums.agg(*(F.sum(c).alias(c) for c in ("known", "base", "more"))), "rare"))
+    added = reduce(DataFrame.union, parts).groupBy("row").agg(*(F.sum(c).alias(f"rare_{c}") for c in ("known", "base", "more")))
     n_known = F.col("known") + F.coalesce("rare_known", F.lit(0))
     base = F.col("base") + F.coalesce("rare_base", F.lit(0.0)) + (F.col("n_tokens") - n_known) * F.log10(F.lit(0.1 / root.denominator))
-    return scored.join(rare, "row", "left").select(
+    out = scored.join(added, "row", "left").select(
         "doc_id", "n_tokens", n_known.alias("n_known"), base.alias("base_score"), (base + F.col("more") + F.coalesce("rare_more", F.lit(0.0))).alias("score")
     )
+    out = durable(out, "scored")
+    release(scored, *parts)
+    return out
 
 
 def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

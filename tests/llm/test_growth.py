@@ -1,6 +1,7 @@
 """What the operators must still see when the corpus grows or its mix changes."""
 
 import itertools
+import os
 import time
 import tracemalloc
 
@@ -8,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from openings.llm import suffix_tree
 from openings.llm.cotraining import features
 from openings.llm.decontaminate import LEAST_TOKENS, MASKS, SHORT, SHORT_MASKS, find_leaks
 from openings.llm.durable import BATCH, durable, shared_folder
@@ -117,3 +119,26 @@ def test_a_durable_write_gives_python_whole_texts_in_small_batches(spark):
     got = durable(texts.mapInArrow(sizes, "rows long, bytes long"), "sizes").collect()
     assert sum(r.rows for r in got) == 6000 and max(r.bytes for r in got) < 8 << 20
     assert spark.conf.get(BATCH) == before
+
+
+def test_suffix_tree_leaves_no_broadcast_behind(spark):
+    folder = spark.sparkContext._temp_dir
+    before = set(os.listdir(folder))
+    docs = spark.range(1, 200).selectExpr("id AS doc_id", "concat('a b c d ', id % 7) AS text")
+    assert language_model_scores(docs).count() == 199
+    assert not [f for f in set(os.listdir(folder)) - before if os.path.getsize(f"{folder}/{f}") > 1 << 20]
+
+
+def test_frequent_grams_up_to_a_number_are_broadcast(spark, monkeypatch):
+    values = spark.createDataFrame([(1,)] * 50 + [(2,)] * 30 + [(3,)] * 15 + [(9,)] * 5, "n long")
+    for hot, most, least in ((100, 9, 1), (60, 9, 2), (20, 9, 3), (19, 9, 9), (4, 9, 9), (4, 3, 3), (1000, 3, 1)):
+        monkeypatch.setattr(suffix_tree, "HOT", hot)
+        assert suffix_tree._hot_count(values, most) == least
+    docs = spark.range(1, 300).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 40), i -> concat('w', (id * 31 + i * i) % 61))) AS text")
+    scores = []
+    for hot in (0, 1 << 20):  # all grams joined (but those of the least share), or all broadcast
+        monkeypatch.setattr(suffix_tree, "HOT", hot)
+        tree, root = suffix_tree.learn(docs.select("text"))
+        scores.append({r.doc_id: r for r in suffix_tree.score_texts(docs, tree, root, p_hot=1.0 if not hot else 2e-7).collect()})
+    for a, b in ((scores[0][i], scores[1][i]) for i in range(1, 300)):
+        assert (a.n_tokens, a.n_known) == (b.n_tokens, b.n_known) == (41, 41) and abs(a.score - b.score) < 1e-6 and abs(a.base_score - b.base_score) < 1e-6
