@@ -33,10 +33,15 @@ def samples(rows: DataFrame, group: str, order: list[str], n: int) -> DataFrame:
 
 
 def query_yields(hits: DataFrame) -> DataFrame:
-    """(query, hits, urls, first_seen): all hits of a query, its distinct urls, and how many of these no earlier hit (by ord) of any query had."""
-    w = Window.partitionBy("url").orderBy("ord")
-    marked = hits.withColumn("first_", F.row_number().over(w) == 1)
-    return marked.groupBy("query").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("url").alias("urls"), F.count_if("first_").alias("first_seen"))
+    """(query, hits, urls, first_seen): all hits of a query, its distinct urls, and how many of these no earlier hit of any query had.
+
+    Hits are in order by ord (nulls last), those of one ord by place, if hits have that column.
+    """
+    at = F.struct(F.col("ord").isNull(), "ord", *[c for c in ("place",) if c in hits.columns])
+    each = hits.groupBy("query", "url").agg(F.count(F.lit(1)).alias("n_"), F.min(at).alias("at_"))
+    w = Window.partitionBy("url").orderBy("at_", "query")
+    marked = each.withColumn("first_", F.row_number().over(w) == 1)
+    return marked.groupBy("query").agg(F.sum("n_").alias("hits"), F.count("url").alias("urls"), F.count_if("first_").alias("first_seen"))
 
 
 def query_coverage(planned: DataFrame, attempted: DataFrame) -> DataFrame:

@@ -160,7 +160,9 @@ def follow_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH h AS (SELECT l_returnflag AS query, l_partkey AS url, l_orderkey * 8 + l_linenumber AS ord FROM lineitem), f AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ord) = 1 AS first FROM h)
 SELECT query, count(*) AS hits, count(DISTINCT url) AS urls, count(*) FILTER (first) AS first_seen FROM f GROUP BY query""")
 def query_yields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listing.query_yields(table(spark, sf_dir, "lineitem").selectExpr("l_returnflag AS query", "l_partkey AS url", "l_orderkey * 8 + l_linenumber AS ord"))
+    """Of hits of one ord the one that stands first in the table is the earlier one."""
+    place = "struct(_metadata.file_path, _metadata.row_index) AS place"
+    return listing.query_yields(table(spark, sf_dir, "lineitem").selectExpr("l_returnflag AS query", "l_partkey AS url", "l_orderkey * 8 + l_linenumber AS ord", place))
 
 
 @query("""WITH d AS (SELECT DISTINCT p_brand AS family, p_type AS query FROM part), a AS (SELECT DISTINCT p_type AS query FROM part WHERE p_size > 45)

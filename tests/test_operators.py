@@ -188,3 +188,19 @@ def test_streams_agree_with_batches(spark, tmp_path):
     jobs.liveness(source).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     batch = merge.miss_history(spark.createDataFrame(days, "uid long, day date, seen boolean"))
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_first_hits_of_one_ord_stand_first_in_the_table(spark, tmp_path):
+    """Null ords come last, as in the SQL; hits of one ord are in the table's order, however its files are read."""
+    from openings.plans.ledger_queries import query_yields
+
+    schema = "l_returnflag string, l_partkey long, l_orderkey long, l_linenumber int"
+    folder = tmp_path / "lineitem.parquet"
+    folder.mkdir()
+    few = [("R", u, 5, 1) for u in range(50)] + [("N", 60, None, 1), ("A", None, 1, 1)]
+    many = [("A", u, 5, 1) for u in range(50)] + [("N", u, 9, 1) for u in range(50)] * 100 + [("A", 60, 70, 1)]
+    for k, rows in enumerate((few, many)):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / str(k)))
+        next((tmp_path / str(k)).glob("part-*")).rename(folder / f"part-{k}.parquet")
+    got = sorted(tuple(r) for r in query_yields(spark, str(tmp_path)).collect())
+    assert got == [("A", 52, 51, 2), ("N", 5001, 51, 0), ("R", 50, 50, 50)]
